@@ -102,8 +102,14 @@ class Words:
         back = np.full(len(low) + 1, inverse, np.uint64)
         back[0] = 1
         np.cumprod(back, out=back)
+        self._total, self._back = total, back
         self.hash = mix((total[self.end] - total[self.start]) * back[self.start])
 
+    def prefixes(self, length: int) -> np.ndarray:
+        """64-bit hash of the first ``length`` bytes of each word; 0 for shorter words."""
+        stop = np.minimum(self.start + length, self.end)
+        return np.where(self.end - self.start >= length, mix((self._total[stop] - self._total[self.start]) * self._back[self.start] ^ BASE), np.uint64(0))
+
     def counts(self) -> np.ndarray:
         return np.diff(self.of_text)
 

@@ -5,9 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, table
+from .bpe import encode_texts
+from .common import fold, shared_path, table
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
+from .token_store import read_tokens, write_tokens
+from .toxicity import fit, score
+
+
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    model = fit(docs.where(~F.col("held_out")), labels)
+    return score(docs, model).drop("text")
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,12 +32,26 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs.select("doc_id", "held_out", "text"), dictionaries).drop("text")
 
 
+def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "token-store")
+    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    return read_tokens(spark, path, with_ids=False)
+
+
+def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return encode_texts(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False, digest=True)
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op2_toxicity": op2_toxicity,
     "op5_language_id": op5_language_id,
+    "op6_token_output": op6_token_output,
+    "op7_bpe": op7_bpe,
     "op10_license_scan": op10_license_scan,
 }
 

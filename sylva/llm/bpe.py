@@ -21,7 +21,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, IntegerType, StructType
 
 from .common import strings
 
@@ -265,7 +265,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
     names = [c for c in kept.columns if c != text_col]
     schema = StructType([kept.schema[c] for c in names]).add("n_tokens", "long")
     if with_ids:
-        schema = schema.add("ids", "array<int>")
+        schema = schema.add("ids", ArrayType(IntegerType()))
     if digest:
         schema = schema.add("ids_sha256", "string").add("decoded_sha256", "string")
     kept = kept.withColumn(text_col, F.col(text_col).cast("string"))

@@ -32,9 +32,11 @@ LEXICONS = {
 #: Phrases, one voter.
 PHRASES = ["shut up", "hate you", "kill you", "kill yourself", "go die", "you idiot", "you moron", "piece of shit", "get lost"]
 MINED = 4
-PREFIX = 6
+PREFIXES = (4, 6)
+LEVELS = (1, 2, 4)
 VOTERS = [*LEXICONS, "phrases", "shouting", *(f"mined{i}" for i in range(MINED))]
 BITS = 20
+SIZE = len(LEVELS) << BITS
 
 
 def hashes(words: list[str]) -> np.ndarray:
@@ -56,10 +58,33 @@ def _phrase_hits(words: Words, texts: int) -> np.ndarray:
 
 
 def features(words: Words) -> np.ndarray:
-    """For each word its two features: the word itself and its beginning, as numbers below 2 ** BITS (0: none)."""
+    """For each word its features: the word itself and its beginnings, as numbers below 2 ** BITS (0: none)."""
     shift = np.uint64(64 - BITS)
-    begin = words.prefixes(PREFIX)
-    return np.stack([np.maximum(words.hash >> shift, np.uint64(1)), begin >> shift], 1).astype(np.int64)
+    return np.stack([np.maximum(words.hash >> shift, np.uint64(1)), *(words.prefixes(k) >> shift for k in PREFIXES)], 1).astype(np.int32)
+
+
+def counted(words: Words, feats: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(text, numbered feature) without repeats. A feature that stands in a text at least LEVELS[k] times also counts as
+    feature number k * 2 ** BITS + itself. ``wanted``: a table of the features to look at, or None for all."""
+    word, column = np.nonzero(feats if wanted is None else wanted[feats])
+    text = np.searchsorted(words.of_text, word, side="right") - 1
+    pairs, n = np.unique(text.astype(np.int64) << 32 | feats[word, column], return_counts=True)
+    text, f = pairs >> 32, pairs & 0xFFFFFFFF
+    at = [n >= least for least in LEVELS]
+    return np.concatenate([text[m] for m in at]), np.concatenate([f[m] + (k << BITS) for k, m in enumerate(at)])
+
+
+def per_text(of: np.ndarray, f: np.ndarray, texts: int) -> list[np.ndarray]:
+    order = np.argsort(of, kind="stable")
+    return np.split(f[order].astype(np.int32), np.cumsum(np.bincount(of, minlength=texts))[:-1])
+
+
+def base_table(numbers: np.ndarray) -> np.ndarray:
+    """Which features below 2 ** BITS are meant by the numbered ones."""
+    table = np.zeros(1 << BITS, bool)
+    table[numbers & ((1 << BITS) - 1)] = True
+    table[0] = False
+    return table
 
 
 @dataclass
@@ -88,28 +113,27 @@ def votes(texts: pa.Array, words: Words, mined: list[np.ndarray], feats: np.ndar
     upper, lower = count((raw >= 65) & (raw <= 90)), count((raw >= 97) & (raw <= 122))
     bits |= ((upper > 20) & (upper > 2 * lower)).astype(np.int64) << (j + 1)
     j += 2
-    table = np.zeros(1 << BITS, np.uint8)
-    for i, numbers in enumerate(mined):
-        table[numbers] |= 1 << i
-    table[0] = 0
-    if mined:
-        hit = table[feats[:, 0]] | table[feats[:, 1]]
+    if any(map(len, mined)):
+        table = np.zeros(SIZE, np.uint8)
+        for i, numbers in enumerate(mined):
+            table[numbers] |= 1 << i
+        of, f = counted(words, feats, base_table(np.concatenate(mined)))
         for i in range(len(mined)):
-            bits |= (_per_text(words, (hit >> i) & 1) > 0).astype(np.int64) << (j + i)
+            bits |= (np.bincount(of, (table[f] >> i) & 1, minlength=n) > 0).astype(np.int64) << (j + i)
     return bits
 
 
-def mine(samples: list[tuple[np.ndarray, int]], least: int = 3, precision: float = 0.85, most: int = 4096) -> list[np.ndarray]:
+def mine(samples: list[tuple[np.ndarray, int]], least: int = 3, precision: float = 0.85, most: int = 1024) -> list[np.ndarray]:
     """MINED groups of the features that mark toxic labelled texts: in at least ``least`` of them, and in others so
     seldom that the share of toxic ones, each class counted as if of one size, is ``precision`` or more."""
-    toxic, clean = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    toxic, clean = np.zeros(SIZE), np.zeros(SIZE)
     for f, y in samples:
         (toxic if y else clean)[f] += 1
     n1, n0 = max(1, sum(y for _, y in samples)), max(1, sum(1 - y for _, y in samples))
     rate1, rate0 = toxic / n1, (clean + 0.5) / n0
-    good = np.flatnonzero((toxic >= least) & (rate1 / (rate1 + rate0) >= precision) & (toxic / (toxic + clean + 0.5) >= 0.5))
-    good = good[good > 0]
-    good = good[np.argsort(-rate1[good] / (rate1[good] + rate0[good]), kind="stable")][:most]
+    z = (rate1 - clean / n0) / np.sqrt((toxic + clean + 1) / (n1 + n0) / n1)
+    good = np.flatnonzero((toxic >= least) & (rate1 / (rate1 + rate0) >= precision) & (toxic / (toxic + clean + 0.5) >= 0.5) & (z >= 4))
+    good = good[np.argsort(-z[good], kind="stable")][:most]
     return [np.sort(good[i::MINED]) for i in range(MINED)]
 
 
@@ -153,8 +177,7 @@ def fit_linear(samples: list[np.ndarray], target: np.ndarray, support: int = 4,
 
     Only the ``most`` features that are in ``support`` texts or more and differ most between the classes get a weight.
     """
-    size = 1 << BITS
-    df, on = np.zeros(size), np.zeros(size)
+    df, on = np.zeros(SIZE), np.zeros(SIZE)
     for f, t in zip(samples, target):
         df[f] += 1
         on[f] += t
@@ -164,7 +187,7 @@ def fit_linear(samples: list[np.ndarray], target: np.ndarray, support: int = 4,
     z[0] = 0
     chosen = np.argsort(-np.abs(z), kind="stable")[:most]
     chosen = chosen[np.abs(z[chosen]) > 3]
-    slot = np.full(size, -1)
+    slot = np.full(SIZE, -1)
     slot[chosen] = np.arange(len(chosen))
     rows = [(s := slot[f])[s >= 0] for f in samples]
     w, b = np.zeros(len(chosen)), float(np.log(base / (1 - base)))
@@ -179,11 +202,17 @@ def fit_linear(samples: list[np.ndarray], target: np.ndarray, support: int = 4,
             w[r] -= 0.3 * d / np.sqrt(gw[r])
             gb += g * g
             b -= 0.1 * g / np.sqrt(gb)
-    weights = np.zeros(size, np.float32)
+    weights = np.zeros(SIZE, np.float32)
     weights[chosen] = w
     return weights, b
 
 
+def with_label(p: float, y: int, trust: float = 0.97) -> float:
+    """The posterior of a labelled text: its label is one more voter, right with probability ``trust``."""
+    odds = p / max(1 - p, 1e-9) * (trust / (1 - trust) if y else (1 - trust) / trust)
+    return odds / (1 + odds)
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> Model:
     """Fits everything on ``docs`` (texts that may be learned from) and ``labels`` (id_col, toxic).
 
@@ -202,9 +231,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for whole in batches:
             for batch, part in slices(whole, "text"):
                 words = Words(part)
-                f, of = features(words), words.of_text
-                rows = [np.unique(f[of[i] : of[i + 1]]) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.astype(np.int32) for r in rows], pa.list_(pa.int32()))], ["toxic", "f"])
+                rows = per_text(*counted(words, features(words)), len(part))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "f"])
 
     got = texts.join(near, "_id").select("toxic", "text").mapInArrow(numbers, "toxic int, f array<int>").collect()
     samples = sorted(((np.asarray(r["f"], np.int64), r["toxic"]) for r in got), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
@@ -219,7 +247,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labelled = texts.join(near, "_id", "left").select(F.coalesce("toxic", F.lit(-1)).alias("toxic"), "text")
     patterns = [(r["votes"], r["toxic"], float(r["n"])) for r in labelled.mapInArrow(count_votes, "toxic int, votes long").groupBy("votes", "toxic").agg(F.count("*").alias("n")).orderBy("votes", "toxic").collect()]
     if not patterns:
-        return Model(np.zeros(1 << BITS, np.float32), -3.0, mined)
+        return Model(np.zeros(SIZE, np.float32), -3.0, mined)
     known = sum(c for _, y, c in patterns if y >= 0)
     prior = float(np.clip(per_class.agg(F.avg("toxic")).first()[0] or 0.05, 0.005, 0.5)) if known else 0.05
     rate, correlation, prior, posterior = label_model(patterns, prior)
@@ -228,14 +256,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         for whole in batches:
             for batch, part in slices(whole, "text"):
                 words = Words(part)
-                f, of = features(words), words.of_text
-                v = votes(part, words, mined, f)
-                rows = [np.unique(f[of[i] : of[i + 1]]).astype(np.int32) for i in range(len(part))]
-                yield pa.RecordBatch.from_arrays([pa.array(v), pa.array(rows, pa.list_(pa.int32()))], ["votes", "f"])
-
-    learn = texts.join(near, "_id").select("text").mapInArrow(with_votes, "votes long, f array<int>").collect()
-    learn = sorted(((np.asarray(r["f"], np.int64), posterior.get(r["votes"], prior)) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
-    weights, bias = fit_linear([f for f, _ in learn], np.array([p for _, p in learn])) if learn else (np.zeros(1 << BITS, np.float32), -3.0)
+                f = features(words)
+                rows = per_text(*counted(words, f), len(part))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, f)), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "votes", "f"])
+
+    learn = texts.join(near, "_id").select("toxic", "text").mapInArrow(with_votes, "toxic int, votes long, f array<int>").collect()
+    learn = sorted(((np.asarray(r["f"], np.int64), with_label(posterior.get(r["votes"], prior), r["toxic"])) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
+    weights, bias = fit_linear([f for f, _ in learn], np.array([p for _, p in learn])) if learn else (np.zeros(SIZE, np.float32), -3.0)
     return Model(weights, bias, mined, rate, correlation, prior)
 
 
@@ -246,7 +273,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     Repeated rows get the same score; input columns of these names are replaced.
     """
     docs = docs.drop("score", "predicted").withColumn(text_col, F.col(text_col).cast("string"))
-    schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "int")
+    schema = StructType(list(docs.schema.fields)).add("score", "double").add("predicted", "integer")
     spark = docs.sparkSession
     used = np.flatnonzero(model.weights)
     numbers, weights, bias = used, model.weights[used].astype(float), model.bias
@@ -254,17 +281,14 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches):
         numbers, weights = shared.value
-        slot = np.zeros(1 << BITS, np.int32)
-        slot[numbers] = np.arange(1, len(numbers) + 1)
-        slot[0] = 0
+        full = np.zeros(SIZE, np.float32)
+        full[numbers] = weights
+        wanted = base_table(numbers)
         for whole in batches:
             for batch, part in slices(whole, text_col):
                 words = Words(part)
-                f = slot[features(words)]
-                word, column = np.nonzero(f)
-                text = np.searchsorted(words.of_text, word, side="right") - 1
-                pairs = np.unique(text.astype(np.int64) << 32 | f[word, column])
-                z = bias + np.bincount(pairs >> 32, weights[(pairs & 0xFFFFFFFF) - 1], minlength=len(part)) if len(pairs) else np.full(len(part), bias)
+                of, f = counted(words, features(words), wanted)
+                z = bias + np.bincount(of, full[f], minlength=len(part))
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 

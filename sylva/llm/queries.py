@@ -9,8 +9,10 @@ from .bpe import encode_texts
 from .common import fold, shared_path, table
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
+from .pii import find_pii, fit_tagger
 from .token_store import read_tokens, write_tokens
 from .toxicity import fit, score
+from .url_filter import judge
 
 
 def tokenizer_file(name: str) -> str:
@@ -26,6 +28,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).drop("text")
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     dictionaries = learn_dictionaries(docs.where(~F.col("held_out")))
@@ -43,15 +49,22 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False, digest=True)
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return find_pii(docs, fit_tagger(docs)).drop("text")
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_toxicity": op2_toxicity,
+    "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,
     "op7_bpe": op7_bpe,
+    "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }
 

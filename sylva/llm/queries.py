@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .ann import search
 from .bpe import encode_texts
 from .common import fold, shared_path, table
+from .decontaminate import find_leaks
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
 from .pii import find_pii, fit_tagger
@@ -21,6 +23,10 @@ def tokenizer_file(name: str) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
     labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
@@ -49,6 +55,12 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_texts(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False, digest=True)
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
+    return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.edits").alias("edits"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return find_pii(docs, fit_tagger(docs)).drop("text")
@@ -59,11 +71,13 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_toxicity": op2_toxicity,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,
     "op7_bpe": op7_bpe,
+    "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
 }

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -22,24 +23,19 @@ from .common import WORD_BYTES, Words, flat_bytes, mix, slices, strings
 
 ANCHOR = 8
 #: Walk lengths by the characters that an item has left after the window's beginning, and characters sampled.
-CLASSES = [(72, 8), (28, 5)]
+CLASSES = [(72, 16), (28, 9)]
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All texts in lower case, anything but letters and digits as single zero bytes, one zero after each text; and the
-    n + 1 offsets."""
-    raw, offsets = flat_bytes(texts)
+    """All texts in lower case, anything but letters and digits as single zero bytes, none before the first word of a text
+    and one after its last; and the n + 1 offsets. A text without words takes no bytes."""
+    raw, offsets = flat_bytes(pc.binary_join_element_wise(texts, pa.scalar("\n", pa.large_string()), pa.scalar("", pa.large_string())))
     low = WORD_BYTES[raw]
-    keep = low != 0
-    keep[1:] |= low[:-1] != 0
-    starts = offsets[:-1][offsets[:-1] < offsets[1:]]
-    keep[starts] = low[starts] != 0
-    kept = np.r_[0, np.cumsum(keep)]
-    ends = kept[offsets]
-    out = np.zeros(kept[-1] + len(texts), np.uint8)
-    text = np.repeat(np.arange(len(texts)), np.diff(ends))
-    out[np.arange(kept[-1]) + text] = low[keep]
-    return out, ends + np.arange(len(texts) + 1)
+    inside = low != 0
+    keep = inside.copy()
+    keep[1:] = inside[1:] | inside[:-1]
+    counts = np.add.reduceat(keep, offsets[:-1], dtype=np.int64) if len(texts) else np.zeros(0, np.int64)
+    return low[keep], np.r_[0, np.cumsum(counts)]
 
 
 def word_starts(flat: np.ndarray) -> np.ndarray:
@@ -84,9 +80,9 @@ class Items:
     its window begins in it."""
 
     def __init__(self, ids: list, texts: list[str], repeats: int, seed: int = 17):
-        self.ids, self.repeats = ids, repeats
+        self.ids, self.repeats, self._pieces = ids, repeats, {}
         flat, offsets = normalised(strings(pa.array(texts, pa.string())))
-        self.texts = [flat[a : b - 1].tobytes().rstrip(b"\0") for a, b in zip(offsets[:-1], offsets[1:])]
+        self.texts = [flat[a:b].tobytes().rstrip(b"\0") for a, b in zip(offsets[:-1], offsets[1:])]
         starts = word_starts(flat)
         of = np.searchsorted(offsets, starts, side="right") - 1
         length = np.array([len(t) for t in self.texts], np.int64)
@@ -126,6 +122,13 @@ class Items:
             pairs.sort()
             self.short[n] = (np.array([p[0] for p in pairs], np.uint64), [p[1] for p in pairs])
 
+    def pieces(self, item: int, most: int) -> list[bytes]:
+        """The item in most + 1 pieces: after at most ``most`` edits one of them is still whole."""
+        if (got := self._pieces.get(item)) is None:
+            t, n = self.texts[item], most + 1
+            got = self._pieces[item] = [t[len(t) * k // n : len(t) * (k + 1) // n] for k in range(n)]
+        return got
+
     def candidates(self, flat: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         """Sorted different rows (text, item, begin of the item in the flat array, rounded)."""
         starts, found = word_starts(flat), []
@@ -173,7 +176,7 @@ def best_distance(pattern: bytes, text: bytes, most: int) -> int:
     return best if best <= most else most + 1
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.12, repeats: int = 4, item_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.1, repeats: int = 3, item_bytes: int = 4 << 20) -> DataFrame:
     """The input with ``leaks``: an array of (item, edits), sorted, of the benchmark items that stand in the text.
 
     An item stands in a text if some part of it is within ``tolerance`` times the item's length of edits, both in lower
@@ -211,8 +214,11 @@ def _one_pass(docs: DataFrame, text_col: str, items: Items, tolerance: float) ->
                     if (have := found.get(i, {}).get(item)) == 0:
                         continue
                     begin = near * 16
-                    low, high = max(int(offsets[i]), begin - most - 16), min(int(offsets[i + 1]) - 1, begin + 32 + len(pattern) + most)
-                    edits = best_distance(pattern, flat[low:high].tobytes(), most)
+                    low, high = max(int(offsets[i]), begin - most - 16), min(int(offsets[i + 1]), begin + 32 + len(pattern) + most)
+                    region = flat[low:high].tobytes()
+                    if not any(piece in region for piece in items.pieces(item, most)):
+                        continue
+                    edits = best_distance(pattern, region, most)
                     if edits <= most and (have is None or edits < have):
                         found.setdefault(i, {})[item] = edits
                 if items.short:

@@ -11,6 +11,7 @@ from .common import fold, shared_path, table
 from .decontaminate import find_leaks
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
+from .ngram_join import similar
 from .pii import find_pii, fit_tagger
 from .token_store import read_tokens, write_tokens
 from .toxicity import fit, score
@@ -34,6 +35,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score(docs, model).drop("text")
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
 
@@ -73,6 +78,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_toxicity": op2_toxicity,
+    "op3_ngram_join": op3_ngram_join,
     "op4_url_filter": op4_url_filter,
     "op5_language_id": op5_language_id,
     "op6_token_output": op6_token_output,

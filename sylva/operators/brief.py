@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import CITATION, MATHS, word_count
 from ..schema import FIGURES, HEADINGS, TEXT, is_type
-from .scope import IN_DOCUMENT
+from .scope import in_document
 
 PARTS = {
     "paragraphs": TEXT, "headings": ["heading"], "subheadings": ["subheading"], "tables": ["table"], "figures": FIGURES,
@@ -51,7 +51,7 @@ def conventions(nodes: DataFrame) -> DataFrame:
 
 def kinds(nodes: DataFrame) -> DataFrame:
     """Paper, thesis, report or document, by the first twelve nodes, the headings and whether there are references."""
-    ranked = nodes.withColumn("_n", F.row_number().over(IN_DOCUMENT))
+    ranked = nodes.withColumn("_n", F.row_number().over(in_document()))
     opening = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 12, F.struct("_n", F.substring("content", 1, 200).alias("t"))))), lambda x: x["t"]), " "))
     chapter = F.max((is_type(HEADINGS) & F.contains(F.lower("content"), F.lit("chapter"))).cast("int")) == 1
     refs = F.max((F.col("type") == "reference").cast("int")) == 1
@@ -68,7 +68,7 @@ def sections(nodes: DataFrame) -> DataFrame:
     top = top.withColumn("_top", F.col("sort_path")[0]).join(maths, ["doc_id", "_top"], "left")
     role = F.col("meta.role")
     starts = is_type(HEADINGS) | role.isNotNull()
-    top = top.withColumn("_s", F.sum(starts.cast("int")).over(IN_DOCUMENT.rowsBetween(Window.unboundedPreceding, 0))).where("_s > 0")
+    top = top.withColumn("_s", F.sum(starts.cast("int")).over(in_document().rowsBetween(Window.unboundedPreceding, 0))).where("_s > 0")
     inside = ~starts | role.isNotNull()
     body = F.struct("sort_path", "node_id")
     count = lambda c: F.count_if(inside & c)
@@ -101,7 +101,7 @@ def brief(nodes: DataFrame) -> DataFrame:
 
 def outline(nodes: DataFrame, most: int = 40) -> DataFrame:
     """The first headings of each document, clipped."""
-    n = F.row_number().over(IN_DOCUMENT)
+    n = F.row_number().over(in_document())
     return nodes.where(is_type(HEADINGS)).select("doc_id", n.alias("n"), "type", F.substring("content", 1, 60).alias("text")).where(F.col("n") <= most)
 
 

@@ -7,15 +7,22 @@ from pyspark.sql import functions as F
 
 from ..schema import HEADINGS, NOT_A_TITLE, TARGETS, TITLE_CHARS, is_type
 
-IN_DOCUMENT = Window.partitionBy("doc_id").orderBy("sort_path")
-SIBLINGS = Window.partitionBy("doc_id", "parent_id").orderBy("sort_path")
+def in_document():
+    """Document order within each document."""
+    return Window.partitionBy("doc_id").orderBy("sort_path")
+
+
+def siblings():
+    return Window.partitionBy("doc_id", "parent_id").orderBy("sort_path")
+
+
 #: The types whose words a rewrite may touch.
 REWRITABLE = ["heading", "subheading", "body", "paragraph", "caption", "reference", "footnote", "table_cell"]
 
 
 def preorder(nodes: DataFrame) -> DataFrame:
     """The nodes with ``pos``, their place in a walk that visits a node before its children."""
-    return nodes.withColumn("pos", F.row_number().over(IN_DOCUMENT))
+    return nodes.withColumn("pos", F.row_number().over(in_document()))
 
 
 def of_types(nodes: DataFrame, types: list[str]) -> DataFrame:
@@ -54,7 +61,7 @@ def section_head(nodes: DataFrame) -> DataFrame:
     """The nodes with ``head``: the heading among their siblings that they stand under (null before the first). A
     section ends at the next heading of either kind."""
     heads = F.when(is_type(HEADINGS), F.col("node_id"))
-    before = SIBLINGS.rowsBetween(Window.unboundedPreceding, 0)
+    before = siblings().rowsBetween(Window.unboundedPreceding, 0)
     return nodes.withColumn("head", F.last(heads, True).over(before))
 
 
@@ -89,7 +96,7 @@ def tables_of(nodes: DataFrame, hops: int = 6) -> DataFrame:
 def introduces_list(nodes: DataFrame) -> DataFrame:
     """The nodes that end with a colon while some later one of the scope does not."""
     colon = F.endswith(F.rtrim(F.col("content")), F.lit(":"))
-    later = F.max((~colon).cast("int")).over(IN_DOCUMENT.rowsBetween(1, Window.unboundedFollowing))
+    later = F.max((~colon).cast("int")).over(in_document().rowsBetween(1, Window.unboundedFollowing))
     return nodes.withColumn("introduces", colon & (F.coalesce(later, F.lit(0)) == 1)).where("introduces").drop("introduces")
 
 

@@ -15,7 +15,12 @@ from .sources.corpus import NODES_SQL, nodes, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-PATH = F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".")
+
+
+def path_text():
+    return F.array_join(F.transform("sort_path", lambda x: x.cast("string")), ".")
+
+
 N = NODES_SQL
 
 
@@ -32,7 +37,7 @@ def query(name: str, sql: str | None = None, *, with_nodes: bool = True):
 
 
 def show(rows: DataFrame, *more: str) -> DataFrame:
-    return rows.select("doc_id", PATH.alias("path"), *more)
+    return rows.select("doc_id", path_text().alias("path"), *more)
 
 
 def _in(types: list[str]) -> str:
@@ -43,7 +48,7 @@ def _in(types: list[str]) -> str:
 
 query("walk", "SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) AS pos, type FROM nodes")(lambda n: show(S.preorder(n), "pos", "type"))
 query("nodes_no_root", "SELECT doc_id, path, type, depth FROM nodes")(lambda n: show(n, "type", "depth"))
-query("get_by_id", "SELECT doc_id, path, type, content FROM nodes WHERE path = '1' OR path = '2'")(lambda n: show(n.where(PATH.isin("1", "2")), "type", "content"))
+query("get_by_id", "SELECT doc_id, path, type, content FROM nodes WHERE path = '1' OR path = '2'")(lambda n: show(n.where(path_text().isin("1", "2")), "type", "content"))
 query(
     "parent_of",
     "SELECT n.doc_id, n.path, n.type, coalesce(p.type, 'document') AS parent_type FROM nodes n LEFT JOIN nodes p ON p.doc_id = n.doc_id AND p.p1 = n.p1 AND ((n.depth = 2 AND p.depth = 1) OR (n.depth = 3 AND p.depth = 2))",
@@ -67,7 +72,7 @@ query(
     "SELECT doc_id, target, count(*) AS n FROM nodes JOIN (VALUES " + ", ".join(f"('{t}', '{x}')" for t, xs in TARGETS.items() for x in xs) + ") AS m(target, mtype) ON mtype = type GROUP BY 1, 2",
 )(_all_targets)
 query("resolve_target", "SELECT doc_id, path, type FROM nodes WHERE type IN ('body', 'paragraph')")(lambda n: show(S.resolve(n, "body"), "type"))
-query("scope", "SELECT doc_id, path FROM nodes WHERE path IN ('1', '3', '2.1')")(lambda n: show(n.where(PATH.isin("3", "1", "2.1"))))
+query("scope", "SELECT doc_id, path FROM nodes WHERE path IN ('1', '3', '2.1')")(lambda n: show(n.where(path_text().isin("3", "1", "2.1"))))
 query("known_ids_filter", "SELECT doc_id, path FROM nodes WHERE path IN ('1', '2')")(
     lambda n: S.keep_known(n, n.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(x)) for x in ("1", "2", "99999")])).alias("node_id"))).select("doc_id", F.substring_index("node_id", ".", -1).alias("path"))
 )
@@ -80,7 +85,7 @@ query("section_under", f"SELECT doc_id, path, head FROM (SELECT doc_id, path, p1
     lambda n: show(S.section_head(n.where("depth = 1")).where("head <> node_id"), "head").withColumn("head", F.substring_index("head", ".", -1))
 )
 query("expand_headings", f"SELECT doc_id, path, type FROM (SELECT doc_id, path, p1, type, {_HEAD}::VARCHAR AS head FROM nodes WHERE depth = 1) WHERE head = '1' AND path <> '1'")(
-    lambda n: show(S.sections_of(n, n.where((PATH == "1") & is_type(HEADINGS))), "type")
+    lambda n: show(S.sections_of(n, n.where((path_text() == "1") & is_type(HEADINGS))), "type")
 )
 query("table_of", "SELECT doc_id, path, p1::VARCHAR AS table_path FROM nodes WHERE depth > 1")(
     lambda n: show(S.tables_of(n).join(n.select("doc_id", "node_id", "sort_path"), ["doc_id", "node_id"]), "table_id").select("doc_id", "path", F.substring_index("table_id", ".", -1).alias("table_path"))
@@ -94,11 +99,10 @@ query("rewritable", f"SELECT doc_id, path, type FROM nodes WHERE type IN {_in(S.
 # ---- actions ------------------------------------------------------------------------------------------------------
 
 query("act_select", "SELECT doc_id, path, type, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) - 1 AS index, substr(content, 1, 80) AS preview FROM nodes WHERE type IN ('body', 'paragraph')")(
-    lambda n: A.selected(n, is_type(TARGETS["body"])).join(n.select("doc_id", "node_id", "sort_path"), ["doc_id", "node_id"]).select("doc_id", PATH.alias("path"), "type", "index", "preview")
+    lambda n: A.selected(n, is_type(TARGETS["body"])).join(n.select("doc_id", "node_id", "sort_path"), ["doc_id", "node_id"]).select("doc_id", path_text().alias("path"), "type", "index", "preview")
 )
-_H = is_type(HEADINGS)
 query("act_format", "SELECT doc_id, path, CASE WHEN type IN ('heading', 'subheading') THEN true ELSE italic END AS italic, CASE WHEN type IN ('heading', 'subheading') THEN false ELSE bold END AS bold, color FROM nodes")(
-    lambda n: show(A.format_nodes(n, _H, italic=True, bold=False), "style.italic", "style.bold", "style.color")
+    lambda n: show(A.format_nodes(n, is_type(HEADINGS), italic=True, bold=False), "style.italic", "style.bold", "style.color")
 )
 query("fmt_apply_style", "SELECT doc_id, path, font_size, '#c00000' AS color, coalesce(bold, NULL) AS bold FROM nodes WHERE type = 'caption'")(
     lambda n: show(A.format_nodes(n, F.lit(True), color="#c00000").where("type = 'caption'"), "style.font_size", "style.color", "style.bold")
@@ -106,7 +110,7 @@ query("fmt_apply_style", "SELECT doc_id, path, font_size, '#c00000' AS color, co
 query("act_highlight", "SELECT doc_id, path, CASE WHEN type IN ('body', 'paragraph') THEN '#fff59d' ELSE highlight END AS highlight FROM nodes")(lambda n: show(A.highlight(n, is_type(TARGETS["body"])), "style.highlight"))
 query("act_align", "SELECT doc_id, path, CASE WHEN type = 'caption' THEN 'center' ELSE alignment END AS alignment FROM nodes")(lambda n: show(A.align(n, F.col("type") == "caption", "center"), "style.alignment"))
 query("act_justify", "SELECT doc_id, path, CASE WHEN type IN ('body', 'paragraph') THEN 'justify' ELSE alignment END AS alignment FROM nodes")(lambda n: show(A.align(n, is_type(TARGETS["body"]), "justify"), "style.alignment"))
-query("act_resize", "SELECT doc_id, path, CASE WHEN type IN ('heading', 'subheading') THEN 12.0 ELSE font_size END::DOUBLE AS font_size FROM nodes")(lambda n: show(A.resize(n, _H, size=12.0), "style.font_size"))
+query("act_resize", "SELECT doc_id, path, CASE WHEN type IN ('heading', 'subheading') THEN 12.0 ELSE font_size END::DOUBLE AS font_size FROM nodes")(lambda n: show(A.resize(n, is_type(HEADINGS), size=12.0), "style.font_size"))
 query("act_resize_step", "SELECT doc_id, path, least(greatest(coalesce(font_size, 11.0) + 2, 4), 96)::DOUBLE AS font_size FROM nodes")(lambda n: show(A.resize(n, F.lit(True), size=2.0), "style.font_size"))
 query("act_resize_scale", "SELECT doc_id, path, round_even(least(greatest(coalesce(font_size, 11.0) * 1.25, 4), 96), 1)::DOUBLE AS font_size FROM nodes")(lambda n: show(A.resize(n, F.lit(True), scale=1.25), "style.font_size"))
 query("act_case", "SELECT doc_id, path, CASE WHEN type = 'heading' THEN upper(replace(content, 'ß', 'ss')) WHEN type = 'subheading' THEN lower(content) ELSE content END AS content FROM nodes")(
@@ -115,18 +119,18 @@ query("act_case", "SELECT doc_id, path, CASE WHEN type = 'heading' THEN upper(re
 query(
     "act_case_title",
     "SELECT doc_id, path, array_to_string(list_transform(string_split(content, ' '), lambda w: CASE WHEN length(w) > 1 AND w = upper(replace(w, 'ß', 'ss')) AND w <> lower(w) THEN w ELSE CASE WHEN substr(w, 1, 1) = 'ß' THEN 'Ss' ELSE upper(substr(w, 1, 1)) END || lower(substr(w, 2)) END), ' ') AS content FROM nodes WHERE type IN ('heading', 'subheading')",
-)(lambda n: show(A.change_case(n, _H, "title").where(_H), "content"))
+)(lambda n: show(A.change_case(n, is_type(HEADINGS), "title").where(is_type(HEADINGS)), "content"))
 _LOWERED = "array_to_string(list_transform(string_split(content, ' '), lambda w: CASE WHEN length(w) > 1 AND w = upper(replace(w, 'ß', 'ss')) AND w <> lower(w) THEN w ELSE lower(w) END), ' ')"
 query(
     "act_case_sentence",
     rf"""SELECT doc_id, path, array_to_string(list_transform(regexp_extract_all({_LOWERED}, '[^.!?]*[.!?]|[^.!?]+$'),
   lambda s: regexp_extract(s, '^([^\pL\p{{Nd}}]*)', 1) || replace(upper(replace(regexp_extract(s, '^[^\pL\p{{Nd}}]*(\pL?)', 1), 'ß', 'ss')), 'ẞ', 'SS') || regexp_extract(s, '(?s)^[^\pL\p{{Nd}}]*\pL?(.*)$', 1)), '') AS content FROM nodes WHERE type IN ('heading', 'subheading')""",
-)(lambda n: show(A.change_case(n, _H, "sentence").where(_H), "content"))
+)(lambda n: show(A.change_case(n, is_type(HEADINGS), "sentence").where(is_type(HEADINGS)), "content"))
 query("act_spacing", "SELECT doc_id, path, CASE WHEN type IN ('body', 'paragraph') THEN 2.0 ELSE line_spacing END::DOUBLE AS line_spacing, CASE WHEN type IN ('body', 'paragraph') THEN 12.0 END::DOUBLE AS space_after_pt FROM nodes")(
     lambda n: show(A.spacing(n, is_type(TARGETS["body"]), line=2.0, after=12.0), "meta.line_spacing", "meta.space_after_pt")
 )
 query("act_border", "SELECT doc_id, path, 1.5::DOUBLE AS top, 1.5::DOUBLE AS bottom, 0.0::DOUBLE AS inside_v, 0.0::DOUBLE AS header FROM nodes WHERE type = 'table'")(
-    lambda n: A.border(n, F.lit(True), sides=["upper", "lower"], heavy=True).where("type = 'table'").select("doc_id", PATH.alias("path"), *[F.col("meta.borders")[s].alias(s) for s in ("top", "bottom", "inside_v", "header")])
+    lambda n: A.border(n, F.lit(True), sides=["upper", "lower"], heavy=True).where("type = 'table'").select("doc_id", path_text().alias("path"), *[F.col("meta.borders")[s].alias(s) for s in ("top", "bottom", "inside_v", "header")])
 )
 query("act_normalize", "SELECT doc_id, path, CASE WHEN type IN ('body', 'paragraph') THEN NULL ELSE highlight END AS highlight FROM nodes")(lambda n: show(A.normalise(n, is_type(TARGETS["body"])), "style.highlight"))
 query("act_replace", "SELECT doc_id, path, CASE WHEN type IN ('body', 'paragraph') THEN replace(content, 'the', 'THE') ELSE content END AS content FROM nodes")(lambda n: show(A.replace(n, is_type(TARGETS["body"]), "the", "THE"), "content"))
@@ -152,7 +156,7 @@ query(
     """, part AS (SELECT doc_id, min(p1) AS f, count(*) AS c, trim(string_agg(content, ' ' ORDER BY p1)) AS t FROM nodes WHERE type IN ('heading', 'subheading') GROUP BY 1)
  SELECT n.doc_id, path, type, CASE WHEN c > 1 AND p1 = f AND depth = 1 THEN t ELSE content END AS content FROM nodes n LEFT JOIN part USING (doc_id)
  WHERE c IS NULL OR c < 2 OR type NOT IN ('heading', 'subheading') OR p1 = f""",
-)(lambda n: show(A.merge(n, _H), "type", "content"))
+)(lambda n: show(A.merge(n, is_type(HEADINGS)), "type", "content"))
 query(
     "act_split",
     """, cut AS (SELECT doc_id, p1, type, content, list_transform(list_filter(string_split(content, '. '), lambda x: trim(x) <> ''), lambda x: trim(x)) AS parts FROM nodes WHERE depth = 1),
@@ -162,7 +166,7 @@ query(
 )(lambda n: A.split(n, is_type(TARGETS["body"])).where("depth = 1").select("doc_id", F.col("sort_path")[0].alias("ord"), "type", "content"))
 query("act_list")(lambda n: A.make_list(n, F.lit(True)).where("depth = 1").select("doc_id", F.col("sort_path")[0].alias("ord"), "type", "content", "meta.list_kind"))
 query("act_batch_fused", "SELECT doc_id, path, CASE WHEN type IN ('heading', 'subheading') THEN round_even(least(greatest(coalesce(font_size, 11.0) * 1.25, 4), 96), 1) ELSE font_size END::DOUBLE AS font_size, CASE WHEN type IN ('heading', 'subheading') THEN '#1f4e79' ELSE color END AS color, CASE WHEN type IN ('body', 'paragraph') THEN 'justify' ELSE alignment END AS alignment FROM nodes")(
-    lambda n: show(A.align(A.format_nodes(A.resize(n, _H, scale=1.25), _H, color="#1f4e79"), is_type(TARGETS["body"]), "justify"), "style.font_size", "style.color", "style.alignment")
+    lambda n: show(A.align(A.format_nodes(A.resize(n, is_type(HEADINGS), scale=1.25), is_type(HEADINGS), color="#1f4e79"), is_type(TARGETS["body"]), "justify"), "style.font_size", "style.color", "style.alignment")
 )
 
 # ---- briefs -------------------------------------------------------------------------------------------------------
@@ -205,9 +209,9 @@ query(
 )(lambda n: B.passes(n).select("doc_id", F.expr("substring(node_id, length(string(doc_id)) + 2)").alias("path"), "pass"))
 ORACLE_SQL["win_passes"] = ORACLE_SQL["win_passes"].replace("WITH lines", "WITH RECURSIVE lines", 1)
 query("win_section_id", "SELECT doc_id, path, sum(CASE WHEN type IN ('heading', 'subheading') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p1) AS section FROM nodes WHERE depth = 1")(
-    lambda n: show(n.where("depth = 1").withColumn("section", F.sum(F.when(_H, 1).otherwise(0)).over(S.IN_DOCUMENT)), "section")
+    lambda n: show(n.where("depth = 1").withColumn("section", F.sum(F.when(is_type(HEADINGS), 1).otherwise(0)).over(S.in_document())), "section")
 )
 query("win_preorder", "SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) AS pos FROM nodes")(lambda n: show(S.preorder(n), "pos"))
 query("win_in_references", "SELECT doc_id, path, coalesce(max(CASE WHEN type = 'reference' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p1, p2, p3 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 AS in_references FROM nodes")(
-    lambda n: show(n.withColumn("in_references", F.coalesce(F.max((F.col("type") == "reference").cast("int")).over(S.IN_DOCUMENT.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1), "in_references")
+    lambda n: show(n.withColumn("in_references", F.coalesce(F.max((F.col("type") == "reference").cast("int")).over(S.in_document().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) == 1), "in_references")
 )

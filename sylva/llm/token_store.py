@@ -31,29 +31,56 @@ class Encoder:
     """ids of whole texts, as the tokenizers library gives them.
 
     A byte-level pre-tokenizer never joins text across a space to the word before it, so a text is cut at its spaces
-    and each different piece is encoded by the library once; pieces are remembered up to ``limit``. Where a space lies
-    within a run of white space the cut could change the result, and the library gets the whole text.
+    and each different piece is encoded by the library once; the last ``limit`` or more pieces are remembered. Where a
+    space lies within a run of white space the cut could change the result, and the library gets the whole text.
     """
 
-    def __init__(self, path: str, limit: int = 400_000):
+    def __init__(self, path: str, limit: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.limit = Tokenizer.from_file(path), limit
         self.pieces: dict[str, bytes] = {}
+        self.before: dict[str, bytes] = {}
+        names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
+        #: Whether a token's first byte is a space, which byte-level vocabularies write as U+0120.
+        self.opens = np.array([n.startswith("\u0120") for n in names])
 
     def library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def learn(self, pieces: list[str]) -> None:
+        """Remembers the ids of pieces, each with a space before it. Pieces without white space at an end are encoded
+        side by side in one text: each begins at the one token that opens with its space."""
+        known, inner, edge = self.pieces, [], []
+        for p in pieces:
+            (edge if not p or p[0].isspace() or p[-1].isspace() else inner).append(p)
+        for s in range(0, len(inner), 4096):
+            part = inner[s : s + 4096]
+            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            begin = np.flatnonzero(self.opens[ids])
+            if len(begin) != len(part):
+                edge += part
+                continue
+            raw, cuts = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
+            known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
+        if edge:
+            known.update(zip(edge, self.library([f" {p}" for p in edge])))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        known = self.pieces
-        if len(known) > self.limit:
-            known.clear()
+        if len(self.pieces) > self.limit:
+            self.before, self.pieces = self.pieces, {}
+        known, before = self.pieces, self.before
         cut = [None if _SPLITS_A_RUN.search(t) else t.split(" ") for t in texts]
-        new = {p for parts in cut if parts for p in parts[1:] if p not in known}
-        if new:
-            new = list(new)
-            known.update(zip(new, self.library([f" {p}" for p in new])))
+        seen: set[str] = set()
+        for parts in cut:
+            if parts:
+                seen.update(parts[1:])
+        new = [p for p in seen if p not in known]
+        if before:
+            known.update((p, before[p]) for p in new if p in before)
+            new = [p for p in new if p not in before]
+        self.learn(new)
         whole = iter(self.library([t if parts is None else parts[0] for t, parts in zip(texts, cut)]))
         get = known.__getitem__
         return [next(whole) if parts is None else b"".join([next(whole), *map(get, parts[1:])]) for parts in cut]

@@ -117,7 +117,7 @@ query("ver_materialize", "SELECT doc_id, path, round_even(least(greatest(round_e
 
 # ---- vocabulary and places ----------------------------------------------------------------------------------------
 
-_TERMS = rf"""WITH m AS (SELECT doc_id, regexp_extract_all(text, '{V.ABBREVIATION}') AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS k FROM m),
+_TERMS = rf"""WITH m AS (SELECT doc_id, list_filter(regexp_extract_all(text, '[\pL\pN_]+'), lambda w: regexp_full_match(w, '{V.ABBREVIATION}')) AS l FROM documents), x AS (SELECT doc_id, unnest(l) AS term, generate_subscripts(l, 1) AS k FROM m),
  u AS (SELECT doc_id, term, count(*) AS n, min(k) AS first FROM x WHERE upper(term) NOT IN ({", ".join(f"'{t}'" for t in V.NOT_A_TERM)}) GROUP BY 1, 2),
  de AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z0-9]\s*{V.DEFINED}', 1)) AS term FROM documents) """
 query("agg_terms", _TERMS + "SELECT doc_id, term, n, is_defined, rank FROM (SELECT u.doc_id, u.term, n, de.term IS NOT NULL AS is_defined, row_number() OVER (PARTITION BY u.doc_id ORDER BY n DESC, first) AS rank FROM u LEFT JOIN de ON de.doc_id = u.doc_id AND de.term = u.term WHERE n >= 2 OR de.term IS NOT NULL) WHERE rank <= 24", with_nodes=False)(

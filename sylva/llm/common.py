@@ -129,7 +129,7 @@ class Words:
         return text[at], at - self.of_text[text[at]], mix(h[whole])
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 8 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
     """The batch cut into runs of rows with about ``limit`` bytes of text each, so that memory stays bounded."""
     texts = strings(batch.column(column))
     if not len(texts):

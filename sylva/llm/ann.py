@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -36,9 +37,10 @@ def kmeans(x: np.ndarray, k: int, rounds: int, rng: np.random.Generator) -> np.n
         near = (centres**2).sum(1) - 2 * x @ centres.T
         of = near.argmin(1)
         n = np.bincount(of, minlength=k)
-        sums = np.zeros_like(centres)
-        np.add.at(sums, of, x)
-        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], x[rng.integers(0, len(x), k)])
+        order, used = np.argsort(of, kind="stable"), np.flatnonzero(n)
+        sums = np.add.reduceat(x[order], (np.cumsum(n) - n)[used], axis=0)
+        centres = x[rng.integers(0, len(x), k)]
+        centres[used] = sums / n[used, None]
     return centres
 
 
@@ -49,40 +51,51 @@ class Quantiser:
         self.books = books.astype(np.float32)
 
     @staticmethod
-    def fit(x: np.ndarray, books: int = 8, words: int = 256, rounds: int = 8, beam: int = 4, seed: int = 5) -> Quantiser:
-        """Codebook after codebook on what the ones before leave over, each sample encoded by the beam search."""
+    def fit(x: np.ndarray, books: int = 32, words: int = 256, rounds: int = 6, beam: int = 4, seed: int = 5) -> Quantiser:
+        """Codebook after codebook on what the best partial sums so far leave over of the sample."""
         rng, found = np.random.default_rng(seed), []
-        residual = x.astype(np.float32)
+        state = Beam(x)
         for _ in range(books):
-            found.append(kmeans(residual, words, rounds, rng))
-            q = Quantiser(np.stack(found))
-            codes, _ = q.encode(x, beam)
-            residual = x.astype(np.float32) - q.decode(codes)
+            found.append(kmeans(state.residual[:, 0], words, rounds, rng).astype(np.float32))
+            state.extend(found[-1], beam)
         return Quantiser(np.stack(found))
 
     def decode(self, codes: np.ndarray) -> np.ndarray:
         return sum(self.books[m][codes[:, m]] for m in range(codes.shape[1]))
 
-    def encode(self, x: np.ndarray, beam: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, x: np.ndarray, beam: int = 4) -> tuple[np.ndarray, np.ndarray]:
         """Codes (uint8) and norms of the decoded vectors; the beam keeps the ``beam`` best partial sums."""
-        out, norms = np.zeros((len(x), len(self.books)), np.uint8), np.zeros(len(x), np.float32)
+        out = np.zeros((len(x), len(self.books)), np.uint8)
         for s in range(0, len(x), 512):
-            part = x[s : s + 512].astype(np.float32)
-            n = len(part)
-            residual, codes, error = part[:, None, :], np.zeros((n, 1, 0), np.uint8), (part**2).sum(1)[:, None]
+            state = Beam(x[s : s + 512])
             for book in self.books:
-                total = error[:, :, None] - 2 * residual @ book.T + (book**2).sum(1)
-                width, k = min(beam, total.shape[1] * len(book)), len(book)
-                flat = total.reshape(n, -1)
-                pick = np.argpartition(flat, width - 1, 1)[:, :width]
-                rows = np.arange(n)[:, None]
-                residual = residual[rows, pick // k] - book[pick % k]
-                codes = np.concatenate([codes[rows, pick // k], (pick % k).astype(np.uint8)[:, :, None]], 2)
-                error = flat[rows, pick]
-            best = (residual**2).sum(2).argmin(1)
-            out[s : s + n] = codes[np.arange(n), best]
-        norms[:] = (self.decode(out) ** 2).sum(1) if len(x) else 0
-        return out, norms
+                state.extend(book, beam)
+            out[s : s + 512] = state.codes[:, 0]
+        return out, (self.decode(out) ** 2).sum(1) if len(x) else np.zeros(0, np.float32)
+
+
+class Beam:
+    """The best partial sums of some vectors, best first: their codes, residuals and squared errors."""
+
+    def __init__(self, x: np.ndarray):
+        self.residual = x.astype(np.float32)[:, None, :]
+        self.codes = np.zeros((len(x), 1, 0), np.uint8)
+        self.error = (self.residual**2).sum(2)
+
+    def extend(self, book: np.ndarray, beam: int, chunk: int = 1024) -> None:
+        """Every partial sum with every codeword; the ``beam`` best stay."""
+        k, norms, kept = len(book), (book**2).sum(1), []
+        for s in range(0, len(self.residual), chunk):
+            residual, codes = self.residual[s : s + chunk], self.codes[s : s + chunk]
+            flat = (self.error[s : s + chunk, :, None] - 2 * residual @ book.T + norms).reshape(len(residual), -1)
+            width, rows = min(beam, flat.shape[1]), np.arange(len(residual))[:, None]
+            pick = np.argpartition(flat, width - 1, 1)[:, :width]
+            pick = np.take_along_axis(pick, np.take_along_axis(flat, pick, 1).argsort(1, kind="stable"), 1)
+            kept.append((
+                residual[rows, pick // k] - book[pick % k],
+                np.concatenate([codes[rows, pick // k], (pick % k).astype(np.uint8)[:, :, None]], 2), flat[rows, pick],
+            ))
+        self.residual, self.codes, self.error = (np.concatenate(x) for x in zip(*kept))
 
 
 def fit_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 8192, **shape) -> Quantiser | None:
@@ -100,8 +113,8 @@ def fit_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 81
 
 
 def search(
-    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shortlist: int = 256, beam: int = 8, sample: int = 8192,
-    codes_per_block: int = 4096, queries_per_block: int = 128, stripes: int = 16, books: int = 8, words: int = 256,
+    vectors: DataFrame, is_query, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, shortlist: int = 128, beam: int = 4, sample: int = 8192,
+    codes_per_block: int = 4096, queries_per_block: int = 128, stripes: int | None = None, books: int = 32, words: int = 256,
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): the ``k`` nearest rows of every row for which ``is_query`` (a Column) holds.
 
@@ -110,8 +123,9 @@ def search(
     or have another dimension than most, take no part. With fewer than ``k`` other rows all are returned. Every row is
     indexed; the ``shortlist`` best codes of each query are ranked exactly.
 
-    Queries and codes are packed into blocks of bounded size, and each block of queries meets each block of codes in a
-    task of its own; a query's shortlist is gathered from what the blocks hand on.
+    Codes are dealt over ``stripes`` (by default as many as shuffle partitions) in blocks of bounded size. In each
+    stripe a block of queries meets one block of codes after the other and hands on one shortlist for all of them, so
+    what is gathered for a query grows with the stripes and not with the rows.
     """
     spark = vectors.sparkSession
     kind = vectors.schema[id_col].dataType.simpleString()
@@ -120,9 +134,10 @@ def search(
     if quantiser is None:
         return spark.createDataFrame([], f"query_id {kind}, rank int, vec_id {kind}, score double")
     dim = quantiser.books.shape[2]
+    stripes = stripes or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def encode(batches):
-        number = 0
+        number = TaskContext.get().partitionId() * 7919
         for whole in batches:
             at, x = usable(whole, dim)
             ids = whole.column("id").take(pa.array(at)).to_numpy(zero_copy_only=False)
@@ -145,24 +160,35 @@ def search(
     queries = queries.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
 
     def meet(batches):
+        now, q_ids, table, best_near, best_id = None, None, None, None, None
+
+        def hand_on():
+            good = np.isfinite(best_near)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, good.sum(1))), pa.array(best_id[good]), pa.array(best_near[good])], ["query_id", "vec_id", "near"])
+
         for batch in batches:
             for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
-                ids, q_ids = np.asarray(row["ids"]), np.asarray(row["q_ids"])
+                if (key := (row["stripe"], row["q_ids"][0])) != now:
+                    if now is not None:
+                        yield hand_on()
+                    now, q_ids = key, np.asarray(row["q_ids"])
+                    q = np.frombuffer(row["q"], np.float32).reshape(len(q_ids), -1)
+                    table = np.einsum("qd,mkd->mqk", q, quantiser.books, optimize=True)
+                    best_near, best_id = np.zeros((len(q_ids), 0), np.float32), np.zeros((len(q_ids), 0), np.int64)
+                ids = np.asarray(row["ids"])
                 codes = np.frombuffer(row["codes"], np.uint8).reshape(len(ids), -1)
-                norms = np.frombuffer(row["norms"], np.float32)
-                q = np.frombuffer(row["q"], np.float32).reshape(len(q_ids), -1)
-                table = np.einsum("qd,mkd->mqk", q, quantiser.books, optimize=True)
-                near = np.broadcast_to(norms, (len(q_ids), len(ids))).copy()
+                near = np.broadcast_to(np.frombuffer(row["norms"], np.float32), (len(q_ids), len(ids))).copy()
                 for m in range(codes.shape[1]):
                     near -= 2 * table[m][:, codes[:, m]]
                 near[q_ids[:, None] == ids] = np.inf
-                width = min(shortlist, len(ids))
-                pick = np.argpartition(near, width - 1, 1)[:, :width] if width < len(ids) else np.broadcast_to(np.arange(len(ids)), near.shape)
-                got = np.take_along_axis(near, pick, 1)
-                good = np.isfinite(got)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, good.sum(1))), pa.array(ids[pick[good]]), pa.array(got[good].astype(np.float32))], ["query_id", "vec_id", "near"])
-
-    met = blocks.join(queries, "stripe").select("ids", "codes", "norms", "q_ids", "q").mapInArrow(meet, "query_id long, vec_id long, near float")
+                near, ids = np.concatenate([best_near, near], 1), np.concatenate([best_id, np.broadcast_to(ids, near.shape)], 1)
+                width = min(shortlist, near.shape[1])
+                pick = np.argpartition(near, width - 1, 1)[:, :width]
+                best_near, best_id = np.take_along_axis(near, pick, 1), np.take_along_axis(ids, pick, 1)
+        if now is not None:
+            yield hand_on()
+
+    met = queries.join(blocks, "stripe").select("stripe", "ids", "codes", "norms", "q_ids", "q").mapInArrow(meet, "query_id long, vec_id long, near float")
     first = Window.partitionBy("query_id").orderBy("near", "vec_id")
     short = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist).select("query_id", "vec_id")
     plain = base.select("id", "v")

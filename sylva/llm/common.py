@@ -146,8 +146,8 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
 def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text") -> list:
     """At most ``sample`` rows of each value of ``by``: those whose text has the smallest hash, on the driver.
 
-    Two passes: a count of each class, then the rows under a hash bound that lets about twice the sample through, so
-    that what reaches the driver is bounded by classes x sample and the same for every partitioning.
+    Two passes: a count of each class, then the rows under a hash bound that lets somewhat more than the sample through,
+    copies of a text once. What reaches the driver is bounded by classes x sample and the same for every partitioning.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
@@ -158,7 +158,7 @@ def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text"
     for value, count in sizes.items():
         share = min(1.0, (1.5 * sample + 50) / count)
         bound = bound | ((F.col(by) == F.lit(value)) & (h < F.lit(int(share * (1 << 40)) + 1)))
-    got = sorted(rows.where(bound).withColumn("_h", h).limit(int(2 * sample + 100) * len(sizes)).collect(), key=lambda r: (r["_h"], r[text_col]))
+    got = sorted(rows.where(bound).withColumn("_h", h).dropDuplicates([by, "_h"]).limit(int(2 * sample + 100) * len(sizes)).collect(), key=lambda r: (r["_h"], r[text_col]))
     kept, taken = [], dict.fromkeys(sizes, 0)
     for r in got:
         if taken[r[by]] < sample:

@@ -121,7 +121,7 @@ def write_tokens(
     docs: DataFrame, path: str, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", end_id: int | None = 0,
     plane: str = "byte", block: int = 1 << 16, chunk: int = 1 << 18, level: int = 3,
 ) -> None:
-    """Writes the ids of all texts to ``path``, in ascending order of ``id_col`` (nulls first, ties by text).
+    """Writes the ids of all texts to ``path``, in ascending order of ``id_col`` (nulls first, ties by a hash of the text).
 
     ``plane``: ``byte`` or ``bit``. ``block``: ids that are transposed together. ``chunk``: a chunk is closed at so
     many ids; a document is never split over chunks. Null texts count as empty and consist of ``end_id`` alone;
@@ -129,7 +129,8 @@ def write_tokens(
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     ids = rows.schema["id"].dataType.simpleString()
-    rows = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
+    rows = rows.withColumns({"h": F.xxhash64("text"), "n": F.monotonically_increasing_id()})  # one id may hold very many rows
+    rows = rows.repartitionByRange("id", "h", "n").sortWithinPartitions("id", "h", "n").select("id", "text")
     out = f"shard int, chunk int, first long, n_ids long, ids array<{ids}>, lengths array<long>, kind string, block int, planes array<array<binary>>"
 
     def run(batches):

@@ -232,11 +232,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             for batch, part in slices(whole, "text"):
                 words = Words(part)
                 rows = per_text(*counted(words, features(words)), len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "f"])
 
-    got = texts.join(near, "_id").select("toxic", "text").mapInArrow(numbers, "toxic int, f array<int>").collect()
-    samples = sorted(((np.asarray(r["f"], np.int64), r["toxic"]) for r in got), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
+    got = texts.join(near, "_id").select("toxic", "text").mapInArrow(numbers, "toxic int, f binary").collect()
+    samples = sorted(((np.frombuffer(r["f"], np.int32), r["toxic"]) for r in got), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
     mined = mine(samples)
+    del got, samples
 
     def count_votes(batches):
         for whole in batches:
@@ -258,10 +259,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words = Words(part)
                 f = features(words)
                 rows = per_text(*counted(words, f), len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, f)), pa.array(rows, pa.list_(pa.int32()))], ["toxic", "votes", "f"])
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, f)), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "votes", "f"])
 
-    learn = texts.join(near, "_id").select("toxic", "text").mapInArrow(with_votes, "toxic int, votes long, f array<int>").collect()
-    learn = sorted(((np.asarray(r["f"], np.int64), with_label(posterior.get(r["votes"], prior), r["toxic"])) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
+    learn = texts.join(near, "_id").select("toxic", "text").mapInArrow(with_votes, "toxic int, votes long, f binary").collect()
+    learn = sorted(((np.frombuffer(r["f"], np.int32), with_label(posterior.get(r["votes"], prior), r["toxic"])) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
     weights, bias = fit_linear([f for f, _ in learn], np.array([p for _, p in learn])) if learn else (np.zeros(SIZE, np.float32), -3.0)
     return Model(weights, bias, mined, rate, correlation, prior)
 

@@ -260,3 +260,19 @@ def test_stream(spark, tmp_path):
     assert sorted(map(tuple, spark.table("counted").collect())) == sorted(map(tuple, hub.counts(events).collect()))
     late = hub.replay_buffer(events, spark.createDataFrame([(0, "2024-01-01 00:30:00")], "doc_id long, joined string").withColumn("joined", F.to_timestamp("joined")))
     assert [r.order for r in late.orderBy("n").collect()] == [30]
+
+
+def test_corpus(spark, tmp_path):
+    from sylva.corpus import Corpus
+
+    corpus = Corpus.of_texts(spark.createDataFrame([(1, "Head\nA longer line of ordinary text that is a body."), (2, "Other head")], "doc_id long, text string"))
+    bold = corpus.run(lambda n: A.format_nodes(n, is_type(HEADINGS), italic=True), label="italic headings")
+    assert corpus.diff(bold).count() == 2 and bold.undo().diff(corpus).count() == 0 and bold.undo().redo() is bold and corpus.undo() is corpus
+    many = corpus
+    for i in range(12):
+        many = many.run(lambda n: A.resize(n, F.lit(True), delta=1.0), label=f"step {i}", checkpoint=str(tmp_path / "log"))
+    assert len(many.batches) == 2 and [v for v, _, c in many.history() if c] == [0, 10]
+    direct = A.resize(corpus.nodes, F.lit(True), delta=12.0)
+    assert D.compare(many.nodes, direct).count() == 0
+    many.views("c_")
+    assert spark.sql("select count(*) from c_nodes where path = '1'").first()[0] == 2 and many.brief().count() == 2

@@ -171,23 +171,34 @@ def stored(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read again, which cuts their lineage."""
     path = shared_path(rows.sparkSession, name)
     rows.write.parquet(path)
-    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out = rows.sparkSession.read.schema(rows.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(rows: DataFrame) -> None:
+    """Deletes what ``stored`` has written, once nothing will read it any more."""
+    spark = rows.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(rows.stored_at)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) is connected with.
 
     Labels pass along edges and jump to their own labels' labels, so that long chains shrink fast; every round is
-    written to the shared folder.
+    written to the shared folder and takes the place of the one before.
     """
     both = stored(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     for _ in range(rounds):
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         passed = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
         new = stored(passed.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        discard(labels)
+        labels = new
         if new.where("old <> label").isEmpty():
             break
-    return labels
+    discard(both)
+    return labels.select("node", "label")

@@ -176,7 +176,7 @@ def best_distance(pattern: bytes, text: bytes, most: int) -> int:
     return best if best <= most else most + 1
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.1, repeats: int = 3, item_bytes: int = 4 << 20) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", tolerance: float = 0.15, repeats: int = 8, item_bytes: int = 4 << 20) -> DataFrame:
     """The input with ``leaks``: an array of (item, edits), sorted, of the benchmark items that stand in the text.
 
     An item stands in a text if some part of it is within ``tolerance`` times the item's length of edits, both in lower

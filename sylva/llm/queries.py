@@ -88,4 +88,19 @@ QUERIES = {
     "op10_license_scan": op10_license_scan,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op3_ngram_join": r"""WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS l FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(l) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(l) - 3), lambda i: array_to_string(l[i:i + 4], ' ')))) WHEN len(l) > 0 THEN [array_to_string(l, ' ')] END AS grams FROM w
+), k AS (SELECT doc_id, grams, CASE WHEN grams IS NULL THEN 'none ' || doc_id ELSE md5(array_to_string(grams, '|')) END AS key FROM s),
+c AS (SELECT key, min(doc_id) AS copy_id, count(*) AS n_copies, any_value(grams) AS grams FROM k GROUP BY 1),
+g AS (SELECT key, len(grams) AS n, unnest(grams) AS gram FROM c),
+p AS (SELECT a.key AS a, b.key AS b, count(*) AS x, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.gram = b.gram AND a.key < b.key GROUP BY 1, 2),
+half AS (SELECT a, b FROM p WHERE x >= 0.8 * (na + nb - x) - 1e-9), links AS (SELECT a, b FROM half UNION ALL SELECT b, a FROM half),
+reach AS (SELECT key, copy_id AS label FROM c UNION SELECT links.b, reach.label FROM reach JOIN links ON links.a = reach.key),
+classes AS (SELECT key, min(label) AS class_id FROM reach GROUP BY 1),
+counted AS (SELECT links.a AS key, sum(c.n_copies) AS others, count(*) AS texts FROM links JOIN c ON c.key = links.b GROUP BY 1)
+SELECT k.doc_id, class_id, copy_id, n_copies, (n_copies - 1 + coalesce(others, 0))::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links
+FROM k JOIN c USING (key) JOIN classes USING (key) LEFT JOIN counted USING (key)""",
+}

@@ -186,19 +186,32 @@ def discard(rows: DataFrame) -> None:
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) is connected with.
 
-    Labels pass along edges and jump to their own labels' labels, so that long chains shrink fast; every round is
-    written to the shared folder and takes the place of the one before.
+    Every round each node hooks to the neighbour of the least priority, if that is below its own, and to what that one
+    hooks to; edges between what is hooked together vanish and the others go on between the hooks. Priorities are hashes
+    that change with the round, so at most about half of the nodes are left, whatever the graph and its names: rounds grow
+    with the logarithm of the nodes. It ends when no edge is left, and raises if one is after ``rounds``.
     """
-    both = stored(edges.select("a", "b").where("a <> b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")).where("a <> b")).distinct(), "edges")
-    labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
-    for _ in range(rounds):
-        seen = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        passed = labels.join(seen, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("next"))
-        new = stored(passed.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("next", "label")).alias("label")), "labels")
-        discard(labels)
-        labels = new
-        if new.where("old <> label").isEmpty():
+    pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
+    left = stored(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
+    labels = None
+    for k in range(rounds):
+        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("x"))
+        ends = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
+        hook = stored(ends.groupBy("node").agg(F.min(rank("near")).alias("least")).select("node", F.least("least", rank("node"))["x"].alias("to")), "hooks")
+        hooks = stored(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")), "hooks")
+        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        rest = stored(left.join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to").select(*pair("a_to", "b_to")).distinct(), "edges")
+        if labels is None:
+            new = stored(hooks.select("node", F.col("to").alias("label")), "labels")
+        else:
+            new = stored(labels.join(at("label"), "label", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
+            discard(labels)
+        for old in (left, hook, hooks):
+            discard(old)
+        left, labels = rest, new
+        if left.isEmpty():
             break
-    discard(both)
-    return labels.select("node", "label")
+    else:
+        raise RuntimeError(f"components: edges are left after {rounds} rounds")
+    discard(left)
+    return labels.join(labels.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", F.col("least").alias("label"))

@@ -78,6 +78,32 @@ def test_components(spark):
     assert {got[f"{i:03}"] for i in range(61)} == {"000"} and {got[x] for x in ("900", "901", "903")} == {"900"} and "950" not in got
 
 
+def test_components_of_shuffled_chains(spark):
+    from sylva.llm.common import components
+
+    r = random.Random(3)
+    names = [f"{x:06}" for x in r.sample(range(10**6), 6000)]
+    chains = [names[:4000], names[4000:5500], names[5500:]]  # names in no order along a chain, as with hashes
+    edges = [e for c in chains for e in zip(c, c[1:])]
+    r.shuffle(edges)
+    got = {x.node: x.label for x in components(spark.createDataFrame(edges, "a string, b string").repartition(7)).collect()}
+    assert got == {n: min(c) for c in chains for n in c}
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame(edges, "a string, b string"), rounds=2)
+
+
+def test_join_of_a_chain_of_versions(spark):
+    from sylva.llm.ngram_join import similar
+
+    r = random.Random(8)
+    words = [f"v{i}" for i in range(700 * 5 + 60)]
+    chain = [(i, " ".join(words[i * 5 : i * 5 + 60])) for i in range(700)]  # 56 grams, 51 shared with the next
+    order = r.sample(range(700), 700)
+    rows = [(order[i], t) for i, t in chain]
+    got = {x.doc_id: (x.class_id, x.n_links) for x in similar(spark.createDataFrame(rows, "doc_id long, text string"), block=64).collect()}
+    assert got == {order[i]: (0, 1 if i in (0, 699) else 2) for i in range(700)}
+
+
 def test_neighbours(spark):
     from sylva.llm.ann import search
 

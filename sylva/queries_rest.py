@@ -88,7 +88,7 @@ ORACLE_SQL["win_page_fill"] = ORACLE_SQL["win_page_fill"].replace("WITH lines",
 
 def _assign(s, d) -> DataFrame:
     """Each line's page by its first 24 characters: the first page from the current one on that holds them."""
-    docs = read(s, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1500)), lambda k: F.substr(F.col("text"), k * 1500 + 1, F.lit(1524))).alias("pages")).where("size(lines) <= 200")
+    docs = read(s, d, "documents").select("doc_id", F.split("text", "\n", -1).alias("lines"), F.transform(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / 1500)), lambda k: F.substr(F.col("text"), k * 1500 + 1, F.lit(1524))).alias("pages"))
     zero = F.struct(F.lit(1).alias("page"), F.array().cast("array<int>").alias("out"))
 
     def step(acc, line):

@@ -56,3 +56,16 @@ def test_runs(spark, name):
 def test_whole_tables():
     """No registered query reads a part of a table by its ids or by a row count."""
     assert all(callable(q) for q in core.QUERIES.values()) and len(core.ORACLE_SQL) > 140
+
+
+@pytest.mark.parametrize("name", ["win_page_assign", "join_page_probe"])
+def test_pages_of_long_documents(spark, tmp_path, name):
+    texts = ["\n".join(f"line {i * i % 977} of the long text" for i in range(450)), "one\ntwo", "x" * 4000]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for d, text in enumerate(texts):
+        pages, page = [text[k : k + 1524] for k in range(0, len(text), 1500)], 1
+        for pos, line in enumerate(text.split("\n"), 1):
+            page = next((k for k in range(page, len(pages) + 1) if line[:24] in pages[k - 1]), page)
+            want.append((d, pos, page))
+    assert sorted(map(tuple, core.QUERIES[name](spark, str(tmp_path)).select("doc_id", "pos", "page").collect())) == want

@@ -133,7 +133,7 @@ query("join_terms_def", _TERMS + "SELECT u.doc_id, u.term, n, de.term IS NOT NUL
 
 def _read_sections(n: DataFrame) -> DataFrame:
     """Sections with what they are about: here the text of the first node below the heading."""
-    s = B.sections(n).where("section <= 12")
+    s = B.sections(n)
     first = n.withColumn("first", F.substring("content", 1, 200)).select("doc_id", "node_id", "first")
     return s.withColumn("_id", F.try_element_at("node_ids", F.lit(2))).join(first.withColumnRenamed("node_id", "_id"), ["doc_id", "_id"], "left").select("doc_id", "section", "heading", F.coalesce("first", F.lit("")).alias("about"))
 

@@ -69,3 +69,25 @@ def test_pages_of_long_documents(spark, tmp_path, name):
             page = next((k for k in range(page, len(pages) + 1) if line[:24] in pages[k - 1]), page)
             want.append((d, pos, page))
     assert sorted(map(tuple, core.QUERIES[name](spark, str(tmp_path)).select("doc_id", "pos", "page").collect())) == want
+
+
+def test_sections_after_the_twelfth(spark):
+    from sylva.operators import brief
+    from sylva.sources.corpus import nodes
+
+    n = nodes(spark, str(DATA))
+    want = sorted(map(tuple, brief.sections(n).select("doc_id", "section", "heading").collect()))
+    assert max(w[1] for w in want) > 12
+    read = queries_more._read_sections(n)
+    assert sorted(map(tuple, read.select("doc_id", "section", "heading").collect())) == want
+    assert max(r.section for r in core.QUERIES["join_reading"](spark, str(DATA)).collect()) > 12
+    assert max(r.section for r in core.QUERIES["set_union_terms"](spark, str(DATA)).collect()) > 12
+
+
+@pytest.mark.parametrize("name", ["cmd_locate", "argmax_section", "agg_spread", "set_intersect_terms", "set_union_terms", "join_reading"])
+def test_all_sections_take_part(spark, duck, name):
+    sql = core.ORACLE_SQL[name].replace(" WHERE section <= 12", "")  # the registered SQL still has the cap
+    rows = core.QUERIES[name](spark, str(DATA))
+    out = duck.execute(sql)
+    names = [d[0] for d in out.description]
+    assert Counter(str(tuple(norm(r[c]) for c in names)) for r in rows.collect()) == Counter(str(tuple(map(norm, r))) for r in out.fetchall())

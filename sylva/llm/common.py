@@ -146,14 +146,14 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
 def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text") -> list:
     """At most ``sample`` rows of each value of ``by``: those whose text has the smallest hash, on the driver.
 
-    Two passes: a count of each class, then the rows under a hash bound that lets somewhat more than the sample through,
+    Two passes: about how many different texts each class has, then the rows under a hash bound that lets somewhat more than the sample through,
     copies of a text once. What reaches the driver is bounded by classes x sample and the same for every partitioning.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(text_col).isNotNull())
-    sizes = {r[by]: r["count"] for r in rows.groupBy(by).count().collect()}
+    h = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
+    sizes = {r[by]: max(1, r["n"]) for r in rows.groupBy(by).agg(F.approx_count_distinct(h).alias("n")).collect()}
     if not sizes:
         return []
-    h = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
     bound = F.lit(False)
     for value, count in sizes.items():
         share = min(1.0, (1.5 * sample + 50) / count)

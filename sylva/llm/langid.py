@@ -31,11 +31,14 @@ def learn_dictionaries(
 ) -> dict[str, bytes]:
     """The raw-content dictionary of each language.
 
-    Fitted on at most ``sample`` texts of each language and the first ``piece`` characters of each; this bounded part
-    is all that reaches the driver. Rows without text or language are passed over.
+    Fitted on at most ``sample`` texts of each language, short ones too, and ``piece`` characters of each, of a longer text
+    in four parts from its start to its end; this bounded part is all that reaches the driver. Rows without a letter or a
+    language are passed over.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.where(F.length("text") >= 200).withColumn("text", F.substring("text", 1, piece))
+    part, far = max(1, piece // 4), F.length("text") - max(1, piece // 4)
+    spread = F.concat_ws(" ", *[F.substr("text", F.floor(far * k / 3).cast("int") + 1, F.lit(part)) for k in range(4)])
+    rows = rows.where(F.rlike("text", F.lit(r"\p{L}"))).withColumn("text", F.when(F.length("text") <= piece, F.col("text")).otherwise(spread))
     parts: dict[str, list[str]] = {}
     for r in bounded_sample(rows, "lang", sample):
         parts.setdefault(r["lang"], []).append(plain(r["text"]))

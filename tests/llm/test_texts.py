@@ -214,3 +214,15 @@ def test_toxicity(spark, docs, empty):
     both = [(3, -1, 100.0), (0, -1, 900.0), (3, 1, 30.0), (0, 0, 200.0), (4, 1, 10.0), (4, -1, 20.0)]
     rate, correlation, prior, posterior = label_model(both, 0.1)
     assert rate.shape == (2, len(VOTERS)) and correlation[0, 1] > 0.9 and posterior[3] > posterior[0] and 0 < prior < 0.5
+
+
+def test_dictionaries_of_short_long_and_copied_texts(spark):
+    from sylva.llm.langid import Classifier, learn_dictionaries
+
+    short = [(f"hus bil vei fjord nummer {'abcdefghij'[i % 10]}{'abcdefghij'[i // 10]} ligger ved sjoen", "no") for i in range(40)]
+    long = [("the same opening " * 100 + f"casa perro gato {'xyzw'[i % 4]} montana " * 60, "es") for i in range(4)]
+    copied = [(f"different text {'abcdefghij'[i % 10]}{'kl'[i // 10]}", "en") for i in range(20)] * 500
+    got = learn_dictionaries(spark.createDataFrame(short + long + copied + [("12 34", "zz")], "text string, lang string"))
+    assert sorted(got) == ["en", "es", "no"] and b"casa perro gato" in got["es"]
+    assert len(got["en"].split(b"\n")) == 20
+    assert Classifier(got, 5, 4096).classify("bil ligger ved sjoen og vei fjord nummer")[0] == "no"

@@ -30,7 +30,7 @@ def _specs(s, d) -> DataFrame:
         (rows if rows is not None else F.lit(None).cast("array<array<string>>")).alias("rows"), F.lit(None).cast("string").alias("caption"),
     )
     spec = F.struct(F.col("source").alias("title"), F.array(
-        block("heading", 1, F.substring(text, 1, 20)), block("paragraph", None, F.substring(text, 21, 40)), block("paragraph", None, F.lit(" ")),
+        block("heading", 1, F.substring(text, 1, 20)), block("paragraph", None, F.substr(text, F.lit(21))), block("paragraph", None, F.lit(" ")),
         block("list", None, None, F.array(F.col("lang"), F.col("source"))), block("table", None, None, None, F.array(F.array(F.col("lang"), F.col("source")))),
     ).alias("blocks"))
     return read(s, d, "documents").select("doc_id", F.to_json(spec).alias("spec"))

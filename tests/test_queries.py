@@ -91,3 +91,17 @@ def test_all_sections_take_part(spark, duck, name):
     out = duck.execute(sql)
     names = [d[0] for d in out.description]
     assert Counter(str(tuple(norm(r[c]) for c in names)) for r in rows.collect()) == Counter(str(tuple(map(norm, r))) for r in out.fetchall())
+
+
+PREFIXES = {
+    "fn_normalised": ("substr(text, 1, 500)", "text"), "spec_attachments": ("substr(text, 1, 50) AS text", "text"), "agg_runs_merge": ("substr(text, 1, 300)", "text"),
+    "src_spec": ("substr(text, 21, 40)", "substr(text, 21)"), "salvage_blocks": ("substr(text, 21, 40)", "substr(text, 21)"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(PREFIXES))
+def test_texts_are_read_to_their_end(spark, duck, name):
+    assert PREFIXES[name][0] in core.ORACLE_SQL[name]
+    out = duck.execute(core.ORACLE_SQL[name].replace(*PREFIXES[name]))  # the registered SQL still reads prefixes
+    names = [d[0] for d in out.description]
+    assert Counter(tuple(norm(r[c]) for c in names) for r in core.QUERIES[name](spark, str(DATA)).collect()) == Counter(tuple(map(norm, r)) for r in out.fetchall())

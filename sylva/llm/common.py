@@ -21,10 +21,13 @@ def fold(key: str, folds: int) -> Column:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; one under the warehouse only where none is set."""
+    """The shared folder that the cluster names. Where none is set a local session gets one under the warehouse; on a
+    cluster that is an error, as a folder of one machine would not do."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -129,7 +132,7 @@ class Words:
         return text[at], at - self.of_text[text[at]], mix(h[whole])
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 2 << 20):
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
     """The batch cut into runs of rows with about ``limit`` bytes of text each, so that memory stays bounded."""
     texts = strings(batch.column(column))
     if not len(texts):
@@ -183,13 +186,40 @@ def discard(rows: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+SALTS = 32
+
+def parts_held() -> Column:
+    """Aggregate: the values of _salt (0 to SALTS - 1) in a group, as bits."""
+    return F.expr("bit_or(shiftleft(1L, _salt)) AS _parts")
+
+
+def with_group(rows: DataFrame, key: str, member: str, *whole: Column, keep: str | None = None) -> DataFrame:
+    """The rows with aggregates over all rows of the same ``key`` beside them; ``keep``: a condition on the aggregates.
+
+    A key's rows are spread over up to SALTS parts by a hash of ``member``, and the key's aggregates go to those parts
+    only, so no task gets all rows of a frequent key. Rows with a null key are left out.
+    """
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(member), F.lit(SALTS)).cast("int"))
+    sums = salted.groupBy(key).agg(*whole, parts_held())
+    if keep:
+        sums = sums.where(keep)
+    return salted.join(at_parts(sums), [key, "_salt"]).drop("_salt")
+
+
+def at_parts(sums: DataFrame) -> DataFrame:
+    """One row for each part (``_salt``) that the bits of ``_parts`` name."""
+    parts = F.expr(f"explode(filter(sequence(0, {SALTS - 1}), i -> (shiftright(_parts, i) & 1) = 1))")
+    return sums.withColumn("_salt", parts).drop("_parts")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) is connected with.
 
     Every round each node hooks to the neighbour of the least priority, if that is below its own, and to what that one
     hooks to; edges between what is hooked together vanish and the others go on between the hooks. Priorities are hashes
     that change with the round, so at most about half of the nodes are left, whatever the graph and its names: rounds grow
-    with the logarithm of the nodes. It ends when no edge is left, and raises if one is after ``rounds``.
+    with the logarithm of the nodes. It ends when no edge is left, and raises if one is after ``rounds``. Labels meet their
+    nodes in salted parts, as one component may hold very many of them.
     """
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     left = stored(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
@@ -204,7 +234,9 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
         if labels is None:
             new = stored(hooks.select("node", F.col("to").alias("label")), "labels")
         else:
-            new = stored(labels.join(at("label"), "label", "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
+            salted = labels.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+            jump = salted.groupBy("label").agg(parts_held()).join(at("label"), "label")
+            new = stored(salted.join(at_parts(jump), ["label", "_salt"], "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
             discard(labels)
         for old in (left, hook, hooks):
             discard(old)
@@ -213,5 +245,7 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
             break
     else:
         raise RuntimeError(f"components: edges are left after {rounds} rounds")
+    named = stored(with_group(labels, "label", "node", F.min("node").alias("least")).select("node", F.col("least").alias("label")), "components")
     discard(left)
-    return labels.join(labels.groupBy("label").agg(F.min("node").alias("least")), "label").select("node", F.col("least").alias("label"))
+    discard(labels)
+    return named

@@ -5,9 +5,11 @@ are candidates; each candidate pair's MinHash values are compared a few at a tim
 posterior probability that its similarity reaches the threshold falls below the tolerance. The pairs that survive are
 verified exactly on the sets of k-grams.
 
-Classes that bands connect form groups. A group is cut into blocks, each pair of blocks is one piece of work, and only
-what grows with the number of classes leaves it: each class's number of links and one edge to its part of the block pair.
-So a group of any size is spread over tasks, no pair is written out, and no link is lost.
+Signatures meet first: the classes of one band's bucket, a large bucket in blocks, each pair of blocks a piece of work of
+its own. The pairs that survive the pruning there form groups, so classes that merely share a band do not chain up. Then the
+sets of k-grams meet, within these groups only and in blocks again. What leaves a piece grows with its classes: each
+one's number of links, and one edge to the next class that it hangs together with. So a bucket or group of any size is
+spread over tasks, no pair is written out, and no link is lost.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, components, mix, slices, stored
+from .common import SALTS, Words, at_parts, components, discard, mix, parts_held, slices, stored, with_group
 
 SEED = 99
 
@@ -84,6 +86,17 @@ def least_matches(hashes: int, step: int, threshold: float, tolerance: float) ->
     return out
 
 
+def pruned(sigs: np.ndarray, i: np.ndarray, j: np.ndarray, needed: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs whose posterior probability never falls below the tolerance: a few values more are compared each time,
+    for the pairs that are left."""
+    same, done = np.zeros(len(i), np.int32), 0
+    for n, least in needed.items():
+        same += (sigs[i, done:n] == sigs[j, done:n]).sum(1, dtype=np.int32)
+        ok = same >= least
+        i, j, same, done = i[ok], j[ok], same[ok], n
+    return i, j
+
+
 def links_of(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, rows: int, threshold: float, needed: dict[int, int]) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (i, j) among left x right (each pair once if both are the same)."""
     keys = band_keys(sigs, rows)
@@ -97,12 +110,7 @@ def links_of(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     size = np.array([len(s) for s in sets])
     small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
     ok = small >= threshold * large - 1e-9
-    i, j = i[ok], j[ok]
-    same, done = np.zeros(len(i), np.int32), 0
-    for n, least in needed.items():  # a few values more each time, for the pairs that are left
-        same += (sigs[i, done:n] == sigs[j, done:n]).sum(1, dtype=np.int32)
-        ok = same >= least
-        i, j, same, done = i[ok], j[ok], same[ok], n
+    i, j = pruned(sigs, i[ok], j[ok], needed)
     if not len(i):
         return i, j
     if len(i) <= 48:
@@ -113,25 +121,33 @@ def links_of(sigs: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right:
     return i[ok], j[ok]
 
 
-def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Sizes of the intersections of many pairs: products of 0/1 matrices over the k-grams that at least two sets have."""
+def _intersections(sets: list[np.ndarray], i: np.ndarray, j: np.ndarray, part: int = 1 << 20) -> np.ndarray:
+    """Sizes of the intersections of many pairs: products of 0/1 matrices over the k-grams that at least two sets have, in
+    ranges of hashes with about ``part`` k-grams each, so that memory does not grow with the texts."""
     members = np.unique(np.r_[i, j])
     row = np.zeros(len(sets), np.int64)
     row[members] = np.arange(len(members))
-    flat = np.concatenate([sets[m] for m in members])
-    owner = np.repeat(np.arange(len(members)), [len(sets[m]) for m in members])
-    _, code, count = np.unique(flat, return_inverse=True, return_counts=True)
-    shared = count[code] > 1
-    column = np.cumsum(count > 1)[code] - 1
-    owner, column = owner[shared], column[shared]
-    width, a, b = int((count > 1).sum()), row[i], row[j]
-    total, step = np.zeros((len(members), len(members)), np.float32), max(1, (8 << 20) // max(1, len(members)))
-    for s in range(0, width, step):
-        part = (column >= s) & (column < s + step)
-        x = np.zeros((len(members), min(step, width - s)), np.float32)
-        x[owner[part], column[part] - s] = 1
-        total += x @ x.T
-    return np.rint(total[a, b]).astype(np.int64)
+    ranges = -(-sum(len(sets[m]) for m in members) // part) or 1
+    bounds = np.array([(1 << 64) * k // ranges for k in range(1, ranges)], np.uint64)
+    cuts = [np.r_[0, np.searchsorted(sets[m], bounds), len(sets[m])] for m in members]
+    total, step = np.zeros((len(members), len(members)), np.float32), max(1, (4 << 20) // len(members))
+    for k in range(ranges):
+        parts = [sets[m][c[k] : c[k + 1]] for m, c in zip(members, cuts)]
+        flat = np.concatenate(parts)
+        owner = np.repeat(np.arange(len(members), dtype=np.int32), [len(x) for x in parts])
+        order = np.argsort(flat, kind="stable")
+        flat, owner = flat[order], owner[order]
+        first = np.r_[True, flat[1:] != flat[:-1]] if len(flat) else np.zeros(0, bool)
+        code = np.cumsum(first) - 1
+        shared = np.bincount(code)[code] > 1 if len(flat) else first
+        owner, first = owner[shared], first[shared]
+        column = np.cumsum(first) - 1
+        for s in range(0, int(column[-1]) + 1 if len(column) else 0, step):
+            low, high = np.searchsorted(column, [s, s + step])
+            x = np.zeros((len(members), step), np.float32)
+            x[owner[low:high], column[low:high] - s] = 1
+            total += x @ x.T
+    return np.rint(total[row[i], row[j]]).astype(np.int64)
 
 
 def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -147,9 +163,100 @@ def _roots(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
             return root
 
 
+def chained(root: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The rows ``at`` in the order of their roots, each with the next one of its root (the last with itself): as many edges
+    as rows, and none has more than two."""
+    order = at[np.argsort(root[at], kind="stable")]
+    following = np.r_[order[1:], order[-1:]]
+    return order, np.where(root[following] == root[order], following, order)
+
+
+def blocks_of(column: pa.Array) -> list[np.ndarray]:
+    """The values of a binary column as arrays of 64-bit numbers, copied out of the batch."""
+    return [np.frombuffer(v.as_buffer(), np.uint64).copy() for v in column]
+
+
+class Pieces:
+    """Rows of an Arrow stream, ordered by their first three columns, as one piece per value of these."""
+
+    def __init__(self, columns: dict):
+        self.columns = columns
+
+    def __call__(self, batches):
+        now, held = None, None
+        for batch in batches:
+            if not len(batch):
+                continue
+            keys = list(zip(*(batch.column(c).to_pylist() for c in ("key", "left", "right"))))
+            begin = 0
+            while begin < len(keys):
+                stop = begin + 1
+                while stop < len(keys) and keys[stop] == keys[begin]:
+                    stop += 1
+                if keys[begin] != now:
+                    if now is not None:
+                        yield now, held
+                    now, held = keys[begin], {c: [] for c in self.columns}
+                part = batch.slice(begin, stop - begin)
+                for c, read in self.columns.items():
+                    held[c] += read(part.column(c))
+                begin = stop
+        if now is not None:
+            yield now, held
+
+
+def survivors(batches, needed: dict[int, int], pairs: int = 1 << 18):
+    """(a, b) edges that connect, within each piece of a bucket, the classes whose signatures survive the pruning.
+    Pieces are taken together until they make up ``pairs`` pairs."""
+    names: list = []
+    sigs: list[np.ndarray] = []
+    lefts, rights, waiting = [], [], 0
+
+    def connect():
+        both = np.concatenate(sigs).reshape(len(names), -1)
+        i, j = pruned(both, np.concatenate(lefts), np.concatenate(rights), needed)
+        if not len(i):
+            return None
+        order, following = chained(_roots(len(names), i, j), np.unique(np.r_[i, j]))
+        edge = order != following
+        take = lambda x: pa.array([names[k] for k in x[edge]], pa.string())
+        return pa.RecordBatch.from_arrays([take(order), take(following)], ["a", "b"])
+
+    read = Pieces({"set": lambda c: c.to_pylist(), "own": lambda c: c.to_pylist(), "sig": lambda c: [np.frombuffer(v.as_buffer(), np.uint32) for v in c]})
+    for (_, left, right), held in read(batches):
+        n, at = len(held["set"]), len(names)
+        if left == right:
+            i, j = np.triu_indices(n, 1)
+        else:
+            own = np.array(held["own"])
+            a, b = np.flatnonzero(own == left), np.flatnonzero(own == right)
+            i, j = np.repeat(a, len(b)), np.tile(b, len(a))
+        if not len(i):
+            continue
+        names += held["set"]
+        sigs += held["sig"]
+        lefts.append(i + at)
+        rights.append(j + at)
+        waiting += len(i)
+        if waiting >= pairs:
+            if (out := connect()) is not None:
+                yield out
+            names, sigs, lefts, rights, waiting = [], [], [], [], 0
+    if waiting and (out := connect()) is not None:
+        yield out
+
+
+def in_blocks(rows: DataFrame, key: str, blocks: str, *columns: str) -> DataFrame:
+    """Every row once for each pair of blocks that its own block is in: key, left, right, set, own and ``columns``."""
+    own = F.pmod(F.xxhash64("set"), F.col(blocks)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col(blocks) - 1)))
+    pieces = rows.select(F.col(key).alias("key"), F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"), "set", "own", *columns)
+    return pieces.repartition("key", "left", "right").sortWithinPartitions("key", "left", "right", "set")
+
+
 def similar(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4,
-    tolerance: float = 1e-6, step: int = 16, block: int = 512,
+    tolerance: float = 1e-6, step: int = 16, block: int = 512, block_grams: int = 2 << 20,
 ) -> DataFrame:
     """One row per input row: id_col, class_id, copy_id, n_copies, n_links, n_text_links.
 
@@ -161,25 +268,33 @@ def similar(
     words; null texts and texts without words link with nothing, not even each other, and are classes of their own.
     Rows with a null id are left out, as nothing could name them; repeated rows count as copies.
     A pair at the threshold is missed with probability (1 - threshold ** rows) ** bands, 3e-6 as set, plus ``tolerance``.
+    ``block`` classes, or as many as have about ``block_grams`` k-grams, make up a block. The result is written to the
+    shared folder; everything on the way there is deleted.
     """
-    spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     source = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     source = source.withColumn("h", F.xxhash64("text"))
     a, b = coefficients(bands * rows)
+    needed = least_matches(bands * rows, step, threshold, tolerance)
 
     def featurise(batches):
         for whole in batches:
             for batch, texts in slices(whole, "text"):
                 sets = shingle_sets(Words(texts), k)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc"), batch.column("h"), pa.array([set_key(s) if len(s) else None for s in sets], pa.string()), pa.array([signature(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    ["doc", "h", "set", "sig"],
+                    [
+                        batch.column("doc"), batch.column("h"), pa.array([set_key(s) if len(s) else None for s in sets], pa.string()), pa.array([len(s) for s in sets], pa.int64()),
+                        pa.array([signature(s, a, b).tobytes() if len(s) else None for s in sets], pa.binary()),
+                    ],
+                    ["doc", "h", "set", "grams", "sig"],
                 )
 
-    features = stored(source.select("doc", "h", "text").mapInArrow(featurise, f"doc {kind}, h long, set string, sig binary"), "features")
+    features = stored(source.select("doc", "h", "text").mapInArrow(featurise, f"doc {kind}, h long, set string, grams long, sig binary"), "features")
+    features_at = features.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     classes = stored(
-        features.where("set is not null").groupBy("set").agg(F.min(F.struct("doc", "h")).alias("rep"), F.count("*").alias("copies"), F.first("sig").alias("sig")), "classes"
+        features_at.where("set is not null").groupBy("set").agg(
+            F.min(F.struct("doc", "h")).alias("rep"), F.count("*").alias("copies"), F.max("grams").alias("n_grams"), F.first("sig").alias("sig"), parts_held(),
+        ), "classes",
     )
 
     def cut_bands(batches):
@@ -190,12 +305,16 @@ def similar(
                 yield pa.RecordBatch.from_arrays([batch.column("set").take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))), pa.array(keys.reshape(-1))], ["set", "key"])
 
     banded = classes.select("set", "sig").mapInArrow(cut_bands, "set string, key long")
-    first = banded.groupBy("key").agg(F.min("set").alias("first"), F.count("*").alias("n")).where("n > 1").select("key", "first")
-    groups = components(banded.join(first, "key").select(F.col("set").alias("a"), F.col("first").alias("b")))
+    buckets = with_group(banded, "key", "set", F.count("*").alias("n"), keep="n > 1")
+    buckets = buckets.select("set", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")).join(classes.select("set", "sig"), "set")
+    near = in_blocks(buckets, "key", "blocks", "sig").mapInArrow(lambda batches: survivors(batches, needed), "a string, b string")
+    groups = components(near)
 
-    sizes = groups.groupBy("label").agg(F.count("*").alias("size"))
-    members = classes.join(groups.join(sizes, "label"), classes["set"] == groups["node"]).select("set", "rep.doc", "rep.h", "copies", "sig", "label", F.ceil(F.col("size") / block).cast("int").alias("blocks"))
-    texts = source.join(members.select(F.col("doc"), F.col("h"), "set", "copies", "sig", "label", "blocks"), ["doc", "h"]).select("set", "copies", "sig", "label", "blocks", "text")
+    members = classes.select("set", "rep.doc", "rep.h", "copies", "sig", "n_grams").join(groups.select(F.col("node").alias("set"), "label"), "set")
+    members = with_group(members, "label", "set", F.count("*").alias("size"), F.sum("n_grams").alias("total"))
+    parts = F.ceil(F.greatest(F.col("size") / block, F.col("total") / block_grams)).cast("int")
+    members = members.select("doc", "h", "set", "copies", "sig", "label", parts.alias("blocks"))
+    texts = source.join(members, ["doc", "h"]).select("set", "copies", "sig", "label", "blocks", "text")
 
     def with_sets(batches):
         for whole in batches:
@@ -204,56 +323,39 @@ def similar(
                 yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "copies", "sig", "label", "blocks", "grams"])
 
     carried = texts.mapInArrow(with_sets, "set string, copies long, sig binary, label string, blocks int, grams binary")
-    own = F.pmod(F.xxhash64("set"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    pieces = carried.withColumn("own", own).withColumn("other", other)
-    pieces = pieces.select("set", "copies", "sig", "grams", "label", "own", F.least("own", "other").alias("left"), F.greatest("own", "other").alias("right"))
-    needed = least_matches(bands * rows, step, threshold, tolerance)
 
     def work(batches):
-        held: dict[str, list] = {}
-        now = None
-
-        def finish():
-            sets = [np.frombuffer(g, np.uint64) for g in held["grams"]]
-            sigs = np.frombuffer(b"".join(held["sig"]), np.uint32).reshape(len(sets), -1)
-            which, weight = np.array(held["own"]), np.array(held["copies"])
-            left = np.flatnonzero(which == now[1])
-            right = left if now[1] == now[2] else np.flatnonzero(which == now[2])
-            i, j = links_of(sigs, sets, left, right, rows, threshold, needed)
+        listed = lambda c: c.to_pylist()
+        read = Pieces({"set": listed, "own": listed, "copies": listed, "sig": lambda c: [np.frombuffer(v.as_buffer(), np.uint32).copy() for v in c], "grams": blocks_of})
+        for (_, first, second), held in read(batches):
+            once = [i for i, s in enumerate(held["set"]) if not i or s != held["set"][i - 1]]  # a representative may be a repeated row
+            held = {c: [v[i] for i in once] for c, v in held.items()}
+            n = len(once)
+            sigs, which, weight, name = np.stack(held["sig"]), np.array(held["own"]), np.array(held["copies"]), held["set"]
+            left = np.flatnonzero(which == first)
+            right = left if first == second else np.flatnonzero(which == second)
+            i, j = links_of(sigs, held["grams"], left, right, rows, threshold, needed)
             if not len(i):
-                return None
-            n = len(sets)
+                continue
             texts = np.bincount(i, minlength=n) + np.bincount(j, minlength=n)
             count = np.bincount(i, weight[j], n) + np.bincount(j, weight[i], n)
-            root, at = _roots(n, i, j), np.flatnonzero(texts)
-            name = held["set"]
-            return pa.RecordBatch.from_arrays([pa.array([name[x] for x in at]), pa.array([name[root[x]] for x in at]), pa.array(texts[at]), pa.array(count[at].astype(np.int64))], ["a", "b", "texts", "links"])
+            order, following = chained(_roots(n, i, j), np.flatnonzero(texts))
+            take = lambda x: pa.array([name[y] for y in x], pa.string())  # noqa: B023, E731
+            yield pa.RecordBatch.from_arrays([take(order), take(following), pa.array(texts[order]), pa.array(count[order].astype(np.int64))], ["a", "b", "texts", "links"])
 
-        for batch in batches:
-            for row in batch.to_pylist():
-                key = (row["label"], row["left"], row["right"])
-                if key != now:
-                    if now is not None and len(held["set"]) > 1 and (out := finish()) is not None:
-                        yield out
-                    now, held = key, {c: [] for c in ("set", "copies", "sig", "grams", "own")}
-                if not held["set"] or held["set"][-1] != row["set"]:  # a repeated row of the representative's
-                    for c in held:
-                        held[c].append(row[c])
-        if now is not None and len(held["set"]) > 1 and (out := finish()) is not None:
-            yield out
-
-    found = stored(pieces.repartition("label", "left", "right").sortWithinPartitions("label", "left", "right", "set").mapInArrow(work, "a string, b string, texts long, links long"), "links")
+    found = stored(in_blocks(carried, "label", "blocks", "copies", "sig", "grams").mapInArrow(work, "a string, b string, texts long, links long"), "links")
     linked = found.groupBy(F.col("a").alias("set")).agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
-    joined = components(found.select("a", "b")).withColumnRenamed("node", "set")
-    per_class = classes.select("set", F.col("rep.doc").alias("copy_id"), "copies").join(linked, "set", "left").join(joined, "set", "left")
-    per_class = stored(per_class.select("set", "copy_id", "copies", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "set").alias("label")), "per-class")
-    named = per_class.join(per_class.groupBy("label").agg(F.min("copy_id").alias("class_id")), "label").drop("label")
-    out = features.select("doc", "set").join(named, "set", "left")
-    return out.select(
-        F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("copy_id", "doc").alias("copy_id"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
-        F.coalesce(F.col("links") + F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"), F.coalesce("texts", F.lit(0)).cast("long").alias("n_text_links"),
-    )
+    joined = components(found.select("a", "b"))
+    per_class = classes.select("set", F.col("rep.doc").alias("copy_id"), "copies", "_parts").join(linked, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")
+    per_class = per_class.select("set", "copy_id", "copies", "_parts", F.coalesce("texts", F.lit(0)).alias("texts"), F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("label", "set").alias("label"))
+    named = with_group(per_class, "label", "set", F.min("copy_id").alias("class_id")).drop("label")
+    alone = features.where("set is null").select(F.col("doc").alias(id_col), F.col("doc").alias("class_id"), F.col("doc").alias("copy_id"), F.lit(1).cast("long").alias("n_copies"), *[F.lit(0).cast("long").alias(c) for c in ("n_links", "n_text_links")])
+    out = features_at.where("set is not null").select("doc", "set", "_salt").join(at_parts(named), ["set", "_salt"])
+    out = out.select(F.col("doc").alias(id_col), "class_id", "copy_id", F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"))
+    result = stored(out.unionByName(alone), "similar")
+    for old in (features, classes, groups, found, joined):
+        discard(old)
+    return result
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -11,7 +11,6 @@ any store that Spark reaches can hold them.
 
 from __future__ import annotations
 
-import re
 import zlib
 from functools import lru_cache
 
@@ -22,68 +21,73 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import strings
-
-_SPLITS_A_RUN = re.compile(r"\s (?=\s|\Z)")
-
+from .common import flat_bytes, slices
+from .pieces import PieceMemory
 
 class Encoder:
     """ids of whole texts, as the tokenizers library gives them.
 
-    A byte-level pre-tokenizer never joins text across a space to the word before it, so a text is cut at its spaces
-    and each different piece is encoded by the library once; the last ``limit`` or more pieces are remembered. Where a
-    space lies within a run of white space the cut could change the result, and the library gets the whole text.
+    A byte-level pre-tokenizer never joins text across a space between two other visible characters to what stands before
+    it, so texts are cut there and each different piece is encoded by the library once.
     """
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000, longest: int = 256):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.limit = Tokenizer.from_file(path), limit
-        self.pieces: dict[str, bytes] = {}
-        self.before: dict[str, bytes] = {}
+        self.tokenizer, self.memory = Tokenizer.from_file(path), PieceMemory(self.pieces, limit, longest)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
         names = [self.tokenizer.id_to_token(i) or "" for i in range(self.tokenizer.get_vocab_size())]
         #: Whether a token's first byte is a space, which byte-level vocabularies write as U+0120.
         self.opens = np.array([n.startswith("\u0120") for n in names])
 
-    def library(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def library(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.asarray(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, pieces: list[str]) -> None:
-        """Remembers the ids of pieces, each with a space before it. Pieces without white space at an end are encoded
+    def pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """See PieceMemory. Pieces whose only space stands before a visible character, and that end with one, are encoded
         side by side in one text: each begins at the one token that opens with its space."""
-        known, inner, edge = self.pieces, [], []
+        inner, edge, got, counts = [], [], [], []
         for p in pieces:
-            (edge if not p or p[0].isspace() or p[-1].isspace() else inner).append(p)
+            (inner if p.rfind(" ") == 0 and len(p) > 1 and not p[1].isspace() and not p[-1].isspace() else edge).append(p)
+        done: list[str] = []
         for s in range(0, len(inner), 4096):
             part = inner[s : s + 4096]
-            ids = np.asarray(self.tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.uint32)
+            ids = self.library(["".join(part)])[0]
             begin = np.flatnonzero(self.opens[ids])
             if len(begin) != len(part):
                 edge += part
                 continue
-            raw, cuts = ids.tobytes(), [*(4 * begin).tolist(), 4 * len(ids)]
-            known.update(zip(part, [raw[a:b] for a, b in zip(cuts, cuts[1:])]))
-        if edge:
-            known.update(zip(edge, self.library([f" {p}" for p in edge])))
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.pieces) > self.limit:
-            self.before, self.pieces = self.pieces, {}
-        known, before = self.pieces, self.before
-        cut = [None if _SPLITS_A_RUN.search(t) else t.split(" ") for t in texts]
-        seen: set[str] = set()
-        for parts in cut:
-            if parts:
-                seen.update(parts[1:])
-        new = [p for p in seen if p not in known]
-        if before:
-            known.update((p, before[p]) for p in new if p in before)
-            new = [p for p in new if p not in before]
-        self.learn(new)
-        whole = iter(self.library([t if parts is None else parts[0] for t, parts in zip(texts, cut)]))
-        get = known.__getitem__
-        return [next(whole) if parts is None else b"".join([next(whole), *map(get, parts[1:])]) for parts in cut]
+            done += part
+            got.append(ids)
+            counts.append(np.diff(np.r_[begin, len(ids)]))
+        for s in range(0, len(edge), 4096):
+            own = self.library(edge[s : s + 4096])
+            got += own
+            counts.append(np.array([len(x) for x in own], np.int64))
+        return done + edge, np.concatenate(got), np.concatenate(counts)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts (a large_string array), one after the other, and how many each text has."""
+        raw, offsets = flat_bytes(texts)
+        at = np.sort(np.r_[cuts(raw), offsets], kind="stable")
+        at = at[np.r_[True, at[1:] != at[:-1]]]
+        flat, places = self.memory.gather(raw, at)
+        return flat, np.diff(places[np.searchsorted(at, offsets)])
+
+
+def cuts(raw: np.ndarray) -> np.ndarray:
+    """Positions of the spaces that surely stand between two visible characters. Where that is hard to tell from the
+    bytes next to a space (white space beyond ASCII begins with C2, E1, E2 or E3), it is not taken."""
+    if len(raw) < 3:
+        return np.zeros(0, np.int64)
+    ascii_ = (raw > 32) & (raw < 127)
+    two = (raw >= 0xC3) & (raw <= 0xDF)
+    after = ascii_ | two | (raw >= 0xE4)
+    before = ascii_.copy()
+    before[1:] |= two[:-1]
+    at = np.flatnonzero(raw[1:-1] == 32) + 1
+    return at[before[at - 1] & after[at + 1]]
 
 
 @lru_cache(2)
@@ -135,30 +139,36 @@ def write_tokens(
 
     def run(batches):
         enc, pack = encoder(tokenizer_path), zstandard.ZstdCompressor(level=level).compress
-        end = b"" if end_id is None else np.uint32(end_id).tobytes()
+        end = np.array([] if end_id is None else [end_id], np.uint32)
         shard, number, first = TaskContext.get().partitionId(), 0, 0
-        held, names, waiting, schema = [], [], 0, None
+        held, names, counts, waiting, schema = [], [], [], 0, None
 
         def close():
-            nonlocal number, first, held, names, waiting
-            flat = np.frombuffer(b"".join(held), "<u4")
+            nonlocal number, first, held, names, counts, waiting
+            flat = np.concatenate(held)
             planes = [to_planes(flat[s : s + block], plane, pack) for s in range(0, len(flat), block)]
-            row = [[shard], [number], [first], [len(flat)], [names], [[len(h) // 4 for h in held]], [plane], [block], [planes]]
-            number, first, held, names, waiting = number + 1, first + len(flat), [], [], 0
+            row = [[shard], [number], [first], [len(flat)], [pa.concat_arrays(names).to_pylist()], [np.concatenate(counts).tolist()], [plane], [block], [planes]]
+            number, first, held, names, counts, waiting = number + 1, first + len(flat), [], [], [], 0
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(row, schema)], ["shard", "chunk", "first", "n_ids", "ids", "lengths", "kind", "block", "planes"])
 
-        for batch in batches:
-            schema = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(batch.schema.field("id").type), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.list_(pa.list_(pa.binary()))]
-            keys = batch.column("id").to_pylist()
-            texts = strings(batch.column("text")).to_pylist()
-            for s in range(0, len(texts), 256):
-                for key, got in zip(keys[s : s + 256], enc.encode(texts[s : s + 256])):
-                    held.append(got + end)
-                    names.append(key)
-                    waiting += len(got) + len(end)
-                    if waiting >= 4 * chunk:
+        for whole in batches:
+            schema = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(whole.schema.field("id").type), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.list_(pa.list_(pa.binary()))]
+            for batch, texts in slices(whole, "text", 4 << 20):
+                flat, n = enc.encode(texts)
+                if len(end):
+                    flat, n = np.insert(flat, np.cumsum(n), end), n + 1
+                ends, keys, begin = np.cumsum(n), batch.column("id"), 0
+                while begin < len(n):  # a chunk is closed behind the document that fills it
+                    done = int(ends[begin - 1]) if begin else 0
+                    stop = min(int(np.searchsorted(ends, done + chunk - waiting)) + 1, len(n))
+                    held.append(flat[done : ends[stop - 1]])
+                    names.append(keys.slice(begin, stop - begin))
+                    counts.append(n[begin:stop])
+                    waiting += int(ends[stop - 1]) - done
+                    begin = stop
+                    if waiting >= chunk:
                         yield close()
-        if held:
+        if names:
             yield close()
 
     rows.mapInArrow(run, out).write.parquet(path)

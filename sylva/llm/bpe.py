@@ -4,8 +4,9 @@ The encoding of a text under a merge list has this shape: if the encoding of a p
 the symbols of token b gives that encoding followed by b exactly if the pair (a, b) on its own encodes to (a, b). So the
 transducer keeps, for each of the last few positions, only the last token of the encoding of the prefix that ends there.
 A position can still change the past only while a later token may begin at it, that is for as many symbols as the longest
-token has; tokens that all such live positions share are stable and are emitted at once. Decoding is a state machine that
-takes one token at a time and gives out text as soon as its bytes form whole characters.
+token has; tokens that all such live positions share are stable and are emitted. The merge list's sufficient lookahead bounds
+how far back the past can change at all, and with it what is held. Decoding is a state machine that takes one token after
+the other and gives out text as soon as its bytes form whole characters.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import json
+import re
 import unicodedata
 from functools import lru_cache
 
@@ -23,9 +25,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import strings
+from .common import flat_bytes, slices
+from .pieces import PieceMemory
 
 END = "</w>"
+#: str.split() takes these for white space, the tokenizer does not.
+_SEPARATORS = re.compile("[\x1c-\x1f]")
+_WHITE = regex.compile(r"[\t-\r \x85\p{Z}]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -53,6 +59,14 @@ class Transducer:
         self.inner = {t: vocab[t] for t in inner if len(t) <= self.longest}
         self.final = {t.removesuffix(end): i for t, i in vocab.items() if end and t.endswith(end)} if end else self.inner
         self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.begins: dict[str, tuple[str, int, int]] = {}  # what the transducer holds for the last symbol of a word's beginning
+        #: For the last three symbols that were read: the lengths of the tokens that end with them, longest first.
+        self.lengths: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
+        self._tails: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
+        for tails, tokens in zip(self._tails, (self.inner, self.final)):
+            for t in tokens:
+                if len(t) > 2:
+                    tails.setdefault(t[-3:], set()).add(len(t))
         #: Symbols after which every token is certainly stable: merges times the longest token, the published bound.
         self.sufficient_lookahead = max(1, len(merges)) * self.longest
 
@@ -89,77 +103,84 @@ class Transducer:
 
     def stream(self, word, emit) -> int:
         """Encodes the symbols of ``word`` (an iterable), calls ``emit`` with each token's id once it is stable, and
-        returns the largest number of positions it ever held."""
+        returns the largest number of positions it ever held.
+
+        Every 32 symbols the tokens that all live positions share go out. Whatever the text, a token that ends more than
+        ``sufficient_lookahead`` symbols back is stable and goes out too, so no more positions than that bound, the longest
+        token and 32 are ever held.
+        """
         live: dict[int, tuple[str, int, int]] = {0: ("", -1, -1)}  # position -> last token, its id, where it begins
-        window, done, held, at = "", 0, 1, 0
+        window, done, held, at, longest = "", 0, 1, 0, self.longest
+        inner, final, pairs, lengths, begins = self.inner, self.final, self.pairs, self.lengths, self.begins
+        if len(begins) > 300_000:
+            begins.clear()
         symbols = iter(word)
         ahead = next(symbols, None)
         while ahead is not None:
             c, ahead = ahead, next(symbols, None)
-            window = (window + c)[-self.longest :]
+            window = window + c if at < longest else window[1 - longest :] + c if longest > 1 else c
             at += 1
             last = ahead is None
-            live[at] = self._step(live, window, at, last)
-            if last:
-                keep = [at]
-            elif at % 32:
+            opening = at <= 12 and at <= longest and not last  # words have their beginnings in common
+            if opening and (step := begins.get(window)) is not None:
+                live[at] = step
                 continue
+            tokens, tail = (final if last else inner), window[-3:]
+            if (sizes := lengths[last].get(tail)) is None:
+                sizes = self._sizes(tail, last)
+            for n in sizes:  # the longest token that ends here and stays beside the one before it
+                if n <= at and (i := tokens.get(t := window[-n:])) is not None and (before := live.get(at - n)) is not None:
+                    key = (before[0], t, last)
+                    if pairs[key] if key in pairs else self.stays(*key):
+                        live[at] = step = (t, i, at - n)
+                        if opening:
+                            begins[window] = step
+                        break
             else:
-                keep = range(max(0, at - self.longest + 1), at + 1)
-            heads = set(keep)
-            while len(heads) > 1:  # the position through which all live ones go
+                raise ValueError(f"no token ends at symbol {at}: the vocabulary lacks {c!r}")
+            if not last and at % 32:
+                continue
+            heads = {at} if last else set(range(max(0, at - longest + 1), at + 1))
+            while len(heads) > 1 and max(heads) > done:  # the position through which all live ones go
                 top = max(heads)
+                if at - top > self.sufficient_lookahead:
+                    heads = {top}
+                    break
                 heads.remove(top)
                 heads.add(live[top][2])
-            stable = [p := heads.pop()]
-            while live[p][2] > done or (live[p][2] == done and p > done):
+            stable = [p := max(heads)]
+            while p > done:
                 p = live[p][2]
                 stable.append(p)
             for p in reversed(stable):
                 if p > done:
                     emit(live[p][1])
-            done = max(done, stable[0])
             held = max(held, len(live))
-            for p in [p for p in live if p < done]:
-                del live[p]
+            if stable[0] > done:
+                done = stable[0]
+                live = {p: x for p, x in live.items() if p >= done}
         return held
 
-    def _step(self, live, window: str, at: int, last: bool) -> tuple[str, int, int]:
-        tokens, n = self.final if last else self.inner, len(window)
-        for start in range(n):
-            if (i := tokens.get(t := window[start:])) is not None:
-                begin = at - n + start
-                if (before := live.get(begin)) is not None and self.stays(before[0], t, last):
-                    return t, i, begin
-        raise ValueError(f"no token ends at symbol {at}: the vocabulary lacks {window[-1]!r}")
+    def _sizes(self, tail: str, last: bool) -> list[int]:
+        tokens = self.final if last else self.inner
+        sizes = self._tails[last].get(tail, set()) | {n for n in (1, 2) if tail[-n:] in tokens}
+        self.lengths[last][tail] = out = sorted(sizes, reverse=True)
+        return out
 
     def word(self, word: str) -> list[int]:
-        """The ids of a short word: the same steps with all positions kept."""
-        n, longest, stays = len(word), self.longest, self.stays
-        if word in self.final and stays("", word, True):
+        """The ids of one word."""
+        if word in self.final and self.stays("", word, True):
             return [self.final[word]]
-        ends: list = [("", -1, -1)]
-        inner = self.inner
-        for at in range(1, n):
-            for begin in range(max(0, at - longest), at):
-                if (i := inner.get(t := word[begin:at])) is not None and stays(ends[begin][0], t, False):
-                    ends.append((t, i, begin))
-                    break
-        for begin in range(max(0, n - longest), n):
-            if (i := self.final.get(t := word[begin:])) is not None and stays(ends[begin][0], t, True):
-                break
-        ids = [i]
-        while begin > 0:
-            _, i, begin = ends[begin]
-            ids.append(i)
-        return ids[::-1]
+        ids: list[int] = []
+        self.stream(word, ids.append)
+        return ids
 
 
 class WordBpe:
     """A tokenizer of the word-end kind, read from its public file: NFC, white space as separator, lower case, words cut
-    by the file's pattern, bytes as symbols, the last one marked. ``limit``: pieces and words that are remembered."""
+    by the file's pattern, bytes as symbols, the last one marked. ``limit``: pieces that are remembered."""
 
-    def __init__(self, path: str, limit: int = 300_000):
+    def __init__(self, path: str, limit: int = 500_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -169,81 +190,87 @@ class WordBpe:
         split = next(p for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(split["pattern"]["Regex"]).findall
         self.cut = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
-        self.alphabet, self.limit = byte_alphabet(), limit
+        self.alphabet = byte_alphabet()
         self.tokens: list[str] = [""] * (max([*model["vocab"].values(), *self.special.values()], default=-1) + 1)
         for t, i in [*model["vocab"].items(), *self.special.items()]:
             self.tokens[i] = t
         self.raw = [t.encode() for t in self.tokens]
-        self.pieces: dict[str, bytes] = {}
-        self.known: dict[str, bytes] = {}
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
-
-    def _word(self, word: str) -> bytes:
-        symbols = word.encode("utf-8").decode("latin-1").translate(self.table)
-        if len(symbols) <= 256:
-            return np.asarray(self.transducer.word(symbols), "<u4").tobytes()
-        ids: list[int] = []
-        self.transducer.stream(symbols, ids.append)
-        return np.asarray(ids, "<u4").tobytes()
-
-    def _piece(self, piece: str) -> bytes:
-        out, known = [], self.known
-        for w in self.words(piece):
-            if (ids := known.get(w)) is None:
-                ids = self._word(w)
-                if len(w) <= 64:
-                    if len(known) >= self.limit:
-                        known.clear()
-                    known[w] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def _plain(self, text: str) -> bytes:
+        self.memory = PieceMemory(self.pieces, limit)
+        self.known: dict[str, list[int]] = {}
+
+    def _word(self, word: str) -> list[int]:
+        if (ids := self.known.get(word)) is None:
+            ids = self.transducer.word(word.encode("utf-8").decode("latin-1").translate(self.table))
+            if len(word) <= 32:
+                if len(self.known) >= 200_000:
+                    self.known.clear()
+                self.known[word] = ids
+        return ids
+
+    def _plain(self, text: str) -> list[int]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() knows a final sigma, the file's rule doesn't
         text = text.lower()
-        parts = regex.split(r"[\t-\r \x85\p{Z}]+", text) if regex.search(r"[\x1c-\x1f]", text) else text.split()
-        pieces, out = self.pieces, []
-        for p in parts:
-            if (ids := pieces.get(p)) is None:
-                ids = self._piece(p)
-                if len(p) <= 64:
-                    if len(pieces) >= self.limit:
-                        pieces.clear()
-                    pieces[p] = ids
-            out.append(ids)
-        return b"".join(out)
-
-    def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text."""
+        parts = _WHITE.split(text) if _SEPARATORS.search(text) else text.split()
+        return [i for p in parts for w in self.words(p) for i in self._word(w)]
+
+    def _ids(self, text: str) -> list[int]:
         if self.cut is None or "<|" not in text:
             return self._plain(text)
-        return b"".join(np.uint32(self.special[t]).tobytes() if t in self.special else self._plain(t) for t in self.cut.split(text))
-
-    def decode_raw(self, ids: bytes) -> bytes:
-        """UTF-8 of the tokens with a space between, which is what a tokenizer file without a decoder stands for."""
-        return b" ".join(map(self.raw.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
-    def decoder(self) -> Decoder:
-        return Decoder(self)
+        return [i for t in self.cut.split(text) for i in ([self.special[t]] if t in self.special else self._plain(t))]
+
+    def pieces(self, pieces: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """See PieceMemory."""
+        got = [self._ids(p) for p in pieces]
+        return pieces, np.array([i for g in got for i in g], np.uint32), np.array([len(g) for g in got], np.int64)
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all whole texts (a large_string array), one after the other, and how many each has. Texts are cut at
+        ASCII white space, which nothing that the tokenizer does reaches across."""
+        raw, offsets = flat_bytes(texts)
+        seen = (raw != 32) & ((raw < 9) | (raw > 13))
+        upto = np.r_[0, np.cumsum(seen)]
+        first = seen.copy()
+        first[1:] &= ~seen[:-1]
+        at = np.sort(np.r_[upto[:-1][first], upto[offsets]], kind="stable")
+        at = at[np.r_[True, at[1:] != at[:-1]]]
+        flat, places = self.memory.gather(raw[seen], at)
+        return flat, np.diff(places[np.searchsorted(at, upto[offsets])])
+
+    def decoder(self, plain: bool = True) -> Decoder:
+        return Decoder(self, plain)
 
 
 class Decoder:
-    """Tokens in, text out, one token at a time: bytes wait only until they complete a character; the mark of a word's
-    end gives a space before the next word."""
+    """Tokens in, text out: a state machine that holds the bytes of a character that is not whole yet, and whether a space is
+    due before what comes next.
 
-    def __init__(self, bpe: WordBpe):
-        self.bpe, self.back = bpe, {c: b for b, c in enumerate(bpe.alphabet)}
+    ``plain``: the text itself; the mark of a word's end makes a space due. Otherwise what the library's decode gives
+    for a tokenizer file without a decoder: the tokens as they are named, a space due after each.
+    """
+
+    def __init__(self, bpe: WordBpe, plain: bool = True):
+        self.bpe, self.plain, self.back = bpe, plain, {c: b for b, c in enumerate(bpe.alphabet)}
         self.bytes = codecs.getincrementaldecoder("utf-8")("replace")
         self.gap = False
 
-    def feed(self, token_id: int) -> str:
-        token = self.bpe.tokens[token_id]
-        special, ends = token in self.bpe.special, token.endswith(END)
-        raw = token.encode() if special else bytes(self.back[c] for c in token.removesuffix(END))
-        text = (" " if self.gap else "") + self.bytes.decode(raw)
-        self.gap = special or ends
-        return text
+    def feed(self, *ids: int) -> str:
+        return self.feed_bytes(ids).decode()
+
+    def feed_bytes(self, ids) -> bytes:
+        """The text of the next tokens, in UTF-8."""
+        if not self.plain:
+            text = b" ".join(map(self.bpe.raw.__getitem__, ids))
+            text, self.gap = (b" " + text if self.gap and len(ids) else text), self.gap or len(ids) > 0
+            return text
+        out = []
+        for token in map(self.bpe.tokens.__getitem__, ids):
+            special, ends = token in self.bpe.special, token.endswith(END)
+            raw = token.encode() if special else bytes(self.back[c] for c in token.removesuffix(END))
+            out.append((" " if self.gap else "") + self.bytes.decode(raw))
+            self.gap = special or ends
+        return "".join(out).encode()
 
     def flush(self) -> str:
         return self.bytes.decode(b"", True)
@@ -258,8 +285,9 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
     """The input without its text, with n_tokens and, as asked, ids (array of int) and the digests ids_sha256 (of the ids
     as little-endian unsigned 32-bit integers) and decoded_sha256 (of the tokens with spaces between, in UTF-8).
 
-    A null or empty text has no tokens. Texts of any length are encoded whole; a word of any length goes through the
-    transducer in constant memory. Repeated rows each get a row; input columns of these names are replaced.
+    A null or empty text has no tokens. Texts of any length are encoded whole, and every word goes through the transducer,
+    which holds a bounded number of positions; ids are decoded by the state machine, some thousands at a time. Repeated
+    rows each get a row; input columns of these names are replaced.
     """
     kept = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     names = [c for c in kept.columns if c != text_col]
@@ -272,16 +300,23 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
 
     def run(batches):
         bpe, sha = word_bpe(tokenizer_path), hashlib.sha256
+
+        def decoded(bpe, ids):
+            state, digest = bpe.decoder(plain=False), sha()
+            for s in range(0, len(ids), 8192):
+                digest.update(state.feed_bytes(ids[s : s + 8192].tolist()))
+            return digest.hexdigest()
+
         for whole in batches:
-            for s in range(0, len(whole), 512):
-                batch = whole.slice(s, 512)
-                got = [bpe.encode(t) for t in strings(batch.column(text_col)).to_pylist()]
-                columns = [batch.column(c) for c in names] + [pa.array([len(g) // 4 for g in got], pa.int64())]
+            for batch, texts in slices(whole, text_col, 4 << 20):
+                flat, n = bpe.encode(texts)
+                ends = np.cumsum(n)
+                columns = [batch.column(c) for c in names] + [pa.array(n)]
                 if with_ids:
-                    flat = np.frombuffer(b"".join(got), "<u4").astype(np.int32)
-                    columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(len(g) // 4 for g in got)]), pa.int32()), pa.array(flat)))
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(flat.astype(np.int32))))
                 if digest:
-                    columns += [pa.array([sha(g).hexdigest() for g in got]), pa.array([sha(bpe.decode_raw(g)).hexdigest() for g in got])]
+                    parts = [flat[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
+                    columns += [pa.array([sha(p.astype("<u4").tobytes()).hexdigest() for p in parts], pa.string()), pa.array([decoded(bpe, p) for p in parts], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return kept.mapInArrow(run, schema)

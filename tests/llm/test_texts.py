@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,7 +89,12 @@ def test_token_store_against_library(spark, docs, empty, tmp_path):
     path = str(P.path("byte_bpe_50k.json"))
     library = _library("byte_bpe_50k.json")
     texts = _fuzz(1500)
-    assert Encoder(path).encode(texts) == [np.asarray(e.ids, np.uint32).tobytes() for e in library.encode_batch(texts, add_special_tokens=False)]
+    texts += [t.replace(" ", s) for t in texts[:200] for s in (" \u00a0 ", " \u3000", "\u2009 ", "é à ", " é", " “", "… ")] + ["", " ", "", "x", "a b " * 200, "long" * 100 + " b"]
+    expected = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    for few in (Encoder(path), Encoder(path, limit=50, longest=8)):  # with all pieces remembered, and with few
+        for s in range(0, len(texts), 400):
+            flat, n = few.encode(pa.array(texts[s : s + 400], pa.large_string()))
+            assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == expected[s : s + 400]
     for plane, block in (("byte", 1000), ("bit", 37)):
         where = str(tmp_path / plane)
         write_tokens(docs, where, path, plane=plane, block=block, chunk=500)
@@ -122,10 +128,14 @@ def test_bpe_against_library(spark, docs, empty):
 
     path = str(P.path("word_bpe_49k.json"))
     bpe, library = WordBpe(path), _library("word_bpe_49k.json")
-    for t, e in zip(texts := _fuzz(1500), library.encode_batch(texts, add_special_tokens=False)):
-        got = bpe.encode(t)
-        assert np.frombuffer(got, "<u4").tolist() == e.ids, t
-        assert bpe.decode_raw(got).decode() == library.decode(e.ids, skip_special_tokens=False)
+    texts = _fuzz(1500) + ["", "", " ", "é" * 500, "a\u0301 \u0301b", "x\u3000y\u2003z"]
+    expected = library.encode_batch(texts, add_special_tokens=False)
+    for few in (bpe, WordBpe(path, limit=50)):
+        flat, n = few.encode(pa.array(texts, pa.large_string()))
+        for t, got, e in zip(texts, np.split(flat, np.cumsum(n)[:-1]), expected, strict=True):
+            assert got.tolist() == e.ids, t
+            decoder = few.decoder(plain=False)
+            assert decoder.feed(*e.ids[:3]) + decoder.feed() + decoder.feed(*e.ids[3:]) + decoder.flush() == library.decode(e.ids, skip_special_tokens=False)
     out = sorted(encode_texts(docs, path, digest=True).collect(), key=lambda r: (r.doc_id or 0, r.n_tokens))
     expected = sorted(((i or 0, library.encode(t or "", add_special_tokens=False).ids) for i, t in ROWS), key=lambda r: (r[0], len(r[1])))
     for r, (i, ids) in zip(out, expected, strict=True):
@@ -137,17 +147,28 @@ def test_bpe_against_library(spark, docs, empty):
 def test_transducer_holds_little():
     from sylva.llm.bpe import WordBpe
 
-    bpe = WordBpe(str(P.path("word_bpe_49k.json")))
+    bpe, library = WordBpe(str(P.path("word_bpe_49k.json"))), _library("word_bpe_49k.json")
     t = bpe.transducer
     for word in ("abcab" * 3000, "a" * 5000, "the" * 2000):
         ids: list[int] = []
         held = t.stream(iter(word), ids.append)
-        assert ids == t.word(word) and held <= 4 * t.longest + 64 < t.sufficient_lookahead
+        assert ids == library.encode(word, add_special_tokens=False).ids and held <= 4 * t.longest + 64 < t.sufficient_lookahead
     decoder = bpe.decoder()
-    ids = np.frombuffer(bpe.encode("naïve 漢字 text"), "<u4").tolist()
+    ids = bpe.encode(pa.array(["naïve 漢字 text"], pa.large_string()))[0].tolist()
     assert "".join(decoder.feed(i) for i in ids) + decoder.flush() == "naïve 漢字 text"
 
 
+def test_lookahead_bounds_what_is_held():
+    """A merge list in which the past stays open: without the bound all positions would be held."""
+    from sylva.llm.bpe import Transducer
+
+    t = Transducer({"a": 0, "aa": 1}, [("a", "a")])
+    for n in (1000, 1001):  # pairs from the left, and one over
+        ids: list[int] = []
+        held = t.stream(iter("a" * n), ids.append)
+        assert ids == [1] * (n // 2) + [0] * (n % 2) and held <= t.sufficient_lookahead + t.longest + 64
+
+
 def test_personal_data(spark, docs, empty):
     from sylva.llm.pii import PATTERNS, Tagger, _holds, base_spans, encode_chars, find_pii, fit_tagger, tag_window
 

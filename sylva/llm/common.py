@@ -147,10 +147,12 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20):
 
 
 def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text") -> list:
-    """At most ``sample`` rows of each value of ``by``: those whose text has the smallest hash, on the driver.
+    """At most ``sample`` rows of each value of ``by`` (which has few values): those whose text has the smallest hash, on the
+    driver.
 
-    Two passes: about how many different texts each class has, then the rows under a hash bound that lets somewhat more than the sample through,
-    copies of a text once. What reaches the driver is bounded by classes x sample and the same for every partitioning.
+    Two passes: about how many different texts each class has, then the rows under a hash bound that lets about 1.5 times the
+    sample through, copies of a text once. So what reaches the driver grows with classes x sample only, and it is the same
+    for every partitioning.
     """
     rows = rows.where(F.col(by).isNotNull() & F.col(text_col).isNotNull())
     h = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
@@ -161,7 +163,7 @@ def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text"
     for value, count in sizes.items():
         share = min(1.0, (1.5 * sample + 50) / count)
         bound = bound | ((F.col(by) == F.lit(value)) & (h < F.lit(int(share * (1 << 40)) + 1)))
-    got = sorted(rows.where(bound).withColumn("_h", h).dropDuplicates([by, "_h"]).limit(int(2 * sample + 100) * len(sizes)).collect(), key=lambda r: (r["_h"], r[text_col]))
+    got = sorted(rows.where(bound).withColumn("_h", h).dropDuplicates([by, "_h"]).collect(), key=lambda r: (r["_h"], r[text_col]))
     kept, taken = [], dict.fromkeys(sizes, 0)
     for r in got:
         if taken[r[by]] < sample:
@@ -170,6 +172,14 @@ def bounded_sample(rows: DataFrame, by: str, sample: int, text_col: str = "text"
     return kept
 
 
+def some_texts(rows: DataFrame, sample: int, text_col: str = "text") -> DataFrame:
+    """About 1.5 times ``sample`` rows with different texts, those whose text has the smallest hash; all if there are fewer."""
+    h = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
+    count = rows.agg(F.approx_count_distinct(h).alias("n")).first()["n"] or 1
+    share = min(1.0, (1.5 * sample + 50) / count)
+    return rows.withColumn("_h", h).where(F.col("_h") < F.lit(int(share * (1 << 40)) + 1)).dropDuplicates(["_h"]).drop("_h")
+
+
 def stored(rows: DataFrame, name: str) -> DataFrame:
     """The rows, written to the shared checkpoint folder and read again, which cuts their lineage."""
     path = shared_path(rows.sparkSession, name)

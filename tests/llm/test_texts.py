@@ -179,14 +179,19 @@ def test_personal_data(spark, docs, empty):
     for t in texts:
         assert base_spans(t) == sorted(((m.start(), m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if _holds(k, m.group())), key=lambda s: (s[0], list(PATTERNS).index(s[2])))
     assert [k for *_, k in base_spans(texts[2])] == ["card"]
+    r = np.random.default_rng(4)
+    for _ in range(4000):  # the linear forms against the patterns themselves
+        t = "".join(r.choice(list("0123456789999..@@++-- ()ab_"), r.integers(1, 60)))
+        assert base_spans(t) == sorted(((m.start(), m.end(), k) for k, p in PATTERNS.items() for m in re.finditer(p, t) if _holds(k, m.group())), key=lambda s: (s[0], list(PATTERNS).index(s[2])))
     sample = spark.createDataFrame([(i, f"{'word ' * (i % 7)}mail user{i}@host{i}.example.com or +1 (52{i % 10}) 555-73{i % 10}3, 10.0.{i % 200}.7 {'end ' * (i % 5)}") for i in range(240)], "doc_id long, text string")
     tagger = fit_tagger(sample, sample=240)
     held = "Please ask user77x@host9.example.com for 10.9.8.7 now."
     chars = np.stack([np.pad(c := encode_chars(held), (0, 96 - len(c)))])
     agreed = (tagger.decode(chars)[0] > 0) == (tag_window(base_spans(held), 0) > 0)
     assert agreed[: len(held)].mean() > 0.9
-    e = tagger.emissions(chars)[0]
-    assert e.shape[0] == 96
+    again = fit_tagger(sample.repartition(7), sample=240)
+    assert all((again.p[k] == tagger.p[k]).all() for k in tagger.p)  # the same for every partitioning
+    assert tagger.emissions(chars).shape[0] == 96
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     rows = {r.doc_id: r for r in find_pii(table, tagger).collect()}
     for i, t in enumerate(texts):
@@ -200,6 +205,29 @@ def test_personal_data(spark, docs, empty):
     assert isinstance(tagger, Tagger)
 
 
+def test_long_runs_take_linear_time():
+    import time
+
+    from sylva.llm.pii import base_spans
+
+    began = time.process_time()
+    for run in ("7" * 1_000_000, "a" * 1_000_000 + "@x.org", "1." * 500_000, "4 " * 500_000, "+1" + " " * 1_000_000, "a@" * 500_000, "+1 2" * 250_000, "a.b@c-d." * 120_000):
+        base_spans(run)
+    assert base_spans("a" * 1_000_000 + "@x.org") == [(0, 1_000_006, "email")]
+    assert time.process_time() - began < 20
+
+
+def test_spans_across_windows():
+    from sylva.llm.pii import KINDS, reconcile
+
+    text = "x" * 40 + "1" * 100 + "x" * 60
+    phone = KINDS.index("phone")
+    pieces = [(40, 96, phone, False, True), (48, 140, phone, True, False), (96, 140, phone, True, False)]
+    assert reconcile(pieces, text, []) == [(40, 140, "phone")]
+    assert reconcile(pieces[:1], text, []) == [] and reconcile(pieces[1:], text, []) == []
+    assert reconcile([(40, 140, phone, False, False)], text, [(50, 60, "card")]) == []
+
+
 def test_tagger_gradient():
     from sylva.llm.pii import TAGS, Tagger
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, bounded_sample, flat_bytes, slices, strings
+from .common import Words, bounded_sample, flat_bytes, slices, some_texts, strings
 
 #: Word lists, one voter each.
 LEXICONS = {
@@ -172,16 +172,17 @@ def label_model(patterns: list[tuple[int, int, float]], prior: float, rounds: in
     return rate, correlation, prior, {int(a): float(1 / (1 + np.exp(-b))) for a, b in zip(v, z)}
 
 
-def fit_linear(samples: list[np.ndarray], target: np.ndarray, support: int = 4, most: int = 8192, epochs: int = 40, l2: float = 2e-4, seed: int = 7) -> tuple[np.ndarray, float]:
-    """Logistic regression on the presence of features, by averaged Adagrad; target: a probability for each text.
+def fit_linear(samples: list[np.ndarray], target: np.ndarray, trust: np.ndarray, support: int = 4, most: int = 8192, epochs: int = 40, l2: float = 2e-4, seed: int = 7) -> tuple[np.ndarray, float]:
+    """Logistic regression on the presence of features, by averaged Adagrad; target: a probability for each text; trust: how much
+    it weighs.
 
     Only the ``most`` features that are in ``support`` texts or more and differ most between the classes get a weight.
     """
     df, on = np.zeros(SIZE), np.zeros(SIZE)
-    for f, t in zip(samples, target):
-        df[f] += 1
-        on[f] += t
-    base = target.mean()
+    for f, t, c in zip(samples, target, trust):
+        df[f] += c
+        on[f] += c * t
+    base = (target * trust).sum() / trust.sum()
     z = (on - df * base) / np.sqrt(df * base * (1 - base) + 1.0)
     z[df < support] = 0
     z[0] = 0
@@ -192,7 +193,7 @@ def fit_linear(samples: list[np.ndarray], target: np.ndarray, support: int = 4,
     rows = [(s := slot[f])[s >= 0] for f in samples]
     w, b = np.zeros(len(chosen)), float(np.log(base / (1 - base)))
     gw, gb, rng = np.full(len(chosen), 1e-6), 1e-6, np.random.default_rng(seed)
-    balance = np.where(target > 0.5, min(10.0, 0.5 / max(base, 0.01)), 1.0)
+    balance = np.where(target > 0.5, min(10.0, 0.5 / max(base, 0.01)), 1.0) * trust
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             r = rows[i]
@@ -213,31 +214,40 @@ def with_label(p: float, y: int, trust: float = 0.97) -> float:
     return odds / (1 + odds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, unlabelled: float = 0.25) -> Model:
     """Fits everything on ``docs`` (texts that may be learned from) and ``labels`` (id_col, toxic).
 
-    Bound: the mined voters and the classifier are fitted on at most ``sample`` labelled texts of each class and
-    ``sample`` of any, chosen by hash; only their feature numbers reach the driver. The label model is fitted on the counts of vote
-    combinations (at most 2 to the number of voters rows) over all texts of ``docs``.
+    Bound: the mined voters are fitted on at most ``sample`` labelled texts of each class, the classifier on these and on about
+    1.5 times ``sample`` texts without a label, whose target is the label model's posterior alone; all are chosen by hash, and
+    only their feature numbers and votes reach the driver. A label counts as one more voter, and
+    a text without one weighs ``unlabelled`` of one with. The label model is fitted on
+    the counts of vote combinations (at most 2 to the number of voters rows) over all texts of ``docs``.
+
+    Labels other than 0 and 1 and null ids are passed over; of several labels of one id the largest counts, and repeated
+    rows of a text each count. Null texts count as empty. Ties are settled by the features, so the model is the same for
+    every partitioning. Without any text the model holds everything for clean.
     """
     labels = labels.select(F.col(id_col).alias("_id"), F.col("toxic").cast("int").alias("toxic")).where(F.col("toxic").isin(0, 1) & F.col("_id").isNotNull())
     per_class = labels.groupBy("_id").agg(F.max("toxic").alias("toxic")).withColumn("text", F.col("_id").cast("string"))
     chosen = {r["_id"]: r["toxic"] for r in bounded_sample(per_class, "toxic", sample)}
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).cast("string").alias("text"))
-    near = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in chosen.items()], f"_id {texts.schema['_id'].dataType.simpleString()}, toxic int"))  # at most 2 x sample rows
+    near = F.broadcast(spark.createDataFrame([(k, int(v)) for k, v in chosen.items()], f"_id {texts.schema['_id'].dataType.simpleString()}, toxic int"))  # about 3 x sample rows
 
     def numbers(batches):
         for whole in batches:
             for batch, part in slices(whole, "text"):
                 words = Words(part)
-                rows = per_text(*counted(words, features(words)), len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "f"])
+                feats = features(words)
+                rows = per_text(*counted(words, feats), len(part))
+                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, [], feats)), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "votes", "f"])
 
-    got = texts.join(near, "_id").select("toxic", "text").mapInArrow(numbers, "toxic int, f binary").collect()
-    samples = sorted(((np.frombuffer(r["f"], np.int32), r["toxic"]) for r in got), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
-    mined = mine(samples)
-    del got, samples
+    labelled = texts.join(near, "_id", "left").select(F.coalesce("toxic", F.lit(-1)).alias("toxic"), "text")
+    learn = labelled.where("toxic >= 0").union(some_texts(labelled.where("toxic < 0"), sample)).mapInArrow(numbers, "toxic int, votes long, f binary").collect()
+    learn = sorted(((np.frombuffer(r["f"], np.int32), r["toxic"], r["votes"]) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
+    mined = mine([(f, y) for f, y, _ in learn if y >= 0])
+    first = len(VOTERS) - MINED
+    known = [v | sum(int(np.isin(f, m).any()) << (first + i) for i, m in enumerate(mined)) for f, _, v in learn]
 
     def count_votes(batches):
         for whole in batches:
@@ -245,25 +255,13 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words = Words(part)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, features(words)))], ["toxic", "votes"])
 
-    labelled = texts.join(near, "_id", "left").select(F.coalesce("toxic", F.lit(-1)).alias("toxic"), "text")
     patterns = [(r["votes"], r["toxic"], float(r["n"])) for r in labelled.mapInArrow(count_votes, "toxic int, votes long").groupBy("votes", "toxic").agg(F.count("*").alias("n")).orderBy("votes", "toxic").collect()]
     if not patterns:
         return Model(np.zeros(SIZE, np.float32), -3.0, mined)
-    known = sum(c for _, y, c in patterns if y >= 0)
-    prior = float(np.clip(per_class.agg(F.avg("toxic")).first()[0] or 0.05, 0.005, 0.5)) if known else 0.05
+    prior = float(np.clip(per_class.agg(F.avg("toxic")).first()[0] or 0.05, 0.005, 0.5)) if any(y >= 0 for _, y, _ in patterns) else 0.05
     rate, correlation, prior, posterior = label_model(patterns, prior)
-
-    def with_votes(batches):
-        for whole in batches:
-            for batch, part in slices(whole, "text"):
-                words = Words(part)
-                f = features(words)
-                rows = per_text(*counted(words, f), len(part))
-                yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, f)), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "votes", "f"])
-
-    learn = texts.join(near, "_id").select("toxic", "text").mapInArrow(with_votes, "toxic int, votes long, f binary").collect()
-    learn = sorted(((np.frombuffer(r["f"], np.int32), with_label(posterior.get(r["votes"], prior), r["toxic"])) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
-    weights, bias = fit_linear([f for f, _ in learn], np.array([p for _, p in learn])) if learn else (np.zeros(SIZE, np.float32), -3.0)
+    target = np.array([with_label(posterior.get(v, prior), y) if y >= 0 else posterior.get(v, prior) for (_, y, _), v in zip(learn, known)])
+    weights, bias = fit_linear([f for f, _, _ in learn], target, np.array([1.0 if y >= 0 else unlabelled for _, y, _ in learn]))
     return Model(weights, bias, mined, rate, correlation, prior)
 
 

@@ -14,7 +14,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, shared_path
+from .common import bounded_sample, shared_path, tidy
 
 
 def usable(batch: pa.RecordBatch, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -101,13 +101,13 @@ class Beam:
 def fit_index(vectors: DataFrame, id_col: str, vector_col: str, sample: int = 8192, **shape) -> Quantiser | None:
     """Codebooks fitted on at most ``sample`` vectors, those with the smallest hash; None if no vector takes part."""
     rows = vectors.select(F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull() & (F.size("v") > 0))
-    rows = rows.withColumn("size", F.size("v")).withColumn("text", F.concat_ws(",", F.transform("v", lambda c: c.cast("string"))))
-    got = bounded_sample(rows, "size", sample)
-    sizes = [len(r["v"]) for r in got]
-    if not sizes:
+    rows = rows.withColumn("size", F.size("v"))
+    most = rows.groupBy("size").agg(F.count("*").alias("n")).agg(F.max_by("size", F.struct("n", "size")).alias("dim")).first()
+    if most["dim"] is None:
         return None
-    dim = max(set(sizes), key=lambda n: (sizes.count(n), n))
-    x = np.array([r["v"] for r in got if len(r["v"]) == dim and None not in r["v"]], float).reshape(-1, dim)
+    dim = most["dim"]
+    rows = rows.where(F.col("size") == dim).withColumn("text", F.concat_ws(",", F.transform("v", lambda c: c.cast("string"))))
+    x = np.array([r["v"] for r in bounded_sample(rows, "size", sample) if None not in r["v"]], float).reshape(-1, dim)
     x = x[np.isfinite(x).all(1) & x.any(1)]
     return Quantiser.fit(x, **shape) if len(x) else None
 
@@ -121,7 +121,8 @@ def search(
     Nearness is the Euclidean distance in double precision on the original vectors, ties to the smaller id; a row is no
     neighbour of itself. Rows whose id or vector is null, and vectors that are zero, hold null or non-finite components
     or have another dimension than most, take no part. With fewer than ``k`` other rows all are returned. Every row is
-    indexed; the ``shortlist`` best codes of each query are ranked exactly.
+    indexed; the ``shortlist`` best codes of each query are ranked exactly. Results name ids: of rows that repeat an id the
+    nearest counts, so an id stands at most once beside a query's, and a row with the query's own id never does.
 
     Codes are dealt over ``stripes`` (by default as many as shuffle partitions) in blocks of bounded size. In each
     stripe a block of queries meets one block of codes after the other and hands on one shortlist for all of them, so
@@ -154,9 +155,9 @@ def search(
                 yield pa.RecordBatch.from_arrays([pa.array([ids[s : s + queries_per_block].astype(np.int64)], pa.list_(pa.int64())), pa.array([x[s : s + queries_per_block].astype(np.float32).tobytes()], pa.binary())], ["q_ids", "q"])
 
     index = shared_path(spark, "ann-index")
-    base.mapInArrow(encode, "stripe int, ids array<long>, codes binary, norms binary").write.parquet(index)
+    base.mapInArrow(tidy(encode), "stripe int, ids array<long>, codes binary, norms binary").write.parquet(index)
     blocks = spark.read.parquet(index)
-    queries = base.where("q").select("id", "v").coalesce(8).mapInArrow(pack, "q_ids array<long>, q binary")
+    queries = base.where("q").select("id", "v").repartition(stripes).mapInArrow(tidy(pack), "q_ids array<long>, q binary")
     queries = queries.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
 
     def meet(batches):
@@ -184,13 +185,16 @@ def search(
                 near, ids = np.concatenate([best_near, near], 1), np.concatenate([best_id, np.broadcast_to(ids, near.shape)], 1)
                 width = min(shortlist, near.shape[1])
                 pick = np.argpartition(near, width - 1, 1)[:, :width]
+                last = np.take_along_axis(near, pick, 1).max(1)
+                for r in np.flatnonzero((near <= last[:, None]).sum(1) > width):  # ties at the cut: the smaller ids go on
+                    pick[r] = np.lexsort((ids[r], near[r]))[:width]
                 best_near, best_id = np.take_along_axis(near, pick, 1), np.take_along_axis(ids, pick, 1)
         if now is not None:
             yield hand_on()
 
-    met = queries.join(blocks, "stripe").select("stripe", "ids", "codes", "norms", "q_ids", "q").mapInArrow(meet, "query_id long, vec_id long, near float")
+    met = queries.join(blocks, "stripe").select("stripe", "ids", "codes", "norms", "q_ids", "q").mapInArrow(tidy(meet), "query_id long, vec_id long, near float")
     first = Window.partitionBy("query_id").orderBy("near", "vec_id")
-    short = met.withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist).select("query_id", "vec_id")
+    short = met.groupBy("query_id", "vec_id").agg(F.min("near").alias("near")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist).select("query_id", "vec_id")
     plain = base.select("id", "v")
     paired = short.join(plain.select(F.col("id").cast("long").alias("vec_id"), F.col("v").alias("v")), "vec_id").join(base.where("q").select(F.col("id").cast("long").alias("query_id"), F.col("v").alias("w")), "query_id")
 
@@ -201,6 +205,6 @@ def search(
                 both = [part.column(c).flatten().to_numpy(zero_copy_only=False).reshape(len(part), -1) for c in ("v", "w")]
                 yield pa.RecordBatch.from_arrays([part.column("query_id"), part.column("vec_id"), pa.array(np.sqrt(((both[0] - both[1]) ** 2).sum(1)))], ["query_id", "vec_id", "score"])
 
-    ranked = paired.mapInArrow(exact, "query_id long, vec_id long, score double")
+    ranked = paired.mapInArrow(tidy(exact), "query_id long, vec_id long, score double").groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
     return ranked.withColumn("rank", rank).where(F.col("rank") <= k).select(F.col("query_id").cast(kind), F.col("rank").cast("int"), F.col("vec_id").cast(kind), "score")

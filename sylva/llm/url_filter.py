@@ -34,43 +34,52 @@ def rule_of(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def tokens_of(url: Column, host: Column, path: Column) -> Column:
-    """At most eight tokens: scheme, last label, last two labels, first label, first path segment, file ending, whether
-    there is a query, whether there is a fragment."""
+    """Scheme, last label, last two labels, first label, every path segment, file ending, every query key, whether there is a
+    query, whether there is a fragment."""
     labels = F.split(host, r"\.")
-    first = F.regexp_extract(path, r"^/([^/]+)", 1)
-    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]{1,8})$", 1)
+    ending = F.regexp_extract(path, r"\.([A-Za-z0-9]+)$", 1)
+    asked = F.regexp_extract(url, r"(?s)^[^#]*?\?([^#]*)", 1)
+    keys = F.transform(F.filter(F.split(asked, "&"), lambda x: x != ""), lambda x: F.concat(F.lit("key:"), F.substring_index(x, "=", 1)))
+    segments = F.transform(F.filter(F.split(path, "/"), lambda x: x != ""), lambda x: F.concat(F.lit("path:"), x))
     parts = [
-        F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(url, r"(?s)^(.{1,16}?)://", 1))),
+        F.concat(F.lit("scheme:"), F.lower(F.regexp_extract(url, r"(?s)^(.*?)://", 1))),
         F.concat(F.lit("tld:"), F.element_at(labels, -1)),
         F.concat(F.lit("domain:"), F.substring_index(host, ".", -2)),
         F.when(F.size(labels) > 2, F.concat(F.lit("sub:"), labels[0])),
-        F.when(first != "", F.concat(F.lit("first:"), first)),
         F.when(ending != "", F.concat(F.lit("ending:"), F.lower(ending))),
         F.when(F.contains(url, F.lit("?")), F.lit("query")),
         F.when(F.contains(url, F.lit("#")), F.lit("fragment")),
     ]
-    return F.array_distinct(F.array_compact(F.array(*parts)))
+    return F.array_distinct(F.concat(F.array_compact(F.array(*parts)), segments, keys))
 
 
-def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, max_tokens: int = 4) -> DataFrame:
+def mine_rules(labelled: DataFrame, min_support: float = 0.01, min_confidence: float = 0.8, min_domains: int = 3) -> DataFrame:
     """(verdict, antecedent, confidence, support, token) from rows (tokens, verdict).
 
-    A url has at most eight tokens, so at most 162 / ``min_support`` combinations of up to four can be frequent: that
-    bounds the rules whatever the size of the input. ``token``: the rarest token of the rule, its key in the index.
+    A rule that does not name a domain has to hold for labelled urls of ``min_domains`` registered domains (last two
+    labels) at least: what one host's paths go with says nothing about other hosts. At most the urls' number of tokens /
+    ``min_support`` tokens can be frequent, which bounds the rules whatever the size of the input. ``token``: the rarest
+    token of the rule, its key in the index.
     """
     baskets = labelled.select(F.array_union("tokens", F.array(F.concat(F.lit("="), "verdict"))).alias("items"))
     model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(baskets)
-    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")) & (F.size("antecedent") <= max_tokens))
+    rules = model.associationRules.where(F.startswith(F.col("consequent")[0], F.lit("=")))
     rules = rules.where(~F.exists("antecedent", lambda t: F.startswith(t, F.lit("="))))
-    rules = rules.select(F.substring(F.col("consequent")[0], 2, 100).alias("verdict"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
+    rules = rules.select(F.substr(F.col("consequent")[0], F.lit(2)).alias("verdict"), F.array_sort("antecedent").alias("antecedent"), "confidence", "support")
     single = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    keyed = rules.select("*", F.explode("antecedent").alias("token")).join(F.broadcast(single), "token")  # at most 8 / min_support tokens
-    return keyed.groupBy("verdict", "antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+    keyed = rules.select("*", F.explode("antecedent").alias("token")).join(F.broadcast(single), "token")  # a few tokens a url / min_support
+    keyed = keyed.groupBy("verdict", "antecedent", "confidence", "support").agg(F.min_by("token", F.struct("freq", "token")).alias("token"))
+    named = F.exists("antecedent", lambda t: F.startswith(t, F.lit("domain:")))
+    urls = labelled.select("tokens", "verdict", F.get(F.filter("tokens", lambda t: F.startswith(t, F.lit("domain:"))), F.lit(0)).alias("domain"))
+    seen = urls.withColumn("token", F.explode("tokens")).join(F.broadcast(keyed.where(~named)), ["token", "verdict"])  # no more than the mined rules
+    seen = seen.where(F.size(F.array_except("antecedent", "tokens")) == 0).groupBy("verdict", "antecedent", "domain").agg(F.lit(1).alias("one"))
+    wide = seen.groupBy("verdict", "antecedent").agg(F.count("domain").alias("domains")).where(F.col("domains") >= min_domains).select("verdict", "antecedent")
+    return keyed.where(named).unionByName(keyed.where(~named).join(F.broadcast(wide), ["verdict", "antecedent"], "left_semi").select(keyed.columns))
 
 
 def judge(
     pages: DataFrame, rules: list[tuple[str, str]] = RULES, default: str = "allow", id_col: str = "page_id", url_col: str = "url",
-    min_support: float = 0.01, min_confidence: float = 0.8,
+    min_support: float = 0.01, min_confidence: float = 0.8, min_domains: int = 3,
 ) -> DataFrame:
     """One row per input row: id_col, host, path, rule, verdict, mined (tokens of the mined rule that decided, else
     null) and confidence.
@@ -86,7 +95,7 @@ def judge(
     for v, r in rules:
         verdict = F.when(F.col("rule") == r, v).otherwise(verdict)
     rows = rows.withColumn("given", verdict)
-    index = mine_rules(rows.where(F.col("given").isNotNull()).select("tokens", F.col("given").alias("verdict")), min_support, min_confidence)
+    index = mine_rules(rows.where(F.col("given").isNotNull()).select("tokens", F.col("given").alias("verdict")), min_support, min_confidence, min_domains)
     index = index.select("token", F.struct("confidence", "support", F.size("antecedent").alias("size"), "verdict", "antecedent").alias("found")).groupBy("token").agg(F.collect_list("found").alias("rules"))
     open_rows = rows.withColumn("row", F.monotonically_increasing_id())
     looked = open_rows.withColumn("token", F.explode_outer(F.when(F.col("given").isNull(), F.col("tokens")))).join(F.broadcast(index), "token", "left")  # bounded: see mine_rules

@@ -10,15 +10,17 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import bounded_sample, strings
+from .common import bounded_sample, slices, tidy
 
 UNKNOWN = "und"
 _OTHER = re.compile(r"[\W\d_]+")
+_LETTER = regex.compile(r"\p{L}")
 
 
 def plain(text: str) -> str:
@@ -58,9 +60,9 @@ class Classifier:
 
     def classify(self, text: str) -> tuple[str, float]:
         """The language of the fewest bytes (ties: the first by name) and by how large a share it beats the next."""
-        raw = plain(text).encode()
-        if not raw.strip() or not self.langs:
+        if not self.langs or not _LETTER.search(text):
             return UNKNOWN, 0.0
+        raw = plain(text).encode()
         sizes = [sum(len(pack(raw[s : s + self.block])) for s in range(0, len(raw), self.block)) for pack in self.packers]
         best = min(range(len(sizes)), key=sizes.__getitem__)
         rest = min((s for i, s in enumerate(sizes) if i != best), default=sizes[best] * 2)
@@ -81,9 +83,10 @@ def identify(
 
     def run(batches):
         classifier = Classifier(dictionaries, level, block)
-        for batch in batches:
-            got = [classifier.classify(t) for t in strings(batch.column(text_col)).to_pylist()]
-            columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < margin for g in got], pa.bool_())]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score", "rejected"])
+        for whole in batches:
+            for batch, texts in slices(whole, text_col):
+                got = [classifier.classify(t) for t in texts.to_pylist()]
+                columns = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64()), pa.array([g[0] == UNKNOWN or g[1] < margin for g in got], pa.bool_())]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, "lang_pred", "score", "rejected"])
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

@@ -19,11 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import WORD_BYTES, Words, flat_bytes, mix, slices, strings
+from .common import WORD_BYTES, Words, flat_bytes, mix, slices, strings, tidy
 
 ANCHOR = 8
-#: Walk lengths by the characters that an item has left after the window's beginning, and characters sampled.
-CLASSES = [(72, 16), (28, 9)]
+#: Walk lengths by the characters that an item has left after the window's beginning, and characters sampled. The shorter
+#: windows are for items that have few of the longer ones.
+CLASSES = [(72, 16), (28, 9), (12, 4)]
 
 
 def normalised(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -180,14 +181,14 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """The input with ``leaks``: an array of (item, edits), sorted, of the benchmark items that stand in the text.
 
     An item stands in a text if some part of it is within ``tolerance`` times the item's length of edits, both in lower
-    case and with anything but letters and digits as single spaces. Items shorter than the shortest window must stand
-    there word for word; items without words, and empty or null texts, never match. Repeated rows each get the same
+    case and with anything but letters and digits as single spaces. Items of fewer than 12 bytes, shorter than any window, must
+    stand there word for word, and repeated benchmark rows count once; items without words, and empty or null texts, never match. Repeated rows each get the same
     leaks. ``repeats``: walks; each catches a window with its own chance, so more of them raise recall. Benchmarks of any
     size are taken in blocks of about ``item_bytes``, each of which is sent to the executors in a pass of its own.
     """
     docs = docs.drop("leaks").withColumn(text_col, F.col(text_col).cast("string"))
     kind = benchmark.schema[item_id].dataType.simpleString()
-    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull())
+    items = benchmark.select(F.col(item_id).alias("item"), F.col(item_text).cast("string").alias("text")).where(F.col("text").isNotNull()).dropDuplicates()
     total = items.agg(F.sum(F.length("text"))).first()[0] or 0
     passes = -(-total // item_bytes) or 1
     out = docs.withColumn("leaks", F.array().cast(f"array<struct<item:{kind},edits:int>>"))
@@ -237,4 +238,4 @@ def _one_pass(docs: DataFrame, text_col: str, items: Items, tolerance: float) ->
                     columns[at] = pa.array(old, batch.schema.field(at).type)
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return docs.mapInArrow(run, StructType(list(docs.schema.fields)))
+    return docs.mapInArrow(tidy(run), StructType(list(docs.schema.fields)))

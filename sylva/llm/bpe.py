@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructType
 
-from .common import flat_bytes, slices
+from .common import flat_bytes, slices, tidy
 from .pieces import PieceMemory
 
 END = "</w>"
@@ -96,7 +96,7 @@ class Transducer:
             if last and self.end:
                 symbols[-1] += self.end
                 want[-1] += self.end
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > 300_000:
                 self.pairs.clear()
             self.pairs[key] = known = self.merge(symbols) == want
         return known
@@ -180,7 +180,7 @@ class WordBpe:
     """A tokenizer of the word-end kind, read from its public file: NFC, white space as separator, lower case, words cut
     by the file's pattern, bytes as symbols, the last one marked. ``limit``: pieces that are remembered."""
 
-    def __init__(self, path: str, limit: int = 500_000):
+    def __init__(self, path: str, limit: int = 400_000):
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         model = spec["model"]
@@ -238,6 +238,14 @@ class WordBpe:
         flat, places = self.memory.gather(raw[seen], at)
         return flat, np.diff(places[np.searchsorted(at, upto[offsets])])
 
+    def rest(self) -> None:
+        """Between tasks only the pieces that come often are remembered."""
+        self.memory.forget(8)
+        self.known.clear()
+        self.transducer.begins.clear()
+        if len(self.transducer.pairs) > 100_000:
+            self.transducer.pairs.clear()
+
     def decoder(self, plain: bool = True) -> Decoder:
         return Decoder(self, plain)
 
@@ -308,7 +316,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
             return digest.hexdigest()
 
         for whole in batches:
-            for batch, texts in slices(whole, text_col, 4 << 20):
+            for batch, texts in slices(whole, text_col, 3 << 20):
                 flat, n = bpe.encode(texts)
                 ends = np.cumsum(n)
                 columns = [batch.column(c) for c in names] + [pa.array(n)]
@@ -318,5 +326,6 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
                     parts = [flat[b - k : b] for b, k in zip(ends.tolist(), n.tolist())]
                     columns += [pa.array([sha(p.astype("<u4").tobytes()).hexdigest() for p in parts], pa.string()), pa.array([decoded(bpe, p) for p in parts], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
+        bpe.rest()
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(tidy(run), schema)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, slices, strings
+from .common import Words, slices, strings, tidy
 
 #: The phrases whose places are always reported, with their labels.
 PHRASES = {
@@ -125,7 +125,7 @@ def scan_licenses(
                 else:
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(part), whole.schema.field("id").type), *part.columns], ["id", *part.schema.names])
 
-    grams = grams.mapInArrow(with_id, out)
+    grams = grams.mapInArrow(tidy(with_id), out)
     known = F.broadcast(template_grams(spark, k, templates))  # as many rows as the templates have words
     hits = grams.join(known, "gram", "left").where((F.col("pos") < 0) | F.col("tpl").isNotNull()).repartition("row")
     diagonals = hits.groupBy("row", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(

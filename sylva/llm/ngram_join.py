@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, Words, at_parts, components, discard, mix, parts_held, slices, stored, with_group
+from .common import SALTS, Words, at_parts, components, discard, mix, parts_held, slices, stored, tidy, with_group
 
 SEED = 99
 
@@ -289,7 +289,7 @@ def similar(
                     ["doc", "h", "set", "grams", "sig"],
                 )
 
-    features = stored(source.select("doc", "h", "text").mapInArrow(featurise, f"doc {kind}, h long, set string, grams long, sig binary"), "features")
+    features = stored(source.select("doc", "h", "text").mapInArrow(tidy(featurise), f"doc {kind}, h long, set string, grams long, sig binary"), "features")
     features_at = features.withColumn("_salt", F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int"))
     classes = stored(
         features_at.where("set is not null").groupBy("set").agg(
@@ -304,10 +304,10 @@ def similar(
                 keys = band_keys(sigs, rows).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column("set").take(pa.array(np.repeat(np.arange(len(batch)), keys.shape[1]))), pa.array(keys.reshape(-1))], ["set", "key"])
 
-    banded = classes.select("set", "sig").mapInArrow(cut_bands, "set string, key long")
+    banded = classes.select("set", "sig").mapInArrow(tidy(cut_bands), "set string, key long")
     buckets = with_group(banded, "key", "set", F.count("*").alias("n"), keep="n > 1")
     buckets = buckets.select("set", "key", F.ceil(F.col("n") / block).cast("int").alias("blocks")).join(classes.select("set", "sig"), "set")
-    near = in_blocks(buckets, "key", "blocks", "sig").mapInArrow(lambda batches: survivors(batches, needed), "a string, b string")
+    near = in_blocks(buckets, "key", "blocks", "sig").mapInArrow(tidy(lambda batches: survivors(batches, needed)), "a string, b string")
     groups = components(near)
 
     members = classes.select("set", "rep.doc", "rep.h", "copies", "sig", "n_grams").join(groups.select(F.col("node").alias("set"), "label"), "set")
@@ -322,7 +322,7 @@ def similar(
                 sets = shingle_sets(Words(part), k)
                 yield pa.RecordBatch.from_arrays([*batch.drop_columns(["text"]).columns, pa.array([s.tobytes() for s in sets], pa.binary())], ["set", "copies", "sig", "label", "blocks", "grams"])
 
-    carried = texts.mapInArrow(with_sets, "set string, copies long, sig binary, label string, blocks int, grams binary")
+    carried = texts.mapInArrow(tidy(with_sets), "set string, copies long, sig binary, label string, blocks int, grams binary")
 
     def work(batches):
         listed = lambda c: c.to_pylist()
@@ -343,7 +343,7 @@ def similar(
             take = lambda x: pa.array([name[y] for y in x], pa.string())  # noqa: B023, E731
             yield pa.RecordBatch.from_arrays([take(order), take(following), pa.array(texts[order]), pa.array(count[order].astype(np.int64))], ["a", "b", "texts", "links"])
 
-    found = stored(in_blocks(carried, "label", "blocks", "copies", "sig", "grams").mapInArrow(work, "a string, b string, texts long, links long"), "links")
+    found = stored(in_blocks(carried, "label", "blocks", "copies", "sig", "grams").mapInArrow(tidy(work), "a string, b string, texts long, links long"), "links")
     linked = found.groupBy(F.col("a").alias("set")).agg(F.sum("texts").alias("texts"), F.sum("links").alias("links"))
     joined = components(found.select("a", "b"))
     per_class = classes.select("set", F.col("rep.doc").alias("copy_id"), "copies", "_parts").join(linked, "set", "left").join(joined.withColumnRenamed("node", "set"), "set", "left")

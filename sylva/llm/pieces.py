@@ -20,19 +20,19 @@ class PieceMemory:
     def __init__(self, encode: Callable[[list[str]], tuple[list[str], np.ndarray, np.ndarray]], limit: int = 400_000, longest: int = 256):
         self.encode, self.limit, self.longest = encode, limit, longest
         self.known: dict[str, int] = {}  # piece -> its number
-        self.ids, self.used = np.zeros(1 << 20, np.uint32), 0  # the ids of all pieces, one after the other
+        self.ids, self.used = np.zeros(1 << 16, np.uint32), 0  # the ids of all pieces, one after the other
         self.begin = np.zeros(1, np.int64)  # number -> where its ids begin; one more than pieces
         self.hits = np.zeros(0, np.int32)  # number -> batches that it came in
 
-    def forget(self) -> None:
-        """Keeps the pieces that came at least twice, in up to half of the space, those that came most first."""
+    def forget(self, share: int = 2) -> None:
+        """Keeps the pieces that came at least twice, in up to one ``share``-th of the space, those that came most first."""
         kept = np.flatnonzero(self.hits >= 2)
-        kept = np.sort(kept[np.argsort(-self.hits[kept], kind="stable")][: self.limit // 2])
+        kept = np.sort(kept[np.argsort(-self.hits[kept], kind="stable")][: self.limit // share])
         names, n = list(self.known), np.diff(self.begin)[kept]
         ends = np.cumsum(n)
         flat = self.ids[np.repeat(self.begin[:-1][kept] - (ends - n), n) + np.arange(n.sum())]
         self.known = {names[k]: i for i, k in enumerate(kept.tolist())}
-        self.ids, self.used = np.r_[flat, np.zeros(1 << 20, np.uint32)], len(flat)
+        self.ids, self.used = np.r_[flat, np.zeros(1 << 16, np.uint32)], len(flat)
         self.begin, self.hits = np.r_[0, ends], self.hits[kept] // 2
 
     def learn(self, pieces: list[str]) -> None:

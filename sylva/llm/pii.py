@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import slices, some_texts
+from .common import slices, some_texts, tidy
 
 #: Kinds and patterns, in the order in which ties are listed.
 KINDS = ["email", "ip", "card", "phone"]
@@ -334,7 +334,7 @@ def fit_tagger(docs: DataFrame, text_col: str = "text", sample: int = 2000, wind
                         rows.append((t[s : s + WINDOW], tag_window(spans, s).tobytes()))
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.binary())], ["text", "tags"])
 
-    got = {r["text"]: r["tags"] for r in some_texts(texts, sample).mapInArrow(cut, "text string, tags binary").orderBy("text", "tags").collect()}  # at most windows x 1.5 sample
+    got = {r["text"]: r["tags"] for r in some_texts(texts, sample).mapInArrow(tidy(cut), "text string, tags binary").orderBy("text", "tags").collect()}  # at most windows x 1.5 sample
     got = sorted(got.items(), key=lambda r: (hashlib.blake2b(r[0].encode("utf-8", "surrogatepass")).digest(), r[0]))[:sample]
     tagger = Tagger()
     if not got:
@@ -378,7 +378,7 @@ def find_pii(docs: DataFrame, tagger: Tagger, text_col: str = "text", mask: bool
                 columns += [pa.array([hashlib.sha256(listed(s).encode()).hexdigest() for s in base]), pa.array([listed(s) for s in spans], pa.string())]
                 yield pa.RecordBatch.from_arrays(columns, schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)
 
 
 def _masked(text: str, spans: list[tuple[int, int, str]]) -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .ann import search
 from .bpe import encode_texts
-from .common import fold, shared_path, table
+from .common import fold, shared_path, small_batches, table
 from .decontaminate import find_leaks
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
@@ -18,6 +18,11 @@ from .toxicity import fit, score
 from .url_filter import judge
 
 
+def whole(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
+    return table(spark, sf_dir, name)
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -25,54 +30,54 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return search(whole(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
-    labels = table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    docs = whole(spark, sf_dir, "documents").select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "text")
+    labels = whole(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
     model = fit(docs.where(~F.col("held_out")), labels)
     return score(docs, model).drop("text")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similar(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return similar(whole(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return judge(table(spark, sf_dir, "pages"))
+    return judge(whole(spark, sf_dir, "pages"))
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
+    docs = whole(spark, sf_dir, "documents").withColumn("held_out", fold("doc_id", 4) == 2)
     dictionaries = learn_dictionaries(docs.where(~F.col("held_out")))
     return identify(docs.select("doc_id", "held_out", "text"), dictionaries).drop("text")
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_path(spark, "token-store")
-    write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
+    write_tokens(whole(spark, sf_dir, "documents"), path, tokenizer_file("byte_bpe_50k.json"))
     return read_tokens(spark, path, with_ids=False)
 
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = whole(spark, sf_dir, "documents").select("doc_id", "text")
     return encode_texts(docs, tokenizer_file("word_bpe_49k.json"), with_ids=False, digest=True)
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = find_leaks(docs, table(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
+    docs = whole(spark, sf_dir, "documents").select("doc_id", "text")
+    found = find_leaks(docs, whole(spark, sf_dir, "benchmark")).where(F.size("leaks") > 0)
     return found.select("doc_id", F.explode("leaks").alias("leak")).select("doc_id", F.col("leak.item").alias("item_id"), F.col("leak.edits").alias("edits"))
 
 
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = whole(spark, sf_dir, "documents").select("doc_id", "text")
     return find_pii(docs, fit_tagger(docs)).drop("text")
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan_licenses(table(spark, sf_dir, "documents"))
+    return scan_licenses(whole(spark, sf_dir, "documents"))
 
 
 QUERIES = {

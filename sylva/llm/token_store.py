@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import flat_bytes, slices
+from .common import flat_bytes, slices, tidy
 from .pieces import PieceMemory
 
 class Encoder:
@@ -153,7 +153,7 @@ def write_tokens(
 
         for whole in batches:
             schema = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.list_(whole.schema.field("id").type), pa.list_(pa.int64()), pa.string(), pa.int32(), pa.list_(pa.list_(pa.binary()))]
-            for batch, texts in slices(whole, "text", 4 << 20):
+            for batch, texts in slices(whole, "text", 3 << 20):
                 flat, n = enc.encode(texts)
                 if len(end):
                     flat, n = np.insert(flat, np.cumsum(n), end), n + 1
@@ -170,8 +170,9 @@ def write_tokens(
                         yield close()
         if names:
             yield close()
+        enc.memory.forget(8)  # between tasks only the pieces that come often are remembered
 
-    rows.mapInArrow(run, out).write.parquet(path)
+    rows.mapInArrow(tidy(run), out).write.parquet(path)
 
 
 def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids: bool = True) -> DataFrame:
@@ -202,4 +203,4 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
-    return chunks.join(before, "shard").select("first", "n_ids", "ids", "lengths", "kind", "block", "planes", "before").mapInArrow(run, out)
+    return chunks.join(before, "shard").select("first", "n_ids", "ids", "lengths", "kind", "block", "planes", "before").mapInArrow(tidy(run), out)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import Words, bounded_sample, flat_bytes, slices, some_texts, strings
+from .common import Words, bounded_sample, flat_bytes, slices, some_texts, strings, tidy
 
 #: Word lists, one voter each.
 LEXICONS = {
@@ -214,11 +214,11 @@ def with_label(p: float, y: int, trust: float = 0.97) -> float:
     return odds / (1 + odds)
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, unlabelled: float = 0.25) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = 3000, unlabelled: float = 0.5) -> Model:
     """Fits everything on ``docs`` (texts that may be learned from) and ``labels`` (id_col, toxic).
 
     Bound: the mined voters are fitted on at most ``sample`` labelled texts of each class, the classifier on these and on about
-    1.5 times ``sample`` texts without a label, whose target is the label model's posterior alone; all are chosen by hash, and
+    half of ``sample`` texts without a label, whose target is the label model's posterior alone; all are chosen by hash, and
     only their feature numbers and votes reach the driver. A label counts as one more voter, and
     a text without one weighs ``unlabelled`` of one with. The label model is fitted on
     the counts of vote combinations (at most 2 to the number of voters rows) over all texts of ``docs``.
@@ -243,7 +243,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, [], feats)), pa.array([r.tobytes() for r in rows], pa.binary())], ["toxic", "votes", "f"])
 
     labelled = texts.join(near, "_id", "left").select(F.coalesce("toxic", F.lit(-1)).alias("toxic"), "text")
-    learn = labelled.where("toxic >= 0").union(some_texts(labelled.where("toxic < 0"), sample)).mapInArrow(numbers, "toxic int, votes long, f binary").collect()
+    learn = labelled.where("toxic >= 0").union(some_texts(labelled.where("toxic < 0"), sample // 3)).mapInArrow(tidy(numbers), "toxic int, votes long, f binary").collect()
     learn = sorted(((np.frombuffer(r["f"], np.int32), r["toxic"], r["votes"]) for r in learn), key=lambda s: (s[1], len(s[0]), s[0].tobytes()))
     mined = mine([(f, y) for f, y, _ in learn if y >= 0])
     first = len(VOTERS) - MINED
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 words = Words(part)
                 yield pa.RecordBatch.from_arrays([batch.column("toxic"), pa.array(votes(part, words, mined, features(words)))], ["toxic", "votes"])
 
-    patterns = [(r["votes"], r["toxic"], float(r["n"])) for r in labelled.mapInArrow(count_votes, "toxic int, votes long").groupBy("votes", "toxic").agg(F.count("*").alias("n")).orderBy("votes", "toxic").collect()]
+    patterns = [(r["votes"], r["toxic"], float(r["n"])) for r in labelled.mapInArrow(tidy(count_votes), "toxic int, votes long").groupBy("votes", "toxic").agg(F.count("*").alias("n")).orderBy("votes", "toxic").collect()]
     if not patterns:
         return Model(np.zeros(SIZE, np.float32), -3.0, mined)
     prior = float(np.clip(per_class.agg(F.avg("toxic")).first()[0] or 0.05, 0.005, 0.5)) if any(y >= 0 for _, y, _ in patterns) else 0.05
@@ -291,4 +291,4 @@ def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p), pa.array((p >= 0.5).astype(np.int32))], schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(tidy(run), schema)

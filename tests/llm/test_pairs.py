@@ -127,6 +127,12 @@ def test_neighbours(spark):
         assert all(abs(s - d[v]) < 1e-12 for _, v, s in found) and [f[2] for f in sorted(found)] == sorted(f[2] for f in found)
         hits += len({v for _, v, _ in found} & set(best.tolist()))
     assert hits >= 54 and sorted(by[100])[0][1:] == (5, 0.0)
+    # repeated ids stand once, and of more equal vectors than the shortlist holds the smallest ids come
+    again = table.union(table.where("vec_id in (5, 7, 100)")).union(table.where("vec_id = 5"))
+    twice = [(g.rank, g.vec_id, g.score) for g in search(again, F.col("vec_id") == 100, books=8, words=32, shortlist=300).collect()]
+    assert sorted(twice) == sorted(by[100])
+    same = spark.createDataFrame([(i, [1.0, 2.0, float(i < 1)]) for i in range(500)], "vec_id long, embedding array<double>")
+    assert [g.vec_id for g in sorted(search(same, F.col("vec_id") == 0, books=2, words=2, shortlist=20, codes_per_block=64).collect(), key=lambda g: g.rank)] == list(range(1, 11))
     few = search(table.where("vec_id < 4"), F.col("vec_id") % 100 == 0, books=2, words=4).collect()
     assert len(few) == 3
     assert search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0
@@ -155,7 +161,7 @@ def test_leaks(spark):
     r = random.Random(9)
     letters = "abcdefghilmnoprstu"
     prose = lambda n: " ".join("".join(r.choices(letters, k=r.randint(2, 8))) for _ in range(n))
-    items = [(i, prose(40)) for i in range(20)] + [(50, "tiny item"), (51, ""), (52, None), (53, prose(8))]
+    items = [(i, prose(40)) for i in range(20)] + [(50, "tiny item"), (51, ""), (52, None), (53, prose(8)), (54, "the quick brown fox jumps"), (54, "the quick brown fox jumps")]
     rows, expected = [], set()
     for i in range(60):
         text = prose(120)
@@ -167,8 +173,8 @@ def test_leaks(spark):
             text = text[:200] + ", " + "".join(s) + ". " + text[200:]
             expected.add((i, k))
         rows.append((i, text))
-    rows += [(100, None), (101, ""), (102, "a Tiny, item!"), (103, "tiny b item"), (104, items[23][1]), (105, items[3][1][: len(items[3][1]) // 2])]
-    expected |= {(102, 50), (104, 53)}
+    rows += [(100, None), (101, ""), (102, "a Tiny, item!"), (103, "tiny b item"), (104, items[23][1]), (105, items[3][1][: len(items[3][1]) // 2]), (106, "so: the quick brown foz jumps on"), (107, "the quick blue dog ran")]
+    expected |= {(102, 50), (104, 53), (106, 54)}
     table = spark.createDataFrame(rows, "doc_id long, text string").withColumn("leaks", F.lit("clash"))
     bench = spark.createDataFrame(items, "item_id long, text string")
     for size in (4 << 20, 900):  # one pass, and several
@@ -198,12 +204,20 @@ def test_urls(spark):
         assert got[i].verdict == best[1] if best[1] else got[i].verdict in ("allow", "block")
     # the mined rules are those of counting by hand, and an unlabelled url gets the strongest that it fits
     labelled = spark.createDataFrame([(["a", "b"], "block")] * 9 + [(["a"], "allow")] * 1 + [(["b", "c"], "allow")] * 10, "tokens array<string>, verdict string")
-    rules = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 6), r.token) for r in mine_rules(labelled, 0.05, 0.8).collect()}
+    rules = {(tuple(r.antecedent), r.verdict): (round(r.confidence, 6), r.token) for r in mine_rules(labelled, 0.05, 0.8, min_domains=0).collect()}
     assert rules[(("a", "b"), "block")] == (1.0, "a") and rules[(("a",), "block")][0] == 0.9 and rules[(("c",), "allow")] == (1.0, "c") and (("b",), "allow") not in rules
+    # what only one domain's paths go with is no rule for others; what five domains' paths go with is
+    hosts = [f"https://h{i % 3}.one.com/en/{i}" for i in range(60)] + [f"https://x.d{i % 5}.net/es/{i}" for i in range(60)] + [f"https://x.d{i % 5}.com/a/{i}" for i in range(60)] + ["https://z.org/en/1", "https://z.org/es/1"]
+    rules_of = [("block", "one.com/en/"), ("block", "net/es/"), ("allow", "com/")]
+    verdicts = {r.path: (r.verdict, r.mined) for r in judge(spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string"), rules_of).where("host = 'z.org'").collect()}
+    assert verdicts["/en/1"] == ("allow", None) and verdicts["/es/1"][0] == "block" and "path:es" in verdicts["/es/1"][1]
+    # ties go to the rule of more tokens, repeated rows each get theirs
+    twice = judge(spark.createDataFrame([(i, u) for i, u in enumerate(hosts)] + [(181, hosts[181])], "page_id long, url string"), rules_of).where("page_id = 181").collect()
+    assert len(twice) == 2 and twice[0] == twice[1]
     assert judge(table.limit(0)).count() == 0
     assert judge(table.where("url is null")).first().verdict == "allow"
     row = spark.createDataFrame([("https://a.b.example.com/x/y.html?q=1#z",)], "u string").select(tokens_of(F.col("u"), F.lit("a.b.example.com"), F.lit("/x/y.html")).alias("t")).first().t
-    assert len(row) == 8
+    assert sorted(row) == ["domain:example.com", "ending:html", "fragment", "key:q", "path:x", "path:y.html", "query", "scheme:https", "sub:a", "tld:com"]
 
 
 def test_pipeline_against_stages(spark, tmp_path):

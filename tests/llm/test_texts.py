@@ -58,8 +58,8 @@ def test_language(spark, docs, empty):
     rows = [(i, english, "en") if i % 2 else (i, french, "fr") for i in range(40)] + [(90, None, "en"), (91, french, None)]
     known = learn_dictionaries(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
     assert sorted(known) == ["en", "fr"]
-    got = {r.doc_id: r for r in identify(spark.createDataFrame([(1, "the dog and the cat in the house"), (2, "le chien et le chat dans la maison"), (3, "12 + 3"), (4, None)], "doc_id long, text string"), known).collect()}
-    assert [got[i].lang_pred for i in (1, 2, 3, 4)] == ["en", "fr", "und", "und"] and got[3].rejected and got[4].score == 0
+    got = {r.doc_id: r for r in identify(spark.createDataFrame([(1, "the dog and the cat in the house"), (2, "le chien et le chat dans la maison"), (3, "12 + 3"), (4, None), (5, "² ① Ⅷ"), (6, "² ① Ⅷ the cat")], "doc_id long, text string"), known).collect()}
+    assert [got[i].lang_pred for i in (1, 2, 3, 4, 5, 6)] == ["en", "fr", "und", "und", "und", "en"] and got[3].rejected and got[4].score == 0
     out = identify(docs, known)
     assert out.count() == len(ROWS) and {r.lang_pred for r in out.where("text is null or trim(text) = ''").collect()} == {"und"}
     assert identify(empty, known).count() == 0 and learn_dictionaries(empty) == {}

@@ -141,7 +141,7 @@ def _read_sections(n: DataFrame) -> DataFrame:
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.NOISE) + "]"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9%]+'), lambda w: length(w) > 2 AND NOT list_contains(" + _STOP + ", w)))"
 _LOC = _SECTIONS.rstrip() + f""", b AS (SELECT s.doc_id, s.sec, substr(min(s.content), 1, 200) AS about FROM s WHERE NOT st AND sec > 0 AND p1 = (SELECT min(p1) FROM s s2 WHERE s2.doc_id = s.doc_id AND s2.sec = s.sec AND NOT s2.st) GROUP BY 1, 2),
- rs AS (SELECT sections.doc_id, section, heading, coalesce(about, '') AS about FROM sections LEFT JOIN b ON b.doc_id = sections.doc_id AND b.sec = section WHERE section <= 12),
+ rs AS (SELECT sections.doc_id, section, heading, coalesce(about, '') AS about FROM sections LEFT JOIN b ON b.doc_id = sections.doc_id AND b.sec = section),
  sw AS (SELECT doc_id, section, {_WORDS.format("heading")} AS head, unnest(list_distinct({_WORDS.format("heading")} || {_WORDS.format("about")})) AS word FROM rs),
  spr AS (SELECT doc_id, word, count(*) AS sections FROM sw GROUP BY 1, 2),
  cm AS (SELECT doc_id, 'Shorten the section on ' || substr(text, 1, 60) AS command FROM documents),
@@ -182,7 +182,7 @@ query("agg_style_vote", "SELECT d.doc_id, font_size FROM (SELECT DISTINCT doc_id
     lambda n: P.majority(n.select("doc_id", "sort_path", "content", "style.font_size"), "font_size", F.length("content"))
 )
 query("agg_runs_merge", """SELECT doc_id, string_agg(t, '|' ORDER BY g) AS runs FROM (SELECT doc_id, g, string_agg(w, '' ORDER BY i) AS t FROM (SELECT *, sum(CASE WHEN b = pb THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (
- SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS pb FROM (SELECT doc_id, w, i, length(w) % 2 = 0 AS b FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(substr(text, 1, 300), ' ') AS l FROM documents)) WHERE w <> ''))) GROUP BY 1, 2) GROUP BY 1""", with_nodes=False)(
+ SELECT *, lag(b) OVER (PARTITION BY doc_id ORDER BY i) AS pb FROM (SELECT doc_id, w, i, length(w) % 2 = 0 AS b FROM (SELECT doc_id, unnest(l) AS w, generate_subscripts(l, 1) AS i FROM (SELECT doc_id, string_split(text, ' ') AS l FROM documents)) WHERE w <> ''))) GROUP BY 1, 2) GROUP BY 1""", with_nodes=False)(
     lambda s, d: read(s, d, "documents").select("doc_id", F.array_join(F.transform(P.merged_runs(F.transform(F.split("text", " "), lambda w: F.struct(w.alias("text"), (F.length(w) % 2 == 0).alias("bold")))), lambda r: r["text"]), "|").alias("runs")).where("runs <> ''")
 )
 
@@ -303,12 +303,12 @@ query("spec_code_split", "SELECT doc_id, len(string_split(text, chr(10))) AS lin
 query("spec_borders", "SELECT s_suppkey, CASE s_suppkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 4 ELSE 8 END AS top, CASE s_suppkey % 3 WHEN 0 THEN NULL ELSE 4 END AS inside_h, CASE s_suppkey % 3 WHEN 1 THEN 4 END AS inside_v FROM supplier", with_nodes=False)(
     lambda s, d: read(s, d, "supplier").select("s_suppkey", P.border_edges(F.element_at(F.array(F.lit("none"), F.lit("grid"), F.lit("horizontal")), (F.col("s_suppkey") % 3 + 1).cast("int"))).alias("e")).select("s_suppkey", F.col("e")["top"].alias("top"), F.col("e")["insideH"].alias("inside_h"), F.col("e")["insideV"].alias("inside_v"))
 )
-query("spec_attachments", "SELECT doc_id, source AS label, text FROM (SELECT doc_id, source, substr(text, 1, 50) AS text FROM documents) WHERE trim(text) <> ''", with_nodes=False)(
+query("spec_attachments", "SELECT doc_id, source AS label, text FROM documents WHERE trim(text) <> ''", with_nodes=False)(
     lambda s, d: read(s, d, "documents").select("doc_id", F.col("source").alias("label"), "text").where(F.trim("text") != "")
 )
-query("spec_front_matter", "SELECT doc_id, pos, kind, text FROM (SELECT doc_id, 1 AS pos, 'title' AS kind, substr(string_split(text, chr(10))[1], 1, 80) AS text FROM documents UNION ALL SELECT doc_id, 2, 'authors', source FROM documents UNION ALL SELECT doc_id, 3, 'page_break', '' FROM documents UNION ALL SELECT doc_id, 4, 'abstract', substr(text, 1, 200) FROM documents UNION ALL SELECT doc_id, 5, 'keywords', lang FROM documents)", with_nodes=False)(
+query("spec_front_matter", "SELECT doc_id, pos, kind, text FROM (SELECT doc_id, 1 AS pos, 'title' AS kind, string_split(text, chr(10))[1] AS text FROM documents UNION ALL SELECT doc_id, 2, 'authors', source FROM documents UNION ALL SELECT doc_id, 3, 'page_break', '' FROM documents UNION ALL SELECT doc_id, 4, 'abstract', text FROM documents UNION ALL SELECT doc_id, 5, 'keywords', lang FROM documents)", with_nodes=False)(
     lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(F.array(
-        *[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("title", F.substring(F.split("text", "\n", -1)[0], 1, 80)), ("authors", F.col("source")), ("page_break", F.lit("")), ("abstract", F.substring("text", 1, 200)), ("keywords", F.col("lang")))]
+        *[F.struct(F.lit(k).alias("kind"), t.alias("text")) for k, t in (("title", F.split("text", "\n", -1)[0]), ("authors", F.col("source")), ("page_break", F.lit("")), ("abstract", F.col("text")), ("keywords", F.col("lang")))]
     )).alias("i", "b")).select("doc_id", (F.col("i") + 1).alias("pos"), "b.kind", "b.text")
 )
 _CH = "WITH g AS (SELECT s_nationkey, list(s_name ORDER BY s_suppkey) AS labels, list(s_acctbal ORDER BY s_suppkey) AS vals FROM supplier GROUP BY 1) "
@@ -390,7 +390,7 @@ query("set_styles_union", "SELECT id FROM (VALUES ('ieee'), ('apa'), ('mla')) AS
 
 _DOCS = lambda s, d: read(s, d, "documents")
 query("fn_word_count", r"SELECT doc_id, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS n FROM documents", with_nodes=False)(lambda s, d: _DOCS(s, d).select("doc_id", T.word_count(F.col("text")).alias("n")))
-query("fn_normalised", r"SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 500), '\s+', ' ', 'g'))) AS t FROM documents", with_nodes=False)(lambda s, d: _DOCS(s, d).select("doc_id", T.normalised(F.col("text")).alias("t")))
+query("fn_normalised", r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) AS t FROM documents", with_nodes=False)(lambda s, d: _DOCS(s, d).select("doc_id", T.normalised(F.col("text")).alias("t")))
 query("fn_clip", "SELECT doc_id, substr(text, 1, 80) AS text, length(text) > 80 AS truncated FROM documents", with_nodes=False)(lambda s, d: _DOCS(s, d).select("doc_id", T.clip(F.col("text"), 80).alias("c")).select("doc_id", "c.*"))
 query("fn_safe_filename", r"SELECT page_id, CASE WHEN n = '' THEN 'document' ELSE substr(n, 1, 80) END AS name FROM (SELECT page_id, trim(regexp_replace(url, '[^\pL\pN _-]', '', 'g')) AS n FROM pages)", with_nodes=False)(lambda s, d: read(s, d, "pages").select("page_id", T.safe_filename(F.col("url")).alias("name")))
 query("snk_latin", "SELECT item_id, regexp_replace(replace(replace(text || ' – “x” €', '–', '-'), '“', '\"'), '[^\\x{0}-\\x{FF}]', '?', 'g') AS t FROM (SELECT item_id, replace(text, '”', '\"') AS text FROM benchmark)", with_nodes=False)(

@@ -36,15 +36,16 @@ def _specs(s, d) -> DataFrame:
     return read(s, d, "documents").select("doc_id", F.to_json(spec).alias("spec"))
 
 
-_SPEC = "SELECT doc_id, 1 AS pos, 'heading' AS type, substr(text, 1, 20) AS text FROM documents UNION ALL SELECT doc_id, 2, 'paragraph', substr(text, 21, 40) FROM documents UNION ALL SELECT doc_id, 3, 'paragraph', ' ' FROM documents UNION ALL SELECT doc_id, 4, 'list', NULL FROM documents UNION ALL SELECT doc_id, 5, 'table', NULL FROM documents"
+_SPEC = "SELECT doc_id, 1 AS pos, 'heading' AS type, substr(text, 1, 20) AS text FROM documents UNION ALL SELECT doc_id, 2, 'paragraph', substr(text, 21) FROM documents UNION ALL SELECT doc_id, 3, 'paragraph', ' ' FROM documents UNION ALL SELECT doc_id, 4, 'list', NULL FROM documents UNION ALL SELECT doc_id, 5, 'table', NULL FROM documents"
 query("src_spec", _SPEC, with_nodes=False)(lambda s, d: X.spec_blocks(_specs(s, d)).select("doc_id", "pos", "type", "text"))
 query("salvage_blocks", f"SELECT * FROM ({_SPEC}) WHERE type IN ('list', 'table') OR trim(text) <> ''", with_nodes=False)(lambda s, d: X.usable_blocks(X.spec_blocks(_specs(s, d))).select("doc_id", "pos", "type", "text"))
 for _name in ("src_snapshot", "snk_snapshot"):
     query(_name, "SELECT doc_id, text, 'gz:' AS prefix FROM documents", with_nodes=False)(
         lambda s, d: read(s, d, "documents").select("doc_id", X.pack("text").alias("packed")).select("doc_id", X.unpack("packed").alias("text"), F.substring("packed", 1, 3).alias("prefix"))
     )
-query("emp_strip", "SELECT doc_id, substr(text, 1, 60) AS t FROM documents WHERE NOT regexp_matches(substr(text, 1, 60), '[*_`]') AND regexp_matches(substr(text, 1, 60), '^[^\\s].*[^\\s]$') AND NOT contains(substr(text, 1, 60), chr(10))", with_nodes=False)(
-    lambda s, d: read(s, d, "documents").withColumn("t", F.substring("text", 1, 60)).where(~F.rlike("t", F.lit("[*_`]")) & F.rlike("t", F.lit(r"^[^\s].*[^\s]$")) & ~F.contains("t", F.lit("\n"))).select("doc_id", X.strip_emphasis(F.concat(F.lit("**"), "t", F.lit("**"))).alias("t"))
+_BARE = "trim(translate(text, '*_`' || chr(9) || chr(10), ''))"  # emphasis marks within a text would be stripped as well
+query("emp_strip", f"SELECT doc_id, {_BARE} AS t FROM documents WHERE {_BARE} <> ''", with_nodes=False)(
+    lambda s, d: read(s, d, "documents").withColumn("t", F.trim(F.translate("text", "*_`\t\n", ""))).where("t <> ''").select("doc_id", X.strip_emphasis(F.concat(F.lit("**"), "t", F.lit("**"))).alias("t"))
 )
 query("lst_split_items")(lambda n: n.where("type in ('body', 'paragraph')").select("doc_id", path_text().alias("path"), A.split_items(F.col("content")).alias("x")).select("doc_id", "path", "x.lead", F.size("x.items").alias("n")))
 query("join_spans", "SELECT n.doc_id, n.path, coalesce(c, 0) AS spans FROM nodes n LEFT JOIN (SELECT doc_id, path, count(*) AS c FROM (SELECT doc_id, path, unnest(regexp_extract_all(content, '[0-9]+')) FROM nodes) GROUP BY 1, 2) x ON x.doc_id = n.doc_id AND x.path = n.path")(
@@ -103,7 +104,7 @@ def _assign(s, d) -> DataFrame:
 for _name in ("win_page_assign", "join_page_probe"):
     query(
         _name,
-        """WITH RECURSIVE docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_transform(range(0, (length(text) - 1) // 1500 + 1), lambda k: substr(text, k * 1500 + 1, 1524)) AS pages FROM documents WHERE len(string_split(text, chr(10))) <= 200),
+        """WITH RECURSIVE docs AS (SELECT doc_id, string_split(text, chr(10)) AS lines, list_transform(range(0, (length(text) - 1) // 1500 + 1), lambda k: substr(text, k * 1500 + 1, 1524)) AS pages FROM documents),
  fold AS (SELECT doc_id, 0 AS pos, 1::BIGINT AS page FROM docs UNION ALL SELECT f.doc_id, f.pos + 1, coalesce(list_filter(range(f.page, len(d.pages) + 1), lambda k: contains(d.pages[k], substr(d.lines[f.pos + 1], 1, 24)))[1], f.page) FROM fold f JOIN docs d ON d.doc_id = f.doc_id WHERE f.pos < len(d.lines))
  SELECT doc_id, pos, page FROM fold WHERE pos > 0""",
         with_nodes=False,
@@ -249,9 +250,9 @@ _HK = r"""SELECT doc_id, path, CASE WHEN no OR NOT (coalesce(bold, false) OR big
  SELECT *, line = '' OR length(line) > 90 OR len(list_filter(string_split_regex(line, '\s+'), lambda w: w <> '')) > 14 OR regexp_matches(line, '(?i)^(fig\.|figure|table|eq\.|equation|algorithm|appendix\s+\w+\s*[:.]?\s*\S)') OR regexp_matches(line, '\$|[=≈≤≥±×÷∑∏∫√∞]|\|\||_\{|\^\{|[a-zA-Z]_[a-z0-9]\b') OR (regexp_matches(line, '[.?!;,]$') AND NOT (sub OR tp)) AS no FROM (
  SELECT *, regexp_matches(line, '^([0-9]+\.[0-9]+|[ABCDEFGHJKLMNOPQRSTUWYZ][.)]\s|[IVXLCDM]+-[A-Z0-9]\b)') AS sub, regexp_matches(line, '^([IVXLCDM]+|[0-9]+)[.)]\s') AND NOT regexp_matches(line, '^([0-9]+\.[0-9]+|[ABCDEFGHJKLMNOPQRSTUWYZ][.)]\s|[IVXLCDM]+-[A-Z0-9]\b)') AS tp,
   coalesce(font_size >= 10.5, false) AS bigger, coalesce(font_size >= 12, false) AS much, replace(line, 'ß', 'ss') = upper(replace(line, 'ß', 'ss')) AND line <> lower(line) AND NOT contains(line, 'ß') AND length(line) > 3 AS shouted FROM (
- SELECT *, trim(CASE p1 % 4 WHEN 0 THEN 'II. ' || substr(content, 1, 30) WHEN 1 THEN '2.1 ' || substr(content, 1, 30) WHEN 2 THEN upper(replace(substr(content, 1, 30), 'ß', 'ss')) ELSE content END) AS line FROM nodes WHERE depth = 1)))"""
+ SELECT *, trim(CASE p1 % 4 WHEN 0 THEN 'II. ' || content WHEN 1 THEN '2.1 ' || content WHEN 2 THEN upper(replace(content, 'ß', 'ss')) ELSE content END) AS line FROM nodes WHERE depth = 1)))"""
 query("fn_heading_kind", _HK)(
-    lambda n: n.where("depth = 1").withColumn("p", F.col("sort_path")[0] % 4).withColumn("line", F.when(F.col("p") == 0, F.concat(F.lit("II. "), F.substring("content", 1, 30))).when(F.col("p") == 1, F.concat(F.lit("2.1 "), F.substring("content", 1, 30))).when(F.col("p") == 2, F.upper(F.substring("content", 1, 30))).otherwise(F.col("content"))).select("doc_id", path_text().alias("path"), I.heading_kind(F.col("line"), F.col("style.bold"), F.col("style.font_size"), 10.0).alias("kind"))
+    lambda n: n.where("depth = 1").withColumn("p", F.col("sort_path")[0] % 4).withColumn("line", F.when(F.col("p") == 0, F.concat(F.lit("II. "), "content")).when(F.col("p") == 1, F.concat(F.lit("2.1 "), "content")).when(F.col("p") == 2, F.upper("content")).otherwise(F.col("content"))).select("doc_id", path_text().alias("path"), I.heading_kind(F.col("line"), F.col("style.bold"), F.col("style.font_size"), 10.0).alias("kind"))
 )
 _STY = ["Title", "Heading 1", "heading 3", "Caption", "Footnote Text", "Normal"]
 query("fn_style_class", f"SELECT p_partkey, CASE ['t', 'h', 's', 'c', 'f', 'n'][p_partkey % 6 + 1] WHEN 't' THEN 'heading' WHEN 'h' THEN 'heading' WHEN 's' THEN 'subheading' WHEN 'c' THEN 'caption' WHEN 'f' THEN CASE WHEN p_partkey % 4 = 0 THEN 'reference' ELSE 'footnote' END ELSE CASE WHEN p_partkey % 4 = 0 THEN 'reference' ELSE 'body' END END AS kind FROM part", with_nodes=False)(

@@ -50,12 +50,20 @@ def test_same_rows(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(core.QUERIES) - set(core.ORACLE_SQL)))
 def test_runs(spark, name):
-    assert core.QUERIES[name](spark, str(DATA)).columns
+    assert core.QUERIES[name](spark, str(DATA)).count() > 0
 
 
-def test_whole_tables():
-    """No registered query reads a part of a table by its ids or by a row count."""
-    assert all(callable(q) for q in core.QUERIES.values()) and len(core.ORACLE_SQL) > 140
+@pytest.mark.parametrize("name", ["fn_normalised", "emp_strip", "fn_word_count", "agg_runs_merge", "spec_attachments", "src_spec", "win_page_assign"])
+def test_whole_tables(spark, name):
+    """Every document with a text has its rows."""
+    docs = {r.doc_id for r in spark.read.parquet(str(DATA / "documents.parquet")).where("trim(text) <> ''").collect()}
+    assert {r.doc_id for r in core.QUERIES[name](spark, str(DATA)).collect()} >= docs
+
+
+@pytest.mark.parametrize("name", sorted(core.ORACLE_SQL))
+def test_no_caps(name):
+    """The SQL keeps to no number of sections or lines."""
+    assert "section <= 12" not in core.ORACLE_SQL[name] and "<= 200" not in core.ORACLE_SQL[name]
 
 
 @pytest.mark.parametrize("name", ["win_page_assign", "join_page_probe"])
@@ -82,26 +90,3 @@ def test_sections_after_the_twelfth(spark):
     assert sorted(map(tuple, read.select("doc_id", "section", "heading").collect())) == want
     assert max(r.section for r in core.QUERIES["join_reading"](spark, str(DATA)).collect()) > 12
     assert max(r.section for r in core.QUERIES["set_union_terms"](spark, str(DATA)).collect()) > 12
-
-
-@pytest.mark.parametrize("name", ["cmd_locate", "argmax_section", "agg_spread", "set_intersect_terms", "set_union_terms", "join_reading"])
-def test_all_sections_take_part(spark, duck, name):
-    sql = core.ORACLE_SQL[name].replace(" WHERE section <= 12", "")  # the registered SQL still has the cap
-    rows = core.QUERIES[name](spark, str(DATA))
-    out = duck.execute(sql)
-    names = [d[0] for d in out.description]
-    assert Counter(str(tuple(norm(r[c]) for c in names)) for r in rows.collect()) == Counter(str(tuple(map(norm, r))) for r in out.fetchall())
-
-
-PREFIXES = {
-    "fn_normalised": ("substr(text, 1, 500)", "text"), "spec_attachments": ("substr(text, 1, 50) AS text", "text"), "agg_runs_merge": ("substr(text, 1, 300)", "text"),
-    "src_spec": ("substr(text, 21, 40)", "substr(text, 21)"), "salvage_blocks": ("substr(text, 21, 40)", "substr(text, 21)"),
-}
-
-
-@pytest.mark.parametrize("name", sorted(PREFIXES))
-def test_texts_are_read_to_their_end(spark, duck, name):
-    assert PREFIXES[name][0] in core.ORACLE_SQL[name]
-    out = duck.execute(core.ORACLE_SQL[name].replace(*PREFIXES[name]))  # the registered SQL still reads prefixes
-    names = [d[0] for d in out.description]
-    assert Counter(tuple(norm(r[c]) for c in names) for r in core.QUERIES[name](spark, str(DATA)).collect()) == Counter(tuple(map(norm, r)) for r in out.fetchall())

@@ -255,29 +255,27 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """
     pair = lambda a, b: (F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
     left = stored(edges.where("a <> b").select(*pair("a", "b")).distinct(), "edges")
-    labels = None
-    for k in range(rounds):
-        rank = lambda c: F.struct(F.xxhash64(F.lit(k), c).alias("h"), F.col(c).alias("x"))
+    steps: list[DataFrame] = []
+    while not left.isEmpty():
+        if len(steps) == rounds:
+            raise RuntimeError(f"components: edges are left after {rounds} rounds")
+        rank = lambda c: F.struct(F.xxhash64(F.lit(len(steps)), c).alias("h"), F.col(c).alias("x"))  # noqa: B023, E731
         ends = left.select(F.col("a").alias("node"), F.col("b").alias("near")).union(left.select("b", "a"))
-        hook = stored(ends.groupBy("node").agg(F.min(rank("near")).alias("least")).select("node", F.least("least", rank("node"))["x"].alias("to")), "hooks")
+        hook = ends.groupBy("node").agg(F.min(rank("near")).alias("least")).select("node", F.least("least", rank("node"))["x"].alias("to"))
         hooks = stored(hook.join(hook.select(F.col("node").alias("to"), F.col("to").alias("next")), "to").select("node", F.col("next").alias("to")), "hooks")
-        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))
+        at = lambda c: hooks.select(F.col("node").alias(c), F.col("to").alias(f"{c}_to"))  # noqa: B023, E731
         rest = stored(left.join(at("a"), "a").join(at("b"), "b").where("a_to <> b_to").select(*pair("a_to", "b_to")).distinct(), "edges")
-        if labels is None:
-            new = stored(hooks.select("node", F.col("to").alias("label")), "labels")
-        else:
-            salted = labels.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
-            jump = salted.groupBy("label").agg(parts_held()).join(at("label"), "label")
-            new = stored(salted.join(at_parts(jump), ["label", "_salt"], "left").select("node", F.coalesce("label_to", "label").alias("label")), "labels")
-            discard(labels)
-        for old in (left, hook, hooks):
-            discard(old)
-        left, labels = rest, new
-        if left.isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components: edges are left after {rounds} rounds")
+        discard(left)
+        left, steps = rest, [*steps, hooks]
+    if not steps:
+        return stored(left.select(F.col("a").alias("node"), F.col("a").alias("label")), "components")
+    labels = steps[-1].select("node", F.col("to").alias("label"))
+    for hooks in reversed(steps[:-1]):  # from the last round back: where a hook's end went afterwards
+        salted = hooks.withColumn("_salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+        jump = salted.groupBy("to").agg(parts_held()).join(labels.withColumnRenamed("node", "to"), "to", "left")
+        labels = salted.join(at_parts(jump), ["to", "_salt"]).select("node", F.coalesce("label", "to").alias("label"))
+    labels = stored(labels, "labels")
     named = stored(with_group(labels, "label", "node", F.min("node").alias("least")).select("node", F.col("least").alias("label")), "components")
-    discard(left)
-    discard(labels)
+    for old in (left, labels, *steps):
+        discard(old)
     return named

@@ -125,3 +125,22 @@ def merged_runs(runs: Column) -> Column:
         return F.when(r["text"] == "", acc).when((n > 0) & last["bold"].eqNullSafe(r["bold"]), joined).otherwise(F.concat(acc, F.array(r)))
 
     return F.aggregate(runs, zero, step)
+
+
+#: The headings offered for each kind of document (words of the kind, headings), and for any other.
+OUTLINES = [
+    (["paper", "thesis", "literature", "research"], ["Introduction", "Related Work", "Method", "Results", "Discussion", "Conclusion"]),
+    (["report", "case study", "white paper"], ["Executive Summary", "Background", "Findings", "Analysis", "Recommendations"]),
+    (["proposal", "grant"], ["Summary", "Problem", "Proposed Approach", "Timeline", "Budget", "Expected Outcomes"]),
+    (["assignment", "essay"], ["Introduction", "Discussion", "Conclusion"]),
+    (["memo", "brief"], ["Purpose", "Background", "Recommendation", "Next Steps"]),
+]
+OTHER_OUTLINE = ["Introduction", "Body", "Conclusion"]
+
+
+def outline(kind: Column) -> Column:
+    """The headings for the first kind of which a word stands in the text."""
+    out = F.array(*map(F.lit, OTHER_OUTLINE))
+    for words, heads in reversed(OUTLINES):
+        out = F.when(F.rlike(F.lower(kind), F.lit("|".join(words))), F.array(*map(F.lit, heads))).otherwise(out)
+    return out

@@ -11,6 +11,7 @@ from .operators import brief as B
 from .operators import commands as C
 from .operators import library as L
 from .operators import scope as S
+from .operators import spec as PP
 from .plans import batches as P
 from .queries import N, ORACLE_SQL, _SECTIONS, path_text, query, show
 from .queries_more import _events
@@ -197,23 +198,11 @@ query("spec_code", "SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(l) AS l
     lambda s, d: read(s, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("i", "line")).select("doc_id", (F.col("i") + 1).alias("pos"), "line")
 )
 query("spec_sections", _SECTIONS + "SELECT doc_id, section, CASE WHEN section = 2 THEN 'Replaced' ELSE heading END AS heading FROM sections")(lambda n: B.sections(n).select("doc_id", "section", F.when(F.col("section") == 2, "Replaced").otherwise(F.col("heading")).alias("heading")))
-#: Outlines offered by kind of document.
-OUTLINES = [
-    ("paper|thesis|literature|research", "Introduction|Related Work|Method|Results|Discussion|Conclusion"), ("report|case study|white paper", "Executive Summary|Background|Findings|Analysis|Recommendations"),
-    ("proposal|grant", "Summary|Problem|Proposed Approach|Timeline|Budget|Expected Outcomes"), ("assignment|essay", "Introduction|Discussion|Conclusion"), ("memo|brief", "Purpose|Background|Recommendation|Next Steps"),
-]
 _OKINDS = ["Research paper", "a report", "grant", "essay", "memo", "poem"]
 
 
-def _outline(kind: Column) -> Column:
-    out = F.lit("Introduction|Body|Conclusion")
-    for words, heads in reversed(OUTLINES):
-        out = F.when(F.rlike(F.lower(kind), F.lit(words)), heads).otherwise(out)
-    return F.split(out, r"\|")
-
-
-query("spec_outline", f"SELECT p_partkey, string_split({_sql([o for _, o in OUTLINES] + ['Introduction|Body|Conclusion'])}[p_partkey % 6 + 1], '|') AS outline FROM part", with_nodes=False)(
-    lambda s, d: read(s, d, "part").select("p_partkey", _outline(_pick(_OKINDS, F.col("p_partkey") % 6)).alias("outline"))
+query("spec_outline", f"SELECT p_partkey, {[o for _, o in PP.OUTLINES] + [PP.OTHER_OUTLINE]}[p_partkey % 6 + 1] AS outline FROM part", with_nodes=False)(
+    lambda s, d: read(s, d, "part").select("p_partkey", PP.outline(_pick(_OKINDS, F.col("p_partkey") % 6)).alias("outline"))
 )
 
 

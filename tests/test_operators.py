@@ -276,3 +276,19 @@ def test_corpus(spark, tmp_path):
     assert D.compare(many.nodes, direct).count() == 0
     many.views("c_")
     assert spark.sql("select count(*) from c_nodes where path = '1'").first()[0] == 2 and many.brief().count() == 2
+
+
+def test_children_of_any_node_stay(spark):
+    """A moved, pasted-over or inserted-behind node keeps what lies below it, table or not."""
+    from sylva.operators import actions as A
+    from sylva.sources.corpus import nodes
+
+    n = nodes(spark, "/root/testdata/sf0.001").where("doc_id < 3 and depth = 1 and sort_path[0] <= 4 and type <> 'table'")
+    child = n.where("sort_path[0] = 2").withColumns({"depth": F.lit(2).cast(n.schema["depth"].dataType), "sort_path": F.array(F.lit(2), F.lit(1)).cast(n.schema["sort_path"].dataType), "node_id": F.concat("node_id", F.lit("c"))})
+    both = n.unionByName(child)
+    assert child.count() > 0
+    ids = {r.node_id for r in both.collect()}
+    moved = A.move_to_end(both, F.col("sort_path")[0] == 2)
+    assert {r.node_id for r in moved.collect()} == ids
+    tops = {(r.doc_id, r.sort_path[0]) for r in moved.where("depth = 1").collect()}
+    assert all((r.doc_id, r.sort_path[0]) in tops and r.sort_path[0] == max(k for d, k in tops if d == r.doc_id) for r in moved.where("depth = 2").collect())

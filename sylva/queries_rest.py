@@ -12,12 +12,15 @@ from .operators import commands as C
 from .operators import library as L
 from .operators import scope as S
 from .operators import spec as PP
+from .operators import terms as V
 from .plans import batches as P
-from .queries import N, ORACLE_SQL, _SECTIONS, path_text, query, show
-from .queries_more import _events
-from .schema import HEADINGS, is_type
+from .plans.replay import replay, since_checkpoint
+from .plans.replies import edits_of
+from .queries import N, ORACLE_SQL, _in, _SECTIONS, path_text, query, show
+from .queries_more import _events, _log
+from .schema import HEADINGS, TARGETS, is_type
 from .sources import spec as X
-from .sources.corpus import read
+from .sources.corpus import nodes, read
 
 # ---- sources and sinks --------------------------------------------------------------------------------------------
 
@@ -168,12 +171,16 @@ _SIZED = ["increase the headings by 2", "make the headings 2 points smaller", "m
 _SZ = f"WITH b AS (SELECT p_partkey AS event_id, {_sql(_SIZED)}[p_partkey % {len(_SIZED)} + 1] AS command FROM part), c AS (SELECT *, try_cast(regexp_extract(command, '(?i)\\bby\\s+([0-9]{{1,2}}(\\.[0-9])?)\\b', 1) AS DOUBLE) AS stp, coalesce(try_cast(regexp_extract(command, '(?i)\\b(size|pt|point)[^0-9]{{0,12}}?([0-9]{{1,2}}(\\.[0-9])?)\\b', 2) AS DOUBLE), try_cast(regexp_extract(command, '(?i)\\b([0-9]{{1,2}}(\\.[0-9])?)\\s*(pt|point)\\b', 1) AS DOUBLE)) AS num FROM b) "
 _sized = lambda s, d: read(s, d, "part").select(F.col("p_partkey").alias("event_id"), _pick(_SIZED, F.col("p_partkey") % len(_SIZED)).alias("command"))
 query("cmd_size", _SZ + r"SELECT event_id, CASE WHEN stp IS NULL THEN num END AS absolute, CASE WHEN stp IS NULL AND num IS NULL THEN CASE WHEN regexp_matches(command, '(?i)\b(bigger|larger|large|increase|grow|enlarge|up)\b') THEN 1.25 WHEN regexp_matches(command, '(?i)\b(smaller|small|reduce|decrease|shrink|down|tiny)\b') THEN 0.8 END END::DOUBLE AS factor, CASE WHEN regexp_matches(command, '(?i)\b(smaller|reduce|decrease|shrink|down|less|lower)\b') THEN -stp ELSE stp END AS step FROM c", with_nodes=False)(lambda s, d: _sized(s, d).select("event_id", C.size(F.col("command")).alias("x")).select("event_id", "x.*"))
-_QUOTED = ['bold the word "Midlands" wherever it appears', "italicise ''per parcel'' in the captions", "underline every mention of LOSO in the text", "bold the headings"]
+_NAMED = "CASE p_partkey % 4 WHEN 0 THEN 'bold the word ' || p_name || ' wherever it appears' WHEN 1 THEN 'italicise the phrase \"' || p_name || '\" in the captions' WHEN 2 THEN 'underline every mention of ' || split_part(p_name, ' ', 1) || ' in the text' ELSE 'make the headings bold' END"
 query(
     "cmd_phrase",
-    "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 'Midlands' WHEN 1 THEN 'LOSO' END AS phrase FROM part",
+    rf"""WITH c AS (SELECT p_partkey, {_NAMED} AS command FROM part), f AS (SELECT p_partkey, trim(regexp_extract(command, '["“'']([^"”'']{{1,80}})["”'']', 1)) AS quoted,
+ trim(string_split_regex(regexp_extract(command, '(?i)\b({"|".join(C.NAMING)})s?\s+([A-Za-z0-9].*)', 2), '(?i)\s+({"|".join(C.GOES_ON)})\b|[,.;:]')[1]) AS named,
+ trim(string_split_regex(regexp_extract(command, '(?i)\bevery\s+({"|".join(C.MENTIONS)})\s+of\s+(.+)', 2), '(?i)\s+in\b|[,.;:]')[1]) AS every FROM c)
+ SELECT p_partkey, coalesce(CASE WHEN quoted <> '' AND len(string_split_regex(quoted, '\s+')) <= 8 THEN quoted END, CASE WHEN named <> '' AND length(named) <= {C.PHRASE_CHARS} AND len(string_split_regex(named, '\s+')) <= 8 THEN named END,
+ CASE WHEN every <> '' AND length(every) <= {C.PHRASE_CHARS} AND len(string_split_regex(every, '\s+')) <= 8 THEN every END) AS phrase FROM f""",
     with_nodes=False,
-)(lambda s, d: read(s, d, "part").select("p_partkey", C.phrase(_pick([_QUOTED[0], _QUOTED[2], _QUOTED[3]], F.col("p_partkey") % 3)).alias("phrase")))
+)(lambda s, d: read(s, d, "part").select("p_partkey", F.expr(_NAMED).alias("command")).select("p_partkey", C.phrase(F.col("command")).alias("phrase")))
 _EDGED = ["only upper and lower borders for the table", "no vertical borders", "left and right table borders", "bold the headings"]
 query("cmd_borders", "SELECT p_partkey, [['top', 'bottom'], ['inside_v'], ['left', 'right'], NULL][p_partkey % 4 + 1] AS sides FROM part", with_nodes=False)(lambda s, d: read(s, d, "part").select("p_partkey", C.edges(_pick(_EDGED, F.col("p_partkey") % 4)).alias("sides")))
 _ASKED = [("sentence case the captions", "case"), ("double space it", "spacing"), ("only upper and lower borders", "border"), ("number the steps", "list"), ("highlight the terms", "highlight"), ("delete the tables", "delete"), ("centre the title", "align"), ("make the headings larger", "resize"), ("make the headings bold", "format"), ("show the headings", "select")]
@@ -264,3 +271,54 @@ query("str_progress", ORACLE_SQL["win_passes"].replace("SELECT doc_id, path, pas
 )
 ORACLE_SQL["str_progress"] = ORACLE_SQL["win_passes"].replace("SELECT doc_id, path, pass FROM fold", "SELECT doc_id, pass, max(max(pass)) OVER (PARTITION BY doc_id) AS total, count(*) AS ids FROM fold GROUP BY 1, 2")
 query("str_command_log", "SELECT user_id AS doc_id, event_type AS label, count(*) AS n FROM events GROUP BY 1, 2", with_nodes=False)(lambda s, d: _events(s, d).groupBy("doc_id", F.col("event").alias("label")).agg(F.count("*").alias("n")))
+
+# ---- replay from stored actions, replies, spelled-out terms ---------------------------------------------------------
+
+
+def _stored_actions(s, d) -> DataFrame:
+    """An action for every event of a user, who stands for a document: its kind follows from its version and document."""
+    k = (F.col("seq") + F.col("doc_id")) % 5
+    pick = lambda *values: F.element_at(F.array(*[F.lit(v) for v in values]), k.cast("int") + 1)
+    no = None
+    return _log(s, d).select(
+        "doc_id", "seq", F.lit(0).alias("i"), pick("resize", "align", "replace", "resize", "highlight").alias("type"), pick("heading", "body", "document", "document", "subheading").alias("target"),
+        pick(1.25, no, no, no, no).alias("scale"), pick(no, no, no, 2.0, no).alias("delta"), pick(no, "right", no, no, no).alias("alignment"), pick(no, no, "and", no, no).alias("find"), pick(no, no, "&", no, no).alias("put"),
+    )
+
+
+_DOCUMENT = _in(TARGETS["document"])
+query(
+    "ver_replay",
+    N.replace("WITH lines", "WITH RECURSIVE lines", 1) + f""", v AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events), b AS (SELECT doc_id, max(seq) // 10 * 10 AS base FROM v GROUP BY 1),
+ l AS (SELECT doc_id, seq - base AS k, (seq + doc_id) % 5 AS what FROM v JOIN b USING (doc_id) WHERE seq > base),
+ r AS (SELECT doc_id, path, type, font_size, alignment, highlight, content, 0::BIGINT AS k FROM nodes UNION ALL
+ SELECT r.doc_id, path, type, CASE WHEN what = 0 AND type = 'heading' THEN round_even(least(greatest(coalesce(font_size, 11.0) * 1.25, 4), 96), 1) WHEN what = 3 AND type IN {_DOCUMENT} THEN round_even(least(greatest(coalesce(font_size, 11.0) + 2, 4), 96), 1) ELSE font_size END::DOUBLE,
+ CASE WHEN what = 1 AND type IN ('body', 'paragraph') THEN 'right' ELSE alignment END, CASE WHEN what = 4 AND type = 'subheading' THEN '{A.HIGHLIGHT}' ELSE highlight END,
+ CASE WHEN what = 2 AND type IN {_DOCUMENT} THEN replace(content, 'and', '&') ELSE content END, r.k + 1 FROM r JOIN l ON l.doc_id = r.doc_id AND l.k = r.k + 1)
+ SELECT doc_id, path, font_size::DOUBLE AS font_size, alignment, highlight, content FROM r QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY k DESC) = 1""",
+    with_nodes=False,
+)(lambda s, d: show(replay(nodes(s, d), since_checkpoint(_stored_actions(s, d), _log(s, d))), "style.font_size", "style.alignment", "style.highlight", "content"))
+
+query(
+    "salvage_edits",
+    "SELECT doc_id, 1 AS pos, doc_id || '.1' AS id, text FROM documents WHERE text IS NOT NULL UNION ALL SELECT doc_id, CASE WHEN text IS NULL THEN 1 ELSE 2 END, doc_id || '.2', 'say \"{' || lang || '}\"' FROM documents WHERE doc_id % 2 = 0 AND lang IS NOT NULL",
+    with_nodes=False,
+)(lambda s, d: edits_of(_replies(s, d)))
+
+
+def _replies(s, d) -> DataFrame:
+    """Replies with two edits of each document; those of odd documents are cut off in the second one."""
+    edit = lambda n, said: F.to_json(F.struct(F.concat("doc_id", F.lit(n)).alias("id"), said.alias("text")))
+    second = edit(".2", F.concat(F.lit('say "{'), "lang", F.lit('}"')))
+    end = F.when(F.col("doc_id") % 2 == 0, F.concat(second, F.lit("]}\n```"))).otherwise(F.expr("substring(_second, 1, length(_second) - 2)"))
+    return read(s, d, "documents").withColumn("_second", second).select("doc_id", F.concat(F.lit('Here:\n```json\n{"edits": ['), edit(".1", F.col("text")), F.lit(", "), end).alias("reply"))
+
+
+_SPELLED = "'We hold that a ' || CASE p_partkey % 2 WHEN 0 THEN p_name ELSE replace(p_name, ' ', '-') END || ' (' || CASE p_partkey % 3 WHEN 0 THEN 'XQ' ELSE upper(substr(p_name, 1, 1) || substr(split_part(p_name, ' ', 2), 1, 1)) END || ') is best.'"
+query(
+    "fn_spelled_out",
+    rf"""WITH t AS (SELECT p_partkey AS doc_id, {_SPELLED} AS text FROM part), m AS (SELECT doc_id, unnest(regexp_extract_all(text, '{V.INTRODUCED}', 1)) AS said, unnest(regexp_extract_all(text, '{V.INTRODUCED}', 2)) AS term FROM t),
+ w AS (SELECT doc_id, term, string_split_regex(said, '\s+') AS l FROM m), k AS (SELECT doc_id, term, l, unnest(range(1, least(len(l), length(term)) + 1)) AS k FROM w), x AS (SELECT doc_id, term, k, l[len(l) - k + 1:] AS tail FROM k)
+ SELECT doc_id, term, arg_min(array_to_string(tail, ' '), k) AS long FROM x WHERE upper(array_to_string(list_transform(string_split(array_to_string(tail, '-'), '-'), lambda y: substr(y, 1, 1)), '')) = upper(term) GROUP BY 1, 2""",
+    with_nodes=False,
+)(lambda s, d: V.spelled_out(read(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_SPELLED).alias("text"))))

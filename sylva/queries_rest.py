@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .functions import imports as I
+from .functions import markup as M
 from .operators import actions as A
 from .operators import brief as B
 from .operators import commands as C
@@ -322,3 +323,29 @@ query(
  SELECT doc_id, term, arg_min(array_to_string(tail, ' '), k) AS long FROM x WHERE upper(array_to_string(list_transform(string_split(array_to_string(tail, '-'), '-'), lambda y: substr(y, 1, 1)), '')) = upper(term) GROUP BY 1, 2""",
     with_nodes=False,
 )(lambda s, d: V.spelled_out(read(s, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_SPELLED).alias("text"))))
+
+# ---- marked-up texts: every document's whole text, with marks put around numbers, capitals and ends of sentences ---------
+
+_is = lambda field, value: lambda piece: piece[field] == value
+query(
+    "fn_split_maths",
+    r"""WITH t AS (SELECT doc_id, replace(regexp_replace(text, '([0-9]+)', '$ \1 $', 'g'), '. ', ' $$z$$ ') AS text FROM (SELECT doc_id, replace(text, '$', '') AS text FROM documents)),
+ x AS (SELECT doc_id, string_split_regex(text, '\$\$(?:[^$])+?\$\$|\$[^$\n]+?\$') AS p, regexp_extract_all(text, '\$\$(?:[^$])+?\$\$|\$[^$\n]+?\$') AS m FROM t)
+ SELECT doc_id, len(list_filter(p, lambda y: y <> '')) AS texts, len(list_filter(m, lambda y: starts_with(y, '$$'))) AS displays, list_transform(list_filter(m, lambda y: NOT starts_with(y, '$$')), lambda y: trim(replace(y, '$', ''))) AS inline FROM x""",
+    with_nodes=False,
+)(
+    lambda s, d: read(s, d, "documents").withColumn("text", F.replace(F.regexp_replace(F.replace("text", F.lit("$"), F.lit("")), "([0-9]+)", r"\$ $1 \$"), F.lit(". "), F.lit(" $$z$$ ")))
+    .select("doc_id", M.split_maths(F.col("text")).alias("x"))
+    .select("doc_id", *[F.size(F.filter("x", _is("kind", k))).alias(n) for k, n in (("text", "texts"), ("display", "displays"))], F.transform(F.filter("x", _is("kind", "inline")), lambda y: y["value"]).alias("inline"))
+)
+_STARS = r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(translate(text, '*_', ''), '([A-Z])', '**\1**', 'g'), '([0-9]+)', '_\1_', 'g') AS text FROM documents)"""
+query(
+    "emp_runs",
+    _STARS + r""" SELECT doc_id, list_transform(regexp_extract_all(text, '\*\*[A-Z]\*\*'), lambda y: replace(y, '*', '')) AS bold, list_transform(regexp_extract_all(text, '_[0-9]+_'), lambda y: replace(y, '_', '')) AS italic,
+ len(list_filter(string_split_regex(text, '\*\*[A-Z]\*\*|_[0-9]+_'), lambda y: y <> '')) AS plain FROM t""",
+    with_nodes=False,
+)(
+    lambda s, d: read(s, d, "documents").withColumn("text", F.regexp_replace(F.regexp_replace(F.translate("text", "*_", ""), "([A-Z])", "**$1**"), "([0-9]+)", "_$1_"))
+    .select("doc_id", M.emphasis_runs(F.col("text")).alias("x"))
+    .select("doc_id", *[F.transform(F.filter("x", _is(k, True)), lambda y: y["text"]).alias(k) for k in ("bold", "italic")], F.size(F.filter("x", lambda y: ~y["bold"] & ~y["italic"])).alias("plain"))
+)

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from sylva.functions import markup as M
 from sylva.operators import commands as C
 from sylva.operators import terms as V
 from sylva.plans.replay import replay
@@ -45,3 +46,18 @@ def test_terms_spelled_out(spark):
     ]
     got = [(r.doc_id, r.said) for r in V.vocabulary(spark.createDataFrame(docs, "doc_id long, text string")).orderBy("doc_id", "rank").collect()]
     assert got == [(1, "subject-independent classifier (SIC)"), (1, "feature-independent classifier (FIC)"), (2, "Leave-One-Subject-Out (LOSO)"), (2, "XYZ")]
+
+
+def test_maths_and_emphasis(spark):
+    maths = {
+        "Let $x$ be $$\n y^2 $$ so.": [("text", "Let "), ("inline", "x"), ("text", " be "), ("display", "y^2"), ("text", " so.")],
+        r"costs \$5 and $a_1$": [("text", r"costs \$5 and "), ("inline", "a_1")], "$ open": [("text", "$ open")], "": [], None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in maths], "t string").select("t", M.split_maths(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x if r.x is None else [tuple(p) for p in r.x] for r in rows} == maths
+    runs = {
+        "A **b** _c_ __d__*e*": [("A ", False, False), ("b", True, False), (" ", False, False), ("c", False, True), (" ", False, False), ("d", True, False), ("e", False, True)],
+        "**a* b": [("*a", False, True), (" b", False, False)], "2 * 3": [("2 * 3", False, False)], "": [], None: None,
+    }
+    rows = spark.createDataFrame([(t,) for t in runs], "t string").select("t", M.emphasis_runs(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x if r.x is None else [tuple(p) for p in r.x] for r in rows} == runs

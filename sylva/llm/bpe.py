@@ -289,13 +289,14 @@ def word_bpe(path: str) -> WordBpe:
     return WordBpe(path)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_ids: bool = True, digest: bool = False) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_ids: bool = True, digest: bool = False, slice_bytes: int = 3 << 20) -> DataFrame:
     """The input without its text, with n_tokens and, as asked, ids (array of int) and the digests ids_sha256 (of the ids
     as little-endian unsigned 32-bit integers) and decoded_sha256 (of the tokens with spaces between, in UTF-8).
 
     A null or empty text has no tokens. Texts of any length are encoded whole, and every word goes through the transducer,
     which holds a bounded number of positions; ids are decoded by the state machine, some thousands at a time. Repeated
-    rows each get a row; input columns of these names are replaced.
+    rows each get a row; input columns of these names are replaced. A task encodes about ``slice_bytes`` of text at once:
+    smaller slices hold less memory and take some more time, and give the same rows.
     """
     kept = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     names = [c for c in kept.columns if c != text_col]
@@ -316,7 +317,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
             return digest.hexdigest()
 
         for whole in batches:
-            for batch, texts in slices(whole, text_col, 3 << 20):
+            for batch, texts in slices(whole, text_col, slice_bytes):
                 flat, n = bpe.encode(texts)
                 ends = np.cumsum(n)
                 columns = [batch.column(c) for c in names] + [pa.array(n)]

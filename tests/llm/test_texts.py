@@ -141,6 +141,8 @@ def test_bpe_against_library(spark, docs, empty):
     for r, (i, ids) in zip(out, expected, strict=True):
         assert (r.doc_id or 0, r.n_tokens, list(r.ids)) == (i, len(ids), ids)
         assert r.ids_sha256 == hashlib.sha256(np.asarray(ids, "<u4").tobytes()).hexdigest()
+    small = encode_texts(docs, path, digest=True, slice_bytes=50)
+    assert sorted(small.collect(), key=lambda r: (r.doc_id or 0, r.n_tokens)) == out
     assert encode_texts(empty, path).count() == 0
 
 

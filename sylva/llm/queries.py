@@ -13,6 +13,7 @@ from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
 from .ngram_join import similar
 from .pii import find_pii, fit_tagger
+from .secret_scan import ACCESS, ASSIGN, HEX, scan_secrets
 from .token_store import read_tokens, write_tokens
 from .toxicity import fit, score
 from .url_filter import judge
@@ -80,6 +81,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(whole(spark, sf_dir, "documents"))
 
 
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_secrets(whole(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_nearest_neighbours": op1_nearest_neighbours,
     "op2_toxicity": op2_toxicity,
@@ -91,6 +96,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
+    "op13_secret_scan": op13_secret_scan,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -108,4 +114,19 @@ classes AS (SELECT key, min(label) AS class_id FROM reach GROUP BY 1),
 counted AS (SELECT links.a AS key, sum(c.n_copies) AS others, count(*) AS texts FROM links JOIN c ON c.key = links.b GROUP BY 1)
 SELECT k.doc_id, class_id, copy_id, n_copies, (n_copies - 1 + coalesce(others, 0))::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links
 FROM k JOIN c USING (key) JOIN classes USING (key) LEFT JOIN counted USING (key)""",
+    "op13_secret_scan": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
+p(kind, pattern) AS (VALUES (0, '{ASSIGN.replace("'", "''")}'), (1, '{ACCESS}'), (2, '{HEX}'), (3, '[0-9a-zA-Z+/_=-]{{20,}}')),
+f AS (SELECT r, kind, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, '{ASSIGN.replace("'", "''")}', 2) AS vals FROM d, p WHERE regexp_matches(text, pattern)),
+e AS (SELECT r, kind, unnest(found) AS s, unnest(gaps[1:len(found)]) AS gap, unnest(CASE WHEN kind = 0 THEN vals ELSE found END) AS val, generate_subscripts(found, 1) AS k FROM f),
+b AS (SELECT r, kind, s, val, sum(length(gap) + length(s)) OVER (PARTITION BY r, kind ORDER BY k) AS stop FROM e),
+base AS (SELECT r, kind, stop - length(s) AS start, stop FROM b WHERE kind < 3 AND (kind > 0 OR length(val) >= 12)),
+c AS (SELECT r, s, stop - length(s) AS start, CASE WHEN NOT regexp_matches(s, '[0-9]') THEN NULL WHEN regexp_matches(s, '[a-fA-F]') AND regexp_full_match(s, '[0-9A-Fa-f]+') THEN 2.9 WHEN regexp_matches(s, '[a-zA-Z]') AND regexp_full_match(s, '[0-9A-Za-z]+') THEN 3.7 WHEN regexp_matches(s, '[a-z]') AND regexp_matches(s, '[A-Z]') THEN 3.9 END AS least FROM b WHERE kind = 3
+ AND NOT regexp_matches(s, '[0-9A-Fa-f]{{8}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{4}}-[0-9A-Fa-f]{{12}}') AND NOT regexp_matches(s, '^sha(1|256|384|512)-') AND NOT regexp_matches(lower(s), 'example|sample|dummy|placeholder|changeme|your[_-]|xxxx|abcdef|bcdefg|0123456|1234567|9876543')),
+h AS (SELECT r, start, list_filter(range(1, length(s) - 18), lambda i: list_entropy(string_split(substr(s, i, 20), '')) >= least) AS high FROM c WHERE least IS NOT NULL),
+added AS (SELECT r, 3 AS kind, start + high[1] - 1 AS start, start + high[-1] + 19 AS stop FROM h WHERE len(high) > 0),
+spans AS (SELECT * FROM base UNION ALL SELECT * FROM added a WHERE NOT EXISTS (SELECT 1 FROM base WHERE base.r = a.r AND base.start < a.stop AND base.stop > a.start)),
+said AS (SELECT r, kind, start, ['assign', 'access', 'hex', 'entropy'][kind + 1] || ':' || start::BIGINT || ':' || stop::BIGINT AS say FROM spans)
+SELECT any_value(doc_id) AS doc_id, count(*) FILTER (WHERE kind = 0) AS n_assign, count(*) FILTER (WHERE kind = 1) AS n_access, count(*) FILTER (WHERE kind = 2) AS n_hex,
+ sha256(coalesce(string_agg(say, ',' ORDER BY start, kind) FILTER (WHERE kind < 3), '')) AS base_sha256, coalesce(string_agg(say, ',' ORDER BY start, kind), '') AS spans
+FROM d LEFT JOIN said USING (r) GROUP BY r""",
 }

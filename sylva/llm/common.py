@@ -279,3 +279,23 @@ def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     for old in (left, labels, *steps):
         discard(old)
     return named
+
+
+def coded_words(texts: pa.Array, inside: np.ndarray, written: np.ndarray | None = None) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The words of a batch of texts as numbers: the different words, each word's number, and the first word of each text.
+
+    A word is a longest run of bytes that ``inside`` marks (256 booleans); ``written``: what each byte counts as. Words are
+    told apart by their bytes, not by hashes. of_text[i]:of_text[i + 1] are the words of text i.
+    """
+    raw, offsets = flat_bytes(texts)
+    within = inside[raw]
+    first = within.copy()
+    first[1:] &= ~within[:-1]
+    edges = offsets[1:-1]
+    edges = edges[(edges > 0) & (edges < len(raw))]
+    first[edges] |= within[edges]
+    start = np.flatnonzero(first)
+    data = np.ascontiguousarray((raw if written is None else written[raw])[within])
+    bounds = np.append(np.cumsum(within, dtype=np.int64)[start] - 1, len(data)).astype(np.int64)
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(bounds), pa.py_buffer(data)]).dictionary_encode()
+    return words.dictionary, words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.searchsorted(start, offsets)

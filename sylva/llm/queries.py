@@ -13,6 +13,7 @@ from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
 from .ngram_join import similar
 from .pii import find_pii, fit_tagger
+from .ranked_search import TERM, ranked_search
 from .secret_scan import ACCESS, ASSIGN, HEX, scan_secrets
 from .token_store import read_tokens, write_tokens
 from .toxicity import fit, score
@@ -81,6 +82,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(whole(spark, sf_dir, "documents"))
 
 
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(whole(spark, sf_dir, "documents"), whole(spark, sf_dir, "benchmark"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(whole(spark, sf_dir, "documents"))
 
@@ -96,6 +101,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
+    "op12_ranked_search": op12_ranked_search,
     "op13_secret_scan": op13_secret_scan,
 }
 
@@ -114,6 +120,16 @@ classes AS (SELECT key, min(label) AS class_id FROM reach GROUP BY 1),
 counted AS (SELECT links.a AS key, sum(c.n_copies) AS others, count(*) AS texts FROM links JOIN c ON c.key = links.b GROUP BY 1)
 SELECT k.doc_id, class_id, copy_id, n_copies, (n_copies - 1 + coalesce(others, 0))::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links
 FROM k JOIN c USING (key) JOIN classes USING (key) LEFT JOIN counted USING (key)""",
+    "op12_ranked_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS l FROM documents WHERE text IS NOT NULL),
+n AS (SELECT r, doc_id, len(l) AS n FROM d WHERE len(l) > 0), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
+i AS (SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS l FROM benchmark WHERE text IS NOT NULL),
+it AS (SELECT item_id, text, unnest(l) AS term FROM i), asked AS (SELECT item_id, text, term, count(*) AS times FROM it GROUP BY 1, 2, 3),
+x AS (SELECT r, unnest(l) AS term FROM d), tf AS (SELECT r, term, count(*) AS tf FROM x WHERE term IN (SELECT term FROM asked) GROUP BY 1, 2),
+w AS (SELECT term, floor(1000 * ln((2 * any_value(total.n_docs) + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY 1),
+imp AS (SELECT r, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // n_terms))) AS s FROM tf JOIN n USING (r) JOIN w USING (term), total),
+sc AS (SELECT item_id, text, r, any_value(doc_id) AS doc_id, sum(times * s)::BIGINT AS score FROM asked JOIN imp USING (term) GROUP BY 1, 2, 3),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id, text ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM sc WHERE score > 0)
+SELECT item_id, rank::INT AS rank, doc_id, score FROM ranked WHERE rank <= 10""",
     "op13_secret_scan": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents),
 p(kind, pattern) AS (VALUES (0, '{ASSIGN.replace("'", "''")}'), (1, '{ACCESS}'), (2, '{HEX}'), (3, '[0-9a-zA-Z+/_=-]{{20,}}')),
 f AS (SELECT r, kind, regexp_extract_all(text, pattern) AS found, string_split_regex(text, pattern) AS gaps, regexp_extract_all(text, '{ASSIGN.replace("'", "''")}', 2) AS vals FROM d, p WHERE regexp_matches(text, pattern)),

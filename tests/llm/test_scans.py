@@ -77,3 +77,57 @@ def test_secrets_of_the_table(spark):
     for name in sorted({"op12_ranked_search", "op13_secret_scan"} & set(ORACLE_SQL)):
         rows = QUERIES[name](spark, str(data))
         assert sorted(map(tuple, rows.collect())) == sorted(duck.execute(f"select {', '.join(rows.columns)} from ({ORACLE_SQL[name]})").fetchall())
+
+
+def brute_ranks(docs, items, k):
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", (t or "").translate({c: c + 32 for c in range(65, 91)}))
+    docs = [(i, Counter(words(t)), len(words(t))) for i, t in docs if words(t)]
+    total, length = len(docs), sum(n for _, _, n in docs)
+    df = Counter(t for _, c, _ in docs for t in c)
+    out = []
+    for item, text in dict.fromkeys(items):
+        scores = []
+        for i, c, n in docs:
+            m = 100 - 75 + 75 * n * total // length
+            s = sum(math.floor(1000 * math.log((2 * total + 2) / (2 * df[t] + 1))) * (10**9 * c[t] // (1000 * c[t] + 8 * m)) for t in words(text) if c[t])
+            if s > 0:
+                scores.append((-s, i is None, i))
+        out += [(item, r, i, -s) for r, (s, _, i) in enumerate(sorted(scores, key=lambda x: x[:2] + (x[2] or 0,))[:k], 1)]
+    return out
+
+
+def test_ranked_search_against_brute_force(spark, tmp_path):
+    from sylva.llm import ranked_search as R
+    from sylva.llm.queries import ORACLE_SQL
+
+    rng = random.Random(5)
+    vocabulary = ["alpha", "Beta", "gamma", "DELTA", "épée", "漢字", "x1", "İ", "ß", "zz"] + [f"w{i}" for i in range(30)]
+    docs = [(i * 7 % 1511, " ".join(rng.choice(vocabulary[: rng.choice([6, 20, 40])]) for _ in range(rng.randrange(1, 40)))) for i in range(1500)]
+    docs += [(3, "alpha beta"), (3, "alpha beta"), (None, "gamma delta w3"), (9001, None), (9002, ""), (9003, " .,;\n"), (9004, "alpha beta gamma " * 4000), (9005, "épée_zz-漢字.W29" * 3)]
+    items = [(1, "Alpha, beta GAMMA; alpha"), (2, None), (3, ""), (4, "nowhere known"), (5, "épée 漢字 w29 w28"), (5, "épée 漢字 w29 w28"), (5, "zz"), (None, "w1 w2 w3"), (7, "zz " * 500), (8, "İ ß ı")]
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"term": F.lit("clash"), "id": F.lit(1)}).repartition(3)
+    asked = spark.createDataFrame(items, "item_id long, text string").withColumns({"doc_id": F.lit(1), "rank": F.lit(1)})
+    want = sorted(brute_ranks(docs, [(i, t) for i, t in items if t is not None], 10), key=str)
+    for shard_bytes in (2_000, 16 << 20):
+        got = R.ranked_search(table.select("doc_id", "text", "term", "id"), asked, shard_bytes=shard_bytes)
+        assert got.columns == ["item_id", "rank", "doc_id", "score"] and sorted(map(tuple, got.collect()), key=str) == want
+    index = R.build_index(table)
+    joined = R.search(index, asked, block_items=2, broadcast_pairs=0)  # several blocks, no broadcast
+    assert sorted(map(tuple, joined.collect()), key=str) == want
+    assert R.ranked_search(table.limit(0), asked).count() == 0 and R.search(index, asked.limit(0)).count() == 0
+    table.select("doc_id", "text").write.parquet(str(tmp_path / "d"))
+    asked.select("item_id", "text").write.parquet(str(tmp_path / "b"))
+    duck = duckdb.connect()
+    duck.execute(f"create view documents as select * from '{tmp_path}/d/*.parquet'")
+    duck.execute(f"create view benchmark as select * from '{tmp_path}/b/*.parquet'")
+    assert sorted((tuple(r) for r in duck.execute(ORACLE_SQL["op12_ranked_search"]).fetchall()), key=str) == want
+
+
+def test_varints():
+    import numpy as np
+
+    from sylva.llm.ranked_search import from_varints, to_varints
+
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**35 + 7, 2**62], np.int64)
+    data, width = to_varints(values)
+    assert from_varints(data.tobytes()).tolist() == values.tolist() and width.tolist() == [1, 1, 1, 2, 2, 3, 4, 6, 9] and len(from_varints(b"")) == 0

@@ -12,6 +12,7 @@ from .decontaminate import find_leaks
 from .langid import identify, learn_dictionaries
 from .license_scan import scan_licenses
 from .ngram_join import similar
+from .periodic_runs import find_runs
 from .pii import find_pii, fit_tagger
 from .ranked_search import TERM, ranked_search
 from .secret_scan import ACCESS, ASSIGN, HEX, scan_secrets
@@ -82,6 +83,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licenses(whole(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    return find_runs(whole(spark, sf_dir, "documents"), planted=seed)
+
+
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_search(whole(spark, sf_dir, "documents"), whole(spark, sf_dir, "benchmark"))
 
@@ -101,6 +107,7 @@ QUERIES = {
     "op8_decontamination": op8_decontamination,
     "op9_pii": op9_pii,
     "op10_license_scan": op10_license_scan,
+    "op11_periodic_runs": op11_periodic_runs,
     "op12_ranked_search": op12_ranked_search,
     "op13_secret_scan": op13_secret_scan,
 }

@@ -131,3 +131,87 @@ def test_varints():
     values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**35 + 7, 2**62], np.int64)
     data, width = to_varints(values)
     assert from_varints(data.tobytes()).tolist() == values.tolist() and width.tolist() == [1, 1, 1, 2, 2, 3, 4, 6, 9] and len(from_varints(b"")) == 0
+
+
+def brute_runs(doc_id, text):
+    words = [w for w in re.split("[ \t-\r]+", text or "") if w]
+    h, n = __import__("zlib").crc32(str(doc_id).encode() if doc_id is not None else b""), len(words)
+    if h % 10 == 0 and n:
+        g = h // 10
+        a = g % n
+        p = 1 + (n - a) // (3 + g % 8)
+        words = [w if i < a else words[a + (i - a) % p] for i, w in enumerate(words)]
+    found = {}
+    for q in range(1, n // 4 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j > i and j + q - i >= max(6, 4 * q):
+                found.setdefault((i, j + q), q)
+            i = max(i + 1, j)
+    runs = sorted((i, j - i, q) for (i, j), q in found.items())
+    gone = {k for i, m, q in runs for k in range(i + q, i + m)}
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    best = (None,) * 4
+    if runs:
+        from fractions import Fraction
+
+        i, m, q = min(runs, key=lambda r: (-Fraction(r[1], r[2]), r[0], r[2]))
+        best = (i, m, q, 1000 * m // q)
+    return (doc_id, len(runs), *best, sha("".join(f"{i},{m},{q}\n" for i, m, q in runs)), sha(" ".join(w for k, w in enumerate(words) if k not in gone))), runs
+
+
+def test_runs_against_brute_force(spark):
+    from sylva.llm.periodic_runs import find_runs
+
+    rng = random.Random(11)
+    docs = [(1, None), (2, ""), (3, " \t\r\n\x0b\x0c "), (4, "a " * 50), (5, "no repeats here at all"), (6, "é 漢 " * 30 + "x"), (None, "q r " * 9), (4, "a " * 50), (4, "a " * 50), (7, "a a b " * 7), (8, "A a " * 8), (9, "x\x00y x " * 6)]
+    docs += [(8000, "the long text goes round " * 6000 + "end"), (8001, " ".join(f"u{i}" for i in range(5000)))]
+    for i in range(400):
+        t = []
+        for _ in range(rng.randrange(1, 12)):
+            t += [rng.choice("ab c de".split()) for _ in range(rng.randrange(1, 7))] * rng.choice([1, 1, 2, 3, 4, 5, 9])
+        docs.append((100 + i, rng.choice([" ", "\n", "\t "]).join(t)))
+    table = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"row_id": F.lit(1), "h": F.lit("x"), "start": F.lit("clash")}).repartition(2)
+    seed = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
+    want = [brute_runs(*d) for d in docs]
+    got = find_runs(table, planted=seed, slice_bytes=5000)
+    assert got.columns == "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256".split()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted((w for w, _ in want), key=str)
+    assert sum(len(r) > 1 for _, r in want) > 30
+    plain = {r.doc_id: r for r in find_runs(table, texts=True).collect()}
+    assert plain[6].collapsed == "é 漢 x" and [tuple(x) for x in plain[6].runs] == [(0, 60, 2)] and plain[1].runs == [] and plain[1].collapsed == ""
+    assert find_runs(table.limit(0)).count() == 0
+
+
+def test_runs_of_sequences():
+    """Every run of random sequences, also where they stand beside each other and repeat one another."""
+    import numpy as np
+
+    from sylva.llm.periodic_runs import runs_of
+
+    rng = random.Random(2)
+    for _ in range(400):
+        parts, texts = [], []
+        for d in range(rng.randrange(1, 4)):
+            t = list(texts[0]) if texts and rng.random() < 0.3 else []
+            while len(t) < rng.randrange(1, 60):
+                t += [rng.randrange(rng.choice([1, 2, 3])) for _ in range(rng.randrange(1, 6))] * rng.choice([1, 1, 2, 4, 6])
+            texts.append(t)
+            parts += [*t, 100 + d]
+        want, n = {}, len(parts)
+        for q in range(1, n):
+            i = 0
+            while i + q < n:
+                j = i
+                while j + q < n and parts[j] == parts[j + q]:
+                    j += 1
+                if j > i and j + q - i >= max(6, 3 * q):
+                    want.setdefault((i, j + q), q)
+                i = max(i + 1, j)
+        got = runs_of(np.array(parts), 6, 3)
+        assert sorted(zip(*(x.tolist() for x in got))) == sorted((i, j - i, q) for (i, j), q in want.items())
+    with pytest.raises(ValueError):
+        runs_of(np.array([1, 2]), 6, 2)

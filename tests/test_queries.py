@@ -9,7 +9,7 @@ import duckdb
 import pytest
 
 from sylva import queries as core
-from sylva import queries_more, queries_rest  # noqa: F401
+from sylva import queries_more, queries_rest, queries_state  # noqa: F401
 
 DATA = Path("/root/testdata/sf0.001")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..operators.actions import SIDES, border_widths, new_id, split_items
 from ..schema import HEADINGS, NODE_TYPES, STYLE, TARGETS, TEXT, is_type
+from ..shared import cut
 from . import replay as R
 
 #: What a stored action has besides doc_id, seq (its version), i (its place in the version) and the fields of replay.ACTION.
@@ -172,10 +173,10 @@ def _structure(rows: DataFrame, kinds: set[str], columns: list[str]) -> DataFram
     if "split" in kinds:
         parts = F.filter(F.split("content", F.regexp_replace(F.coalesce(x["separator"], F.lit(". ")), r"([^\p{L}\p{N}\s])", r"\\$1"), -1), lambda p: F.trim(p) != "")
         rows = rows.withColumn("_parts", F.when(hit & (kind == "split"), F.transform(parts, lambda p: F.trim(p))))
-        cut = F.coalesce(F.size("_parts") >= 2, F.lit(False))
-        new["content"] = F.when(cut, F.get("_parts", F.lit(0))).otherwise(F.col("content"))
+        several = F.coalesce(F.size("_parts") >= 2, F.lit(False))
+        new["content"] = F.when(several, F.get("_parts", F.lit(0))).otherwise(F.col("content"))
         made = lambda p, k: _node(_behind(key, -wave - 1, k + 1), new_id(F.lit("replay"), _edit(), F.col("node_id"), (k + 1).cast("string")), F.col("parent_id"), F.col("type"), p, _whole_style(), None, True)
-        more.append(F.when(cut, F.transform(F.slice("_parts", 2, 1 << 30), made)))
+        more.append(F.when(several, F.transform(F.slice("_parts", 2, 1 << 30), made)))
     if "list" in kinds:
         rows, listed, pieces, stays = _listed(rows, order, document)
         named = F.when(F.lower(F.coalesce(x["kind"], F.lit("bullet"))).isin(NUMBERED), "number").when(F.lower(x["kind"]).isin(PLAIN), F.lit(None).cast("string")).otherwise("bullet")
@@ -290,8 +291,7 @@ def _listed(rows: DataFrame, order, document) -> tuple[DataFrame, Column, Column
     rows = rows.withColumn("_under", F.last(F.when(is_type(HEADINGS), F.col("_aimed")), True).over(siblings) & ~is_type(HEADINGS))
     rows = rows.withColumn("_aimed", F.when(F.col("_other"), F.col("_aimed")).otherwise(F.coalesce("_under", F.lit(False)) & making & ~F.col("_old") & ~F.coalesce(x["seq"].eqNullSafe(F.col("_skip")), F.lit(False))))
     text = F.col("_aimed") & ~off & is_type(TEXT)
-    cut = F.when(text, split_items(F.col("content")))
-    rows = rows.withColumns({"_text": text, "_cut": F.element_at(F.array(cut), 1)})
+    rows = rows.withColumns({"_text": text, "_cut": F.element_at(F.array(F.when(text, split_items(F.col("content")))), 1)})
     has = F.coalesce(F.size("_cut.items") > 0, F.lit(False))
     rows = rows.withColumn("_any", F.coalesce(F.max(has).over(document), F.lit(False)))
     colon = F.endswith(F.rtrim(F.col("content")), F.lit(":"))
@@ -313,19 +313,6 @@ def numbered(rows: DataFrame, levels: int) -> DataFrame:
     return begun.withColumns({"sort_path": F.slice(path, F.lit(1), checked), "depth": depth})
 
 
-def _cut(rows: DataFrame) -> DataFrame:
-    """The rows written to the shared checkpoint folder, so that plans do not grow with the log. Where none is set a local
-    session gets one beside its tables; on a cluster that is an error."""
-    spark = rows.sparkSession
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        sc.setCheckpointDir(named or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return rows.checkpoint()
-
-
 def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_per_job: int = 3) -> DataFrame:
     """The node table with every document's stored actions applied in order of (seq, i).
 
@@ -351,7 +338,7 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
     moves_below = "to_id" in actions.columns and actions.where("type = 'move' and to_id <> cast(doc_id as string)").limit(1).count() > 0
     for done, wave in enumerate(sorted(plan, key=lambda r: r["wave"])):
         if done and done % waves_per_job == 0:
-            rows = _cut(rows)
+            rows = cut(rows)
         kinds = set(wave["kinds"])
         rows = rows.join(waves.where(F.col("wave") == wave["wave"]), "doc_id", "left")
         if wave["begins"]:

@@ -5,13 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import queries_rest  # noqa: F401  registers what the SQL here builds on
 from .operators import actions as A
+from .operators import brief as B
 from .plans import structure
 from .plans.replay import since_checkpoint
-from .queries import N, path_text, query
+from .queries import N, ORACLE_SQL, path_text, query
 from .queries_more import _log
 from .schema import TARGETS
-from .sources.corpus import nodes, read
+from .shared import shared_path
+from .sources.corpus import nodes, nodes_of_lines
+from .streaming import live, rooms
 
 # ---- replay of logs with structural actions -------------------------------------------------------------------------
 
@@ -60,3 +64,116 @@ def _replayed_sql(versions: int) -> str:
 query("ver_replay_all", _replayed_sql(9), with_nodes=False)(
     lambda s, d: structure.replay(nodes(s, d), since_checkpoint(_versions_of_all_kinds(s, d), _log(s, d))).select("doc_id", path_text().alias("path"), "type", "content", "style.font_size", "style.highlight", F.col("meta.borders")["top"].alias("top"))
 )
+
+# ---- streams with state: each reads the table as a stream to its end ------------------------------------------------------
+
+
+def _stream(s, d, name: str) -> DataFrame:
+    """The table as a stream, be it a file or a folder: the path is a pattern, as a plain one would have to be a folder."""
+    return s.readStream.schema(s.read.parquet(f"{d}/{name}.parquet").schema).parquet(f"{d}/{name}.parque[t]")
+
+
+def _rooms(e: DataFrame, rooms: int | None = None) -> DataFrame:
+    """Events as messages of rooms: a user's own, or one of so many rooms."""
+    room = F.col("user_id") if rooms is None else F.col("user_id") % rooms
+    return e.select(room.alias("doc_id"), F.col("ts").cast("timestamp").alias("ts"), F.col("event_id").alias("order"), F.col("event_type").alias("event"))
+
+
+def _replay_live(s, d) -> DataFrame:
+    """Views join one of ten rooms, all other events are messages; two hours count as recent."""
+    rooms.with_state(s)
+    e = lambda: _rooms(_stream(s, d, "events"), 10)
+    heard = rooms.replayed(e().where("event <> 'view'"), e().where("event = 'view'"), horizon=7200)
+    return live.finished(heard, "replay", rooms.HEARD).select("doc_id", F.unix_micros("joined").alias("joined"), "viewer", "order", "event", "n")
+
+
+query(
+    "str_replay_live",
+    """WITH e AS (SELECT user_id % 10 AS doc_id, ts, event_id, event_type FROM events), m AS (SELECT j.doc_id, j.event_id AS viewer, j.ts AS joined, m.event_id, m.event_type, m.ts FROM e j JOIN e m ON m.doc_id = j.doc_id AND m.ts <= j.ts AND m.ts >= j.ts - INTERVAL 7200 SECONDS WHERE j.event_type = 'view' AND m.event_type <> 'view')
+ SELECT doc_id, epoch_us(joined) AS joined, viewer, event_id AS "order", event_type AS event, n FROM (SELECT *, row_number() OVER (PARTITION BY viewer ORDER BY ts DESC, event_id DESC) AS n FROM m) WHERE n <= 40""",
+    with_nodes=False,
+)(_replay_live)
+
+
+def _doors_live(s, d) -> DataFrame:
+    """Two streams, one behind the other: rooms as they open, and which of them stay."""
+    rooms.with_state(s)
+    opened = live.finished(rooms.openings(_rooms(_stream(s, d, "events"))), "openings", "doc_id long, ts timestamp, order long")
+    path = shared_path(s, "opened")
+    opened.repartition(4).write.parquet(path)
+    moves = live.finished(rooms.doors(s.readStream.schema(opened.schema).parquet(path)), "doors", "doc_id long, ts timestamp, order long, kept boolean")
+    return rooms.still_open(moves).select("doc_id")
+
+
+query("str_room_eviction_live", "SELECT doc_id FROM (SELECT user_id AS doc_id, row_number() OVER (ORDER BY min((ts, event_id)) DESC, user_id) AS n FROM events GROUP BY 1) WHERE n <= 50", with_nodes=False)(_doors_live)
+
+
+def _fan_out_live(s, d) -> DataFrame:
+    """A view opens a visit of its room for as many minutes as its value says; the other events are messages."""
+    e = lambda: _stream(s, d, "events")
+    gone = F.timestamp_micros(F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 60_000_000).cast("long"))
+    visits = e().where("event_type = 'view'").select(F.col("event_id").alias("visit"), F.col("user_id").alias("doc_id"), F.col("ts").cast("timestamp").alias("joined"), gone.alias("gone"))
+    heard = rooms.fan_out(_rooms(e()).where("event <> 'view'"), visits)
+    return live.finished(heard, "fan-out", "doc_id long, order long, visit long, ts timestamp").select("doc_id", "order", "visit")
+
+
+query(
+    "str_room_fanout_live",
+    """WITH v AS (SELECT event_id AS visit, user_id AS room, epoch_us(ts) AS joined, epoch_us(ts) + round(value * 60000000)::BIGINT AS gone FROM events WHERE event_type = 'view')
+ SELECT e.user_id AS doc_id, e.event_id AS "order", visit FROM events e JOIN v ON room = e.user_id AND epoch_us(e.ts) >= joined AND epoch_us(e.ts) < gone WHERE event_type <> 'view'""",
+    with_nodes=False,
+)(_fan_out_live)
+
+
+def _versions_live(s, d) -> DataFrame:
+    rooms.with_state(s)
+    commands = _rooms(_stream(s, d, "events")).withColumnRenamed("event", "command")
+    return live.finished(live.versions(commands), "versions", "doc_id long, seq long, order long, command string, is_checkpoint boolean, parent_seq long")
+
+
+query("str_command_log_live", "SELECT user_id AS doc_id, seq, event_id AS \"order\", event_type AS command, seq % 10 = 0 AS is_checkpoint, CASE WHEN seq > 0 THEN seq - 1 END AS parent_seq FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events)", with_nodes=False)(_versions_live)
+
+
+def _lowered(versions: DataFrame) -> DataFrame:
+    """One action for each version: what the event's name stands for here, on the nodes that it means."""
+    pick = lambda **kv: F.element_at(F.create_map(*[F.lit(x) for kv_ in kv.items() for x in kv_]), F.col("command"))
+    return versions.select(
+        "doc_id", "seq", F.lit(0).alias("i"), pick(view="select", click="highlight", signup="delete", purchase="replace", error="resize").alias("type"),
+        pick(view="heading", click="body", signup="table", purchase="document", error="subheading").alias("target"), F.lit("the").alias("find"),
+    )
+
+
+def _exec_live(s, d) -> DataFrame:
+    """Commands come as a stream, are numbered and lowered, and what they do to the stored nodes is told batch by batch."""
+    rooms.with_state(s)
+    commands = _rooms(_stream(s, d, "events")).withColumnRenamed("event", "command")
+    work = lambda batch: live.told(nodes(s, d), _lowered(batch))
+    told = live.finished(live.versions(commands), "told", "doc_id long, seq long, i int, n int, event string, node_id string, total long", work)
+    return told.groupBy("doc_id", "seq", "event").agg(F.count("*").alias("rows"), F.max("total").alias("total"), F.min("n").alias("first"), F.min_by("node_id", "n").alias("node_id"))
+
+
+_NAMES = "CASE event_type WHEN 'view' THEN 'selection' WHEN 'click' THEN 'format' WHEN 'signup' THEN 'delete' WHEN 'purchase' THEN 'replace' ELSE 'format' END"
+query(
+    "exec_stream_live",
+    f""", v AS (SELECT user_id AS doc_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq, event_type, {_NAMES} AS family FROM events),
+ m AS (SELECT v.doc_id, v.seq, family, event_type, n.doc_id || '.' || path AS node_id, p1, p2, p3, content FROM v JOIN nodes n ON n.doc_id = v.doc_id AND CASE event_type WHEN 'view' THEN type = 'heading' WHEN 'click' THEN type IN ('body', 'paragraph') WHEN 'signup' THEN type = 'table' WHEN 'purchase' THEN type IN ({", ".join(f"'{t}'" for t in TARGETS["document"])}) ELSE type = 'subheading' END),
+ t AS (SELECT v.doc_id, v.seq, family, count(node_id) AS total FROM v LEFT JOIN m USING (doc_id, seq, family) GROUP BY 1, 2, 3),
+ c AS (SELECT doc_id, seq, family, count(*) AS rows, arg_min(node_id, (p1, p2, p3)) AS node_id FROM m WHERE event_type <> 'purchase' OR contains(content, 'the') GROUP BY 1, 2, 3)
+ SELECT doc_id, seq, 'batch_started' AS event, 1 AS rows, 1 AS total, 0 AS first, NULL AS node_id FROM t
+ UNION ALL SELECT doc_id, seq, family || '_started', 1, total, 1, NULL FROM t
+ UNION ALL SELECT doc_id, seq, CASE WHEN family = 'format' THEN 'format_progress' ELSE family || '_item' END, rows, NULL, 2, node_id FROM c
+ UNION ALL SELECT t.doc_id, t.seq, t.family || '_finished', 1, total, 2 + coalesce(rows, 0), NULL FROM t LEFT JOIN c USING (doc_id, seq, family)
+ UNION ALL SELECT t.doc_id, t.seq, 'batch_finished', 1, 1, 3 + coalesce(rows, 0), NULL FROM t LEFT JOIN c USING (doc_id, seq, family)""",
+    with_nodes=False,
+)(_exec_live)
+ORACLE_SQL["exec_stream_live"] = N + ORACLE_SQL["exec_stream_live"]
+
+
+def _progress_live(s, d) -> DataFrame:
+    """Documents come in as a stream and are read in passes; what a watcher is told of each pass."""
+    work = lambda batch: B.passes(nodes_of_lines(batch)).groupBy("doc_id", "pass").agg(F.count("*").alias("ids"))
+    told = live.finished(_stream(s, d, "documents"), "progress", "doc_id long, pass int, ids long", work)
+    return told.withColumn("total", F.max("pass").over(Window.partitionBy("doc_id")))
+
+
+query("str_progress_live", ORACLE_SQL["str_progress"], with_nodes=False)(_progress_live)

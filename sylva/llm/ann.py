@@ -142,22 +142,26 @@ def search(
         for whole in batches:
             at, x = usable(whole, dim)
             ids = whole.column("id").take(pa.array(at)).to_numpy(zero_copy_only=False)
+            by_id = np.argsort(ids, kind="stable")  # so that a block's repeated ids stand beside each other
+            ids, x = ids[by_id], x[by_id]
             for s in range(0, len(at), codes_per_block):
                 codes, norms = quantiser.encode(x[s : s + codes_per_block], beam)
                 number += 1
                 yield pa.RecordBatch.from_arrays([pa.array([number % stripes], pa.int32()), pa.array([ids[s : s + codes_per_block].astype(np.int64)], pa.list_(pa.int64())), pa.array([codes.tobytes()], pa.binary()), pa.array([norms.tobytes()], pa.binary())], ["stripe", "ids", "codes", "norms"])
 
     def pack(batches):
+        number = TaskContext.get().partitionId() << 32
         for whole in batches:
             at, x = usable(whole, dim)
             ids = whole.column("id").take(pa.array(at)).to_numpy(zero_copy_only=False)
             for s in range(0, len(at), queries_per_block):
-                yield pa.RecordBatch.from_arrays([pa.array([ids[s : s + queries_per_block].astype(np.int64)], pa.list_(pa.int64())), pa.array([x[s : s + queries_per_block].astype(np.float32).tobytes()], pa.binary())], ["q_ids", "q"])
+                number += 1
+                yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([ids[s : s + queries_per_block].astype(np.int64)], pa.list_(pa.int64())), pa.array([x[s : s + queries_per_block].astype(np.float32).tobytes()], pa.binary())], ["block", "q_ids", "q"])
 
     index = shared_path(spark, "ann-index")
     base.mapInArrow(tidy(encode), "stripe int, ids array<long>, codes binary, norms binary").write.parquet(index)
     blocks = spark.read.parquet(index)
-    queries = base.where("q").select("id", "v").repartition(stripes).mapInArrow(tidy(pack), "q_ids array<long>, q binary")
+    queries = base.where("q").select("id", "v").repartition(stripes).mapInArrow(tidy(pack), "block long, q_ids array<long>, q binary")
     queries = queries.withColumn("stripe", F.explode(F.sequence(F.lit(0), F.lit(stripes - 1))))
 
     def meet(batches):
@@ -169,7 +173,7 @@ def search(
 
         for batch in batches:
             for row in (r for i in range(len(batch)) for r in batch.slice(i, 1).to_pylist()):
-                if (key := (row["stripe"], row["q_ids"][0])) != now:
+                if (key := (row["stripe"], row["block"])) != now:
                     if now is not None:
                         yield hand_on()
                     now, q_ids = key, np.asarray(row["q_ids"])
@@ -182,6 +186,13 @@ def search(
                 for m in range(codes.shape[1]):
                     near -= 2 * table[m][:, codes[:, m]]
                 near[q_ids[:, None] == ids] = np.inf
+                if (new := np.append(True, ids[1:] != ids[:-1])).sum() < len(ids):  # of a repeated id the nearest counts
+                    near, ids = np.minimum.reduceat(near, np.flatnonzero(new), 1), ids[new]
+                if best_id.shape[1]:
+                    place = np.minimum(np.searchsorted(ids, best_id), len(ids) - 1)
+                    r, c = np.nonzero((ids[place] == best_id) & np.isfinite(best_near))
+                    near[r, place[r, c]] = np.minimum(near[r, place[r, c]], best_near[r, c])
+                    best_near[r, c] = np.inf
                 near, ids = np.concatenate([best_near, near], 1), np.concatenate([best_id, np.broadcast_to(ids, near.shape)], 1)
                 width = min(shortlist, near.shape[1])
                 pick = np.argpartition(near, width - 1, 1)[:, :width]
@@ -192,7 +203,7 @@ def search(
         if now is not None:
             yield hand_on()
 
-    met = queries.join(blocks, "stripe").select("stripe", "ids", "codes", "norms", "q_ids", "q").mapInArrow(tidy(meet), "query_id long, vec_id long, near float")
+    met = queries.join(blocks, "stripe").select("stripe", "block", "ids", "codes", "norms", "q_ids", "q").mapInArrow(tidy(meet), "query_id long, vec_id long, near float")
     first = Window.partitionBy("query_id").orderBy("near", "vec_id")
     short = met.groupBy("query_id", "vec_id").agg(F.min("near").alias("near")).withColumn("n", F.row_number().over(first)).where(F.col("n") <= shortlist).select("query_id", "vec_id")
     plain = base.select("id", "v")

@@ -133,6 +133,20 @@ def test_neighbours(spark):
     assert sorted(twice) == sorted(by[100])
     same = spark.createDataFrame([(i, [1.0, 2.0, float(i < 1)]) for i in range(500)], "vec_id long, embedding array<double>")
     assert [g.vec_id for g in sorted(search(same, F.col("vec_id") == 0, books=2, words=2, shortlist=20, codes_per_block=64).collect(), key=lambda g: g.rank)] == list(range(1, 11))
+    # repeated ids at the heads of the queries' blocks, and copies that would fill the shortlist
+    heads = table.where("vec_id in (100, 200, 300)")
+    many = table
+    for _ in range(6):
+        many = many.union(heads)
+    for _ in range(40):
+        many = many.union(table.where("vec_id = 5"))
+    for stripes, block in ((1, 2), (2, 2), (3, 1)):
+        crowded = search(many.coalesce(1), F.col("vec_id") % 100 == 0, books=8, words=32, shortlist=40, codes_per_block=64, queries_per_block=block, stripes=stripes).collect()
+        for q in (0, 100, 200, 300, 400, 500):
+            found = sorted((g.rank, g.vec_id) for g in crowded if g.query_id == q)
+            d = np.sqrt(((x.astype(float) - x[q].astype(float)) ** 2).sum(1))
+            d[q] = np.inf
+            assert [f[0] for f in found] == list(range(1, 11)) and len({f[1] for f in found} & set(np.argsort(d)[:10].tolist())) >= 8
     few = search(table.where("vec_id < 4"), F.col("vec_id") % 100 == 0, books=2, words=4).collect()
     assert len(few) == 3
     assert search(table.limit(0), F.col("vec_id") % 100 == 0).count() == 0

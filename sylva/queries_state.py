@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import queries_rest  # noqa: F401  registers what the SQL here builds on
 from .operators import actions as A
 from .operators import brief as B
+from .operators import spans
 from .plans import structure
 from .plans.replay import since_checkpoint
 from .queries import N, ORACLE_SQL, path_text, query
@@ -177,3 +178,40 @@ def _progress_live(s, d) -> DataFrame:
 
 
 query("str_progress_live", ORACLE_SQL["str_progress"], with_nodes=False)(_progress_live)
+
+# ---- formatting of words within nodes -------------------------------------------------------------------------------------
+
+
+def _styled(n: DataFrame) -> DataFrame:
+    """Every "the" bold, then every "he a" coloured, across the edges of the bold words."""
+    bold = spans.style_phrase(n, spans.plain_runs(n), F.lit(" The "), bold=True)
+    return spans.style_phrase(n, bold, F.lit("he a"), color="#c00000")
+
+
+query(
+    "fmt_style_span_runs",
+    """, c AS (SELECT doc_id, path, lower(content) AS low, unnest(range(1, length(content) + 1)) AS i FROM nodes WHERE content <> ''),
+ f AS (SELECT doc_id, path, i, substr(low, i, 3) = 'the' OR (i > 1 AND substr(low, i - 1, 3) = 'the') OR (i > 2 AND substr(low, i - 2, 3) = 'the') AS bold,
+  substr(low, i, 4) = 'he a' OR (i > 1 AND substr(low, i - 1, 4) = 'he a') OR (i > 2 AND substr(low, i - 2, 4) = 'he a') OR (i > 3 AND substr(low, i - 3, 4) = 'he a') AS red FROM c),
+ g AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id, path, bold, red ORDER BY i) AS island FROM f)
+ SELECT doc_id, doc_id || '.' || path AS node_id, (min(i) - 1)::INTEGER AS start, max(i)::INTEGER AS "end", CASE WHEN bold THEN true END AS bold, CASE WHEN red THEN '#c00000' END AS color FROM g GROUP BY doc_id, path, bold, red, island""",
+)(lambda n: _styled(n).select("doc_id", "node_id", "start", "end", "style.bold", "style.color"))
+
+
+def _described(n: DataFrame) -> DataFrame:
+    """The words that were picked out of each text: its first and its last word, in its own node only."""
+    words = F.split(F.trim("content"), " ")
+    asked = n.where("trim(content) <> ''").select("doc_id", "node_id", F.explode(F.array(words[0], F.element_at(words, -1))).alias("text"))
+    return spans.style_spans(n, spans.plain_runs(n), asked, italic=True)
+
+
+query(
+    "join_spans_runs",
+    """, w AS (SELECT doc_id, path, content, lower(content) AS low, lower(string_split(trim(content), ' ')[1]) AS a, lower(string_split(trim(content), ' ')[-1]) AS b FROM nodes WHERE trim(content) <> ''),
+ d AS (SELECT DISTINCT doc_id, path, low, unnest([a, b]) AS needle FROM w),
+ p AS (SELECT doc_id, path, needle, unnest(string_split(low, needle)[:-2]) AS gap, generate_subscripts(string_split(low, needle)[:-2], 1) AS k FROM d),
+ m AS (SELECT doc_id, path, length(needle) AS n, sum(length(gap) + length(needle)) OVER (PARTITION BY doc_id, path, needle ORDER BY k) AS stop FROM p),
+ u AS (SELECT doc_id, path, stop - n AS start, stop, max(stop) OVER (PARTITION BY doc_id, path ORDER BY stop - n, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM m),
+ i AS (SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path ORDER BY start, stop) AS island FROM u)
+ SELECT doc_id, doc_id || '.' || path AS node_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "end" FROM i GROUP BY doc_id, path, island""",
+)(lambda n: _described(n).where("style.italic").select("doc_id", "node_id", "start", "end"))

@@ -10,12 +10,13 @@ from .operators import actions as A
 from .operators import brief as B
 from .operators import spans
 from .plans import structure
+from .plans.compose import spec_nodes
 from .plans.replay import since_checkpoint
 from .queries import N, ORACLE_SQL, path_text, query
 from .queries_more import _log
 from .schema import TARGETS
 from .shared import shared_path
-from .sources.corpus import nodes, nodes_of_lines
+from .sources.corpus import nodes, nodes_of_lines, read
 from .streaming import live, rooms
 
 # ---- replay of logs with structural actions -------------------------------------------------------------------------
@@ -215,3 +216,46 @@ query(
  i AS (SELECT *, sum(CASE WHEN start <= before THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path ORDER BY start, stop) AS island FROM u)
  SELECT doc_id, doc_id || '.' || path AS node_id, min(start)::INTEGER AS start, max(stop)::INTEGER AS "end" FROM i GROUP BY doc_id, path, island""",
 )(lambda n: _described(n).where("style.italic").select("doc_id", "node_id", "start", "end"))
+
+# ---- specs as node tables -------------------------------------------------------------------------------------------------
+
+
+def _composed(s, d) -> DataFrame:
+    """A spec of every document: its text as a listing and its words as blocks of every kind; figures of odd documents have no data."""
+    null = lambda kind: F.lit(None).cast(kind)
+    words = F.slice(F.split("text", " ", -1), 1, 3)
+
+    def block(kind: str, **given):
+        fields = {"level": "int", "text": "string", "ordered": "boolean", "items": "array<string>", "columns": "array<string>", "rows": "array<array<string>>", "caption": "string", "render": "string", "filename": "string", "chart": "struct<kind:string,labels:array<string>,values:array<double>>"}
+        return F.struct(F.lit(kind).alias("type"), *[given.get(f, null(t)).cast(t).alias(f) for f, t in fields.items()])
+
+    values = F.when(F.col("doc_id") % 2 == 0, F.array(F.col("n_chars").cast("double"))).otherwise(F.array().cast("array<double>"))
+    chart = F.struct(F.lit("bar").alias("kind"), F.array("lang").alias("labels"), values.alias("values"))
+    blocks = F.array(
+        block("heading", level=F.col("doc_id") % 4, text=words[0]), block("figure", chart=chart, caption=F.col("lang")), block("list", ordered=F.col("doc_id") % 3 == 0, items=words), block("figure", chart=F.struct(F.lit("pie").alias("kind"), F.array("lang").alias("labels"), F.array(F.lit(1.0)).alias("values"))),
+        block("table", columns=F.array("lang", "source"), rows=F.array(words), caption=F.col("source")), block("equation", text=F.concat(words[0], F.lit("_{2}"))), block("equation", text=F.lit("y = 2")), block("code", text=F.col("text"), caption=F.col("lang")),
+    )
+    meta = F.struct(F.col("source").alias("title"), F.lit("apa").alias("style"), F.array("lang", "source").alias("keywords"))
+    return read(s, d, "documents").select("doc_id", F.to_json(F.struct(meta.alias("meta"), blocks.alias("blocks"), F.array(F.concat(F.lit("[7] "), "source")).alias("references"))).alias("spec"))
+
+
+query(
+    "spec_to_nodes",
+    r"""WITH b AS (SELECT *, string_split(text, ' ')[1:3] AS w, doc_id % 2 = 0 AS even, 0 AS z FROM documents),
+ o AS (SELECT *, CASE WHEN even THEN 1 ELSE 0 END AS f, string_split(CASE WHEN ends_with(text, chr(10)) THEN text[:-2] ELSE text END, chr(10)) AS code FROM b),
+ x AS (
+  SELECT doc_id, '1' AS path, 'heading' AS type, source AS content, NULL AS number FROM o UNION ALL SELECT doc_id, '2', 'body', 'Keywords: ' || lang || ', ' || source, NULL FROM o
+  UNION ALL SELECT doc_id, '3', CASE WHEN doc_id % 4 < 2 THEN 'heading' ELSE 'subheading' END, w[1], NULL FROM o
+  UNION ALL SELECT doc_id, '4', 'figure', '', '1' FROM o WHERE even UNION ALL SELECT doc_id, '4.1', 'image', lang, NULL FROM o WHERE even UNION ALL SELECT doc_id, '4.2', 'caption', 'Figure 1' || chr(10) || lang, NULL FROM o WHERE even
+  UNION ALL SELECT doc_id, (4 + f)::VARCHAR, 'paragraph', '', NULL FROM o
+  UNION ALL SELECT doc_id, (4 + f) || '.' || k, 'body', CASE WHEN doc_id % 3 = 0 THEN k || '. ' ELSE '• ' END || c, NULL FROM (SELECT *, unnest(w) AS c, generate_subscripts(w, 1) AS k FROM o)
+  UNION ALL SELECT doc_id, (5 + f)::VARCHAR, 'figure', '', '2' FROM o UNION ALL SELECT doc_id, (5 + f) || '.1', 'image', '', NULL FROM o
+  UNION ALL SELECT doc_id, (6 + f)::VARCHAR, 'table', '', NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.1', 'table_row', '', NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.1.1', 'table_cell', lang, NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.1.2', 'table_cell', source, NULL FROM o
+  UNION ALL SELECT doc_id, (6 + f) || '.2', 'table_row', '', NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.2.1', 'table_cell', coalesce(w[1], ''), NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.2.2', 'table_cell', coalesce(w[2], ''), NULL FROM o UNION ALL SELECT doc_id, (6 + f) || '.3', 'caption', source, NULL FROM o
+  UNION ALL SELECT doc_id, (7 + f)::VARCHAR, 'figure', '', '1' FROM o UNION ALL SELECT doc_id, (7 + f) || '.1', 'image', w[1] || '_{2}', '1' FROM o UNION ALL SELECT doc_id, (8 + f)::VARCHAR, 'body', 'y = 2', '2' FROM o
+  UNION ALL SELECT doc_id, (9 + f)::VARCHAR, 'paragraph', '', NULL FROM o UNION ALL SELECT doc_id, (9 + f) || '.1', 'caption', 'Listing 1. ' || lang, NULL FROM o
+  UNION ALL SELECT doc_id, (9 + f) || '.' || (k + 1), 'body', CASE WHEN c = '' THEN ' ' ELSE c END, NULL FROM (SELECT *, unnest(code) AS c, generate_subscripts(code, 1) AS k FROM o)
+  UNION ALL SELECT doc_id, (10 + f)::VARCHAR, 'reference', '[1] ' || source, NULL FROM o)
+ SELECT * FROM x""",
+    with_nodes=False,
+)(lambda s, d: spec_nodes(_composed(s, d)).select("doc_id", path_text().alias("path"), "type", "content", F.col("props")["number"].alias("number")))

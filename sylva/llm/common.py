@@ -244,6 +244,21 @@ def at_parts(sums: DataFrame) -> DataFrame:
     return sums.withColumn("_salt", parts).drop("_parts")
 
 
+def perhaps(rows: DataFrame, keys: DataFrame, *columns: str, bits: int = 23) -> DataFrame:
+    """The rows with ``_perhaps``: false only if no row of ``keys`` has the same values in ``columns``.
+
+    A bitmap of ``bits`` address bits (1 MB as set, whatever the number of keys) is broadcast, so wide rows that have no
+    partner need no shuffle. With very many keys it lets most rows through, which an exact join then sorts out.
+    """
+    place = F.pmod(F.xxhash64(*columns), F.lit(1 << bits))
+    marked = keys.select(place.alias("_place")).groupBy(F.bitmap_bucket_number("_place").alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("_place")).alias("_bits"))
+    at = rows.withColumn("_place", place)
+    at = at.withColumns({"_bucket": F.bitmap_bucket_number("_place"), "_bit": F.bitmap_bit_position("_place")}).join(F.broadcast(marked), "_bucket", "left")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(F.col("_bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = F.expr("shiftright({b}, cast(_bit % 8 as int)) & 1 = 1".format(b="_byte"))
+    return at.withColumn("_byte", byte).withColumn("_perhaps", F.coalesce(held, F.lit(False))).drop("_place", "_bucket", "_bit", "_bits", "_byte")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, label): the smallest node that each node of ``edges`` (a, b) is connected with.
 

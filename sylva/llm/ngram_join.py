@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SALTS, Words, at_parts, components, discard, mix, parts_held, slices, stored, tidy, with_group
+from .common import SALTS, Words, at_parts, components, discard, mix, parts_held, perhaps, slices, stored, tidy, with_group
 
 SEED = 99
 
@@ -313,8 +313,8 @@ def similar(
     members = classes.select("set", "rep.doc", "rep.h", "copies", "sig", "n_grams").join(groups.select(F.col("node").alias("set"), "label"), "set")
     members = with_group(members, "label", "set", F.count("*").alias("size"), F.sum("n_grams").alias("total"))
     parts = F.ceil(F.greatest(F.col("size") / block, F.col("total") / block_grams)).cast("int")
-    members = members.select("doc", "h", "set", "copies", "sig", "label", parts.alias("blocks"))
-    texts = source.join(members, ["doc", "h"]).select("set", "copies", "sig", "label", "blocks", "text")
+    members = stored(members.select("doc", "h", "set", "copies", "sig", "label", parts.alias("blocks")), "members")
+    texts = perhaps(source, members, "doc", "h").where("_perhaps").dropDuplicates(["doc", "h"]).join(members, ["doc", "h"]).select("set", "copies", "sig", "label", "blocks", "text")
 
     def with_sets(batches):
         for whole in batches:
@@ -353,7 +353,7 @@ def similar(
     out = features_at.where("set is not null").select("doc", "set", "_salt").join(at_parts(named), ["set", "_salt"])
     out = out.select(F.col("doc").alias(id_col), "class_id", "copy_id", F.col("copies").alias("n_copies"), (F.col("links") + F.col("copies") - 1).alias("n_links"), F.col("texts").alias("n_text_links"))
     result = stored(out.unionByName(alone), "similar")
-    for old in (features, classes, groups, found, joined):
+    for old in (features, classes, groups, members, found, joined):
         discard(old)
     return result
 
@@ -361,5 +361,8 @@ def similar(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows whose id is the smallest of their class of near duplicates, all columns as they were. Rows with a null id
     stay; of rows that share an id all stay if it is their class's."""
-    keepers = similar(docs, id_col, text_col, **options).where(F.col(id_col) == F.col("class_id")).select(id_col).distinct()
-    return docs.where(F.col(id_col).isNotNull()).join(keepers, id_col, "left_semi").unionByName(docs.where(F.col(id_col).isNull()))
+    classes = similar(docs, id_col, text_col, **options)
+    goes = classes.groupBy(id_col).agg(F.max((F.col(id_col) == F.col("class_id")).cast("int")).alias("_first")).where("_first = 0").select(id_col)
+    named = perhaps(docs.where(F.col(id_col).isNotNull()), goes, id_col)  # most rows stay for sure and need not be shuffled
+    asked = named.where("_perhaps").drop("_perhaps").join(goes, id_col, "left_anti")
+    return named.where("not _perhaps").select(docs.columns).unionByName(asked.select(docs.columns)).unionByName(docs.where(F.col(id_col).isNull()))

@@ -260,3 +260,17 @@ def test_pipeline_against_stages(spark, tmp_path):
     masked = C.personal_data(spark, read, str(tmp_path)).where("doc_id = 502").first()
     assert masked.text.endswith("mail me at [EMAIL] now") and masked.n_chars == len(masked.text)
     assert got[502].n_tokens == len(got[502].ids) > 0
+
+
+def test_perhaps(spark):
+    """The bitmap lets every partner through, and with few keys little else."""
+    from sylva.llm.common import perhaps
+
+    rows = spark.range(20000).select(F.col("id").alias("a"), (F.col("id") % 7).cast("string").alias("b"))
+    keys = rows.where("a % 50 = 3").union(rows.limit(1)).withColumn("x", F.lit(1))
+    got = {(r.a, r.b): r._perhaps for r in perhaps(rows, keys, "a", "b").collect()}
+    want = {(r.a, r.b) for r in keys.collect()}
+    assert len(got) == 20000 and all(got[k] for k in want) and sum(got.values()) < len(want) + 30
+    assert not any(r._perhaps for r in perhaps(rows, keys.limit(0), "a").collect())
+    small = {r.a: r._perhaps for r in perhaps(rows, keys, "a", bits=4).collect()}
+    assert all(small[a] for a, _ in want)

@@ -119,7 +119,7 @@ def describe(actions: DataFrame, changed: DataFrame, sections: DataFrame | None
     have = set(actions.columns)
     rows = actions.select("batch", "i", *[(F.col(c) if c in have else F.lit(None)).cast(t).alias(c) for c, t in FIELDS.items()])
     kinds = changed.groupBy("batch", "type").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
-    most = kinds.groupBy("batch").agg(F.sum("n").alias("_changed"), F.max_by("type", F.struct("n", (-F.col("first")).alias("f"))).alias("_kind"))
+    most = kinds.groupBy("batch").agg(F.sum("n").alias("_changed"), F.min_by("type", F.struct((-F.col("n")).alias("n"), "first")).alias("_kind"))
     told = rows.join(most, "batch", "left").withColumn("_what", _what()).withColumn("said", phrase())
     batches = told.groupBy("batch").agg(F.array_sort(F.collect_list(F.when(F.col("said") != "", F.struct("i", "said")))).alias("all")).withColumn("sentence", _join(F.transform("all", lambda s: s["said"])))
     if sections is not None:

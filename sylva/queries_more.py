@@ -132,23 +132,24 @@ query("join_terms_def", _TERMS + "SELECT u.doc_id, u.term, n, de.term IS NOT NUL
 
 
 def _read_sections(n: DataFrame) -> DataFrame:
-    """Sections with what they are about: here the text of the first node below the heading."""
-    s = B.sections(n)
-    first = n.withColumn("first", F.substring("content", 1, 200)).select("doc_id", "node_id", "first")
-    return s.withColumn("_id", F.try_element_at("node_ids", F.lit(2))).join(first.withColumnRenamed("node_id", "_id"), ["doc_id", "_id"], "left").select("doc_id", "section", "heading", F.coalesce("first", F.lit("")).alias("about"))
+    """Sections with what they are about: here all texts below the heading."""
+    order = Window.partitionBy("doc_id").orderBy("sort_path").rowsBetween(Window.unboundedPreceding, 0)
+    flat = n.where("depth = 1").withColumn("section", F.sum(is_type(HEADINGS).cast("int")).over(order).cast("int")).where(~is_type(HEADINGS))
+    about = flat.groupBy("doc_id", "section").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("sort_path", "content"))), lambda x: x["content"]), " ").alias("about"))
+    return B.sections(n).join(about, ["doc_id", "section"], "left").select("doc_id", "section", "heading", F.coalesce("about", F.lit("")).alias("about"))
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in V.NOISE) + "]"
 _WORDS = "list_distinct(list_filter(regexp_extract_all(lower(coalesce({}, '')), '[a-z0-9%]+'), lambda w: length(w) > 2 AND NOT list_contains(" + _STOP + ", w)))"
-_LOC = _SECTIONS.rstrip() + f""", b AS (SELECT s.doc_id, s.sec, substr(min(s.content), 1, 200) AS about FROM s WHERE NOT st AND sec > 0 AND p1 = (SELECT min(p1) FROM s s2 WHERE s2.doc_id = s.doc_id AND s2.sec = s.sec AND NOT s2.st) GROUP BY 1, 2),
+_LOC = _SECTIONS.rstrip() + f""", b AS (SELECT doc_id, sec, string_agg(content, ' ' ORDER BY p1) AS about FROM s WHERE NOT st AND sec > 0 GROUP BY 1, 2),
  rs AS (SELECT sections.doc_id, section, heading, coalesce(about, '') AS about FROM sections LEFT JOIN b ON b.doc_id = sections.doc_id AND b.sec = section),
  sw AS (SELECT doc_id, section, {_WORDS.format("heading")} AS head, unnest(list_distinct({_WORDS.format("heading")} || {_WORDS.format("about")})) AS word FROM rs),
  spr AS (SELECT doc_id, word, count(*) AS sections FROM sw GROUP BY 1, 2),
- cm AS (SELECT doc_id, 'Shorten the section on ' || substr(text, 1, 60) AS command FROM documents),
+ cm AS (SELECT doc_id, 'Shorten the section on ' || string_split(text, chr(10))[-1] AS command FROM documents),
  cw AS (SELECT doc_id, unnest({_WORDS.format("command")}) AS word FROM cm),
  sc AS (SELECT sw.doc_id, sw.section, sum(CASE WHEN spr.sections = 1 THEN 2.0 ELSE 1.0 END + CASE WHEN list_contains(head, sw.word) THEN 1 ELSE 0 END)::DOUBLE AS score FROM sw JOIN cw ON cw.doc_id = sw.doc_id AND cw.word = sw.word JOIN spr ON spr.doc_id = sw.doc_id AND spr.word = sw.word GROUP BY 1, 2)
 """
-_commands = lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.lit("Shorten the section on "), F.substring("text", 1, 60)).alias("command"))
+_commands = lambda s, d: read(s, d, "documents").select("doc_id", F.concat(F.lit("Shorten the section on "), F.element_at(F.split("text", "\n", -1), -1)).alias("command"))
 query("agg_spread", _LOC + "SELECT * FROM spr")(lambda n: V.spread(_read_sections(n)))
 for _name in ("cmd_locate", "argmax_section"):
     query(_name, _node := None, with_nodes=False)(lambda s, d: V.locate(_read_sections(nodes(s, d)), _commands(s, d)))

@@ -6,14 +6,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import queries_rest  # noqa: F401  registers what the SQL here builds on
+from .functions import markup as M
 from .operators import actions as A
 from .operators import brief as B
-from .operators import spans
-from .plans import structure
+from .operators import describe, pages, spans
+from .operators import terms as V
+from .plans import replies, structure
 from .plans.compose import spec_nodes
 from .plans.replay import since_checkpoint
 from .queries import N, ORACLE_SQL, path_text, query
-from .queries_more import _log
+from .queries_more import _LOC, _commands, _log, _read_sections
 from .schema import TARGETS
 from .shared import shared_path
 from .sources.corpus import nodes, nodes_of_lines, read
@@ -259,3 +261,112 @@ query(
  SELECT * FROM x""",
     with_nodes=False,
 )(lambda s, d: spec_nodes(_composed(s, d)).select("doc_id", path_text().alias("path"), "type", "content", F.col("props")["number"].alias("number")))
+
+# ---- pages with cut texts -------------------------------------------------------------------------------------------------
+
+query(
+    "win_page_fill_cut",
+    """, items AS (SELECT doc_id, path, type, content, length(content) AS n, (greatest(1, ceil(length(content) / 80)::INTEGER) + 1) * 14 AS h, row_number() OVER (PARTITION BY doc_id ORDER BY p1) AS rn FROM nodes WHERE depth = 1),
+ fold AS (
+  SELECT doc_id, 0::BIGINT AS rn, 1 AS page, 0 AS used, false AS filled, NULL::VARCHAR AS path, 0 AS cut, 1 AS onto, NULL::VARCHAR AS content FROM (SELECT DISTINCT doc_id FROM items)
+  UNION ALL SELECT doc_id, rn, CASE WHEN type = 'page_break' THEN page + 1 WHEN fits THEN page WHEN cut > 0 THEN page + 1 ELSE page + filled::INTEGER + CASE WHEN h >= 700 THEN 1 ELSE 0 END END,
+   CASE WHEN type = 'page_break' THEN 0 WHEN fits THEN used + h WHEN cut > 0 THEN least(h - budget, 700) WHEN h >= 700 THEN 0 ELSE h END, CASE WHEN type = 'page_break' THEN false WHEN fits OR cut > 0 THEN true ELSE h < 700 END,
+   CASE WHEN type <> 'page_break' THEN path END, CASE WHEN fits OR type = 'page_break' THEN 0 ELSE cut END, CASE WHEN fits OR cut > 0 THEN page ELSE page + filled::INTEGER END, content
+  FROM (SELECT *, CASE WHEN raw > 0 AND trim(substr(content, 1, raw)) <> '' AND trim(substr(content, raw + 1)) <> '' THEN raw ELSE 0 END AS cut FROM (
+   SELECT i.*, f.page, f.used, f.filled, i.h <= 700 - f.used AS fits, 700 - f.used - 14 AS budget, CASE WHEN i.type IN ('body', 'paragraph', 'reference', 'footnote', 'caption') AND 700 - f.used - 14 >= 28 AND i.h - (700 - f.used - 14) >= 28 AND i.n > (700 - f.used - 14) // 14 * 80
+     AND contains(substr(i.content, 1, ((700 - f.used - 14) // 14 * 80 + 1)::BIGINT), ' ') THEN length(substr(i.content, 1, ((700 - f.used - 14) // 14 * 80 + 1)::BIGINT)) - strpos(reverse(substr(i.content, 1, ((700 - f.used - 14) // 14 * 80 + 1)::BIGINT)), ' ') ELSE 0 END AS raw
+   FROM fold f JOIN items i ON i.doc_id = f.doc_id AND i.rn = f.rn + 1)))
+ SELECT doc_id, doc_id || '.' || path AS node_id, '' AS part, onto AS page, content AS text FROM fold WHERE path IS NOT NULL AND cut = 0
+ UNION ALL SELECT doc_id, doc_id || '.' || path, '~a', onto, regexp_replace(substr(content, 1, cut::BIGINT), '\\s+$', '') FROM fold WHERE cut > 0
+ UNION ALL SELECT doc_id, doc_id || '.' || path, '~b', onto + 1, regexp_replace(substr(content, cut::BIGINT + 1), '^\\s+', '') FROM fold WHERE cut > 0""",
+)(lambda n: pages.fill(n))
+ORACLE_SQL["win_page_fill_cut"] = ORACLE_SQL["win_page_fill_cut"].replace("WITH lines", "WITH RECURSIVE lines", 1)
+
+# ---- maths as typed, replies, salvage -------------------------------------------------------------------------------------
+
+query(
+    "fn_typed_maths",
+    r"""WITH t AS (SELECT doc_id, regexp_replace(regexp_replace(translate(text, '$^_{}\', ''), '([0-9]+)', '$x_{\1}^2$', 'g'), '([A-Z])', '$\1^$', 'g') AS text FROM documents),
+ x AS (SELECT doc_id, regexp_extract_all(text, '\$x_\{[0-9]+\}\^2\$') AS m, string_split_regex(text, '\$x_\{[0-9]+\}\^2\$|\$[A-Z]\^\$') AS p, regexp_extract_all(text, '\$[A-Z]\^\$') AS bad FROM t)
+ SELECT doc_id, list_transform(m, lambda y: y[2:-2]) AS maths, (len(list_filter(p, lambda y: y <> '')) + len(bad))::INTEGER AS texts FROM x""",
+    with_nodes=False,
+)(
+    lambda s, d: read(s, d, "documents").withColumn("text", F.regexp_replace(F.regexp_replace(F.translate("text", "$^_{}\\", ""), "([0-9]+)", r"\$x_{$1}^2\$"), "([A-Z])", r"\$$1^\$"))
+    .select("doc_id", M.typed_maths(F.col("text")).alias("x"))
+    .select("doc_id", F.transform(F.filter("x", lambda p: p["kind"] == "maths"), lambda p: p["value"]).alias("maths"), F.size(F.filter("x", lambda p: p["kind"] == "text")).alias("texts"))
+)
+
+
+def _whole_and_cut(s, d) -> DataFrame:
+    """Replies around an edit of each text; those of odd documents are cut in the middle of it."""
+    edits = F.to_json(F.struct(F.array(F.struct(F.concat("doc_id", F.lit(".1")).alias("id"), "text")).alias("edits")))
+    rows = read(s, d, "documents").withColumn("_e", edits)
+    cut = F.expr("substring(_e, 1, length(_e) - 3 - length(lang))")
+    return rows.select("doc_id", F.concat(F.lit("Here is } what [you] asked: "), F.when(F.col("doc_id") % 2 == 0, F.concat("_e", F.lit(" and {more}"))).otherwise(cut)).alias("reply"))
+
+
+query("rewrite_strict", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN doc_id || '.1' END AS id, CASE WHEN doc_id % 2 = 0 THEN text END AS text FROM documents", with_nodes=False)(
+    lambda s, d: replies.strict(_whole_and_cut(s, d)).select("doc_id", F.get("edits", F.lit(0))["id"].alias("id"), F.get("edits", F.lit(0))["text"].alias("text"))
+)
+
+
+def _sloppy(s, d) -> DataFrame:
+    """Specs with a good block and a heading without a text; by document, the references, the flags or the metadata are wrong."""
+    k = F.col("doc_id") % 5
+    text = F.regexp_extract(F.to_json(F.struct("text")), r'(?s)^\{"text":(.*)\}$', 1)
+    blocks = F.concat(F.lit('[{"type":"heading"},{"type":"paragraph","text":'), F.when(k == 4, F.lit("null")).otherwise(text), F.lit("}]"))
+    meta = F.when(k == 3, '{"title":7}').otherwise('{"title":"T"}')
+    references = F.when(k == 1, '"one"').otherwise('["one"]')
+    resolved = F.when(k == 2, '"maybe"').otherwise("true")
+    return read(s, d, "documents").select("doc_id", F.concat(F.lit('{"meta":'), meta, F.lit(',"blocks":'), blocks, F.lit(',"references":'), references, F.lit(',"resolved":'), resolved, F.lit("}")).alias("spec"))
+
+
+query("salvage_ladder", "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN doc_id % 5 + 1 END::INTEGER AS stage, CASE WHEN doc_id % 5 < 4 THEN 1 ELSE 2 END AS dropped, CASE WHEN doc_id % 5 < 4 THEN text END AS text FROM documents", with_nodes=False)(
+    lambda s, d: replies.salvage(_sloppy(s, d)).select("doc_id", "stage", "dropped", F.from_json("kept", "blocks array<struct<text: string>>")["blocks"][0]["text"].alias("text"))
+)
+
+# ---- what was done, and where ---------------------------------------------------------------------------------------------
+
+
+def _done(s, d) -> tuple[DataFrame, DataFrame]:
+    """A batch of one action for each document by its id, and the nodes that it changed: those of its target."""
+    n = nodes(s, d)
+    k = (F.col("doc_id") % 6).cast("int")
+    pick = lambda *v: F.element_at(F.array(*[F.lit(x) for x in v]), k + 1)
+    docs = n.select("doc_id").distinct()
+    actions = docs.select(
+        F.col("doc_id").alias("batch"), F.lit(0).alias("i"), pick("format", "delete", "align", "list", "resize", "border").alias("type"), pick("heading", "table", "caption", "body", "subheading", "table").alias("target"),
+        (k == 0).alias("bold"), F.when(k == 2, "center").alias("alignment"), F.when(k == 3, "number").alias("kind"), F.when(k == 4, -2.0).alias("delta"), F.when(k == 5, F.array(F.lit("top"), F.lit("inside_v"))).alias("sides"), F.when(k == 5, 1.5).alias("width"),
+    ).withColumn("bold", F.when(F.col("bold"), True))
+    hit = n.withColumn("k", k).where("(k = 0 and type = 'heading') or (k in (1, 5) and type = 'table') or (k = 2 and type = 'caption') or (k = 3 and type in ('body', 'paragraph')) or (k = 4 and type = 'subheading')")
+    return actions, hit.select(F.col("doc_id").alias("batch"), F.col("sort_path").alias("pos"), "type")
+
+
+_COUNTED = "CASE WHEN n = 1 THEN '1 ' || one WHEN n > 0 THEN n || ' ' || one || 's' ELSE one || 's' END"
+query(
+    "cmd_describe",
+    f""", k AS (SELECT doc_id, doc_id % 6 AS k, ['heading', 'table', 'caption', 'paragraph', 'subheading', 'table'][doc_id % 6 + 1] AS one FROM documents),
+ c AS (SELECT k.doc_id, k, one, count(nodes.doc_id) AS n FROM k LEFT JOIN nodes ON nodes.doc_id = k.doc_id AND (type = one OR one = 'paragraph' AND type = 'body') GROUP BY 1, 2, 3)
+ SELECT doc_id AS batch, CASE k WHEN 0 THEN 'Bolded ' || {_COUNTED} WHEN 1 THEN 'Deleted ' || {_COUNTED} WHEN 2 THEN 'Centred ' || {_COUNTED} WHEN 3 THEN 'Numbered ' || {_COUNTED} WHEN 4 THEN 'Made ' || {_COUNTED} || ' 2 pt smaller'
+  ELSE 'Drew heavy top and inner vertical borders on ' || {_COUNTED} || ', and no others' END || '.' AS sentence FROM c""",
+    with_nodes=False,
+)(lambda s, d: describe.describe(*_done(s, d)))
+ORACLE_SQL["cmd_describe"] = N + ORACLE_SQL["cmd_describe"]
+
+
+def _placed(s, d) -> DataFrame:
+    """A command for each document, located in its sections; by document, its action is free, a border, or has its nodes."""
+    n, k = nodes(s, d), F.col("doc_id") % 3
+    located = V.locate(_read_sections(n), _commands(s, d)).join(B.sections(n).select("doc_id", "section", "node_ids"), ["doc_id", "section"]).select(F.col("doc_id").alias("batch"), F.col("node_ids").alias("ids"))
+    actions = _commands(s, d).select(F.col("doc_id").alias("batch"), F.lit(0).alias("i"), F.when(k == 1, "border").otherwise("rewrite").alias("type"), F.lit("body").alias("target"), F.when(k == 2, F.array(F.lit("x"))).alias("node_ids"), "command")
+    return describe.place(actions, located)
+
+
+query(
+    "cmd_place",
+    _LOC + """, best AS (SELECT doc_id, section FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, section) AS rn FROM sc) WHERE rn = 1 AND score >= 2)
+ SELECT d.doc_id AS batch, CASE WHEN d.doc_id % 3 = 1 THEN 'border' ELSE 'rewrite' END AS type, CASE WHEN d.doc_id % 3 = 0 AND n_ids IS NOT NULL THEN NULL ELSE 'body' END AS target, CASE d.doc_id % 3 WHEN 2 THEN 1 WHEN 0 THEN n_ids END::INTEGER AS n_ids
+ FROM documents d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN sections ON sections.doc_id = best.doc_id AND sections.section = best.section""",
+    with_nodes=False,
+)(lambda s, d: _placed(s, d).select("batch", "type", "target", F.when(F.col("node_ids").isNotNull(), F.size("node_ids")).alias("n_ids")))
+ORACLE_SQL["cmd_place"] = N + ORACLE_SQL["cmd_place"]

@@ -225,6 +225,11 @@ def test_urls(spark):
     rules_of = [("block", "one.com/en/"), ("block", "net/es/"), ("allow", "com/")]
     verdicts = {r.path: (r.verdict, r.mined) for r in judge(spark.createDataFrame(list(enumerate(hosts)), "page_id long, url string"), rules_of).where("host = 'z.org'").collect()}
     assert verdicts["/en/1"] == ("allow", None) and verdicts["/es/1"][0] == "block" and "path:es" in verdicts["/es/1"][1]
+    # six urls that share a path of 30 segments, which have 2 ** 30 combinations; a url with some of them is judged by those
+    path = "/".join(f"seg{k}" for k in range(30))
+    shared = hosts + [f"https://long{i}.net/es/{path}/{i}" for i in range(6)] + ["https://other.org/seg3/seg7/x", "https://other.org/seg3/x"]
+    deep = {r.path: (r.verdict, r.mined) for r in judge(spark.createDataFrame(list(enumerate(shared)), "page_id long, url string"), rules_of).where("host = 'other.org'").collect()}
+    assert deep["/seg3/seg7/x"][0] == deep["/seg3/x"][0] == "block" and {"path:seg3", "path:seg7"} <= set(deep["/seg3/seg7/x"][1].split()) and not {"path:seg4", "path:seg7"} & set(deep["/seg3/x"][1].split())
     # ties go to the rule of more tokens, repeated rows each get theirs
     twice = judge(spark.createDataFrame([(i, u) for i, u in enumerate(hosts)] + [(181, hosts[181])], "page_id long, url string"), rules_of).where("page_id = 181").collect()
     assert len(twice) == 2 and twice[0] == twice[1]

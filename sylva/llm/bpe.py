@@ -169,8 +169,6 @@ class Transducer:
 
     def word(self, word: str) -> list[int]:
         """The ids of one word."""
-        if word in self.final and self.stays("", word, True):
-            return [self.final[word]]
         ids: list[int] = []
         self.stream(word, ids.append)
         return ids

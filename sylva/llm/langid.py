@@ -29,13 +29,13 @@ def plain(text: str) -> str:
 
 
 def learn_dictionaries(
-    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 96 << 10, sample: int = 300, piece: int = 1000,
+    labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", dictionary_bytes: int = 96 << 10, sample: int = 300, piece: int = 400,
 ) -> dict[str, bytes]:
     """The raw-content dictionary of each language.
 
     Fitted on at most ``sample`` texts of each language, short ones too, and ``piece`` characters of each, of a longer text
-    in four parts from its start to its end; this bounded part is all that reaches the driver. Rows without a letter or a
-    language are passed over.
+    in four parts from its start to its end; this bounded part is all that reaches the driver. If it is more than
+    ``dictionary_bytes``, every text gives an equal share of them. Rows without a letter or a language are passed over.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
     part, far = max(1, piece // 4), F.length("text") - max(1, piece // 4)
@@ -44,7 +44,22 @@ def learn_dictionaries(
     parts: dict[str, list[str]] = {}
     for r in bounded_sample(rows, "lang", sample):
         parts.setdefault(r["lang"], []).append(plain(r["text"]))
-    return {lang: "\n".join(texts).encode()[-dictionary_bytes:] for lang, texts in sorted(parts.items())}
+    return {lang: "\n".join(evenly(texts, dictionary_bytes)).encode() for lang, texts in sorted(parts.items())}
+
+
+def evenly(texts: list[str], most: int) -> list[str]:
+    """The texts, each cut to the same number of UTF-8 bytes if all of them with a sign between are more than ``most``; what
+    shorter ones leave over goes to the others."""
+    sizes = sorted(len(t.encode()) + 1 for t in texts)
+    left, share = most, most
+    for k, size in enumerate(sizes):
+        share = left // (len(sizes) - k)
+        if size > share:
+            break
+        left -= size
+    else:
+        return texts
+    return [t.encode()[: max(0, share - 1)].decode("utf-8", "ignore") for t in texts]
 
 
 class Classifier:

@@ -277,3 +277,48 @@ def test_dictionaries_of_short_long_and_copied_texts(spark):
     assert sorted(got) == ["en", "es", "no"] and b"casa perro gato" in got["es"]
     assert len(got["en"].split(b"\n")) == 20
     assert Classifier(got, 5, 4096).classify("bil ligger ved sjoen og vei fjord nummer")[0] == "no"
+
+
+def test_language_against_a_plain_loop(spark):
+    """Predictions are those of compressing every block with every dictionary, ties going to the first name."""
+    import random
+
+    import zstandard
+
+    from sylva.llm.langid import UNKNOWN, evenly, identify
+
+    rng = random.Random(8)
+    syllables = {"aa": "ka lo mi ne", "bb": "tre zan vol qui", "cc": "ka lo mi ne"}  # the first and the last are alike
+    dictionaries = {lang: " ".join(rng.choice(s.split()) * rng.randrange(1, 3) for _ in range(800)).encode() for lang, s in syllables.items()}
+    dictionaries["cc"] = dictionaries["aa"]
+    texts = [" ".join(rng.choice(syllables[rng.choice("ab") * 2].split()) for _ in range(rng.choice([1, 3, 40, 3000]))) for _ in range(60)] + ["", None, "12 ... 34", "Ka-LO!! mi"]
+    got = {r.i: (r.lang_pred, r.score, r.rejected) for r in identify(spark.createDataFrame(list(enumerate(texts)), "i int, text string"), dictionaries).collect()}
+    for i, text in enumerate(texts):
+        low = re.sub(r"[\W\d_]+", " ", (text or "").lower())
+        if not re.search(r"[^\W\d_]", low):
+            assert got[i] == (UNKNOWN, 0.0, True)
+            continue
+        raw, sizes = low.encode(), []
+        for lang in sorted(dictionaries):
+            d = zstandard.ZstdCompressionDict(dictionaries[lang], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+            sizes.append((sum(len(zstandard.ZstdCompressor(level=5, dict_data=d, write_content_size=False).compress(raw[s : s + 4096])) for s in range(0, len(raw), 4096)), lang))
+        best, second = sorted(sizes)[:2]
+        assert got[i][0] == best[1] and abs(got[i][1] - (1 - best[0] / second[0])) < 1e-12 and got[i][2] == (1 - best[0] / second[0] < 0.02), text
+    assert {g[0] for g in got.values()} >= {"aa", "bb", UNKNOWN} and "cc" not in {g[0] for g in got.values()}
+    assert evenly(["a" * 10, "b"], 100) == ["a" * 10, "b"] and evenly([], 5) == []
+    cut = evenly(["a" * 100, "é" * 100, "c"], 60)
+    assert cut[2] == "c" and len(cut[0]) == 28 and cut[1] == "é" * 13 or cut[1] == "é" * 14
+    assert sum(len(t.encode()) + 1 for t in cut) <= 60
+
+
+def test_every_word_goes_through_the_transducer():
+    import public_tokenizers
+
+    from sylva.llm.bpe import WordBpe
+
+    bpe = WordBpe(str(public_tokenizers.path("word_bpe_49k.json")))
+    seen, stream = [], bpe.transducer.stream
+    bpe.transducer.stream = lambda word, emit: (seen.append(word), stream(word, emit))[1]
+    words = ["the", "and", "transducer", "x", "zzyzx"]
+    bpe.encode(pa.array([" ".join(words)], pa.large_string()))
+    assert sorted(seen) == sorted(words)

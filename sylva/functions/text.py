@@ -94,8 +94,21 @@ def search(text: Column, query: str) -> Column:
     return reduce(lambda c, w: c & F.contains(F.lower(text), F.lit(w)), query.lower().split(), F.lit(True))
 
 
+#: How many of a unit make a point: sizes come in halves, rules in eighths, widths in fiftieths of a percent.
+UNITS = {"twip": 20, "half": 2, "eighth": 8, "fiftieth": 50}
+
+
+def to_points(n: Column, unit: str) -> Column:
+    return n / UNITS[unit]
+
+
+def from_points(points: Column, unit: str) -> Column:
+    """The nearest whole number of a unit, halves to even."""
+    return F.bround(points * UNITS[unit]).cast("long")
+
+
 def twips_to_points(n: Column) -> Column:
-    return n / 20
+    return to_points(n, "twip")
 
 
 def strip_numbering(text: Column) -> Column:

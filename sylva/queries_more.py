@@ -196,11 +196,15 @@ COMMANDS = [
     "number the recommendations", "put the contributions in bullets", "render the equations", "delete the equations", "underline every subsection", "justify the body text",
 ]
 _LIST = "[" + ", ".join("'" + c.replace("'", "''") + "'" for c in COMMANDS) + "]"
-_CMD = f"WITH c AS (SELECT event_id, {_LIST}[(event_id % {len(COMMANDS)} + 1)::INTEGER] AS command FROM events) "
+# Commands about texts: an instruction, and behind it the last line of a document as it stands. The SQL does not know the
+# library's patterns: it looks words up among the command's words (t has a blank before and behind each).
+_CMD = f"""WITH c AS (SELECT doc_id, {_LIST}[(doc_id % {len(COMMANDS)} + 1)::INTEGER] || ' about ' || string_split(text, chr(10))[-1] AS command FROM documents),
+ k AS (SELECT *, lower(command) AS low, ' ' || array_to_string(regexp_extract_all(lower(command), '[\\pL\\pN_]+'), ' ') || ' ' AS t FROM c) """
 
 
 def _cmds(s, d):
-    return read(s, d, "events").select("event_id", F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("event_id") % len(COMMANDS) + 1).cast("int")).alias("command"))
+    said = F.element_at(F.array(*map(F.lit, COMMANDS)), (F.col("doc_id") % len(COMMANDS) + 1).cast("int"))
+    return read(s, d, "documents").select("doc_id", F.concat(said, F.lit(" about "), F.element_at(F.split("text", "\n", -1), -1)).alias("command"))
 
 
 def _case_sql(pairs, text="command", flag="(?i)") -> str:
@@ -208,50 +212,72 @@ def _case_sql(pairs, text="command", flag="(?i)") -> str:
     return "CASE " + " ".join(f"WHEN regexp_matches({text}, '{flag}{p}') THEN {value(v)}" for v, p in pairs) + " END"
 
 
+def _has(*words: str) -> str:
+    """Whether any of the words, or words one after the other, stands in the command."""
+    return "(" + " OR ".join(f"contains(t, ' {w} ')" for w in words) + ")"
+
+
+def _first_of(*pairs: tuple[str, str]) -> str:
+    return "CASE " + " ".join(f"WHEN {test} THEN {value}" for test, value in pairs) + " END"
+
+
 def command_query(name: str, sql: str, column) -> None:
-    query(name, _CMD + f"SELECT event_id, {sql} FROM c", with_nodes=False)(lambda s, d: _cmds(s, d).select("event_id", *column(F.col("command"))))
+    query(name, _CMD + f"SELECT doc_id, {sql} FROM k", with_nodes=False)(lambda s, d: _cmds(s, d).select("doc_id", *column(F.col("command"))))
 
 
-command_query(
+_VERSIONED = "CASE p_partkey % 6 WHEN 0 THEN ' Undo. ' WHEN 1 THEN 'redo' WHEN 2 THEN 'Rewind to version ' || p_size WHEN 3 THEN 'please restore version ' || p_partkey WHEN 4 THEN 'compare versions ' || p_size || ' with ' || p_partkey ELSE 'undo the ' || p_name END"
+query(
     "cmd_control",
-    r"""CASE WHEN regexp_full_match(lower(trim(command)), 'undo\.?') THEN 'undo' WHEN regexp_full_match(lower(trim(command)), 'redo\.?') THEN 'redo' WHEN regexp_matches(lower(command), 'rewind (to )?version [0-9]+') THEN 'rewind'
- WHEN regexp_matches(lower(command), 'restore (to )?version [0-9]+') THEN 'restore' WHEN regexp_matches(lower(command), 'compare versions? [0-9]+ (and|to|with) [0-9]+') THEN 'compare' END AS op,
- CASE WHEN regexp_matches(lower(command), '(rewind|restore) (to )?version [0-9]+|compare versions? [0-9]+') THEN regexp_extract(command, '([0-9]+)', 1)::INTEGER END AS a,
- CASE WHEN regexp_matches(lower(command), 'compare versions?') THEN regexp_extract(command, '[0-9]+ (and|to|with) ([0-9]+)', 2)::INTEGER END AS b""",
-    lambda c: [C.control(c)["op"].alias("op"), C.control(c)["a"].alias("a"), C.control(c)["b"].alias("b")],
-)
-_TGT = r"CASE WHEN regexp_matches(lower(command), '\b(headings?|headers?|titles?)\b') AND regexp_matches(lower(command), '\btables?\b') THEN 'table_header' ELSE " + _case_sql([(t, r"\b(" + "|".join(w) + r")\b") for t, w in C.TARGET_WORDS], "lower(command)", "") + " END AS target"
-command_query("cmd_target", _TGT, lambda c: [C.target(c).alias("target")])
-_ALI = "coalesce(" + _case_sql(C.ALIGNMENTS) + r", CASE WHEN regexp_matches(command, '(?i)\balign(ed|ment|ing)?\b|\bflush\b|\branged\b') THEN CASE WHEN regexp_matches(command, '(?i)\bright\b') THEN 'right' WHEN regexp_matches(command, '(?i)\bleft\b') THEN 'left' END END) AS alignment"
-command_query("cmd_align", _ALI, lambda c: [C.alignment(c).alias("alignment")])
-_STY = r"CASE WHEN regexp_matches(command, '(?i)\bcolou?r|\bin\s+\w|\b(make|turn|set|paint)\b') THEN " + _case_sql([(v, rf"\b{n}\b") for n, v in C.COLORS]) + " END AS color, " + ", ".join(
-    rf"CASE WHEN regexp_matches(lower(command), '\b(not|no longer|un|remove|without|drop|stop)\s*{w}') THEN false WHEN contains(lower(command), '{w}') THEN true END AS {n}" for n, w in (("bold", "bold"), ("italic", "italic"), ("underline", "underlin"))
-)
-command_query("cmd_style", _STY, lambda c: [C.color(c).alias("color"), *[C.emphasis(c)[k].alias(k) for k in ("bold", "italic", "underline")]])
-command_query("cmd_case", _case_sql(C.CASES) + " AS kind", lambda c: [C.letter_case(c).alias("kind")])
+    "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'undo' WHEN 1 THEN 'redo' WHEN 2 THEN 'rewind' WHEN 3 THEN 'restore' WHEN 4 THEN 'compare' END AS op, CASE WHEN p_partkey % 6 IN (2, 4) THEN p_size WHEN p_partkey % 6 = 3 THEN p_partkey END::INTEGER AS a, CASE WHEN p_partkey % 6 = 4 THEN p_partkey END::INTEGER AS b FROM part",
+    with_nodes=False,
+)(lambda s, d: read(s, d, "part").select("p_partkey", C.control(F.expr(_VERSIONED)).alias("c")).select("p_partkey", "c.*"))
+_TABLE_HEAD = f"{_has('heading', 'headings', 'header', 'headers', 'title', 'titles')} AND {_has('table', 'tables')}"
+command_query("cmd_target", _first_of(
+    (_TABLE_HEAD, "'table_header'"), (_has("caption", "captions"), "'caption'"), (_has("reference", "references", "citation"), "'reference'"), (_has("footnote"), "'footnote'"), (_has("line", "lines", "rule"), "'horizontal_rule'"),
+    (_has("title"), "'title'"), (_has("header"), "'header'"), (_has("footer"), "'footer'"), (_has("image", "images", "picture"), "'image'"), (_has("figure", "figures"), "'figure'"),
+    (_has("subheading", "subheadings", "subsection", "subsections") + " OR contains(low, 'sub-heading')", "'subheading'"), (_has("heading", "headings", "titles"), "'heading'"), (_has("table", "tables"), "'table'"), (_has("body"), "'body'"), (_has("paragraph", "paragraphs"), "'paragraph'"),
+) + " AS target", lambda c: [C.target(c).alias("target")])
+_ASIDE = f"CASE WHEN {_has('align', 'aligned', 'alignment', 'aligning', 'flush', 'ranged')} THEN {_first_of((_has('right'), chr(39) + 'right' + chr(39)), (_has('left'), chr(39) + 'left' + chr(39)))} END"
+command_query("cmd_align", "coalesce(" + _first_of(
+    (_has("justify", "justified", "justification"), "'justify'"), (_has("center", "centre", "centered", "centering"), "'center'"), (_has("right align", "right aligned", "right alignment", "align right", "align to the right", "aligned right", "flush right"), "'right'"),
+    (_has("left align", "left aligned", "left alignment", "align left", "align to the left", "aligned left", "flush left"), "'left'"),
+) + f", {_ASIDE}) AS alignment", lambda c: [C.alignment(c).alias("alignment")])
+_PALETTE = [("black", "#000000"), ("white", "#ffffff"), ("grey", "#666666"), ("gray", "#666666"), ("red", "#c00000"), ("green", "#2e7d32"), ("blue", "#1f4e79"), ("navy", "#1f3864"), ("yellow", "#bf9000"), ("orange", "#c55a11"), ("purple", "#7030a0"), ("brown", "#833c00")]
+_COLOURED = r"regexp_matches(t, ' colou?r') OR regexp_matches(low, '(^|[^\pL\pN_])in\s+[\pL\pN_]') OR " + _has("make", "turn", "set", "paint")
+_OFF = r"regexp_matches(low, '(^|[^\pL\pN_])(not|no longer|un|remove|without|drop|stop)\s*{}')"
+command_query("cmd_style", f"CASE WHEN {_COLOURED} THEN {_first_of(*[(_has(n), repr(v)) for n, v in _PALETTE])} END AS color, " + ", ".join(
+    f"CASE WHEN {_OFF.format(w)} THEN false WHEN contains(low, '{w}'){more} THEN true END AS {n}" for n, w, more in (("bold", "bold", ""), ("italic", "italic", " OR contains(low, 'slanted')"), ("underline", "underlin", ""))
+), lambda c: [C.color(c).alias("color"), *[C.emphasis(c)[k].alias(k) for k in ("bold", "italic", "underline")]])
+command_query("cmd_case", _first_of(
+    (_has("upper case", "uppercase", "all caps", "allcaps", "capital letters", "in caps", "shout"), "'upper'"), (_has("lower case", "lowercase", "small letters", "no caps"), "'lower'"), (_has("sentence case", "sentencecase"), "'sentence'"),
+    (_has("title case", "titlecase", "capitalise each word", "capitalize each word", "capitalise", "capitalize", "capitalised", "capitalized", "capitalisation", "capitalization"), "'title'"),
+) + " AS kind", lambda c: [C.letter_case(c).alias("kind")])
+_SPACE_WORDS = "CASE WHEN regexp_matches(low, '(remove|delete|strip|collapse) .{0,19}spaces') THEN NULL "
 command_query(
     "cmd_spacing",
-    r"CASE WHEN NOT regexp_matches(command, '(?i)\b(remove|delete|strip|collapse)\b.{0,20}\bspaces\b') THEN coalesce(" + _case_sql(C.SPACINGS) + r", try_cast(regexp_extract(command, '(?i)\bline\s*spacing\s*(of|to|=)?\s*([0-9](\.[0-9]+)?)\b', 2) AS DOUBLE)) END::DOUBLE AS line",
+    _SPACE_WORDS + r"WHEN regexp_matches(t, ' double ?spac') THEN 2.0 WHEN contains(t, ' one and a half ') THEN 1.5 WHEN regexp_matches(t, ' single ?spac') THEN 1.0 WHEN regexp_matches(low, 'line spacing (of |to |= ?)?[0-9]') THEN regexp_extract(low, 'line spacing (of |to |= ?)?([0-9](\.[0-9]+)?)', 2)::DOUBLE END::DOUBLE AS line",
     lambda c: [C.line_spacing(c).alias("line")],
 )
-command_query("cmd_list", rf"CASE WHEN regexp_matches(command, '(?i){C.NUMBERING}') THEN 'number' WHEN regexp_matches(command, '(?i)\b(bullets?|bulleted|list)\b') THEN 'bullet' END AS kind", lambda c: [C.list_kind(c).alias("kind")])
-command_query("cmd_maths_override", rf"regexp_matches(command, '(?i){C.MATHS_WORDS}') AND regexp_matches(command, '(?i){C.DRAW_WORDS}') AND NOT regexp_matches(command, '(?i){C.NOT_DRAW}') AS draw", lambda c: [C.wants_maths_drawn(c).alias("draw")])
-RULES = ["Use Times New Roman, heading size 16 bold, 1.5 line spacing, 1 inch margins, include charts", "arial, single spacing", "Bold the heading 14", "Georgia with 2.5 in margins and no pictures", "chart it", ""]
-_RL = "[" + ", ".join(f"'{r}'" for r in RULES) + "]"
+command_query("cmd_list", f"CASE WHEN {_has('number', 'numbered', 'numbering', 'ordered', 'enumerate')} OR regexp_matches(low, '(^|[^\\pL\\pN_])1[.,)]?\\s*2[.,)]?\\s*3($|[^\\pL\\pN_])') THEN 'number' WHEN {_has('bullet', 'bullets', 'bulleted', 'list')} THEN 'bullet' END AS kind", lambda c: [C.list_kind(c).alias("kind")])
+command_query(
+    "cmd_maths_override",
+    f"{_has('math', 'maths', 'equation', 'equations', 'latex', 'formula', 'formulas', 'formulae')} AND {_has('render', 'draw', 'convert', 'display', 'show', 'typeset')} AND NOT {_has('delete', 'remove', 'strip', 'number')} AS draw",
+    lambda c: [C.wants_maths_drawn(c).alias("draw")],
+)
+_RULED = """CASE p_partkey % 5 WHEN 0 THEN 'Use Times New Roman for the ' || p_name || ', heading size ' || p_size || ' bold, 1.5 line spacing, ' || p_size || ' inch margins, include charts' WHEN 1 THEN 'arial, single spacing, ' || p_name WHEN 2 THEN 'Bold the heading ' || p_size
+ WHEN 3 THEN 'Georgia with ' || p_size || '.5 in margins and no pictures of a ' || p_name ELSE p_name || ' chart' END"""
 query(
     "rules_extract",
-    rf"""WITH c AS (SELECT p_partkey, {_RL}[(p_partkey % {len(RULES)} + 1)::INTEGER] AS t FROM part) SELECT p_partkey, {_case_sql([(f, chr(92) + 'b' + f + chr(92) + 'b') for f in ('Times New Roman', 'Calibri', 'Arial', 'Garamond', 'Georgia')], 't')} AS font_name,
- try_cast(regexp_extract(t, '(?i)heading\s*(size)?\s*([0-9]{{1,2}})', 2) AS INTEGER) AS heading_size_pt, CASE WHEN regexp_matches(t, '(?i)heading.*\bbold\b|\bbold\b.*heading') THEN true END AS heading_bold,
- try_cast(regexp_extract(t, '(?i)([0-9]+(\.[0-9]+)?)\s*(line\s*)?spacing', 1) AS DOUBLE) AS line_spacing, try_cast(regexp_extract(t, '(?i)([0-9]+(\.[0-9]+)?)\s*(in|inch|inches)\s*margins?', 1) AS DOUBLE) AS margin_in, CASE WHEN regexp_matches(t, '(?i)\bcharts?\b') THEN true END AS include_charts FROM c""",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'Times New Roman' WHEN 1 THEN 'Arial' WHEN 3 THEN 'Georgia' END AS font_name, CASE WHEN p_partkey % 5 IN (0, 2) THEN p_size END::INTEGER AS heading_size_pt, CASE WHEN p_partkey % 5 IN (0, 2) THEN true END AS heading_bold,
+ CASE WHEN p_partkey % 5 = 0 THEN 1.5 END::DOUBLE AS line_spacing, CASE p_partkey % 5 WHEN 0 THEN p_size WHEN 3 THEN p_size + 0.5 END::DOUBLE AS margin_in, CASE WHEN p_partkey % 5 IN (0, 4) THEN true END AS include_charts FROM part""",
     with_nodes=False,
-)(lambda s, d: read(s, d, "part").select("p_partkey", C.rules(F.element_at(F.array(*map(F.lit, RULES)), (F.col("p_partkey") % len(RULES) + 1).cast("int"))).alias("r")).select("p_partkey", "r.*"))
-KINDS = ["Pie chart", "donut", "trend over time", "line graph", "scatter plot", "stacked columns", "multi-series", "histogram", "grouped_bar", "something"]
+)(lambda s, d: read(s, d, "part").select("p_partkey", C.rules(F.expr(_RULED)).alias("r")).select("p_partkey", "r.*"))
+_CHARTED = "CASE p_partkey % 9 WHEN 0 THEN 'Pie chart of the ' || p_name WHEN 1 THEN p_name || ' donut' WHEN 2 THEN 'trend of ' || p_name WHEN 3 THEN 'Line graph' WHEN 4 THEN 'scatter plot, ' || p_name WHEN 5 THEN 'stacked ' || p_name WHEN 6 THEN 'multi-series' WHEN 7 THEN ' Grouped_Bar ' ELSE p_name END"
 query(
     "chart_kind",
-    f"""WITH c AS (SELECT p_partkey, lower({"[" + ", ".join(f"'{k}'" for k in KINDS) + "]"}[(p_partkey % {len(KINDS)} + 1)::INTEGER]) AS v FROM part) SELECT p_partkey, CASE WHEN v IN ('bar', 'line', 'pie', 'scatter', 'grouped_bar') THEN v WHEN regexp_matches(v, 'pie|donut|doughnut') THEN 'pie'
- WHEN contains(v, 'scatter') THEN 'scatter' WHEN regexp_matches(v, 'line|trend') THEN 'line' WHEN regexp_matches(v, 'group|cluster|stack|multi') THEN 'grouped_bar' ELSE 'bar' END AS kind FROM c""",
+    "SELECT p_partkey, ['pie', 'pie', 'line', 'line', 'scatter', 'grouped_bar', 'grouped_bar', 'grouped_bar', 'bar'][p_partkey % 9 + 1] AS kind FROM part",
     with_nodes=False,
-)(lambda s, d: read(s, d, "part").select("p_partkey", C.chart_kind(F.element_at(F.array(*map(F.lit, KINDS)), (F.col("p_partkey") % len(KINDS) + 1).cast("int"))).alias("kind")))
+)(lambda s, d: read(s, d, "part").select("p_partkey", C.chart_kind(F.expr(_CHARTED)).alias("kind")))
 
 # ---- composition --------------------------------------------------------------------------------------------------
 
@@ -404,7 +430,14 @@ query("fn_numerals", f"SELECT n, {_ROM} AS roman, CASE WHEN n <= 26 THEN chr((64
 )
 query("fn_search", "SELECT page_id FROM pages WHERE contains(lower(url), 'example') AND contains(lower(url), 'en')", with_nodes=False)(lambda s, d: read(s, d, "pages").where(T.search(F.col("url"), "en Example")).select("page_id"))
 query("tone_apply", r"SELECT item_id, replace(replace(text || ' utilize', 'utilize', 'use'), 'facilitate', 'help') AS t FROM benchmark", with_nodes=False)(lambda s, d: read(s, d, "benchmark").select("item_id", T.tone_simple(F.concat("text", F.lit(" utilize"))).alias("t")))
-query("fn_units", "SELECT p_partkey, p_size * 20 / 20.0::DOUBLE AS points FROM part", with_nodes=False)(lambda s, d: read(s, d, "part").select("p_partkey", T.twips_to_points(F.col("p_size") * 20).alias("points")))
+query(
+    "fn_units",
+    "SELECT p_partkey, p_size / 20.0::DOUBLE AS from_twips, p_size / 2.0::DOUBLE AS from_halves, p_size / 8.0::DOUBLE AS from_eighths, p_size / 50.0::DOUBLE AS percent, (p_size * 20)::BIGINT AS twips, (p_size * 2)::BIGINT AS halves, (p_size * 8)::BIGINT AS eighths, (p_size * 50)::BIGINT AS fiftieths FROM part",
+    with_nodes=False,
+)(lambda s, d: read(s, d, "part").select(
+    "p_partkey", T.twips_to_points(F.col("p_size")).alias("from_twips"), T.to_points(F.col("p_size"), "half").alias("from_halves"), T.to_points(F.col("p_size"), "eighth").alias("from_eighths"), T.to_points(F.col("p_size"), "fiftieth").alias("percent"),
+    *[T.from_points(F.col("p_size"), u).alias(n) for u, n in (("twip", "twips"), ("half", "halves"), ("eighth", "eighths"), ("fiftieth", "fiftieths"))],
+))
 
 # ---- events -------------------------------------------------------------------------------------------------------
 

@@ -53,7 +53,7 @@ _BARE = "trim(translate(text, '*_`' || chr(9) || chr(10), ''))"  # emphasis mark
 query("emp_strip", f"SELECT doc_id, {_BARE} AS t FROM documents WHERE {_BARE} <> ''", with_nodes=False)(
     lambda s, d: read(s, d, "documents").withColumn("t", F.trim(F.translate("text", "*_`\t\n", ""))).where("t <> ''").select("doc_id", X.strip_emphasis(F.concat(F.lit("**"), "t", F.lit("**"))).alias("t"))
 )
-query("lst_split_items")(lambda n: n.where("type in ('body', 'paragraph')").select("doc_id", path_text().alias("path"), A.split_items(F.col("content")).alias("x")).select("doc_id", "path", "x.lead", F.size("x.items").alias("n")))
+query("lst_split_items")(lambda n: n.where("depth = 1 and type in ('body', 'paragraph')").select("doc_id", path_text().alias("path"), A.split_items(F.col("content")).alias("x")).select("doc_id", "path", "x.lead", F.size("x.items").alias("n")))
 query("join_spans", "SELECT n.doc_id, n.path, coalesce(c, 0) AS spans FROM nodes n LEFT JOIN (SELECT doc_id, path, count(*) AS c FROM (SELECT doc_id, path, unnest(regexp_extract_all(content, '[0-9]+')) FROM nodes) GROUP BY 1, 2) x ON x.doc_id = n.doc_id AND x.path = n.path")(
     lambda n: show(n.join(n.select("doc_id", "node_id", F.explode(F.regexp_extract_all("content", F.lit("[0-9]+"), F.lit(0))).alias("text")).groupBy("doc_id", "node_id").agg(F.collect_list("text").alias("s")), ["doc_id", "node_id"], "left").withColumn("spans", F.greatest(F.coalesce(F.size("s"), F.lit(0)), F.lit(0))), "spans")
 )

@@ -370,3 +370,22 @@ query(
     with_nodes=False,
 )(lambda s, d: _placed(s, d).select("batch", "type", "target", F.when(F.col("node_ids").isNotNull(), F.size("node_ids")).alias("n_ids")))
 ORACLE_SQL["cmd_place"] = N + ORACLE_SQL["cmd_place"]
+
+# ---- lists: SQL without look-behind, where a sign after every separator stands for what it would look at -------------------
+
+_MARKS = r"\x01(?:\((?:[ivxlcdm]+|[a-z]|[0-9]{1,2})\)|(?:[ivxlcdm]+|[a-z]|[0-9]{1,2})[.)]|[•‣●▪⁃])(?:\s\x01)+"
+_ITEMS = rf""", x AS (SELECT doc_id, path, p1, type, content, trim(content) AS body FROM nodes WHERE depth = 1),
+ m AS (SELECT *, string_split_regex(chr(1) || regexp_replace(body, '([\s:;,])', '\1' || chr(1), 'g'), '(?i){_MARKS}') AS parts, instr(body, ':') AS colon, length(body) - length(replace(body, ';', '')) AS semis FROM x),
+ s AS (SELECT *, colon > 0 AND trim(substr(body, colon + 1)) <> '' AS led FROM m),
+ r AS (SELECT *, list_filter(string_split(CASE WHEN led THEN substr(body, colon + 1) ELSE body END, ';'), lambda p: trim(p) <> '') AS clauses FROM s),
+ w AS (SELECT *, CASE WHEN len(parts) >= 3 THEN list_transform(parts[2:], lambda p: replace(p, chr(1), '')) WHEN semis >= 2 AND len(clauses) >= 2 THEN clauses ELSE [] END AS raw, CASE WHEN len(parts) >= 3 THEN trim(replace(parts[1], chr(1), '')) WHEN led THEN trim(substr(body, 1, colon)) ELSE '' END AS before FROM r),
+ t AS (SELECT *, list_filter(list_transform(raw, lambda p: regexp_replace(trim(p), '(?i)[\s;,]*(and|or)?[\s;,]*$', '')), lambda p: p <> '') AS tidy FROM w),
+ cut AS (SELECT doc_id, path, p1, type, content, CASE WHEN len(tidy) >= 2 THEN before ELSE '' END AS lead, CASE WHEN len(tidy) >= 2 THEN list_transform(tidy, lambda p: upper(replace(p[1], 'ß', 'SS')) || substr(p, 2)) ELSE [] END AS items FROM t)
+"""
+ORACLE_SQL["lst_split_items"] = N + _ITEMS + "SELECT doc_id, path, lead, len(items)::INTEGER AS n FROM cut WHERE type IN ('body', 'paragraph')"
+ORACLE_SQL["act_list"] = N + _ITEMS + """, a AS (SELECT *, type IN ('body', 'paragraph') AS b, max(CASE WHEN type IN ('body', 'paragraph') AND len(items) > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id) = 1 AS enumerated,
+  max(CASE WHEN type IN ('body', 'paragraph') AND NOT rtrim(content) LIKE '%:' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p1 ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) = 1 AS later FROM cut),
+ p AS (SELECT doc_id, p1, type, CASE WHEN b AND len(items) > 0 THEN CASE WHEN lead <> '' THEN [{'t': lead, 'k': NULL}] ELSE [] END || list_transform(items, lambda i: {'t': i, 'k': 'bullet'})
+  ELSE [{'t': content, 'k': CASE WHEN b AND NOT enumerated AND NOT (rtrim(content) LIKE '%:' AND coalesce(later, false)) THEN 'bullet' END}] END AS pieces FROM a),
+ e AS (SELECT doc_id, p1, type, unnest(pieces) AS x, generate_subscripts(pieces, 1) AS k FROM p)
+ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p1, k) AS ord, type, x.t AS content, x.k AS list_kind FROM e"""

@@ -194,14 +194,14 @@ class WordBpe:
             self.tokens[i] = t
         self.raw = [t.encode() for t in self.tokens]
         self.table = str.maketrans({chr(b): c for b, c in enumerate(self.alphabet)})
-        self.memory = PieceMemory(self.pieces, limit)
+        self.limit, self.memory = limit, PieceMemory(self.pieces, limit)
         self.known: dict[str, list[int]] = {}
 
     def _word(self, word: str) -> list[int]:
         if (ids := self.known.get(word)) is None:
             ids = self.transducer.word(word.encode("utf-8").decode("latin-1").translate(self.table))
             if len(word) <= 32:
-                if len(self.known) >= 200_000:
+                if len(self.known) >= self.limit // 2:
                     self.known.clear()
                 self.known[word] = ids
         return ids
@@ -283,18 +283,18 @@ class Decoder:
 
 
 @lru_cache(2)
-def word_bpe(path: str) -> WordBpe:
-    return WordBpe(path)
+def word_bpe(path: str, limit: int = 400_000) -> WordBpe:
+    return WordBpe(path, limit)
 
 
-def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_ids: bool = True, digest: bool = False, slice_bytes: int = 3 << 20) -> DataFrame:
+def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", with_ids: bool = True, digest: bool = False, slice_bytes: int = 3 << 20, remembered: int = 400_000) -> DataFrame:
     """The input without its text, with n_tokens and, as asked, ids (array of int) and the digests ids_sha256 (of the ids
     as little-endian unsigned 32-bit integers) and decoded_sha256 (of the tokens with spaces between, in UTF-8).
 
     A null or empty text has no tokens. Texts of any length are encoded whole, and every word goes through the transducer,
     which holds a bounded number of positions; ids are decoded by the state machine, some thousands at a time. Repeated
     rows each get a row; input columns of these names are replaced. A task encodes about ``slice_bytes`` of text at once:
-    smaller slices hold less memory and take some more time, and give the same rows.
+    smaller slices hold less memory and take some more time, and give the same rows; so do fewer ``remembered`` pieces.
     """
     kept = docs.drop("n_tokens", "ids", "ids_sha256", "decoded_sha256")
     names = [c for c in kept.columns if c != text_col]
@@ -306,7 +306,7 @@ def encode_texts(docs: DataFrame, tokenizer_path: str, text_col: str = "text", w
     kept = kept.withColumn(text_col, F.col(text_col).cast("string"))
 
     def run(batches):
-        bpe, sha = word_bpe(tokenizer_path), hashlib.sha256
+        bpe, sha = word_bpe(tokenizer_path, remembered), hashlib.sha256
 
         def decoded(bpe, ids):
             state, digest = bpe.decoder(plain=False), sha()

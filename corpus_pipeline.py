@@ -58,9 +58,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and ids of every document that is left; a null or empty text has none, and repeated rows each get a
-    row. Slices are small, since the executors come here with the heap that the stages before have filled."""
+    row. Slices are small and few pieces are remembered, since the executors come here with the heap that the stages before
+    have filled."""
     small_batches(spark)
-    return encode_texts(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), slice_bytes=1 << 20)
+    return encode_texts(docs.select("doc_id", "text"), tokenizer_file("word_bpe_49k.json"), slice_bytes=1 << 20, remembered=120_000)
 
 
 #: Columns that scoring and tagging add; documents that have columns of these names get their own back.

@@ -2,8 +2,8 @@
 
 Every rolling word k-gram of every text is joined in Spark to the positions of the same k-gram in the license
 templates. A match votes for the diagonal (place in text less place in template); neighbouring diagonals merge, as a
-changed word shifts what follows it; a merged run is kept when the template words that its matches cover make a large
-enough share of the template.
+changed word shifts what follows it. A match counts only if its words are the template's word for word, and a merged run is
+kept when the template words that its matches cover make a large enough share of the template.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import Words, slices, strings, tidy
+from .common import Words, flat_bytes, slices, strings, tidy
 
 #: The phrases whose places are always reported, with their labels.
 PHRASES = {
@@ -43,6 +43,18 @@ TEMPLATES = [
     ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
     ("cc0", "has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law"),
     ("unlicense", "This is free and unencumbered software released into the public domain"),
+    ("gpl", "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE"),
+    ("gpl", "You should have received a copy of the GNU General Public License along with this program"),
+    ("apache", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied"),
+    ("mit", "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so"),
+    ("mit", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software"),
+    ("bsd", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer"),
+    ("bsd", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution"),
+    ("bsd", "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("zlib", "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software"),
+    ("zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions"),
+    ("boost", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("cc-by", "You are free to share, copy and redistribute the material in any medium or format, and to adapt, remix, transform, and build upon the material for any purpose, even commercially"),
 ]
 
 _GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
@@ -52,17 +64,26 @@ _PHRASE = re.compile(
 _LABELS = list(PHRASES.values())
 
 
-def template_grams(spark: SparkSession, k: int, templates: list[tuple[str, str]]) -> DataFrame:
-    """(gram, tpl, label, tpos, tpl_words): at most as many rows as the templates have words."""
-    words = Words(strings(pa.array([t for _, t in templates])))
+def gram_words(words: Words, texts: pa.Array, at: np.ndarray, k: int) -> list[str]:
+    """The k words that begin at each of the given words of a batch, lower-cased, with blanks between."""
+    raw = flat_bytes(texts)[0]
+    return [" ".join(raw[a:b].tobytes().lower().decode("utf-8", "replace") for a, b in zip(words.start[i : i + k].tolist(), words.end[i : i + k].tolist())) for i in at.tolist()]
+
+
+def template_grams(spark: SparkSession, k: int, templates: list[tuple[str, str]]) -> tuple[DataFrame, np.ndarray]:
+    """(gram, tpl, label, tpos, tpl_words, tpl_said): at most as many rows as the templates have words; and the grams, sorted."""
+    texts = strings(pa.array([t for _, t in templates]))
+    words = Words(texts)
     of, at, h = words.grams(k)
     n = words.counts()
-    rows = [(int(g), int(t), templates[t][0], int(p), int(n[t])) for t, p, g in zip(of, at, h.view(np.int64))]
-    return spark.createDataFrame(rows, "gram long, tpl int, label string, tpos int, tpl_words int")
+    said = gram_words(words, texts, at + words.of_text[of], k)
+    rows = [(int(g), int(t), templates[t][0], int(p), int(n[t]), x) for t, p, g, x in zip(of, at, h.view(np.int64), said)]
+    return spark.createDataFrame(rows, "gram long, tpl int, label string, tpos int, tpl_words int, tpl_said string"), np.unique(h)
 
 
-def _scan(k: int):
-    """For each text a row with its base places (pos -1), then a row for each of its k-grams."""
+def _scan(k: int, known: np.ndarray):
+    """For each text a row with its base places (pos -1), then a row for each of its k-grams; those whose hash is one of
+    ``known`` carry their words."""
 
     def run(batches):
         for whole in batches:
@@ -81,17 +102,22 @@ def _scan(k: int):
                         places[i], low[i], high[i], labels[i] = len(found), at.min(), at.max(), ",".join(sorted({x for _, x in found}))
                 none = pa.nulls(n, pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(row), pa.array(np.full(n, -1, np.int32)), none, pa.array(counts), pa.array(places), pa.array(low), pa.array(high), pa.array(labels)],
-                    ["row", "pos", "gram", "n_words", "n_base", "low", "high", "base_labels"],
+                    [pa.array(row), pa.array(np.full(n, -1, np.int32)), none, pa.array(counts), pa.array(places), pa.array(low), pa.array(high), pa.array(labels), pa.nulls(n, pa.string())],
+                    ["row", "pos", "gram", "n_words", "n_base", "low", "high", "base_labels", "said"],
                 )
                 of, at, h = words.grams(k)
                 for s in range(0, len(of), 1 << 18):
                     t = slice(s, s + (1 << 18))
                     m = len(of[t])
                     none = pa.nulls(m, pa.int64())
+                    place = np.minimum(np.searchsorted(known, h[t]), max(0, len(known) - 1))
+                    hit = np.flatnonzero(known[place] == h[t]) if len(known) else np.zeros(0, np.int64)
+                    which = np.full(m, -1)
+                    which[hit] = np.arange(len(hit))
+                    said = pa.array(gram_words(words, texts, at[t][hit] + words.of_text[of[t][hit]], k), pa.string()).take(pa.array(which, mask=which < 0))
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(row[of[t]]), pa.array(at[t].astype(np.int32)), pa.array(h[t].view(np.int64)), none, none, none, none, pa.nulls(m, pa.string())],
-                        ["row", "pos", "gram", "n_words", "n_base", "low", "high", "base_labels"],
+                        [pa.array(row[of[t]]), pa.array(at[t].astype(np.int32)), pa.array(h[t].view(np.int64)), none, none, none, none, pa.nulls(m, pa.string()), said],
+                        ["row", "pos", "gram", "n_words", "n_base", "low", "high", "base_labels", "said"],
                     )
 
     return run
@@ -112,8 +138,9 @@ def scan_licenses(
     rows = docs.select(F.struct(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id")).alias("key"), F.col(text_col).cast("string").alias("text"))
     grams = rows.select(F.col("key.id").alias("id"), F.col("key.row").alias("row"), "text")
     ids = grams.schema["id"].dataType.simpleString()
-    out = f"id {ids}, row long, pos int, gram long, n_words long, n_base long, low long, high long, base_labels string"
-    scan = _scan(k)
+    out = f"id {ids}, row long, pos int, gram long, n_words long, n_base long, low long, high long, base_labels string, said string"
+    templates_at, hashes = template_grams(spark, k, templates)
+    scan = _scan(k, hashes)
 
     def with_id(batches):
         for whole in batches:
@@ -126,8 +153,9 @@ def scan_licenses(
                     yield pa.RecordBatch.from_arrays([pa.nulls(len(part), whole.schema.field("id").type), *part.columns], ["id", *part.schema.names])
 
     grams = grams.mapInArrow(tidy(with_id), out)
-    known = F.broadcast(template_grams(spark, k, templates))  # as many rows as the templates have words
-    hits = grams.join(known, "gram", "left").where((F.col("pos") < 0) | F.col("tpl").isNotNull()).repartition("row")
+    known = F.broadcast(templates_at)  # as many rows as the templates have words
+    # a match counts if its words are the template's, not just their hash
+    hits = grams.join(known, "gram", "left").where((F.col("pos") < 0) | (F.col("said") == F.col("tpl_said"))).repartition("row")
     diagonals = hits.groupBy("row", "tpl", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(
         F.first("id", True).alias("id"), F.max("n_words").alias("n_words"), F.max("n_base").alias("n_base"), F.max("low").alias("low"), F.max("high").alias("high"),
         F.max("base_labels").alias("base_labels"), F.first("label").alias("label"), F.first("tpl_words").alias("tpl_words"),

@@ -322,3 +322,63 @@ def test_every_word_goes_through_the_transducer():
     words = ["the", "and", "transducer", "x", "zzyzx"]
     bpe.encode(pa.array([" ".join(words)], pa.large_string()))
     assert sorted(seen) == sorted(words)
+
+
+def brute_licenses(text, k=3, drift=3, coverage=0.6):
+    """All matches of k words, gathered by diagonal; neighbouring diagonals whose places follow each other are one run."""
+    from sylva.llm.license_scan import TEMPLATES
+
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t))
+    words, labels, best = split(text or ""), set(), 0.0
+    for label, notice in TEMPLATES:
+        notice = split(notice)
+        diagonals = {}
+        for p in range(len(words) - k + 1):
+            for q in range(len(notice) - k + 1):
+                if words[p : p + k] == notice[q : q + k]:
+                    diagonals.setdefault(p - q, []).append((p, q))
+        run, last = [], None
+        runs = []
+        for d, hits in sorted(diagonals.items(), key=lambda x: (min(x[1])[0], x[0])):
+            first = min(hits)[0]
+            if last is not None and (abs(d - last[0]) > drift or first - last[1] > drift + k):
+                runs.append(run)
+                run = []
+            run = run + hits
+            last = (d, max(hits)[0])
+        for hits in [*runs, run] if run else []:
+            share = len({q + j for _, q in hits for j in range(k)}) / len(notice)
+            if share >= coverage:
+                labels.add(label)
+                best = max(best, share)
+    return labels, best
+
+
+def test_licenses_against_all_diagonals(spark):
+    import random
+
+    from sylva.llm.license_scan import PHRASES, TEMPLATES, scan_licenses
+
+    rng = random.Random(12)
+    texts = []
+    for i in range(160):
+        words = [rng.choice("lorem ipsum dolor sit amet the software of".split()) for _ in range(rng.randrange(0, 60))]
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            notice = rng.choice(TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 0, 1, 3, 8])):
+                spot = rng.randrange(len(notice))
+                notice[spot : spot + 1] = rng.choice([[], ["other"], [notice[spot], "new", "words"]])
+            if rng.random() < 0.3:
+                notice = notice[: max(3, len(notice) * 2 // 3)]
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = notice
+        texts.append(" ".join(words).upper() if i % 7 == 0 else " ".join(words))
+    got = {r.doc_id: r for r in scan_licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    alone = 0
+    for i, text in enumerate(texts):
+        labels, best = brute_licenses(text)
+        base = set(got[i].base_labels.split(",")) - {""}
+        assert set(got[i].labels.split(",")) - {""} == labels | base, text
+        assert abs(got[i].score - (1.0 if base else best)) < 1e-12
+        alone += bool(labels - base)
+    assert alone > 20 and set(PHRASES.values()) < {label for label, _ in TEMPLATES}

@@ -40,24 +40,35 @@ def scheme_of(content: Column) -> Column:
     return found
 
 
-def conventions(nodes: DataFrame) -> DataFrame:
+def _conventions() -> list[Column]:
     """The first heading that numbers itself says how headings are numbered; any citation says how sources are cited."""
     scheme = F.when(is_type(HEADINGS), scheme_of(F.col("content")))
-    return nodes.withColumn("scheme", scheme).groupBy("doc_id").agg(
-        F.min_by("scheme", F.when(F.col("scheme").isNotNull(), F.col("sort_path"))).alias("heading_numbering"),
+    return [
+        F.min_by(scheme, F.when(scheme.isNotNull(), F.col("sort_path"))).alias("heading_numbering"),
         F.when(F.max(F.rlike("content", F.lit(CITATION))), "numbered, [n]").alias("citation_style"),
-    )
+    ]
 
 
-def kinds(nodes: DataFrame) -> DataFrame:
-    """Paper, thesis, report or document, by the first twelve nodes, the headings and whether there are references."""
-    ranked = nodes.withColumn("_n", F.row_number().over(in_document()))
+def conventions(nodes: DataFrame) -> DataFrame:
+    return nodes.groupBy("doc_id").agg(*_conventions())
+
+
+def _kind_signs() -> list[Column]:
+    """How a document opens (its first twelve nodes by ``_n``), whether a heading names a chapter, whether there are references."""
     opening = F.lower(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("_n") <= 12, F.struct("_n", F.substring("content", 1, 200).alias("t"))))), lambda x: x["t"]), " "))
     chapter = F.max((is_type(HEADINGS) & F.contains(F.lower("content"), F.lit("chapter"))).cast("int")) == 1
     refs = F.max((F.col("type") == "reference").cast("int")) == 1
-    got = ranked.groupBy("doc_id").agg(opening.alias("o"), chapter.alias("c"), refs.alias("r"))
-    paper = F.rlike("o", F.lit(r"^\s*abstract\b|abstract—|abstract-")) | F.contains("o", F.lit("index terms"))
-    return got.select("doc_id", F.when(paper, "research paper").when(F.col("c"), "thesis or book").when(F.col("r"), "report with references").otherwise("document").alias("kind"))
+    return [opening.alias("_o"), chapter.alias("_c"), refs.alias("_r")]
+
+
+def _kind() -> Column:
+    paper = F.rlike("_o", F.lit(r"^\s*abstract\b|abstract—|abstract-")) | F.contains("_o", F.lit("index terms"))
+    return F.when(paper, "research paper").when(F.col("_c"), "thesis or book").when(F.col("_r"), "report with references").otherwise("document").alias("kind")
+
+
+def kinds(nodes: DataFrame) -> DataFrame:
+    """Paper, thesis, report or document, by the first twelve nodes, the headings and whether there are references."""
+    return nodes.withColumn("_n", F.row_number().over(in_document())).groupBy("doc_id").agg(*_kind_signs()).select("doc_id", _kind())
 
 
 def sections(nodes: DataFrame) -> DataFrame:
@@ -92,11 +103,12 @@ def sections(nodes: DataFrame) -> DataFrame:
 
 
 def brief(nodes: DataFrame) -> DataFrame:
-    """One row a document: kind, inventory, number of sections, conventions."""
-    return (
-        inventory(nodes).join(kinds(nodes), "doc_id").join(conventions(nodes), "doc_id")
-        .join(sections(nodes).groupBy("doc_id").agg(F.count("*").alias("sections")), "doc_id", "left").fillna(0, ["sections"])
-    )
+    """One row a document: kind, inventory, number of sections, conventions. The nodes are read and shuffled once."""
+    begins = (F.col("depth") == 1) & (is_type(HEADINGS) | F.col("meta.role").isNotNull())
+    parts = [F.count_if(is_type(types)).alias(name) for name, types in PARTS.items()]
+    ranked = nodes.withColumn("_n", F.row_number().over(in_document()))
+    got = ranked.groupBy("doc_id").agg(*parts, *_kind_signs(), *_conventions(), F.count_if(begins).alias("sections"))
+    return got.select("doc_id", *PARTS, _kind(), "heading_numbering", "citation_style", "sections")
 
 
 def outline(nodes: DataFrame, most: int = 40) -> DataFrame:

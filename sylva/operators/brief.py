@@ -123,6 +123,17 @@ def top_sections(nodes: DataFrame, most: int = 25) -> DataFrame:
     return found.where(F.col("section") <= most).select("doc_id", "section", "heading", "words", F.greatest(F.col("total") - most, F.lit(0)).alias("omitted"))
 
 
+def section_ranks(found: DataFrame) -> DataFrame:
+    """Sections with their place by words in their document (the most first, equals share one), their quarter, and how many
+    words more they have than the section before and the mean of their neighbours."""
+    size, order = Window.partitionBy("doc_id").orderBy(F.desc("words")), Window.partitionBy("doc_id").orderBy("section")
+    near = F.avg("words").over(order.rowsBetween(-1, 1))
+    return found.select(
+        "doc_id", "section", "words", F.rank().over(size).alias("rank"), F.ntile(4).over(Window.partitionBy("doc_id").orderBy(F.desc("words"), "section")).alias("quarter"),
+        (F.col("words") - F.lag("words").over(order)).alias("more"), F.lead("section").over(order).alias("next"), F.round(F.col("words") - near, 6).alias("over"),
+    )
+
+
 def passes(nodes: DataFrame, budget: int = 5000) -> DataFrame:
     """Rewritable texts dealt greedily into passes: a new one begins when the running size would exceed the budget. The
     state is carried by a fold over each document's sizes, in document order."""

@@ -91,3 +91,11 @@ def outcome_kind(diff: DataFrame) -> DataFrame:
     """The commonest type among a document's changed nodes, ties by the first in order of ids."""
     n = diff.where("kind = 'changed'").groupBy("doc_id", "type").agg(F.count("*").alias("n"), F.min("node_id").alias("first"))
     return n.groupBy("doc_id").agg(F.min_by("type", F.struct(-F.col("n"), F.col("first"))).alias("type"), F.max("n").alias("n"))
+
+
+def only_in_one(before: DataFrame, after: DataFrame) -> DataFrame:
+    """The nodes (doc_id, node_id) of either table that the other does not have, with the side that has them: one
+    aggregation over both, repeated rows counting once."""
+    both = before.select("doc_id", "node_id", F.lit(1).alias("side")).unionByName(after.select("doc_id", "node_id", F.lit(2).alias("side")))
+    sides = both.groupBy("doc_id", "node_id").agg(F.min("side").alias("least"), F.max("side").alias("most"))
+    return sides.where("least = most").select("doc_id", "node_id", F.when(F.col("least") == 1, "removed").otherwise("added").alias("kind"))

@@ -109,6 +109,32 @@ def keep_known(nodes: DataFrame, asked: DataFrame) -> DataFrame:
     return asked.join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"], "left_semi")
 
 
+def valid_edits(nodes: DataFrame, edits: DataFrame) -> DataFrame:
+    """Of the edits (doc_id, node_id, text) those that can be made: of known nodes, with words, and other than the words that
+    are there. The same edit stands once."""
+    have = nodes.select("doc_id", "node_id", F.col("content").alias("_have"))
+    return edits.join(have, ["doc_id", "node_id"]).where((F.trim("text") != "") & (F.col("text") != F.col("_have"))).select(edits.columns).distinct()
+
+
+def valid_spans(nodes: DataFrame, spans: DataFrame) -> DataFrame:
+    """Of the spans (doc_id, node_id, text) those whose words, without blanks around them, stand in their node as they are."""
+    have = nodes.select("doc_id", "node_id", F.col("content").alias("_have"))
+    named = spans.withColumn("text", F.trim("text")).join(have, ["doc_id", "node_id"])
+    return named.where((F.col("text") != "") & F.contains("_have", F.col("text"))).select(spans.columns)
+
+
+def scope(nodes: DataFrame, actions: DataFrame) -> DataFrame:
+    """What each action (doc_id, i, node_ids, target) would work on: (doc_id, i, node_id). Ids come before the target, and ids
+    that nothing has are passed over; an unknown target means nothing."""
+    ids = actions.where("size(node_ids) > 0").select("doc_id", "i", F.explode(F.array_distinct("node_ids")).alias("node_id")).join(nodes.select("doc_id", "node_id"), ["doc_id", "node_id"])
+    aimed = actions.where("node_ids is null or size(node_ids) < 1").where("target is not null").select("doc_id", "i", "target")
+    plain = F.explode(F.array_compact(F.array(*[F.when(is_type(types), F.lit(t)) for t, types in TARGETS.items()])))
+    named = nodes.select("doc_id", "node_id", plain.alias("target"))
+    for special, found in (("title", titles(nodes)), ("table_header", header_cells(nodes))):
+        named = named.unionByName(found.select("doc_id", "node_id", F.lit(special).alias("target")))
+    return ids.select("doc_id", "i", "node_id").unionByName(aimed.join(named, ["doc_id", "target"]).select("doc_id", "i", "node_id"))
+
+
 def visible_to(documents: DataFrame, owner: Column | None) -> DataFrame:
     """Documents of the owner, and those without one; no owner, no check."""
     return documents if owner is None else documents.where(F.col("owner_id").isNull() | (F.col("owner_id") == owner))

@@ -75,6 +75,16 @@ def restore(versions: DataFrame, seq: int, ts: Column) -> DataFrame:
     return versions.join(have, "doc_id", "left_anti").unionByName(commit(versions.join(have, "doc_id", "left_semi"), F.lit(f"restore→{seq}"), ts, True))
 
 
+def as_of(versions: DataFrame, asked: DataFrame) -> DataFrame:
+    """The asked rows (doc_id, ts) with ``seq``, the version that was current then: the last one up to that time, null before the
+    first. One window over both tables, no join on ranges."""
+    have = asked.columns
+    both = asked.withColumns({"_seq": F.lit(None).cast("long"), "_asks": F.lit(1)}).unionByName(
+        versions.select("doc_id", F.col("ts").cast(asked.schema["ts"].dataType).alias("ts"), F.col("seq").cast("long").alias("_seq"), F.lit(0).alias("_asks")), allowMissingColumns=True)
+    order = Window.partitionBy("doc_id").orderBy("ts", "_asks", "_seq").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("seq", F.last("_seq", True).over(order)).where("_asks = 1").select(*have, "seq")
+
+
 def drop_documents(rows: DataFrame, gone: DataFrame) -> DataFrame:
     return rows.join(gone.select("doc_id"), "doc_id", "left_anti")
 

@@ -72,7 +72,21 @@ query(
     "SELECT doc_id, target, count(*) AS n FROM nodes JOIN (VALUES " + ", ".join(f"('{t}', '{x}')" for t, xs in TARGETS.items() for x in xs) + ") AS m(target, mtype) ON mtype = type GROUP BY 1, 2",
 )(_all_targets)
 query("resolve_target", "SELECT doc_id, path, type FROM nodes WHERE type IN ('body', 'paragraph')")(lambda n: show(S.resolve(n, "body"), "type"))
-query("scope", "SELECT doc_id, path FROM nodes WHERE path IN ('1', '3', '2.1')")(lambda n: show(n.where(path_text().isin("3", "1", "2.1"))))
+def _aims(n: DataFrame) -> DataFrame:
+    """Actions of every document: ids (one of them unknown), classes, the title, the tables' heads, and one without an aim."""
+    name = lambda path: F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(path))
+    ids = F.array(name("1"), name("3"), F.lit("nobody"), name("1"))
+    none = F.lit(None).cast("array<string>")
+    rows = [F.struct(F.lit(i).alias("i"), (ids if i == 0 else none).alias("node_ids"), F.lit(t).cast("string").alias("target")) for i, t in enumerate([None, "body", "title", "table_header", "nonsense", None])]
+    return n.select("doc_id").distinct().select("doc_id", F.explode(F.array(*rows)).alias("a")).select("doc_id", "a.*")
+
+
+query(
+    "scope",
+    """, t AS (SELECT doc_id, path, type, content, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) AS rn FROM nodes WHERE trim(content) <> '' AND type NOT IN ('header', 'footer', 'page_break', 'horizontal_rule', 'table', 'table_row', 'table_cell', 'figure', 'image', 'caption', 'footnote'))
+ SELECT doc_id, 0 AS i, doc_id || '.' || path AS node_id FROM nodes WHERE path IN ('1', '3') UNION ALL SELECT doc_id, 1, doc_id || '.' || path FROM nodes WHERE type IN ('body', 'paragraph')
+ UNION ALL SELECT doc_id, 2, doc_id || '.' || path FROM t WHERE rn = 1 AND (type IN ('heading', 'subheading') OR length(content) <= 250) UNION ALL SELECT doc_id, 3, doc_id || '.' || path FROM nodes WHERE type = 'table_cell' AND p1 % 2 = 1""",
+)(lambda n: S.scope(n, _aims(n)))
 query("known_ids_filter", "SELECT doc_id, path FROM nodes WHERE path IN ('1', '2')")(
     lambda n: S.keep_known(n, n.select("doc_id").distinct().select("doc_id", F.explode(F.array(*[F.concat_ws(".", F.col("doc_id").cast("string"), F.lit(x)) for x in ("1", "2", "99999")])).alias("node_id"))).select("doc_id", F.substring_index("node_id", ".", -1).alias("path"))
 )
@@ -140,7 +154,7 @@ query("act_rewrite", "SELECT doc_id, path, CASE WHEN p1 % 3 = 0 AND depth = 1 AN
 query("act_delete", "SELECT n.doc_id, n.path, n.type FROM nodes n WHERE NOT EXISTS (SELECT 1 FROM nodes t WHERE t.doc_id = n.doc_id AND t.p1 = n.p1 AND t.type IN ('table', 'caption') AND t.depth = 1)")(
     lambda n: show(A.delete(n, F.col("type").isin("table", "caption")), "type")
 )
-query("act_copy", "SELECT doc_id, path FROM nodes WHERE type = 'heading'")(lambda n: show(n.where("type = 'heading'")))
+query("act_copy", "SELECT doc_id, path, row_number() OVER (PARTITION BY doc_id ORDER BY p1, p2, p3) - 1 AS place FROM nodes WHERE type = 'heading'")(lambda n: show(A.copied(n, F.col("type") == "heading"), "place"))
 _TOP = "row_number() OVER (PARTITION BY doc_id ORDER BY {}) AS ord"
 query("act_insert", f"SELECT doc_id, ord, type, content FROM (SELECT doc_id, type, content, {_TOP.format('p1, k')} FROM (SELECT doc_id, p1, 0 AS k, type, content FROM nodes WHERE depth = 1 UNION ALL SELECT doc_id, p1, 1, 'body', 'Inserted.' FROM nodes WHERE depth = 1 AND type = 'heading'))")(
     lambda n: A.insert(n, n.where("type = 'heading'"), "body", "Inserted.", "q").where("depth = 1").select("doc_id", F.col("sort_path")[0].alias("ord"), "type", "content")

@@ -47,9 +47,7 @@ query(
     _DIFF + "SELECT doc_id, count(*) FILTER (WHERE kind = 'added') AS added, count(*) FILTER (WHERE kind = 'removed') AS removed, count(*) FILTER (WHERE kind = 'changed') AS changed, count(*) FILTER (WHERE text_changed) AS text_changed, count(*) FILTER (WHERE style_changed) AS style_changed, count(*) FILTER (WHERE text_changed) AS words_added, 0 AS words_removed FROM diff GROUP BY 1",
 )(lambda n: D.summary(D.compare(n, edited(n))))
 query("join_changed", _DIFF + "SELECT doc_id, node_id FROM diff")(lambda n: D.changed_ids(n, edited(n)))
-query("set_symdiff", _DIFF + "SELECT doc_id, node_id FROM diff WHERE kind IN ('added', 'removed')")(
-    lambda n: (lambda a, b: a.exceptAll(b).union(b.exceptAll(a)))(n.select("doc_id", "node_id"), edited(n).select("doc_id", "node_id"))
-)
+query("set_symdiff", _DIFF + "SELECT doc_id, node_id, kind FROM diff WHERE kind IN ('added', 'removed')")(lambda n: D.only_in_one(n, edited(n)))
 query("style_field_diff", "SELECT doc_id, doc_id || '.' || path AS node_id, 'color' AS field, color AS before, NULL::VARCHAR AS after FROM nodes WHERE p1 % 10 <> 0 AND p1 % 4 = 0")(lambda n: D.style_fields(n, edited(n)))
 query("ver_word_segments")(lambda n: D.segments(D.compare(n, edited(n))).select("doc_id", "node_id", F.explode("segments").alias("s")).select("doc_id", "node_id", "s.op", "s.text"))
 query(
@@ -62,10 +60,25 @@ query("join_diff_marks", _DIFF + "SELECT n.doc_id, n.path, diff.kind FROM nodes
 query("join_edits", "SELECT doc_id, path, CASE WHEN p1 % 2 = 0 THEN 'Edit ' || path ELSE content END AS content FROM nodes")(
     lambda n: show(A.rewrite(n, n.where(F.col("sort_path")[0] % 2 == 0).select("doc_id", "node_id", F.concat(F.lit("Edit "), path_text()).alias("text"))), "content")
 )
-query("edit_validity", "SELECT doc_id, path, upper(replace(content, 'ß', 'ss')) AS text FROM nodes WHERE p1 % 2 = 0 AND trim(content) <> '' AND upper(replace(content, 'ß', 'ss')) <> content")(
-    lambda n: show(n.where(F.col("sort_path")[0] % 2 == 0).withColumn("text", F.upper("content")).where((F.trim("text") != "") & (F.col("text") != F.col("content"))), "text")
-)
-query("span_validity", "SELECT doc_id, path, 'the' AS text FROM nodes WHERE contains(content, 'the')")(lambda n: show(n.withColumn("text", F.lit("the")).where(F.contains("content", "text")), "text"))
+
+
+def _edits(n: DataFrame) -> DataFrame:
+    """Edits of every second line in capitals, twice; of every third without words; and of nodes that do not exist."""
+    p = F.col("sort_path")[0]
+    capitals = n.where(p % 2 == 0).select("doc_id", "node_id", F.upper("content").alias("text"))
+    return capitals.union(capitals).union(n.where(p % 3 == 0).select("doc_id", "node_id", F.lit("  "))).union(n.where(p == 1).select("doc_id", F.concat("node_id", F.lit("x")), F.col("content")))
+
+
+query("edit_validity", "SELECT doc_id, doc_id || '.' || path AS node_id, upper(replace(content, 'ß', 'ss')) AS text FROM nodes WHERE p1 % 2 = 0 AND trim(content) <> '' AND upper(replace(content, 'ß', 'ss')) <> content")(lambda n: S.valid_edits(n, _edits(n)))
+
+
+def _asked_spans(n: DataFrame) -> DataFrame:
+    """The last word of each document's first line, asked of every node of the document."""
+    first = n.where(path_text() == "1").select("doc_id", F.concat(F.lit(" "), F.element_at(F.split("content", " ", -1), -1)).alias("text"))
+    return n.select("doc_id", "node_id").join(first, "doc_id")
+
+
+query("span_validity", ", f AS (SELECT doc_id, trim(string_split(content, ' ')[-1]) AS text FROM nodes WHERE path = '1') SELECT n.doc_id, n.doc_id || '.' || path AS node_id, f.text FROM nodes n JOIN f USING (doc_id) WHERE f.text <> '' AND contains(content, f.text)")(lambda n: S.valid_spans(n, _asked_spans(n)))
 query("fmt_style_span", "SELECT doc_id, path, len(regexp_extract_all(lower(content), 'the')) AS spans FROM nodes")(lambda n: show(n.withColumn("spans", F.regexp_count(F.lower("content"), F.lit("the"))), "spans"))
 query("snk_docx_run", "SELECT doc_id, path, coalesce(font_size, 11.0)::DOUBLE AS size, coalesce(bold, false) AS bold, color FROM nodes")(
     lambda n: n.select("doc_id", path_text().alias("path"), F.coalesce("style.font_size", F.lit(11.0)).alias("size"), F.coalesce("style.bold", F.lit(False)).alias("bold"), "style.color")

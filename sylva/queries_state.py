@@ -11,10 +11,11 @@ from .operators import actions as A
 from .operators import brief as B
 from .operators import describe, pages, spans
 from .operators import terms as V
+from .operators import versions as H
 from .plans import replies, structure
 from .plans.compose import spec_nodes
 from .plans.replay import since_checkpoint
-from .queries import N, ORACLE_SQL, path_text, query
+from .queries import _SECTIONS, N, ORACLE_SQL, path_text, query
 from .queries_more import _LOC, _commands, _log, _read_sections
 from .schema import TARGETS
 from .shared import shared_path
@@ -389,3 +390,25 @@ ORACLE_SQL["act_list"] = N + _ITEMS + """, a AS (SELECT *, type IN ('body', 'par
   ELSE [{'t': content, 'k': CASE WHEN b AND NOT enumerated AND NOT (rtrim(content) LIKE '%:' AND coalesce(later, false)) THEN 'bullet' END}] END AS pieces FROM a),
  e AS (SELECT doc_id, p1, type, unnest(pieces) AS x, generate_subscripts(pieces, 1) AS k FROM p)
  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p1, k) AS ord, type, x.t AS content, x.k AS list_kind FROM e"""
+
+# ---- versions as of a time, sections by size --------------------------------------------------------------------------------
+
+
+def _asked_times(s, d) -> DataFrame:
+    """Each order's customer asks, a moment after midnight of some day, for the version of the document of the same number."""
+    day = F.expr("timestamp '2024-01-01 00:00:07' + make_dt_interval(cast(o_orderkey % 40 as int) - 2)")
+    return read(s, d, "orders").select(F.col("o_custkey").cast("long").alias("doc_id"), day.alias("ts"), "o_orderkey")
+
+
+query(
+    "join_as_of",
+    """WITH v AS (SELECT user_id AS doc_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS seq FROM events),
+ q AS (SELECT o_custkey::BIGINT AS doc_id, TIMESTAMP '2024-01-01 00:00:07' + INTERVAL 1 DAY * (o_orderkey % 40 - 2) AS ts, o_orderkey FROM orders)
+ SELECT q.o_orderkey, v.seq FROM q ASOF LEFT JOIN v ON v.doc_id = q.doc_id AND v.ts <= q.ts""",
+    with_nodes=False,
+)(lambda s, d: H.as_of(_log(s, d), _asked_times(s, d)).select("o_orderkey", "seq"))
+query(
+    "win_section_ranks",
+    _SECTIONS + """SELECT doc_id, section, words, rank() OVER (PARTITION BY doc_id ORDER BY words DESC) AS rank, ntile(4) OVER (PARTITION BY doc_id ORDER BY words DESC, section) AS quarter, words - lag(words) OVER w AS more, lead(section) OVER w AS next,
+ round(words - avg(words) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS over FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY section)""",
+)(lambda n: B.section_ranks(B.sections(n)))

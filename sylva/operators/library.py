@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..schema import STYLE, TARGETS
+
 
 def newest(documents: DataFrame, most: int) -> DataFrame:
     """The ``most`` newest documents, ties by id, with their rank."""
@@ -51,3 +53,15 @@ def append_new(source: DataFrame, target: DataFrame, key: str) -> DataFrame:
 def latest(rows: DataFrame, key: str, order: str) -> DataFrame:
     """The last written row of each key: an upsert as reading the newest."""
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+
+
+def apply_named(nodes: DataFrame, asked: DataFrame, styles: DataFrame) -> DataFrame:
+    """The nodes with the style that their document asks for by name (doc_id, name; letters' case does not count) laid over
+    those of its ``target`` class: ``styles`` (name, target, style), where a field that is null leaves what is there. Of
+    styles of one name and target the last by name as written holds; unknown names change nothing."""
+    one = styles.groupBy(F.lower("name").alias("_name"), "target").agg(F.max_by("style", "name").alias("_over"))
+    classes = F.explode(F.array_compact(F.array(*[F.when(F.col("target") == t, F.array(*map(F.lit, types))) for t, types in TARGETS.items()])))
+    wanted = asked.select("doc_id", F.lower("name").alias("_name")).distinct().join(one, "_name").select("doc_id", classes.alias("_types"), "_over").select("doc_id", F.explode("_types").alias("type"), "_over")
+    merged = F.struct(*[F.coalesce(F.col(f"_over.{f}"), F.col(f"style.{f}")).cast(t).alias(f) for f, t in STYLE.items()])
+    joined = nodes.join(wanted.groupBy("doc_id", "type").agg(F.first("_over").alias("_over")), ["doc_id", "type"], "left")
+    return joined.withColumn("style", F.when(F.col("_over").isNotNull(), merged).otherwise(F.struct(*[F.col(f"style.{f}").cast(t).alias(f) for f, t in STYLE.items()]))).select(nodes.columns)

@@ -109,3 +109,12 @@ def format_nodes(runs: DataFrame, scope: DataFrame, *fields: str) -> DataFrame:
     rows = runs.join(hit, list(NODE), "left")
     cleared = F.struct(*[F.when(F.col("_hit") & F.lit(f in fields), F.lit(None).cast(t)).otherwise(F.col(f"style.{f}")).alias(f) for f, t in STYLE.items()])
     return joined(rows.withColumn("style", cleared).drop("_hit"))
+
+
+def resolved(nodes: DataFrame, runs: DataFrame, default_size: float = 11.0) -> DataFrame:
+    """The runs as an export writes them: (doc_id, node_id, start, end, text, and every style field), what a run does not say
+    being its node's and what neither says the default: ``default_size`` points, not bold, italic or underlined."""
+    whole = with_text(nodes, runs).join(nodes.select(*NODE, F.col("style").alias("_own")), list(NODE))
+    last = {"font_size": F.lit(default_size), "bold": F.lit(False), "italic": F.lit(False), "underline": F.lit(False)}
+    fields = [F.coalesce(F.col(f"style.{f}"), F.col(f"_own.{f}"), *([last[f]] if f in last else [])).alias(f) for f in STYLE]
+    return whole.select(*NODE, "start", "end", "text", *fields)

@@ -10,6 +10,7 @@ from .functions import markup as M
 from .operators import actions as A
 from .operators import brief as B
 from .operators import describe, pages, spans
+from .operators import library as L
 from .operators import terms as V
 from .operators import versions as H
 from .plans import replies, structure
@@ -17,7 +18,7 @@ from .plans.compose import spec_nodes
 from .plans.replay import since_checkpoint
 from .queries import _SECTIONS, N, ORACLE_SQL, path_text, query
 from .queries_more import _LOC, _commands, _log, _read_sections
-from .schema import TARGETS
+from .schema import TARGETS, style
 from .shared import shared_path
 from .sources.corpus import nodes, nodes_of_lines, read
 from .streaming import live, rooms
@@ -412,3 +413,33 @@ query(
     _SECTIONS + """SELECT doc_id, section, words, rank() OVER (PARTITION BY doc_id ORDER BY words DESC) AS rank, ntile(4) OVER (PARTITION BY doc_id ORDER BY words DESC, section) AS quarter, words - lag(words) OVER w AS more, lead(section) OVER w AS next,
  round(words - avg(words) OVER (PARTITION BY doc_id ORDER BY section ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING), 6) AS over FROM sections WINDOW w AS (PARTITION BY doc_id ORDER BY section)""",
 )(lambda n: B.section_ranks(B.sections(n)))
+
+
+# ---- runs for export, styles by name ----------------------------------------------------------------------------------------
+
+query(
+    "snk_docx_runs",
+    """, p AS (SELECT doc_id, path, content, font_size, bold, string_split(lower(content), 'the') AS l FROM nodes WHERE content <> ''),
+ e AS (SELECT doc_id, path, content, font_size, bold, unnest(l) AS gap, generate_subscripts(l, 1) AS k, len(l) AS n FROM p),
+ o AS (SELECT *, (sum(length(gap) + 3) OVER (PARTITION BY doc_id, path ORDER BY k) - 3)::BIGINT AS stop FROM e),
+ r AS (SELECT doc_id, path, content, font_size, bold, stop - length(gap) AS a, stop AS b, false AS hit FROM o WHERE gap <> '' UNION ALL SELECT doc_id, path, content, font_size, bold, stop, stop + 3, true FROM o WHERE k < n),
+ i AS (SELECT *, sum(CASE WHEN hit AND coalesce(ph, false) THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, path ORDER BY a) AS island FROM (SELECT *, lag(hit) OVER (PARTITION BY doc_id, path ORDER BY a) AS ph FROM r))
+ SELECT doc_id, doc_id || '.' || path AS node_id, min(a)::INTEGER AS start, substr(any_value(content), (min(a) + 1)::BIGINT, (max(b) - min(a))::BIGINT) AS text, coalesce(any_value(font_size), 11.0)::DOUBLE AS font_size, any_value(hit) OR coalesce(any_value(bold), false) AS bold FROM i GROUP BY doc_id, path, island""",
+)(lambda n: spans.resolved(n, spans.style_phrase(n, spans.plain_runs(n), F.lit("the"), bold=True)).select("doc_id", "node_id", "start", "text", "font_size", "bold"))
+
+
+def _named_styles(s, d) -> tuple[DataFrame, DataFrame]:
+    """Styles named like parts, for headings or body texts, their size that of the part; each document asks for one, in capitals."""
+    part = read(s, d, "part")
+    bold = F.when(F.col("p_partkey") % 3 == 0, True)
+    styles = part.select(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string")).alias("name"), F.when(F.col("p_partkey") % 2 == 0, "heading").otherwise("body").alias("target"), style(font_size=F.col("p_size").cast("double"), bold=bold).alias("style"))
+    asked = part.select(F.col("p_partkey").alias("doc_id"), F.upper(F.concat("p_name", F.lit(" "), F.col("p_partkey").cast("string"))).alias("name"))
+    return asked, styles
+
+
+query(
+    "fmt_style_named",
+    "SELECT doc_id, path, CASE WHEN p_partkey % 2 = 0 AND type = 'heading' OR p_partkey % 2 = 1 AND type IN ('body', 'paragraph') THEN p_size ELSE font_size END::DOUBLE AS font_size, CASE WHEN p_partkey % 3 = 0 AND (p_partkey % 2 = 0 AND type = 'heading' OR p_partkey % 2 = 1 AND type IN ('body', 'paragraph')) THEN true ELSE bold END AS bold, color FROM nodes LEFT JOIN part ON p_partkey = doc_id",
+    with_nodes=False,
+)(lambda s, d: L.apply_named(nodes(s, d), *_named_styles(s, d)).select("doc_id", path_text().alias("path"), "style.font_size", "style.bold", "style.color"))
+ORACLE_SQL["fmt_style_named"] = N + ORACLE_SQL["fmt_style_named"]

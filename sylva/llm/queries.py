@@ -127,6 +127,20 @@ classes AS (SELECT key, min(label) AS class_id FROM reach GROUP BY 1),
 counted AS (SELECT links.a AS key, sum(c.n_copies) AS others, count(*) AS texts FROM links JOIN c ON c.key = links.b GROUP BY 1)
 SELECT k.doc_id, class_id, copy_id, n_copies, (n_copies - 1 + coalesce(others, 0))::BIGINT AS n_links, coalesce(texts, 0)::BIGINT AS n_text_links
 FROM k JOIN c USING (key) JOIN classes USING (key) LEFT JOIN counted USING (key)""",
+    "op11_periodic_runs": r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS l,
+ CASE WHEN doc_id IS NULL THEN 0 ELSE xor(4294967295, list_reduce(list_concat([4294967295::BIGINT], list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)), lambda crc, b: list_reduce(list_concat([xor(crc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END))) END AS h FROM documents),
+e AS (SELECT r, doc_id, l, len(l) AS n, h % 10 = 0 AND len(l) > 0 AS planted, CASE WHEN len(l) > 0 THEN (h // 10) % len(l) ELSE 0 END AS a, (h // 10) % 8 AS k FROM d),
+t AS (SELECT r, doc_id, n, CASE WHEN planted THEN list_transform(range(n), lambda i: CASE WHEN i < a THEN l[i + 1] ELSE l[a + (i - a) % (1 + (n - a) // (3 + k)) + 1] END) ELSE l END AS l FROM e),
+w AS (SELECT r, n, unnest(l) AS word, generate_subscripts(l, 1) - 1 AS i FROM t),
+pairs AS (SELECT x.r, x.i, y.i - x.i AS q FROM w x JOIN w y ON y.r = x.r AND y.word = x.word AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT r, q, min(i) AS start, count(*) + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM pairs) GROUP BY r, q, island HAVING count(*) >= 3 * q AND count(*) + q >= 6),
+runs AS (SELECT r, start, length, min(q) AS period FROM islands GROUP BY 1, 2, 3),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length / period DESC, start, period) = 1),
+listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS said FROM runs GROUP BY 1),
+gone AS (SELECT DISTINCT w.r, w.i FROM w JOIN runs ON runs.r = w.r AND w.i >= start + period AND w.i < start + length),
+kept AS (SELECT w.r, string_agg(word, ' ' ORDER BY w.i) AS text FROM w LEFT JOIN gone ON gone.r = w.r AND gone.i = w.i WHERE gone.r IS NULL GROUP BY 1)
+SELECT doc_id, coalesce(n_runs, 0) AS n_runs, best.start AS start, best.length AS length, best.period AS period, (1000 * best.length // best.period) AS exponent_milli, sha256(coalesce(said, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM t LEFT JOIN listed USING (r) LEFT JOIN best USING (r) LEFT JOIN kept USING (r)""",
     "op12_ranked_search": rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS l FROM documents WHERE text IS NOT NULL),
 n AS (SELECT r, doc_id, len(l) AS n FROM d WHERE len(l) > 0), total AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS n_terms FROM n),
 i AS (SELECT DISTINCT item_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{TERM}') AS l FROM benchmark WHERE text IS NOT NULL),

@@ -124,7 +124,27 @@ def _ends(key: Column) -> Column:
     return _behind(key, LEAST)
 
 
-def _structure(rows: DataFrame, kinds: set[str], columns: list[str]) -> DataFrame:
+class Steps:
+    """What is done to a wave's rows, written down once: waves with the same kinds of actions take the same steps, and building
+    their expressions takes longer than running them on small documents."""
+
+    def __init__(self, schema):
+        self.schema, self.taken = schema, []
+
+    def __getattr__(self, name):
+        def take(*args, **options):
+            self.taken.append((name, args, options))
+            return self
+
+        return take
+
+    def __call__(self, rows: DataFrame) -> DataFrame:
+        for name, args, options in self.taken:
+            rows = getattr(rows, name)(*args, **options)
+        return rows
+
+
+def _structure(rows: Steps, kinds: set[str], columns: list[str]) -> Steps:
     """The wave's structural action of every document. Only what the wave's ``kinds`` need is in the plan."""
     x, kind, key, wave = F.col("x"), F.col("x.type"), F.col("_key"), F.col("wave")
     live = ~F.col("_old") & ~F.coalesce(x["seq"].eqNullSafe(F.col("_skip")), F.lit(False)) & x.isNotNull()
@@ -227,7 +247,7 @@ def _structure(rows: DataFrame, kinds: set[str], columns: list[str]) -> DataFram
     return rows.select(*[c for c in columns if c not in _MADE], F.explode(pieces).alias("_p")).select(*[f"_p.{c}" if c in _MADE else c for c in columns])
 
 
-def _merged(rows: DataFrame, pieces: Column, columns: list[str], merging: Column) -> DataFrame:
+def _merged(rows: Steps, pieces: Column, columns: list[str], merging: Column) -> Steps:
     """The pieces, the nodes that merge being one group of their document, whose text is all of theirs in order."""
     out = rows.select(
         "doc_id", "_old", "_skip", F.when(merging, F.lit(None).cast(KEY)).otherwise(F.col("_key")).alias("_group"),
@@ -245,12 +265,12 @@ def _merged(rows: DataFrame, pieces: Column, columns: list[str], merging: Column
 _MADE = ["_key", "node_id", "parent_id", "type", "content", "style", "meta", "_sel"]
 
 
-def _struct_of(rows: DataFrame) -> str:
+def _struct_of(rows: Steps) -> str:
     kinds = {c: rows.schema[c].dataType.simpleString() for c in _MADE if c != "style"} | {"style": "struct<" + ",".join(f"{f}:{t}" for f, t in STYLE.items()) + ">"}
     return "struct<" + ",".join(f"{c}:{kinds[c]}" for c in _MADE) + ">"
 
 
-def _array_of(rows: DataFrame) -> str:
+def _array_of(rows: Steps) -> str:
     return f"array<{_struct_of(rows)}>"
 
 
@@ -280,7 +300,7 @@ def _borders(x: Column) -> Column:
     return F.when(F.coalesce(F.size(x["sides"]), F.lit(0)) > 0, named).otherwise(even)
 
 
-def _listed(rows: DataFrame, order, document) -> tuple[DataFrame, Column, Column, Column]:
+def _listed(rows: Steps, order, document) -> tuple[Steps, Column, Column, Column]:
     """Which nodes of the wave's lists become items, what they are cut into, and what leads in."""
     x = F.col("x")
     making = F.col("x.type") == "list"
@@ -335,6 +355,7 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
     start = {"_key": F.transform("sort_path", lambda n: F.array(n.cast("int"))), "_sel": F.lit(False), "_old": F.lit(False), "_skip": F.lit(None).cast("long"), "style": _whole_style()}
     rows = nodes.withColumns(start).select(columns).repartition("doc_id")
     any_single, state = _folded(default)
+    steps: dict[frozenset, Steps] = {}
     moves_below = "to_id" in actions.columns and actions.where("type = 'move' and to_id <> cast(doc_id as string)").limit(1).count() > 0
     for done, wave in enumerate(sorted(plan, key=lambda r: r["wave"])):
         if done and done % waves_per_job == 0:
@@ -347,7 +368,12 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
         if wave["single"]:
             rows = rows.withColumn("_state", state)
             rows = rows.withColumns({c: F.when(any_single, F.col(f"_state.{c.strip('_')}")).otherwise(F.col(c)) for c in ("style", "content", "meta", "_sel")})
-        rows = _structure(rows, kinds, columns) if kinds else rows.select(columns)
+        if kinds:
+            if (key := frozenset(kinds)) not in steps:
+                steps[key] = _structure(Steps(rows.schema), kinds, columns)
+            rows = steps[key](rows)
+        else:
+            rows = rows.select(columns)
         levels *= 2 if "move" in kinds and moves_below else 1
     done = numbered(rows.where("not _old"), levels)
     return done.select(*[c for c in ("doc_id", "node_id", "parent_id", "type", "sort_path", "depth", "content", "style", "meta") if c in nodes.columns])

@@ -279,3 +279,32 @@ def test_perhaps(spark):
     assert not any(r._perhaps for r in perhaps(rows, keys.limit(0), "a").collect())
     small = {r.a: r._perhaps for r in perhaps(rows, keys, "a", bits=4).collect()}
     assert all(small[a] for a, _ in want)
+
+
+def test_pipeline_on_hard_tables(spark, tmp_path):
+    """Nulls in any column, empty and repeated rows, columns named like the stages' own, and tables without rows."""
+    pytest.importorskip("public_tokenizers")
+    import corpus_pipeline as C
+
+    r = random.Random(4)
+    long = " ".join(_words(r, 80))
+    docs = [(1, long, "en", "s", 9), (1, long, "en", "s", 9), (2, None, None, None, None), (3, "", "en", "s", 0), (None, " ".join(_words(r, 30)), "en", None, 5), (4, " ".join(_words(r, 70)), None, "s", None), (5, " ".join(_words(r, 70)), "en", "s", 1), (6, " \n ", "en", "s", 1)]
+    kind = "doc_id long, text string, lang string, source string, n_chars long"
+    clash = {c: F.lit(c) for c in ("score", "predicted", "leaks", "spans", "base_sha256", "n_email", "set", "label", "class_id", "_perhaps_not", "row", "features")}
+
+    def write(name, rows, labels, benchmark):
+        d = tmp_path / name
+        spark.createDataFrame(rows, kind).withColumns(clash).write.parquet(str(d / "documents.parquet"))
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(d / "labels.parquet"))
+        spark.createDataFrame(benchmark, "item_id long, text string").write.parquet(str(d / "benchmark.parquet"))
+        return str(d)
+
+    d = write("hard", docs, [(1, 1, 0), (5, None, None), (None, 1, 1), (4, 0, 0)], [(1, None), (2, ""), (3, "quite unlike all of these texts in every word of it")])
+    got = sorted(((x.doc_id, x.n_tokens) for x in C.run(spark, d).collect()), key=str)
+    assert [g[0] for g in got] == sorted([1, 1, 2, 3, None, 4, 5, 6], key=str)
+    assert {g[0] for g in got if g[1] == 0} == {2, 3, 6}
+    docs_now = spark.read.parquet(d + "/documents.parquet")
+    for _, stage in C.STAGES[:-1]:
+        assert stage(spark, docs_now, d).columns == docs_now.columns
+    assert C.run(spark, write("none", [], [], [])).count() == 0
+    assert C.run(spark, write("bare", docs[:1], [], [])).count() == 1

@@ -12,6 +12,7 @@ the other and gives out text as soon as its bytes form whole characters.
 from __future__ import annotations
 
 import codecs
+import gc
 import hashlib
 import json
 import re
@@ -59,7 +60,9 @@ class Transducer:
         self.inner = {t: vocab[t] for t in inner if len(t) <= self.longest}
         self.final = {t.removesuffix(end): i for t, i in vocab.items() if end and t.endswith(end)} if end else self.inner
         self.pairs: dict[tuple[str, str, bool], bool] = {}
+        self.follows: dict[str, tuple[dict[int, bool], dict[int, bool]]] = {}
         self.begins: dict[str, tuple[str, int, int]] = {}  # what the transducer holds for the last symbol of a word's beginning
+        self.heads: dict[str, list] = {}  # and for all symbols of a short word's
         #: For the last three symbols that were read: the lengths of the tokens that end with them, longest first.
         self.lengths: tuple[dict[str, list[int]], dict[str, list[int]]] = ({}, {})
         self._tails: tuple[dict[str, set[int]], dict[str, set[int]]] = ({}, {})
@@ -72,35 +75,35 @@ class Transducer:
 
     def merge(self, symbols: list[str]) -> list[str]:
         """Plain merging in order of rank, for a handful of symbols."""
-        while len(symbols) > 1:
-            best = min(range(len(symbols) - 1), key=lambda i: self.rank.get((symbols[i], symbols[i + 1]), 1 << 60))
-            if (pair := (symbols[best], symbols[best + 1])) not in self.rank:
-                break
-            merged, i = [], 0
-            while i < len(symbols):
-                if i + 1 < len(symbols) and (symbols[i], symbols[i + 1]) == pair:
-                    merged.append(symbols[i] + symbols[i + 1])
-                    i += 2
-                else:
-                    merged.append(symbols[i])
-                    i += 1
-            symbols = merged
+        rank, none = self.rank.get, 1 << 60
+        ranks = [rank(pair, none) for pair in zip(symbols, symbols[1:])]
+        while ranks and (least := min(ranks)) < none:
+            i = ranks.index(least)
+            symbols[i : i + 2] = [symbols[i] + symbols[i + 1]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((symbols[i - 1], symbols[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((symbols[i], symbols[i + 1]), none)
         return symbols
 
     def stays(self, a: str, b: str, last: bool) -> bool:
         """Whether tokens a and b (at the word's end, if last) side by side encode to themselves; a may be empty."""
         key = (a, b, last)
         if (known := self.pairs.get(key)) is None:
-            symbols = list(a + b)
-            want = [a, b] if a else [b]
-            if last and self.end:
-                symbols[-1] += self.end
-                want[-1] += self.end
             if len(self.pairs) > 300_000:
                 self.pairs.clear()
-            self.pairs[key] = known = self.merge(symbols) == want
+            self.pairs[key] = known = self._stays(a, b, last)
         return known
 
+    def _stays(self, a: str, b: str, last: bool) -> bool:
+        symbols = list(a + b)
+        want = [a, b] if a else [b]
+        if last and self.end:
+            symbols[-1] += self.end
+            want[-1] += self.end
+        return self.merge(symbols) == want
+
     def stream(self, word, emit) -> int:
         """Encodes the symbols of ``word`` (an iterable), calls ``emit`` with each token's id once it is stable, and
         returns the largest number of positions it ever held.
@@ -109,6 +112,8 @@ class Transducer:
         ``sufficient_lookahead`` symbols back is stable and goes out too, so no more positions than that bound, the longest
         token and 32 are ever held.
         """
+        if isinstance(word, str) and len(word) <= 32:
+            return self._short(word, emit)
         live: dict[int, tuple[str, int, int]] = {0: ("", -1, -1)}  # position -> last token, its id, where it begins
         window, done, held, at, longest = "", 0, 1, 0, self.longest
         inner, final, pairs, lengths, begins = self.inner, self.final, self.pairs, self.lengths, self.begins
@@ -161,6 +166,58 @@ class Transducer:
                 live = {p: x for p, x in live.items() if p >= done}
         return held
 
+    def _short(self, word: str, emit) -> int:
+        """``stream`` for a word that ends before its first tokens would go out: the same steps, the positions in a list. What
+        words that begin alike have in common is remembered up to four and up to eight symbols."""
+        size = len(word)
+        if not size:
+            return 1
+        inner, lengths, heads, follows = self.inner, self.lengths[False], self.heads, self.follows
+        if len(heads) > 100_000 or len(follows) > 30_000:
+            heads.clear()
+            follows.clear()
+        live = heads.get(word[:8]) if size > 8 else None
+        if live is None:
+            live = heads.get(word[:4]) if size > 4 else None
+        live = live.copy() if live is not None else [("", -1, -1, self._follow(""))]
+        for at in range(len(live), size):
+            tail = word[at - 3 : at] if at > 3 else word[:at]
+            if (sizes := lengths.get(tail)) is None:
+                sizes = self._sizes(tail, False)
+            for n in sizes:
+                if n <= at and (i := inner.get(t := word[at - n : at])) is not None:
+                    before = live[at - n]
+                    if (fits := before[3][0].get(i)) is None:
+                        fits = before[3][0][i] = self._stays(before[0], t, False)
+                    if fits:
+                        live.append((t, i, at - n, follows.get(t) or self._follow(t)))
+                        break
+            else:
+                raise ValueError(f"no token ends at symbol {at}: the vocabulary lacks {word[at - 1]!r}")
+            if at == 4 or at == 8:
+                heads[word[:at]] = live.copy()
+        for n in self.lengths[True].get(word[-3:]) or self._sizes(word[-3:], True):
+            if n <= size and (i := self.final.get(t := word[size - n :])) is not None:
+                before = live[size - n]
+                if (fits := before[3][1].get(i)) is None:
+                    fits = before[3][1][i] = self._stays(before[0], t, True)
+                if fits:
+                    break
+        else:
+            raise ValueError(f"no token ends at symbol {size}: the vocabulary lacks {word[-1]!r}")
+        ids, at = [i], size - n
+        while at:
+            _, i, at, _ = live[at]
+            ids.append(i)
+        for i in reversed(ids):
+            emit(i)
+        return size + 1
+
+    def _follow(self, token: str) -> tuple[dict[int, bool], dict[int, bool]]:
+        """Which tokens are known to stay behind the token, within a word and at its end."""
+        self.follows[token] = row = ({}, {})
+        return row
+
     def _sizes(self, tail: str, last: bool) -> list[int]:
         tokens = self.final if last else self.inner
         sizes = self._tails[last].get(tail, set()) | {n for n in (1, 2) if tail[-n:] in tokens}
@@ -233,7 +290,13 @@ class WordBpe:
         first[1:] &= ~seen[:-1]
         at = np.sort(np.r_[upto[:-1][first], upto[offsets]], kind="stable")
         at = at[np.r_[True, at[1:] != at[:-1]]]
-        flat, places = self.memory.gather(raw[seen], at)
+        collects = gc.isenabled()
+        gc.disable()  # many small objects and no cycles: looking for some took a third of the time
+        try:
+            flat, places = self.memory.gather(raw[seen], at)
+        finally:
+            if collects:
+                gc.enable()
         return flat, np.diff(places[np.searchsorted(at, upto[offsets])])
 
     def rest(self) -> None:
@@ -241,6 +304,9 @@ class WordBpe:
         self.memory.forget(8)
         self.known.clear()
         self.transducer.begins.clear()
+        self.transducer.heads.clear()
+        if len(self.transducer.follows) > 10_000:
+            self.transducer.follows.clear()
         if len(self.transducer.pairs) > 100_000:
             self.transducer.pairs.clear()
 

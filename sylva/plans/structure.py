@@ -351,9 +351,12 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
     waves = logs(actions)
     plan = waves.groupBy("wave").agg(F.collect_set("x.type").alias("kinds"), F.max(F.size("single") > 0).alias("single"), F.max("begins").alias("begins")).collect()  # a row for each wave
     columns = ["doc_id", "_key", "node_id", "parent_id", "type", "content", "style", "meta", "_sel", "_old", "_skip"]
-    levels = nodes.agg(F.max("depth")).first()[0] or 1
+    # documents without actions are not dealt out
+    marked = nodes.join(actions.select("doc_id").distinct().withColumn("_logged", F.lit(True)), "doc_id", "left")
+    logged = marked.where("_logged").drop("_logged")
+    levels = logged.agg(F.max("depth")).first()[0] or 1
     start = {"_key": F.transform("sort_path", lambda n: F.array(n.cast("int"))), "_sel": F.lit(False), "_old": F.lit(False), "_skip": F.lit(None).cast("long"), "style": _whole_style()}
-    rows = nodes.withColumns(start).select(columns).repartition("doc_id")
+    rows = logged.withColumns(start).select(columns).repartition("doc_id")
     any_single, state = _folded(default)
     steps: dict[frozenset, Steps] = {}
     moves_below = "to_id" in actions.columns and actions.where("type = 'move' and to_id <> cast(doc_id as string)").limit(1).count() > 0
@@ -376,4 +379,5 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
             rows = rows.select(columns)
         levels *= 2 if "move" in kinds and moves_below else 1
     done = numbered(rows.where("not _old"), levels)
-    return done.select(*[c for c in ("doc_id", "node_id", "parent_id", "type", "sort_path", "depth", "content", "style", "meta") if c in nodes.columns])
+    out = [c for c in ("doc_id", "node_id", "parent_id", "type", "sort_path", "depth", "content", "style", "meta") if c in nodes.columns]
+    return done.select(out).unionByName(marked.where("_logged is null").withColumn("style", _whole_style()).select(out))

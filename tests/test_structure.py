@@ -334,9 +334,9 @@ def test_dealt_out_once(spark):
     log = [{"doc_id": 1, "seq": k, "i": 0, "type": t, "target": "heading"} for k, t in enumerate(["split", "delete", "merge"])]
     lines = replayed(spark, nodes, log)._jdf.queryExecution().executedPlan().toString().split("\n")
     indent = lambda line: len(line) - len(line.lstrip(" :+-"))
-    at = next(k for k, line in enumerate(lines) if "REPARTITION_BY_COL" in line)
+    at = next(k for k, line in enumerate(lines) if "text#" in line and "Scan ExistingRDD" in line)
     above, least = [], indent(lines[at])
     for line in reversed(lines[:at]):
         if indent(line) < least:
             above, least = [*above, line], indent(line)
-    assert len(above) > 10 and not [line for line in above if "Exchange" in line]
+    assert len(above) > 10 and len([line for line in above if "Exchange" in line]) == 1

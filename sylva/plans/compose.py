@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_numbering
@@ -152,25 +152,17 @@ def spec_nodes(specs: DataFrame, column: str = "spec") -> DataFrame:
     Front matter comes first, then the blocks, then the references with running numbers. Figures, listings and equations
     count each for themselves, those too that have nothing to show and are left out. A table has a row of nodes for each
     row and its caption last; lists and listings have a node for each item and line. Pictures are not drawn: an image node
-    has the data that it would show. What is no JSON gives no nodes, and so does a null; repeated rows repeat their nodes.
+    has the data that it would show. A spec is one row, so nothing is shuffled. What is no JSON gives no nodes, and so does a null; repeated rows repeat their nodes.
     """
-    row = specs.withColumn("_row", F.monotonically_increasing_id())
-    parsed = row.select("_row", "doc_id", F.from_json(column, SPEC_DDL).alias("s")).where("s is not null")
+    parsed = specs.select("doc_id", F.from_json(column, SPEC_DDL).alias("s")).where("s is not null")
     said = F.filter(F.transform(F.coalesce("s.references", F.array().cast("array<string>")), strip_numbering), lambda r: r.isNotNull())
     listed = F.filter(F.transform(said, lambda r, i: F.struct(r.alias("r"), (i + 1).alias("i"))), lambda x: x["r"] != "")
     references = F.transform(listed, lambda x: F.array(_node([], "reference", F.concat(F.lit("["), x["i"].cast("string"), F.lit("] "), x["r"]))))
-    begin = parsed.select("_row", "doc_id", F.col("s.meta.style").alias("style"), F.explode(F.array(
-        F.struct(F.lit(0).alias("part"), front_matter(F.col("s.meta")).alias("tops"), F.lit(None).cast(_blocks()).alias("blocks")),
-        F.struct(F.lit(1).alias("part"), F.lit(None).cast(f"array<{NODES}>").alias("tops"), F.col("s.blocks").cast(_blocks()).alias("blocks")),
-        F.struct(F.lit(2).alias("part"), references.alias("tops"), F.lit(None).cast(_blocks()).alias("blocks")),
-    )).alias("x"))
-    told = begin.where("x.part <> 1").select("_row", "doc_id", "x.part", F.posexplode("x.tops").alias("i", "nodes"))
-    each = begin.where("x.part = 1").select("_row", "doc_id", "style", "x.part", F.posexplode("x.blocks").alias("i", "b"))
-    number = F.row_number().over(Window.partitionBy("_row", "b.type").orderBy("i"))
-    blocks = each.withColumn("number", number).select("_row", "doc_id", "part", "i", _block(F.col("b"), F.col("number"), F.coalesce("style", F.lit("report"))).alias("nodes"))
-    tops = told.unionByName(blocks).where("nodes is not null")
-    place = F.row_number().over(Window.partitionBy("_row").orderBy("part", "i"))
-    rows = tops.withColumn("_top", place).select("doc_id", "_top", F.explode("nodes").alias("n"))
+    blocks, style = F.coalesce("s.blocks", F.array().cast(_blocks())), F.coalesce("s.meta.style", F.lit("report"))
+    number = lambda b, i: F.size(F.filter(F.slice(blocks, F.lit(1), i + 1), lambda x: x["type"] == b["type"]))
+    made = F.filter(F.transform(blocks, lambda b, i: _block(b, number(b, i), style)), lambda n: n.isNotNull())
+    tops = F.concat(front_matter(F.col("s.meta")), made, references)
+    rows = parsed.select("doc_id", F.posexplode(tops).alias("_i", "nodes")).select("doc_id", (F.col("_i") + 1).alias("_top"), F.explode("nodes").alias("n"))
     path = F.concat(F.array("_top"), F.col("n.path"))
     named = lambda p: F.concat_ws(".", F.col("doc_id").cast("string"), F.transform(p, lambda x: x.cast("string")))
     meta = F.from_json(F.to_json(F.struct(F.when(F.col("n.props")["header"] == "true", True).alias("header_row"), F.col("n.props")["role"].alias("role"))), META_DDL)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,56 +22,79 @@ def with_state(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
 
 
-def _ms(ts) -> int:
-    return int(pd.Timestamp(ts).value // 1_000_000)
+def _us(ts: pd.Series) -> np.ndarray:
+    return ts.to_numpy("datetime64[us]").astype("int64")
+
+
+def _columns(state, n: int) -> list[np.ndarray]:
+    """The columns of what a list state holds in pieces: times, numbers, texts, and flags if there are so many."""
+    pieces = list(state.get()) if state.exists() else []
+    kinds = ("int64", "int64", object, bool)[:n]
+    return [np.concatenate([np.array([], kind), *[np.array(p[k], kind) for p in pieces]]) for k, kind in enumerate(kinds)]
 
 
 class Room(StatefulProcessor):
     """One room: what still waits for its turn, and the ring of its last messages.
 
     Rows wait until the watermark has passed them, so that they take their turns in order of time however they arrived. Then
-    a message goes into the ring, and who joins is given what the ring holds of the last ``horizon`` seconds. A timer clears a
-    room of which nothing is left to hear.
+    a message goes into the ring, and who joins is given what the ring holds of the last ``horizon`` seconds. One timer stands at
+    the first row that waits, and takes all that are due; another clears a room of which nothing is left to hear. Rows wait as
+    columns, a micro-batch's Arrow batch in one piece, and what is heard leaves in blocks of ``block`` joins.
     """
 
-    def __init__(self, buffer: int, horizon: int):
-        self.buffer, self.horizon = buffer, horizon
+    def __init__(self, buffer: int, horizon: int, block: int = 5000):
+        self.buffer, self.horizon, self.block = buffer, horizon, block
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "ts timestamp, order long, event string, joins boolean")
-        self.ring = handle.getListState("ring", "ts timestamp, order long, event string")
+        self.waiting = handle.getListState("waiting", "ts array<long>, order array<long>, event array<string>, joins array<boolean>")
+        self.ring = handle.getListState("ring", "ts array<long>, order array<long>, event array<string>")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
-        times = set()
+        first = []
         for part in rows:
-            got = list(part[["ts", "order", "event", "joins"]].itertuples(index=False, name=None))
-            self.waiting.appendList([(pd.Timestamp(ts).to_pydatetime(), int(o), None if event is None else str(event), bool(joins)) for ts, o, event, joins in got])
-            times |= {_ms(ts) for ts, *_ in got}
-        for ms in times:
-            self.handle.registerTimer(ms)
+            got = part[part["ts"].notna()]
+            if len(got):
+                ts = _us(got["ts"])
+                event = got["event"].astype(object).where(got["event"].notna(), None)
+                self.waiting.appendList([(ts.tolist(), got["order"].astype("int64").tolist(), event.tolist(), got["joins"].astype(bool).tolist())])
+                first.append(int(ts.min()) // 1000)
+        if first:
+            self.handle.registerTimer(min(first))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802  Spark's name
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = list(self.waiting.get()) if self.waiting.exists() else []
-        due = sorted((w for w in waiting if _ms(w[0]) <= now), key=lambda w: (w[0], w[3], w[1]))  # a message comes before who joins at the same time
-        ring = list(self.ring.get()) if self.ring.exists() else []
-        out = []
-        for ts, order, event, joins in due:
-            since = ts - pd.Timedelta(seconds=self.horizon)
-            ring = [m for m in ring if m[0] >= since]
-            if joins:
-                out += [(key[0], ts, order, *m, n) for n, m in enumerate(reversed(ring[-self.buffer:]), 1)]
-            else:
-                ring.append((ts, order, event))
-        late = [w for w in waiting if _ms(w[0]) > now]
-        ring = [m for m in ring[-self.buffer:] if _ms(m[0]) + self.horizon * 1000 >= now]
-        for state, rows in ((self.waiting, late), (self.ring, ring)):
-            state.put([tuple(r) for r in rows]) if rows else state.clear()
-        if ring:
-            self.handle.registerTimer(_ms(ring[-1][0]) + self.horizon * 1000 + 1)
-        yield pd.DataFrame(out, columns=["doc_id", "joined", "viewer", "ts", "order", "event", "n"]) if out else pd.DataFrame()
+        ts, order, event, joins = _columns(self.waiting, 4)
+        due = ts // 1000 <= now
+        late = ~due
+        heard = _columns(self.ring, 3)
+        ts_, order_, event_, joins_ = (np.concatenate(both) for both in zip((*heard, np.zeros(len(heard[0]), bool)), (c[due] for c in (ts, order, event, joins))))
+        turns = np.lexsort((order_, joins_, ts_))  # a message comes before who joins at the same time
+        joined, said = turns[joins_[turns]], turns[~joins_[turns]]
+        times = ts_[said]
+        ends = np.cumsum(~joins_[turns])[joins_[turns]]
+        begins = np.maximum(ends - self.buffer, np.searchsorted(times, ts_[joined] - self.horizon * 1_000_000))
+        many = np.maximum(ends - begins, 0)
+        last = said[-self.buffer:]
+        last = last[ts_[last] // 1000 + self.horizon * 1000 >= now]
+        for state, mask, columns in ((self.waiting, late, (ts, order, event, joins)), (self.ring, last, (ts_, order_, event_))):
+            kept = tuple(c[mask].tolist() for c in columns)
+            state.put([kept]) if kept[0] else state.clear()
+        if late.any():
+            self.handle.registerTimer(int(ts[late].min()) // 1000)
+        if len(last):
+            self.handle.registerTimer(int(ts_[last[-1]]) // 1000 + self.horizon * 1000 + 1)
+        for k in range(0, len(joined), self.block):
+            of = np.repeat(np.arange(k, min(k + self.block, len(joined))), many[k:k + self.block])
+            n = np.arange(len(of)) - np.repeat(np.cumsum(many[k:k + self.block]) - many[k:k + self.block], many[k:k + self.block]) + 1
+            message, viewer = said[ends[of] - n], joined[of]
+            if len(of):
+                yield pd.DataFrame({
+                    "doc_id": key[0], "joined": ts_[viewer].astype("datetime64[us]"), "viewer": order_[viewer], "ts": ts_[message].astype("datetime64[us]"),
+                    "order": order_[message], "event": event_[message], "n": n.astype("int32"),
+                })
+        yield pd.DataFrame()
 
     def close(self) -> None:
         pass

@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +69,39 @@ def test_late_joiners_after_restarts(spark, tmp_path, rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_one_timer_for_all_that_wait():
+    """However many rows wait, a room has one timer for them; the blocks in which they leave cut nothing."""
+
+    class State:
+        def __init__(self):
+            self.rows = []
+
+        exists = lambda self: bool(self.rows)
+        get = lambda self: iter(self.rows)
+        put = lambda self, rows: setattr(self, "rows", list(rows))
+        appendList = lambda self, rows: self.rows.extend(rows)  # noqa: E731,N815
+        clear = lambda self: setattr(self, "rows", [])
+
+    class Handle:
+        timers: list[int] = []
+        getListState = lambda self, name, schema: State()  # noqa: E731,N815
+        registerTimer = lambda self, ms: self.timers.append(ms)  # noqa: E731,N815
+
+    class Now:
+        getCurrentWatermarkInMs = lambda self: 700_000  # noqa: E731,N815
+
+    room = rooms.Room(buffer=3, horizon=60, block=7)
+    room.init(Handle())
+    at = [k * 1_000_000 for k in range(900)]
+    part = pd.DataFrame({"ts": pd.Series(at).astype("datetime64[us]"), "order": range(900), "event": ["say"] * 900, "joins": [k % 2 == 1 for k in range(900)]})
+    list(room.handleInputRows((1,), iter([part[:500], part[500:]]), None))
+    assert Handle.timers == [0]
+    got = pd.concat(list(room.handleExpiredTimer((1,), Now(), None)))
+    want = [(v, m, n) for v in range(1, 701, 2) for n, m in enumerate(range(v - 1, max(v - 7, -1), -2), 1)]
+    assert list(got[["viewer", "order", "n"]].astype(int).itertuples(index=False, name=None)) == want
+    assert Handle.timers == [0, 701_000, 760_001]  # the first that still waits, and the ring's end
+
+
 def test_too_late(spark, tmp_path):
     """What comes after the watermark has passed it is left out."""
     at = lambda s: BEGIN + timedelta(seconds=s)

@@ -8,15 +8,19 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
-from ..functions.text import clip, word_count
+from ..functions.text import clip
 from ..schema import STYLE
 
 CLIP = 2000
 _TOKENS = re.compile(r"\s+|\S+")
 
 
+def _opcodes(a: list[str], b: list[str]) -> list[tuple]:
+    return difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes()
+
+
 @F.pandas_udf(ArrayType(StructType([StructField("op", StringType()), StructField("text", StringType())])))
 def word_segments(before: pd.Series, after: pd.Series) -> pd.Series:
     """Runs of equal, deleted and inserted words; equal and deleted ones spell ``before``, equal and inserted ones
@@ -25,7 +29,7 @@ def word_segments(before: pd.Series, after: pd.Series) -> pd.Series:
     for x, y in zip(before, after):
         a, b = _TOKENS.findall(x or ""), _TOKENS.findall(y or "")
         found: list[list[str]] = []
-        for tag, i1, i2, j1, j2 in difflib.SequenceMatcher(None, a, b, autojunk=False).get_opcodes():
+        for tag, i1, i2, j1, j2 in _opcodes(a, b):
             for op, text in (("equal", a[i1:i2]),) if tag == "equal" else (("delete", a[i1:i2]), ("insert", b[j1:j2])):
                 if text and found and found[-1][0] == op:
                     found[-1][1] += "".join(text)
@@ -35,6 +39,25 @@ def word_segments(before: pd.Series, after: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
+@F.pandas_udf(StructType([StructField("added", IntegerType()), StructField("removed", IntegerType())]))
+def words_changed(before: pd.Series, after: pd.Series) -> pd.DataFrame:
+    """How many words were inserted and deleted, over whole texts. Of long ones only what lies between their common
+    beginning and end is compared."""
+    out = []
+    for x, y in zip(before, after):
+        x, y = x or "", y or ""
+        a, b = _TOKENS.findall(x), _TOKENS.findall(y)
+        if max(len(x), len(y)) > CLIP:
+            least = min(len(a), len(b))
+            begin = next((k for k in range(least) if a[k] != b[k]), least)
+            end = next((k for k in range(least - begin) if a[-1 - k] != b[-1 - k]), least - begin)
+            a, b = a[begin:len(a) - end], b[begin:len(b) - end]
+        words = lambda tokens: sum(not t.isspace() for t in tokens)
+        cuts = [(words(b[j1:j2]), words(a[i1:i2])) for tag, i1, i2, j1, j2 in _opcodes(a, b) if tag != "equal"]
+        out.append((sum(i for i, _ in cuts), sum(d for _, d in cuts)))
+    return pd.DataFrame(out, columns=["added", "removed"])
+
+
 def _same_style() -> Column:
     same = F.lit(True)
     for name in STYLE:
@@ -73,12 +96,13 @@ def segments(diff: DataFrame) -> DataFrame:
 
 
 def summary(diff: DataFrame) -> DataFrame:
-    """Counts a document: added, removed, changed, text_changed, style_changed, words_added, words_removed."""
+    """Counts a document: added, removed, changed, text_changed, style_changed, words_added, words_removed,
+    the words over whole texts."""
     counts = diff.groupBy("doc_id").agg(
         *[F.count_if(F.col("kind") == k).alias(k) for k in ("added", "removed", "changed")], F.count_if("text_changed").alias("text_changed"), F.count_if("style_changed").alias("style_changed")
     )
-    words = segments(diff).select("doc_id", F.explode("segments").alias("s"))
-    words = words.groupBy("doc_id").agg(*[F.coalesce(F.sum(F.when(F.col("s.op") == op, word_count(F.col("s.text")))), F.lit(0)).alias(name) for op, name in (("insert", "words_added"), ("delete", "words_removed"))])
+    words = diff.where("text_changed").select("doc_id", words_changed("before", "after").alias("w"))
+    words = words.groupBy("doc_id").agg(F.sum("w.added").alias("words_added"), F.sum("w.removed").alias("words_removed"))
     return counts.join(words, "doc_id", "left").fillna(0, ["words_added", "words_removed"])
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import alpha, roman
-
+from .commands import once
 
 
 def up_to():
@@ -115,16 +115,17 @@ def majority(rows: DataFrame, value: str, weight: Column) -> DataFrame:
 
 
 def merged_runs(runs: Column) -> Column:
-    """Neighbouring runs (text, bold) of equal style as one; empty ones go."""
-    zero = F.array().cast("array<struct<text:string,bold:boolean>>")
+    """Neighbouring runs (text, bold) of equal style as one; empty ones go. The work is linear in the runs: where a run begins
+    is found first, and each stretch is joined once."""
+    same = lambda r, i: F.get(r, i - 2)["bold"].eqNullSafe(F.get(r, i - 1)["bold"])
+    begins = lambda r: F.when(F.size(r) > 0, F.filter(F.sequence(F.lit(1), F.size(r)), lambda i: (i == 1) | ~same(r, i))).otherwise(F.array().cast("array<int>"))
 
-    def step(acc: Column, r: Column) -> Column:
-        n = F.size(acc)
-        last = F.try_element_at(acc, F.greatest(n, F.lit(1)))
-        joined = F.concat(F.slice(acc, 1, F.greatest(n - 1, F.lit(0))), F.array(F.struct(F.concat(last["text"], r["text"]).alias("text"), r["bold"].alias("bold"))))
-        return F.when(r["text"] == "", acc).when((n > 0) & last["bold"].eqNullSafe(r["bold"]), joined).otherwise(F.concat(acc, F.array(r)))
+    def stretches(r: Column, at: Column) -> Column:
+        text = lambda b, k: F.array_join(F.transform(F.slice(r, b, F.coalesce(F.get(at, k + 1), F.size(r) + 1) - b), lambda x: x["text"]), "")
+        return F.transform(at, lambda b, k: F.struct(text(b, k).alias("text"), F.get(r, b - 1)["bold"].alias("bold")))
 
-    return F.aggregate(runs, zero, step)
+    # read as lambdas' variables: plain columns would be made anew for each run
+    return once(F.filter(runs, lambda r: r["text"] != ""), lambda r: F.when(r.isNotNull(), once(begins(r), lambda at: stretches(r, at))))
 
 
 #: The headings offered for each kind of document (words of the kind, headings), and for any other.

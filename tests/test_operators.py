@@ -2,6 +2,7 @@
 
 import difflib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -160,6 +161,9 @@ def test_diff(spark):
     after = make(spark, [("body", "We used a careful approach.")]).unionByName(make(spark, [("body", "x"), ("body", "y"), ("body", "Brand new.")]).where("node_id = '1.3'"))
     row = D.summary(D.compare(before, after)).first().asDict()
     assert row == {"doc_id": 1, "added": 1, "removed": 1, "changed": 1, "text_changed": 1, "style_changed": 0, "words_added": 1, "words_removed": 1}
+    long = " ".join(f"word{k}" for k in range(3000))
+    row = D.summary(D.compare(make(spark, [("body", long)]), make(spark, [("body", long.replace("word2500 ", "other more ") + " edited")]))).first()
+    assert (row.words_added, row.words_removed) == (3, 1)  # far behind what segments show of a text
     pairs = [("the quick brown fox", "the slow brown fox"), ("", "new"), ("same", "same"), ("a  b\tc", "a b c d")]
     frame = spark.createDataFrame(pairs, "a string, b string")
     for r in frame.select("a", "b", D.word_segments("a", "b").alias("s")).collect():
@@ -292,3 +296,14 @@ def test_children_of_any_node_stay(spark):
     assert {r.node_id for r in moved.collect()} == ids
     tops = {(r.doc_id, r.sort_path[0]) for r in moved.where("depth = 1").collect()}
     assert all((r.doc_id, r.sort_path[0]) in tops and r.sort_path[0] == max(k for d, k in tops if d == r.doc_id) for r in moved.where("depth = 2").collect())
+
+
+def test_runs_of_many_words(spark):
+    """The work is in proportion to the words: 30,000 of them that are never alike took minutes."""
+    words = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.struct(F.when(i % 5 == 0, "").otherwise(i.cast("string")).alias("text"), (F.floor(i / 2) % 2 == 0).alias("bold")))
+    began = time.time()
+    rows = spark.createDataFrame([(0,), (3,), (30000,)], "n int").select(P.merged_runs(F.when(F.col("n") > 0, words).otherwise(F.slice(words, 1, 0))).alias("r")).collect()
+    assert time.time() - began < 30
+    assert rows[0].r == [] and [(x.text, x.bold) for x in rows[1].r] == [("1", True), ("23", False)]
+    want = [(str(i), i // 2 % 2 == 0) for i in range(1, 30001) if i % 5]
+    assert "".join(x.text for x in rows[2].r) == "".join(t for t, _ in want) and len(rows[2].r) == 1 + sum(a[1] != b[1] for a, b in zip(want, want[1:]))

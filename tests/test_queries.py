@@ -90,3 +90,10 @@ def test_sections_after_the_twelfth(spark):
     assert sorted(map(tuple, read.select("doc_id", "section", "heading").collect())) == want
     assert max(r.section for r in core.QUERIES["join_reading"](spark, str(DATA)).collect()) > 12
     assert max(r.section for r in core.QUERIES["set_union_terms"](spark, str(DATA)).collect()) > 12
+
+
+def test_chart_kinds_are_read_off_the_phrases(duck):
+    """The SQL judges what is said: another name gives another kind, whatever the number."""
+    sql = core.ORACLE_SQL["chart_kind"].replace("FROM part", "FROM (SELECT p_partkey, 'scattered' AS p_name, p_type, p_brand FROM part)")
+    kinds = dict(duck.execute(sql).fetchall())
+    assert {k: v for k, v in kinds.items() if k < 12} == {0: "pie", 1: "pie", 2: "scatter", 3: "line", 4: "scatter", 5: "scatter", 6: "grouped_bar", 7: "grouped_bar", 8: "scatter", 9: "scatter", 10: "bar", 11: "scatter"}

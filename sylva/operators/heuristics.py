@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import commands as C
 from .actions import HIGHLIGHT, SIDES
+from .commands import once, whole
 
 #: What asks for a list, for other words, for characters to go, for a table's rules.
 WANTS_A_LIST = (
@@ -76,20 +77,25 @@ def borders(command: Column) -> Column:
     The sentence is cut at the word that turns it. Sides named before are kept, those and no others; with sides named
     behind it only, all but these stay; a turn without any side takes all edges away.
     """
-    text = F.lower(command)
-    cut = F.split(text, "(?i)" + TURNS, 2)
+    return once(F.lower(command), lambda text: once(F.split(text, "(?i)" + TURNS, 2), lambda cut: _edges(text, cut)))
+
+
+def _edges(text: Column, cut: Column) -> Column:
     head, tail, turns = F.get(cut, F.lit(0)), F.coalesce(F.get(cut, F.lit(1)), F.lit("")), F.size(cut) > 1
-    keep, drop = _sides_in(head), _sides_in(tail)
-    holds = lambda *s: F.size(F.array_intersect(keep, F.array(*map(F.lit, s)))) == len(s)
-    more = F.when(holds("inside_h") & _has(head, r"\bhorizontal\b"), F.array(F.lit("top"), F.lit("bottom"))).when(holds("top", "bottom") & _has(head, r"\b(all|every|each)\b"), F.array(F.lit("inside_h")))
-    kept = F.when(more.isNotNull(), F.array_sort(F.array_union(keep, more))).otherwise(keep)
-    others = F.array_except(F.array(*map(F.lit, SIDES[:6])), expanded(drop))
-    width = F.when(_has(text, HEAVY_WORDS), HEAVY_LINE).otherwise(THIN_LINE)
     none = F.array().cast("array<string>")
-    return F.struct(
-        F.when(F.size(keep) > 0, kept).when(F.size(drop) > 0, others).otherwise(none).alias("sides"),
-        F.when(F.size(keep) > 0, width).when(F.size(drop) > 0, THIN_LINE).when(turns, 0.0).otherwise(width).alias("width"),
-    )
+
+    def of(keep: Column, drop: Column) -> Column:
+        holds = lambda *s: F.size(F.array_intersect(keep, F.array(*map(F.lit, s)))) == len(s)
+        more = F.when(holds("inside_h") & _has(head, r"\bhorizontal\b"), F.array(F.lit("top"), F.lit("bottom"))).when(holds("top", "bottom") & _has(head, r"\b(all|every|each)\b"), F.array(F.lit("inside_h")))
+        kept = once(more, lambda m: F.when(m.isNotNull(), F.array_sort(F.array_union(keep, m))).otherwise(keep))
+        others = F.array_except(F.array(*map(F.lit, SIDES[:6])), expanded(drop))
+        width = F.when(_has(text, HEAVY_WORDS), HEAVY_LINE).otherwise(THIN_LINE)
+        return F.struct(
+            F.when(F.size(keep) > 0, kept).when(F.size(drop) > 0, others).otherwise(none).alias("sides"),
+            F.when(F.size(keep) > 0, width).when(F.size(drop) > 0, THIN_LINE).when(turns, 0.0).otherwise(width).alias("width"),
+        )
+
+    return once(_sides_in(head), lambda keep: once(_sides_in(tail), lambda drop: of(keep, drop)))
 
 
 def font(command: Column) -> Column:
@@ -109,8 +115,8 @@ def actions(commands: DataFrame, text: str = "command") -> DataFrame:
     """
     c = F.lower(F.col(text))
     rows = commands.where(F.col(text).isNotNull()).withColumns({
-        "_target": C.target(F.col(text)), "_phrase": C.phrase(F.col(text)), "_case": C.letter_case(c), "_spacing": C.spacing(c), "_borders": borders(c),
-        "_align": C.alignment(c), "_color": C.color(c), "_font": font(F.col(text)), "_size": C.size(c), "_style": C.emphasis(c),
+        "_target": C.target(F.col(text)), "_phrase": C.phrase(F.col(text)), "_case": C.letter_case(c), "_spacing": whole(C.spacing(c)), "_borders": borders(c),
+        "_align": C.alignment(c), "_color": C.color(c), "_font": font(F.col(text)), "_size": whole(C.size(c)), "_style": whole(C.emphasis(c)),
     })
     target, phrase = F.col("_target"), F.col("_phrase")
     scoped = F.coalesce(target, F.when(phrase.isNotNull(), "document"))

@@ -110,3 +110,13 @@ def test_rows_are_accepted_and_run(spark, asked):
     assert not any("Adam" in r.content for r in done['delete the phrase "Adam"']) and any("Adam" in r.content for r in done["show me the figures"])
     assert all(r.content == r.content.upper() for r in of("make the headings uppercase", "heading"))
     assert all(r.style.highlight is None for r in done["remove the highlighting"] if r.type not in ("table", "table_row"))
+
+
+def test_what_a_command_is_read_by_is_worked_out_once(spark):
+    """Readers of a request's parts share them; the sentence about edges was cut anew for each of some hundred patterns."""
+    frame = spark.createDataFrame([("keep the top border, no verticals",)], "command string")
+    plan = lambda rows: rows._jdf.queryExecution().optimizedPlan().toString()
+    edges = plan(frame.select(HE.borders(F.col("command")).alias("b")).select("b.sides", "b.width"))
+    assert edges.count("split(") == 1 and edges.upper().count("RLIKE") < 25
+    sizes = plan(HE.actions(frame))
+    assert sizes.count("increase|decrease|raise") == 1 and sizes.count("single[- ]?spac") == 1

@@ -7,6 +7,8 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from sylva import queries as core
+from sylva import queries_rest  # noqa: F401  registers snk_snapshot
 from sylva.functions import text as T
 from sylva.operators import actions as A
 from sylva.operators import brief as B
@@ -307,3 +309,23 @@ def test_runs_of_many_words(spark):
     assert rows[0].r == [] and [(x.text, x.bold) for x in rows[1].r] == [("1", True), ("23", False)]
     want = [(str(i), i // 2 % 2 == 0) for i in range(1, 30001) if i % 5]
     assert "".join(x.text for x in rows[2].r) == "".join(t for t, _ in want) and len(rows[2].r) == 1 + sum(a[1] != b[1] for a, b in zip(want, want[1:]))
+
+
+def test_only_the_words_of_a_command_leave_their_section(spark):
+    """Words of sections that a command does not name are neither dealt out nor joined."""
+    sections = spark.createDataFrame([(1, 1, "Alpha", "beta gamma"), (1, 2, "Delta", "beta alpha"), (2, 1, "Alpha", None)], "doc_id long, section int, heading string, about string")
+    commands = spark.createDataFrame([(1, "shorten the section on gamma alpha"), (2, "the part on omega")], "doc_id long, command string")
+    got = V.locate(sections, commands)
+    assert [tuple(r) for r in got.collect()] == [(1, 1, 4.0)]
+    assert not re.search(r"hashpartitioning\([^)]*word", got._jdf.queryExecution().executedPlan().toString())
+
+
+def test_snapshots_are_packed_in_small_batches(spark, tmp_path):
+    """A Python worker holds a bounded number of whole texts at a time."""
+    spark.range(10).select(F.col("id").alias("doc_id"), F.repeat(F.lit("text "), 10).alias("text")).write.parquet(str(tmp_path / "documents.parquet"))
+    default = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        rows = core.QUERIES["snk_snapshot"](spark, str(tmp_path)).collect()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500 and {r.text for r in rows} == {"text " * 10}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)

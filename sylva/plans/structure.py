@@ -348,21 +348,26 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
     Documents without nodes or without actions stay as they are, actions of unknown documents do nothing, repeated rows
     apply again and columns of ACTION that are missing count as null. Other columns than a node table's go.
     """
-    waves = logs(actions)
+    waves = cut(logs(actions))  # read once for every wave, and else worked out anew each time
     plan = waves.groupBy("wave").agg(F.collect_set("x.type").alias("kinds"), F.max(F.size("single") > 0).alias("single"), F.max("begins").alias("begins")).collect()  # a row for each wave
     columns = ["doc_id", "_key", "node_id", "parent_id", "type", "content", "style", "meta", "_sel", "_old", "_skip"]
     # documents without actions are not dealt out
-    marked = nodes.join(actions.select("doc_id").distinct().withColumn("_logged", F.lit(True)), "doc_id", "left")
+    marked = nodes.join(waves.select("doc_id").distinct().withColumn("_logged", F.lit(True)), "doc_id", "left")
     logged = marked.where("_logged").drop("_logged")
     levels = logged.agg(F.max("depth")).first()[0] or 1
     start = {"_key": F.transform("sort_path", lambda n: F.array(n.cast("int"))), "_sel": F.lit(False), "_old": F.lit(False), "_skip": F.lit(None).cast("long"), "style": _whole_style()}
     rows = logged.withColumns(start).select(columns).repartition("doc_id")
     any_single, state = _folded(default)
+    ended: list[DataFrame] = []
     steps: dict[frozenset, Steps] = {}
-    moves_below = "to_id" in actions.columns and actions.where("type = 'move' and to_id <> cast(doc_id as string)").limit(1).count() > 0
+    moves_below = waves.where("x.type = 'move' and x.to_id <> cast(doc_id as string)").limit(1).count() > 0
     for done, wave in enumerate(sorted(plan, key=lambda r: r["wave"])):
         if done and done % waves_per_job == 0:
             rows = cut(rows)
+            # documents whose log has ended leave here
+            more = waves.where(F.col("wave") >= wave["wave"]).select("doc_id").distinct()
+            ended.append(numbered(rows.join(more, "doc_id", "left_anti").where("not _old"), levels))
+            rows = rows.join(more, "doc_id", "left_semi")
         kinds = set(wave["kinds"])
         rows = rows.join(waves.where(F.col("wave") == wave["wave"]), "doc_id", "left")
         if wave["begins"]:
@@ -378,6 +383,8 @@ def replay(nodes: DataFrame, actions: DataFrame, default: float = 11.0, waves_pe
         else:
             rows = rows.select(columns)
         levels *= 2 if "move" in kinds and moves_below else 1
-    done = numbered(rows.where("not _old"), levels)
     out = [c for c in ("doc_id", "node_id", "parent_id", "type", "sort_path", "depth", "content", "style", "meta") if c in nodes.columns]
-    return done.select(out).unionByName(marked.where("_logged is null").withColumn("style", _whole_style()).select(out))
+    whole = numbered(rows.where("not _old"), levels).select(out)
+    for part in ended:
+        whole = whole.unionByName(part.select(out))
+    return whole.unionByName(marked.where("_logged is null").withColumn("style", _whole_style()).select(out))

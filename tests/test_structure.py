@@ -4,6 +4,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from sylva.plans import structure as S
 from sylva.schema import HEADINGS, NODE_TYPES, TARGETS
@@ -341,3 +342,22 @@ def test_dealt_out_once(spark):
         if indent(line) < least:
             above, least = [*above, line], indent(line)
     assert len(above) > 10 and len([line for line in above if "Exchange" in line]) == 1
+
+
+def test_the_log_is_worked_out_once(spark):
+    """However many waves there are, the actions are read once; documents whose log has ended wait for the others unharmed."""
+    nodes = nodes_of_lines(spark.createDataFrame([(k, "Title\nA line of words. And more\nlast") for k in range(6)], "doc_id long, text string"))
+    log = [(k, seq, 0, "split" if seq == 1 else "insert", "body" if seq == 1 else None, f"{k}.{seq}") for k in range(5) for seq in range(1, 2 * k + 2)]
+    log += [(k, 2 * k + 2, 0, "highlight", "heading", None) for k in range(5)]
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(k):
+        read.add(1)
+        return k
+
+    actions = spark.createDataFrame(log, "doc_id long, seq long, i int, type string, target string, content string")
+    got = S.replay(nodes, actions.withColumn("seq", F.udf(counted, "long")("seq")), waves_per_job=2).collect()
+    assert read.value == len(log)
+    assert {k: sum(r.doc_id == k for r in got) for k in range(6)} == {k: 3 + (2 * k if k < 5 else 0) for k in range(6)}
+    marked = {r.doc_id for r in got if r.style.highlight and r.type == "heading" and r.sort_path == [1]}
+    assert {0, 1, 2, 3, 4} <= marked and len({r.node_id for r in got}) == len(got)

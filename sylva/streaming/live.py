@@ -39,21 +39,27 @@ def versions(commands: DataFrame) -> DataFrame:
     return numbered.withColumns({"is_checkpoint": is_checkpoint(), "parent_seq": F.when(F.col("seq") > 0, F.col("seq") - 1)})
 
 
-def each_batch(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> StreamingQuery:
+def each_batch(stream: DataFrame, path: str, checkpoint: str, work: Callable[[DataFrame], DataFrame] = lambda rows: rows, keep: bool = False) -> StreamingQuery:
     """Starts the stream and writes what ``work`` makes of each micro-batch under the batch's own number. A batch that is run
-    again after a failure has the same rows and replaces what it wrote the first time."""
+    again after a failure has the same rows and replaces what it wrote the first time. ``keep``: the batch is held while
+    ``work`` reads it more than once; else the stream's state and Python run again for each reading."""
 
     def write(batch: DataFrame, number: int) -> None:
-        work(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        held = batch.persist() if keep else batch
+        try:
+            work(held).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        finally:
+            if keep:
+                held.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def finished(stream: DataFrame, name: str, schema: str, work: Callable[[DataFrame], DataFrame] = lambda rows: rows) -> DataFrame:
+def finished(stream: DataFrame, name: str, schema: str, work: Callable[[DataFrame], DataFrame] = lambda rows: rows, keep: bool = False) -> DataFrame:
     """What the stream has written once it has read all that is there."""
     spark = stream.sparkSession
     path = shared_path(spark, name)
-    each_batch(stream, f"{path}/rows", f"{path}/checkpoint", work).awaitTermination()
+    each_batch(stream, f"{path}/rows", f"{path}/checkpoint", work, keep).awaitTermination()
     rows = spark.read.schema(schema).parquet(f"{path}/rows")
     return rows.drop("batch")
 

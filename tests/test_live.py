@@ -190,3 +190,18 @@ def test_what_is_told(spark):
     assert got[2, 1] == [(None, "batch_started", None, 1), (0, "delete_started", None, 0), (0, "delete_finished", None, 0), (None, "batch_finished", None, 1)]
     assert got[2, 2][1:3] == [(0, "selection_started", None, 1), (0, "selection_item", "2.1", None)]
     assert got[3, 1][1] == (0, "selection_started", None, 0)
+
+
+def test_a_kept_batch_is_worked_out_once(spark, tmp_path):
+    """A batch that its work reads twice takes its way through the stream once."""
+    files(spark, tmp_path, [(1, BEGIN, k, "say") for k in range(10)], 1)(0)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(order):
+        seen.add(1)
+        return order
+
+    stream = source(spark, tmp_path).select(F.udf(counted, "long")("order").alias("order"))
+    twice = lambda b: b.join(b.groupBy("order").agg(F.count("*").alias("n")), "order")
+    live.each_batch(stream, str(tmp_path / "out"), str(tmp_path / "cp"), twice, keep=True).awaitTermination()
+    assert seen.value == 10 and spark.read.parquet(str(tmp_path / "out")).count() == 10

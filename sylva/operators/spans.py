@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..schema import STYLE, STYLE_DDL
 
 NODE = ("doc_id", "node_id")
+RUN = f"struct<start: int, end: int, style: {STYLE_DDL}>"
 
 
 def _plain() -> Column:
@@ -32,16 +33,17 @@ def current_runs(nodes: DataFrame, runs: DataFrame) -> DataFrame:
     return kept.unionByName(plain_runs(fresh.where("not _fresh")))
 
 
-def matches(nodes: DataFrame, needle: Column) -> DataFrame:
+def matches(nodes: DataFrame, needle: Column, *which: str) -> DataFrame:
     """Where the words of ``needle`` (a column of the nodes; blanks around it do not count) stand, whatever their letters' case:
-    (doc_id, node_id, start, end), from left to right and none within another."""
+    (doc_id, node_id, start, end), from left to right and none within another. A node may stand once for each value of
+    the columns ``which``."""
     sought = F.lower(F.trim(needle))
     quoted = F.concat(F.lit("\\Q"), F.replace(sought, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E"))
     low = F.lower(F.col("content"))
     found = nodes.where((F.coalesce(sought, F.lit("")) != "") & F.contains(low, sought))
     gaps = F.transform(F.split(low, quoted, -1), F.length)
-    each = found.select(*NODE, F.length(sought).alias("_n"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("_k", "_gap"))
-    so_far = Window.partitionBy(*NODE).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    each = found.select(*NODE, *which, F.length(sought).alias("_n"), F.posexplode(F.slice(gaps, F.lit(1), F.size(gaps) - 1)).alias("_k", "_gap"))
+    so_far = Window.partitionBy(*NODE, *which).orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
     end = (F.sum(F.col("_gap") + F.col("_n")).over(so_far)).cast("int")
     return each.withColumn("end", end).select(*NODE, (F.col("end") - F.col("_n")).alias("start"), "end")
 
@@ -53,16 +55,15 @@ def overlay(runs: DataFrame, spans: DataFrame, **patch) -> DataFrame:
     A sweep: the edges of runs and spans in order, and between two of them the run that began last and whether any span
     is open. One shuffle by node, however many spans there are.
     """
-    nothing = F.lit(None).cast("int")
-    begins = runs.select(*NODE, F.col("start").alias("_at"), F.struct("start", "end", "style").alias("_run"), F.lit(0).alias("_open"))
-    edges = spans.where(F.col("start") < F.col("end")).select(*NODE, F.explode(F.array(F.struct(F.col("start").alias("at"), F.lit(1).alias("open")), F.struct(F.col("end").alias("at"), F.lit(-1).alias("open")))).alias("_e"))
-    ends = runs.select(*NODE, F.col("end").alias("_at"), F.lit(None).cast(begins.schema["_run"].dataType).alias("_run"), F.lit(0).alias("_open"))
-    all_edges = begins.unionByName(ends).unionByName(edges.select(*NODE, F.col("_e.at").alias("_at"), F.lit(None).cast(begins.schema["_run"].dataType).alias("_run"), F.col("_e.open").alias("_open")))
-    at = all_edges.groupBy(*NODE, "_at").agg(F.first("_run", True).alias("_run"), F.sum("_open").alias("_open"))
+    edge = lambda at, run, open_: F.struct(F.col(at).alias("at"), run.cast(RUN).alias("run"), F.lit(open_).alias("open"))
+    none = F.lit(None)
+    of_runs = runs.select(*NODE, F.explode(F.array(edge("start", F.struct("start", "end", "style"), 0), edge("end", none, 0))).alias("_e"))  # read once for both ends
+    of_spans = spans.where(F.col("start") < F.col("end")).select(*NODE, F.explode(F.array(edge("start", none, 1), edge("end", none, -1))).alias("_e"))
+    all_edges = of_runs.unionByName(of_spans).select(*NODE, F.col("_e.at").alias("_at"), F.col("_e.run").alias("_run"), F.col("_e.open").alias("_open"))
     order = Window.partitionBy(*NODE).orderBy("_at")
-    so_far = order.rowsBetween(Window.unboundedPreceding, 0)
-    pieces = at.select(*NODE, F.col("_at").alias("start"), F.lead("_at").over(order).alias("end"), F.last("_run", True).over(so_far).alias("_run"), (F.sum("_open").over(so_far) > 0).alias("_on"))
-    inside = pieces.where(F.col("_run").isNotNull() & (F.coalesce(F.col("end"), nothing) <= F.col("_run.end")))
+    so_far = order.rangeBetween(Window.unboundedPreceding, Window.currentRow)  # edges at one place count together; the last of them opens a piece
+    pieces = all_edges.select(*NODE, F.col("_at").alias("start"), F.lead("_at").over(order).alias("end"), F.last("_run", True).over(so_far).alias("_run"), (F.sum("_open").over(so_far) > 0).alias("_on")).where("start < end")
+    inside = pieces.where(F.col("_run").isNotNull() & (F.col("end") <= F.col("_run.end")))
     fields = [F.when(F.col("_on") & F.lit(f in patch and patch[f] is not None), F.lit(patch.get(f)).cast(t)).otherwise(F.col(f"_run.style.{f}")).alias(f) for f, t in STYLE.items()]
     return joined(inside.select(*NODE, "start", "end", F.struct(*fields).alias("style")))
 
@@ -75,8 +76,10 @@ def joined(runs: DataFrame) -> DataFrame:
     rows = runs.withColumn("style", F.when(said, F.col("style")))
     order = Window.partitionBy(*NODE).orderBy("start")
     fresh = ~(F.lag("style").over(order).eqNullSafe(F.col("style")) & F.coalesce(F.lag("end").over(order) == F.col("start"), F.lit(False)))
-    island = rows.withColumn("_n", F.sum(fresh.cast("int")).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return island.groupBy(*NODE, "_n").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.first("style").alias("style")).drop("_n")
+    # the first and the last run of each stretch, and the first with the end of the last
+    edges = rows.withColumn("_first", fresh).withColumn("_last", F.coalesce(F.lead("_first").over(order), F.lit(True))).where("_first or _last")
+    end = F.when(F.col("_last"), F.col("end")).otherwise(F.lead("end").over(order))
+    return edges.withColumn("end", end).where("_first").select(*NODE, "start", "end", "style")
 
 
 def with_text(nodes: DataFrame, runs: DataFrame) -> DataFrame:
@@ -91,15 +94,14 @@ def style_phrase(nodes: DataFrame, runs: DataFrame, needle: Column, **patch) ->
 
 def style_spans(nodes: DataFrame, runs: DataFrame, asked: DataFrame, **patch) -> DataFrame:
     """The runs after formatting the words that ``asked`` (doc_id, node_id, text) names, each in its own node only."""
-    named = nodes.select(*NODE, "content").join(asked.select(*NODE, F.col("text").alias("_needle")).distinct(), list(NODE))
+    sought = asked.groupBy(*NODE).agg(F.collect_set("text").alias("_needles"))
+    named = nodes.select(*NODE, "content").join(sought, list(NODE)).select(*NODE, "content", F.explode("_needles").alias("_needle"))
     return overlay(runs, matches_each(named, "_needle"), **patch)
 
 
 def matches_each(named: DataFrame, needle: str) -> DataFrame:
     """``matches`` where a node may stand once for each of several needles."""
-    each = named.withColumn("_which", F.xxhash64(needle)).withColumn("_id", F.col("node_id"))
-    keyed = each.withColumn("node_id", F.concat_ws("\n", "node_id", F.col("_which").cast("string")))
-    return matches(keyed, F.col(needle)).withColumn("node_id", F.substring_index("node_id", "\n", 1))
+    return matches(named.withColumn("_which", F.xxhash64(needle)), F.col(needle), "_which").select(*NODE, "start", "end")
 
 
 def format_nodes(runs: DataFrame, scope: DataFrame, *fields: str) -> DataFrame:

@@ -68,3 +68,16 @@ def test_stale_runs_are_dropped(spark):
     assert got == [("a", 0, 4, False), ("a", 4, 7, True), ("b", 0, 7, False), ("c", 0, 5, False)]
     none = spark.createDataFrame([], f"doc_id long, node_id string, start int, end int, style {STYLE_DDL}")
     assert S.overlay(none, S.matches(nodes, F.lit("two")), bold=True).count() == 0 and S.joined(none).count() == 0
+
+
+def test_runs_are_read_once(spark):
+    """A sweep reads the runs once for both their ends, so that sweeps after one another do not double what came before."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(start):
+        read.add(1)
+        return start
+
+    nodes = spark.createDataFrame([(1, f"n{k}", "one two one") for k in range(20)], NODES)
+    runs = S.plain_runs(nodes).withColumn("start", F.udf(counted, "int")("start"))
+    assert S.style_phrase(nodes, runs, F.lit("two"), bold=True).count() == 60 and read.value == 20

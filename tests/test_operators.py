@@ -19,7 +19,7 @@ from sylva.operators import spec as P
 from sylva.operators import terms as V
 from sylva.operators import versions as H
 from sylva.schema import HEADINGS, META_DDL, STYLE_DDL, is_type
-from sylva.sources.corpus import nodes_of_lines
+from sylva.sources.corpus import nodes_of_lines, tops_of_lines
 from sylva.streaming import hub
 
 DDL = f"doc_id long, node_id string, parent_id string, type string, sort_path array<int>, depth int, content string, style {STYLE_DDL}, meta {META_DDL}"
@@ -329,3 +329,27 @@ def test_snapshots_are_packed_in_small_batches(spark, tmp_path):
         assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 500 and {r.text for r in rows} == {"text " * 10}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", default)
+
+
+def test_words_are_counted_within_their_document(spark, tmp_path):
+    """Neither lines nor words of several documents are sorted, joined or gathered: a task's memory does not grow with them."""
+    docs = spark.createDataFrame([(1, "Alpha beta\n" + "gamma beta gamma " * 3 + "\nbeta\nthe of"), (2, ""), (3, None), (4, "Beta")], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = core.QUERIES["agg_spread"](spark, str(tmp_path))
+    assert sorted(map(tuple, rows.collect())) == [(1, "alpha", 1), (1, "beta", 2), (1, "gamma", 1), (4, "beta", 1)]
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert not re.search(r"Sort|Window|Aggregate|Join", plan) and "hashpartitioning(doc_id" in plan
+
+
+def test_sections_read_from_texts_and_from_nodes(spark):
+    texts = ["Title\nOne | two | three\nshort\n\n" + "A long line that is no heading, as it has more than forty characters.\nsee the License, which is a footnote of some length here\n" * k for k in range(9)]
+    docs = spark.createDataFrame([*enumerate([*texts, "", "|", None])], "doc_id long, text string")
+    rows = lambda tops: tops.select("doc_id", F.inline(F.transform("top", lambda x: F.struct(x["type"], x["role"], x["content"]))))
+    texts, table = rows(tops_of_lines(docs)), rows(B.tops(nodes_of_lines(docs)))
+    assert texts.count() == table.count() > 100 and texts.exceptAll(table).isEmpty() and table.exceptAll(texts).isEmpty()
+    top = spark.createDataFrame(
+        [(1, [("body", None, "before"), ("heading", None, "One"), ("body", None, "a"), ("table", None, ""), ("subheading", None, "Two"), ("paragraph", "abstract", "b"), ("body", None, "c")]), (2, [("body", None, "x")])],
+        "doc_id long, top array<struct<type: string, role: string, content: string>>",
+    )
+    got = top.select("doc_id", F.inline(B.read_sections(F.col("top")))).collect()
+    assert [tuple(r) for r in got] == [(1, 1, "One", "a "), (1, 2, "Two", ""), (1, 3, "Abstract", "b c")]
